@@ -55,6 +55,16 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.private_data import KINDS, find_private_data
+
+    found = find_private_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.exact_dedup import exact_duplicates
 
@@ -103,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op6_chat_windows": op6_chat_windows,
         "op8_nearest": op8_nearest,
+        "op10_private_data": op10_private_data,
         "op3_exact_dedup": op3_exact_dedup,
         "op9_mixing": op9_mixing,
     }
