@@ -49,6 +49,13 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns, vocabulary("word_bpe_49k.json")))
 
 
+def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.lattice import score_documents
+
+    scored = score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, vocabulary("piece_bpe_32k.model"))
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.nearest import nearest
 
@@ -113,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op4_toxicity": op4_toxicity,
         "op6_chat_windows": op6_chat_windows,
+        "op7_lattice_likelihood": op7_lattice_likelihood,
         "op8_nearest": op8_nearest,
         "op10_private_data": op10_private_data,
         "op3_exact_dedup": op3_exact_dedup,
