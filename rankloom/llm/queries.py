@@ -40,6 +40,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.minhash_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.chat import format_conversations, read_back
 
@@ -119,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_language_id": op2_language_id,
         "op4_toxicity": op4_toxicity,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_chat_windows": op6_chat_windows,
         "op7_lattice_likelihood": op7_lattice_likelihood,
         "op8_nearest": op8_nearest,
