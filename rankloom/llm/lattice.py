@@ -148,8 +148,8 @@ def count_words(docs: DataFrame, training: Column, text_col: str = "text") -> Da
                 if train:
                     seen.update(words(text))
                 else:
-                    for w in set(words(text)) - seen.keys():
-                        seen[w] = 0
+                    for w in words(text):
+                        seen.setdefault(w, 0)
             if len(seen) > HELD_WORDS:
                 yield out()
                 seen.clear()
@@ -213,9 +213,10 @@ def score_documents(docs: DataFrame, training: Column, model_path: str, id_col:
 
     scored = staged(counts.select("word", "c").mapInArrow(marginals, "word binary, c bigint, base double, mixed double"), "lattice-scored")
     # A table of FREQUENT rows at most, whatever the corpus.
-    common = scored.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    place = {bytes(r["word"]): k for k, r in enumerate(common)}
-    columns = np.array([[r["base"], r["mixed"], float(r["c"] > 0)] for r in common]).reshape(-1, 3)
+    common = scored.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    place = {w: k for k, w in enumerate(common["word"].to_pylist())}
+    known = common["c"].to_numpy() > 0
+    columns = np.stack([common["base"].to_numpy(), common["mixed"].to_numpy(), known.astype(float)], 1)
     end_base, end_mixed = (float(x) for x in logs(np.float64(ends), np.float64(lattice.end)))
     frequent = spark.sparkContext.broadcast((place, columns))
     rows = docs.select(docs[id_col].alias("_id"), training.alias("_k"), docs[text_col].cast("string").alias("_t"))
