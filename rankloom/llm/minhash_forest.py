@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     sized = candidate.join(nodes.select("node", "rep", "h", "copies", "n"), "node")
     parts = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / F.lit(400.0 * block))).cast("int").alias("parts"))
     asked = staged(sized.join(parts, "root").select("root", "parts", "node", "rep", "h", "copies", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("p")), "forest-candidates")
-    texts = source.join(asked, source["id"].eqNullSafe(asked["rep"])).select("root", "parts", "node", "h", "copies", "p", "t")
+    # Candidates grow with the corpus, so this join always deals out by id, also where they would fit a broadcast.
+    texts = source.join(asked.hint("merge"), source["id"].eqNullSafe(asked["rep"])).select("root", "parts", "node", "h", "copies", "p", "t")
     # Block p meets every block q of its component, as (p, q) or (q, p).
     q = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")
     paired = texts.select("root", "node", "h", "copies", "p", "t", q).select("root", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "h", "copies", (F.col("p") <= F.col("q")).alias("first"), "t")
