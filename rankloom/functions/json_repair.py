@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import stripped
+from rankloom.functions.text import bound, skill_union, stripped
 from rankloom.schemas import EDUCATION, ROLE
 
 CANDIDATE = f"name string, email string, phone string, location string, skills array<string>, experience_years string, education array<{EDUCATION}>, work_experience array<{ROLE}>, certifications array<string>, languages array<string>"
@@ -50,10 +50,46 @@ def _full(x: Column) -> Column:
     return F.nullif(stripped(x), F.lit(""))
 
 
+def _is_strict(parsed: Column, r: Column) -> Column:
+    """Whether a parsed object has every field of a candidate in its own type."""
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    optional = lambda name: F.coalesce(kind(name).isin("STRING", "VOID"), F.lit(True))
+    names = lambda name: kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>")
+
+    def records(name: str, a: str, b: str, c: str) -> Column:
+        other = rf"^(?!.*\b({a}|{b}): (?!STRING))(?!.*\b{c}: (?!STRING|VOID)).*$"
+        full = F.forall(r[name], lambda x: x[a].isNotNull() & x[b].isNotNull())
+        return kind(name).startswith("ARRAY<") & kind(name).rlike(other) & full
+
+    number = F.coalesce(kind("experience_years").rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(True))
+    tests = [
+        kind("name") == "STRING", *(optional(n) for n in ("email", "phone", "location")), names("skills"), number,
+        records("education", "degree", "institution", "year"), records("work_experience", "title", "company", "duration"),
+        *(F.coalesce(names(n), F.lit(True)) for n in ("certifications", "languages")),
+    ]
+    out = F.lit(True)
+    for t in tests:
+        out = out & F.coalesce(t, F.lit(False))
+    return out
+
+
 def candidate(raw: Column) -> Column:
-    """The permissive candidate record of an answer, null if it holds no JSON object."""
-    text = json_object(raw)
-    r = F.from_json(text, CANDIDATE)
+    """The candidate record of an answer, null if it holds no JSON object.
+
+    An object with every field in its own type is taken as it stands; any other is
+    read permissively, which trims, drops and fills.
+    """
+    return bound(json_object(raw), lambda text: bound(F.struct(F.from_json(text, CANDIDATE).alias("r"), F.try_parse_json(text).alias("p")), lambda s: _candidate(s["p"], s["r"])))
+
+
+def _candidate(parsed: Column, r: Column) -> Column:
+    listed = lambda name: F.coalesce(r[name], F.array().cast("array<string>"))
+    as_is = F.struct(
+        *(r[n].alias(n) for n in ("name", "email", "phone", "location", "skills")),
+        r["experience_years"].try_cast("double").alias("experience_years"),
+        *(r[n].alias(n) for n in ("education", "work_experience")),
+        *(listed(n).alias(n) for n in ("certifications", "languages")),
+    )
     name = F.when(~F.lower(stripped(r["name"])).isin("candidate", "unknown"), stripped(r["name"]))
     pair = lambda a, b: a.isNotNull() & b.isNotNull() & ((stripped(a) != "") | (stripped(b) != ""))
     schools = F.transform(
@@ -77,12 +113,15 @@ def candidate(raw: Column) -> Column:
         F.coalesce(r["certifications"], F.array().cast("array<string>")).alias("certifications"),
         F.coalesce(r["languages"], F.array().cast("array<string>")).alias("languages"),
     )
-    return F.when(F.try_parse_json(text).isNotNull(), record)
+    return F.when(_is_strict(parsed, r), as_is).when(parsed.isNotNull(), record)
 
 
 def analysis(raw: Column, fallback: Column) -> Column:
     """struct(llm_score, summary, strengths, concerns), null without an object or a summary."""
-    r = F.from_json(json_object(raw), ANALYSIS)
+    return bound(F.from_json(json_object(raw), ANALYSIS), lambda r: _analysis(r, fallback))
+
+
+def _analysis(r: Column, fallback: Column) -> Column:
     signed = F.nullif(F.regexp_extract(r["llm_score"], r"^(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)$", 1), F.lit("")).try_cast("double")
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(signed, _number(r["llm_score"]), fallback)))
     record = F.struct(score.alias("llm_score"), stripped(r["summary"]).alias("summary"), _kept(r["strengths"]).alias("strengths"), _kept(r["concerns"]).alias("concerns"))
@@ -91,8 +130,10 @@ def analysis(raw: Column, fallback: Column) -> Column:
 
 def merged_candidate(answer: Column, heuristic: Column) -> Column:
     """Gaps of an answer filled from the heuristic record; skills united; roles are not merged."""
-    from rankloom.functions.text import skill_union
+    return bound(F.struct(answer.alias("a"), heuristic.alias("h")), lambda s: _merged(s["a"], s["h"]))
+
 
+def _merged(answer: Column, heuristic: Column) -> Column:
     unnamed = F.lower(stripped(answer["name"])).isin("", "candidate")
     years = F.coalesce(F.when(answer["experience_years"] != 0, answer["experience_years"]), heuristic["experience_years"], answer["experience_years"])
     return (

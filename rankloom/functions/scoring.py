@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import stripped
+from rankloom.functions.text import bound, stripped
 
 # Weights of the final score.
 WEIGHTS = {"skills": 0.40, "experience": 0.25, "semantic": 0.20, "llm": 0.15}
@@ -22,7 +22,12 @@ def match_skills(required: Column, offered: Column) -> Column:
     An exact hit counts the skill's weight (1 if required, else 0.5); a mutual substring
     counts 0.6 of a required one and all of another. Without requirements the score is 100.
     """
-    have = F.transform(F.coalesce(offered, F.array().cast("array<string>")), lambda s: stripped(F.lower(s)))
+    clean = F.transform(F.coalesce(offered, F.array().cast("array<string>")), lambda s: stripped(F.lower(s)))
+    return bound(F.struct(required.alias("r"), clean.alias("c")), lambda x: bound(_graded(x["r"], x["c"]), lambda rows: _summed(x["r"], rows)))
+
+
+def _graded(required: Column, have: Column) -> Column:
+    """Each wanted skill with whether it is required, whether it is met, and what that counts."""
 
     def graded(s: Column) -> Column:
         want = stripped(F.lower(s["skill"]))
@@ -37,7 +42,10 @@ def match_skills(required: Column, offered: Column) -> Column:
             F.when(must, F.when(exact, 1.0).when(close, 0.6).otherwise(0.0)).otherwise(F.when(exact | close, 0.5).otherwise(0.0)).alias("got"),
         )
 
-    rows = F.transform(required, graded)
+    return F.transform(required, graded)
+
+
+def _summed(required: Column, rows: Column) -> Column:
     total = lambda keep, value: F.aggregate(F.filter(rows, keep), F.lit(0.0), lambda acc, r: acc + value(r))
     got = total(lambda r: r["must"], lambda r: r["got"]) + total(lambda r: ~r["must"], lambda r: r["got"])
     most = total(lambda r: r["must"], lambda r: F.lit(1.0)) + total(lambda r: ~r["must"], lambda r: F.lit(0.5))

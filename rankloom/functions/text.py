@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ SKILL_CATALOG = (
 MIN_WORDS, MIN_CHARS, MIN_PRINTABLE, MIN_LETTERS = 10, 30, 0.75, 15
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(x: Column) -> Column:
     """Without white space (Unicode) at either end."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

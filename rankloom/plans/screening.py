@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -103,6 +105,15 @@ def analysis_prompt(candidate: Column, title: Column, description: Column, wante
     return F.concat_ws("\n", head, *(F.concat(F.lit(f"{k}: "), v) for k, v in lines.items()))
 
 
+def readable(answer: str | None) -> bool:
+    """Whether an answer holds a JSON object, once trailing commas are gone."""
+    m = re.search(r"\{.*\}", answer or "", re.S)
+    try:
+        return m is not None and isinstance(json.loads(re.sub(r",\s*([}\]])", r"\1", m.group())), dict)
+    except ValueError:
+        return False
+
+
 def generated(df: DataFrame, prompt: Column, key: str, generate: Generate, retry: str = "Your previous response was not valid JSON:\n{bad}\n\n{prompt}") -> DataFrame:
     """``key`` and ``answer`` of a plugged-in model for each row: one try, one retry with the bad answer, else null."""
 
@@ -112,7 +123,7 @@ def generated(df: DataFrame, prompt: Column, key: str, generate: Generate, retry
             for ask in batch["p"]:
                 try:
                     answer = generate(ask)
-                    if "{" not in (answer or ""):
+                    if not readable(answer):
                         answer = generate(retry.format(bad=(answer or "")[:ANSWER_CHARS], prompt=ask[:RETRY_CHARS]))
                 except Exception:  # a model that fails leaves the heuristic result
                     answer = None

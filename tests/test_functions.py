@@ -135,6 +135,11 @@ def test_json(spark):
     assert (c["name"], c["email"], c["skills"], c["experience_years"]) == ("Ann", None, ["Go"], 5.0)
     assert [tuple(e) for e in c["education"]] == [("Degree", "X", "2020")]
     assert one(spark, json_repair.candidate(F.lit("no json at all"))) is None
+    full = '{"name": " Candidate ", "skills": [" Go ", ""], "experience_years": 2.5, "education": [{"degree": "", "institution": " X", "year": null}], "work_experience": []}'
+    c = one(spark, json_repair.candidate(F.lit(full)))
+    assert (c["name"], c["skills"], c["experience_years"], tuple(c["education"][0])) == (" Candidate ", [" Go ", ""], 2.5, ("", " X", None))
+    for loose in (full.replace("2.5", '"2.5 years"'), full.replace("null", "2020"), full.replace('"work_experience": []', '"work_experience": null'), full.replace('"degree": "", ', "")):
+        assert one(spark, json_repair.candidate(F.lit(loose)))["skills"] == ["Go"], loose
     a = lambda s: one(spark, json_repair.analysis(F.lit(s), F.lit(42.0)))
     assert a('{"llm_score": 150, "summary": " s ", "strengths": [" x", " "]}')["llm_score"] == 100
     assert a('{"llm_score": -25, "summary": "s"}')["llm_score"] == 0

@@ -198,3 +198,23 @@ def test_streams(spark, tmp_path):
 def test_schemas(spark):
     for name in schemas.TABLES:
         assert schemas.empty(spark, name).schema == schemas.schema(name)
+
+
+def test_stored_tables(spark, tables, tmp_path):
+    from rankloom.sources import tables as stored
+
+    root = f"file://{tmp_path}"
+    store.save(tables["jobs"].drop("location", "max_experience_years"), f"{root}/jobs")
+    jobs = stored.table(spark, root, "jobs")
+    assert jobs.schema == schemas.schema("jobs") and stored.row(jobs, "j1").title == "One"
+    with pytest.raises(KeyError):
+        stored.row(jobs, "none")
+    models = made(spark, "models", id=["mock_a", "mockXb", "q"], size_bytes=[3, 2, 1], is_active=[False, True, True], file_path=[None, None, "/q"])
+    assert [r.id for r in stored.models_by_size(models).collect()] == ["q", "mockXb", "mock_a"]
+    assert [r.id for r in stored.active_model(models).collect()] == ["q"]
+    assert stored.models_like(models, "MOCK_%").count() == 2
+    assert [r.id for r in stored.active_model(store.single_active(models, "mockXb")).collect()] == []
+    assert stored.candidates_by_email(tables["candidates"], " ANN@x.org").count() == 1
+    assert stored.of_job(tables["resumes"], "j1").count() == 2 and stored.raw_text(tables["resumes"], "r1") is None
+    events = stored.pipeline_events(tables["processing_queue"], store.reconciled(tables["processing_queue"])).collect()
+    assert [(e.item_id, e.from_status, e.event) for e in events] == [("q1", "processing", "queued")]
