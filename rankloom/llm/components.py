@@ -18,19 +18,36 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     its edges are staged, so the plan stays short and executors may be lost.
     """
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen, total = None, now.count()
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small_least, "u")
-        pointed = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
+        large = _with_least(both.where("v > u"), _least(both), total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _least(large)
+        pointed = _with_least(large, small, total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = staged(pointed.where("u <> v").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.countDistinct("u").alias("d")).first()
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == state:
             break
-        seen = state
+        seen, total = state, state["n"]
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Each node with the smallest of itself and its neighbours, and its degree."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+
+
+#: A node is a hub if it has more than this share of all edge ends.
+HUB_SHARE, HUB_LEAST = 1000, 256
+
+
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with their u's smallest neighbour ``m``. Edges of hubs stay where they lie: there are at most
+    HUB_SHARE hubs, so these are broadcast; all other nodes are joined by key and none holds many edges."""
+    limit = max(HUB_LEAST, 2 * total // HUB_SHARE)
+    hubs = least.where(F.col("degree") > limit).select("u", F.col("m").alias("hub"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    others = least.where(F.col("degree") <= limit).select("u", "m")
+    return marked.where("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")).unionByName(marked.where("hub IS NULL").select("u", "v").join(others, "u"))

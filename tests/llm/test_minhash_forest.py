@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from rankloom.llm import components
 from rankloom.llm.components import connected_components
 from rankloom.llm.minhash_forest import near_duplicates, prefix_depth
 
@@ -73,7 +74,10 @@ def test_prefixes_shorten_to_the_recall():
     assert 1 - (1 - 0.8**k) ** 40 >= 0.9999 > 1 - (1 - 0.8 ** (k + 1)) ** 40
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [256, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB_LEAST", hub)
+    monkeypatch.setattr(components, "HUB_SHARE", 1000 if hub > 3 else 60)
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 300 + k) for k in range(50)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(60)]
     got = dict((r.node, r.root) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
