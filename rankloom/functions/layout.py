@@ -37,17 +37,18 @@ class Layout:
     role_starts: tuple[str, ...] = ROLE_STARTS
     role_ends: tuple[str, ...] = ROLE_ENDS
     degrees: tuple[str, ...] = DEGREES
+    degrees_of: tuple[str, ...] = ("Bachelor", "Master")
     wide_numbers: bool = False
 
 
 STORED = Layout()
-#: What the screen shows: two more headers, numbers in brackets, fewer role and degree words.
+#: What the screen shows: two more headers, numbers in brackets, other role words, and a degree's "of" needed.
 SHOWN = Layout(
     wide=(*WIDE_SECTIONS, "VOLUNTEER EXPERIENCE"),
     single=(*SECTIONS, "QUALIFICATIONS"),
-    role_starts=("Software", "Senior", "Lead", "Product", "Frontend", "Backend", "Full-Stack", "Full"),
+    role_starts=("Software", "Senior", "Lead", "Product", "Frontend", "Backend", "Full-Stack", "Staff", "Principal"),
     role_ends=("Engineer", "Developer", "Architect", "Designer", "Manager", "Development"),
-    degrees=("Bachelor", "Master", "B.E.", "B.Tech", "B.S.", "M.S.", "M.Tech", "Ph.D"),
+    degrees=("B.E.", "B.Tech", "B.S.", "M.S."),
     wide_numbers=True,
 )
 
@@ -90,7 +91,7 @@ def _run_lines(run: list[tuple[str, str]], bulleted: bool, layout: Layout) -> It
     """Lines of a run of words: a role or degree leaves a bullet, a date range ends a line."""
     line: list[str] = [BULLET] if bulleted else []
     for token, after in run:
-        opens = (token in layout.role_starts and after in layout.role_ends) or token in layout.degrees
+        opens = (token in layout.role_starts and after in layout.role_ends) or token in layout.degrees or (token in layout.degrees_of and after == "of")
         if opens and bulleted:
             yield " ".join(line)
             yield ""

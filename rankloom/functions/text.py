@@ -127,15 +127,29 @@ def truncated(text: Column, chars: int) -> Column:
 
 def file_size_label(size: Column) -> Column:
     """1024-based size with one decimal at most."""
-    step = F.when(size < 1024, 0).when(size < 1024**2, 1).when(size < 1024**3, 2).otherwise(3)
-    value = F.round(size / F.pow(F.lit(1024.0), step), 1)
-    unit = F.element_at(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB"))), (step + 1).cast("int"))
-    return F.when(size.isNull() | (size <= 0), "0 B").otherwise(F.concat(F.regexp_replace(F.format_string("%.1f", value), r"\.0$", ""), F.lit(" "), unit))
+    units = ("Bytes", "KB", "MB", "GB", "TB")
+    step = F.least(F.floor(F.ln(size.cast("double")) / F.ln(F.lit(1024.0)) + 1e-12), F.lit(len(units) - 1))
+    value = F.regexp_replace(F.format_string("%.1f", size / F.pow(F.lit(1024.0), step)), r"\.0$", "")
+    return F.when(size > 0, F.concat_ws(" ", value, F.element_at(F.array(*map(F.lit, units)), (step + 1).cast("int")))).when(size == 0, "0 Bytes")
 
 
 def remaining_label(seconds: Column) -> Column:
-    s = F.round(seconds).cast("long")
-    return F.when(s < 10, "< 10s").when(s < 60, F.format_string("%ds", s)).otherwise(F.format_string("~%dm %ds", F.expr("1L") * F.floor(s / 60), s % 60))
+    """Seconds left in words; empty for what is no time."""
+    s = seconds.cast("double")
+    minutes = F.floor(s / 60)
+    rest = F.round(s - minutes * 60).cast("long")
+    return (
+        F.when(s.isNull() | F.isnan(s) | (s < 0) | (s == float("inf")), "")
+        .when(s < 10, "< 10s remaining")
+        .when(s < 60, F.format_string("%ds remaining", F.round(s).cast("long")))
+        .when((minutes < 60) & (rest == 0), F.concat(F.format_string("About %d min", minutes), F.when(minutes > 1, "s").otherwise(""), F.lit(" remaining")))
+        .when(minutes < 60, F.format_string("~%dm %ds remaining", minutes, rest))
+        .otherwise(F.format_string("~%dh %dm remaining", F.floor(minutes / 60), minutes % 60))
+    )
+
+
+def date_label(at: Column) -> Column:
+    return F.date_format(at, "MMM d, yyyy")
 
 
 def word_ngrams(text: Column, n: int = 2, join: str = "_") -> Column:

@@ -124,6 +124,8 @@ def test_layout(spark):
     assert rebuilt("SKILLS & more") == "SKILLS & more"
     assert rebuilt("• SUMMARY") == "●\n\nSUMMARY\n"
     assert rebuilt("(12) x", SHOWN) == "● x" and rebuilt("(12) x") == "(12) x"
+    assert rebuilt("• a Bachelor of Arts") == rebuilt("• a Bachelor of Arts", SHOWN) == "● a\n\nBachelor of Arts"
+    assert rebuilt("• a PhD b") == "● a\n\nPhD b" and rebuilt("• a PhD b", SHOWN) == "● a PhD b"
     assert rebuilt(None) == rebuilt(" \n") == ""
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "b "), (1, 4, ""), (1, 5, "b"), (1, 6, "a"), (2, 1, None)], "doc_id int, page_number int, text string")
     assert dict(combined_pages(pages).collect()) == {1: "a\n\nb\n\na", 2: ""}
@@ -159,8 +161,10 @@ def test_merge(spark):
 def test_labels(spark):
     label = lambda lo, hi: one(spark, text.experience_label(F.lit(lo).cast("double"), F.lit(hi).cast("double")))
     assert [label(2, 4), label(3, None), label(None, 4), label(0, None), label(2.5, 2.5)] == ["2 - 4 years", "3+ years", "Up to 4 years", "Not specified", "2.5 years"]
-    assert one(spark, text.file_size_label(F.lit(1536))) == "1.5 KB"
-    assert [one(spark, text.remaining_label(F.lit(s))) for s in (5, 40, 95)] == ["< 10s", "40s", "~1m 35s"]
+    assert [one(spark, text.file_size_label(F.lit(n))) for n in (0, 1, 1024, 1536, 5 * 1024**3)] == ["0 Bytes", "1 Bytes", "1 KB", "1.5 KB", "5 GB"]
+    left = {-1: "", 5: "< 10s", 40: "40s", 60: "About 1 min", 120: "About 2 mins", 95: "~1m 35s", 4500: "~1h 15m"}
+    assert [one(spark, text.remaining_label(F.lit(n))) for n in left] == [f"{t} remaining" if t else "" for t in left.values()]
+    assert one(spark, text.date_label(F.lit("2024-03-05").cast("timestamp"))) == "Mar 5, 2024"
     assert one(spark, F.size(text.chunks(F.array_repeat(F.lit("w"), 1000)))) == 3
     assert one(spark, text.char_ngrams(F.lit("héllo"), 3)) == ["hél", "éll", "llo"]
     assert one(spark, text.error_class(F.lit("This PDF is Scanned"))) == "scanned"
