@@ -1,16 +1,20 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives, texts drawn from the whole corpus are the
-unlabelled set. A linear classifier over the words of a text is trained in numpy with
-the non-negative risk estimator (Kiryo et al., 2017):
+unlabelled set. A linear classifier over the words of a text and their beginnings is
+trained in numpy with the non-negative risk estimator (Kiryo et al., 2017):
 
     prior x R+(positives) + max(0, R-(unlabelled) - prior x R-(positives)),
 
 where the prior is the toxic share of the labelled training rows. While the second
 part is negative, the step runs against it, which keeps the classifier from
 fitting the positives alone. The fit uses a bounded sample, documents in order of
-their id's hash: at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, as hashed
-words. Scoring reads every whole text.
+their id's hash: at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, as words
+with their counts. Scoring reads every whole text.
+
+A word counts by its presence, a beginning of ``SHORTEST`` to ``LONGEST`` characters by
+its share of the text's words: languages that inflect and compound mark a text by many
+different words of one beginning, and by chance any long text holds one of them.
 
 Edge cases: a null text is empty and scored by the bias alone; without positive
 training rows all scores are 0; repeated labels of an id count once, toxic if any
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,30 +37,86 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import prepare
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
-#: A word becomes a feature if at least MIN_TEXTS positive texts of the sample hold it
-#: and its shares of the positive and unlabelled texts differ by MIN_Z standard errors.
-MIN_TEXTS, MIN_Z = 3, 4.5
+#: A word or beginning becomes a feature if at least MIN_TEXTS positive texts of the sample
+#: hold it and the means of its values over positive and unlabelled texts differ by MIN_Z
+#: standard errors, taken from the unlabelled texts, so that a rare language's words count too.
+MIN_TEXTS, MIN_Z = 3, 5.0
+SHORTEST, LONGEST = 3, 8
+#: Words whose features are remembered at a time.
+REMEMBERED = 200_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def word_ids(text: str | None) -> list[int]:
-    """Hashes of the distinct lower-cased words of a whole text."""
-    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(_words((text or "").lower()))]
+def word_counts(text: str | None) -> Counter[str]:
+    """Counts of the lower-cased words of a whole text."""
+    return Counter(_words((text or "").lower()))
+
+
+def parts(word: str) -> list[str]:
+    """The word itself, closed by ``$``, and its beginnings."""
+    return [word + "$", *(word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))]
+
+
+class Features:
+    """Numbered words and beginnings, and their values in a text."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.number = {name: k for k, name in enumerate(names)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def values(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the features that a text holds, and their values."""
+        known, held = self.known, {}
+        for word, count in counts.items():
+            found = known.get(word)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[word] = tuple(self.number[x] for x in parts(word) if x in self.number)
+            for k in found:
+                held[k] = held.get(k, 0) + count
+        at = np.fromiter(held, np.int64, len(held))
+        share = np.fromiter(held.values(), float, len(held)) / (sum(counts.values()) + 30)
+        whole = np.fromiter((self.names[k].endswith("$") for k in held), bool, len(held))
+        return at, np.where(whole, 1.0, np.log1p(50 * share))
+
+
+Matrix = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+class Texts:
+    """Word counts of a sample, kept packed and read one text at a time."""
+
+    def __init__(self, packed: list[tuple[bytes, bytes]]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __iter__(self) -> Iterator[dict[str, int]]:
+        for words, counts in self.packed:
+            held = zlib.decompress(words).decode("utf-8", "surrogatepass").split()
+            yield dict(zip(held, np.frombuffer(counts, "<u4").tolist(), strict=True))
 
 
 class NonNegativePU:
-    """Linear scores over word features; ``weights`` maps a word's hash to its weight."""
-
-    def __init__(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 500, rate: float = 0.05, decay: float = 3e-4):
-        seen, counts = np.unique(np.concatenate(positive), return_counts=True)
-        every, also = np.unique(np.concatenate(unlabelled), return_counts=True)
-        at = np.minimum(np.searchsorted(every, seen), len(every) - 1)
-        others = np.where(every[at] == seen, also[at], 0)
-        p, u = (counts + 0.5) / (len(positive) + 1), (others + 0.5) / (len(unlabelled) + 1)
-        z = np.abs(p - u) / np.sqrt(p * (1 - p) / (len(positive) + 1) + u * (1 - u) / (len(unlabelled) + 1))
-        self.ids = seen[(counts >= MIN_TEXTS) & (z >= MIN_Z)]
+    """Linear scores over the values of ``features``; ``weights`` has one for each."""
+
+    def __init__(self, positive: Texts, unlabelled: Texts, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 3e-4):
+        texts = Counter(x for counts in positive for x in {x for word in counts for x in parts(word)})
+        self.features = Features(sorted(x for x, n in texts.items() if n >= MIN_TEXTS))
+        del texts
+        n, m = len(positive), len(unlabelled)
+        (p, _), (u, square) = self._means(positive), self._means(unlabelled)
+        spread = square - u**2 + 0.02 / (m + 1)
+        chosen = np.flatnonzero(np.abs(p - u) >= MIN_Z * np.sqrt(spread * (1 / n + 1 / m)))
+        self.features = Features([self.features.names[k] for k in chosen])
         wp, wu = self._matrix(positive), self._matrix(unlabelled)
-        w, b = np.zeros(len(self.ids)), float(np.log(prior / (1 - prior)))
+        w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, steps + 1):
             gp, gu = self._scores(wp, w) + b, self._scores(wu, w) + b
@@ -71,40 +132,50 @@ class NonNegativePU:
             w -= move[:-1]
             b -= move[-1]
         self.bias = b
-        self.weights = dict(zip(self.ids.tolist(), w.tolist(), strict=True))
+        self.weights = w
+
+    def _matrix(self, texts: Texts) -> Matrix:
+        held = [self.features.values(counts) for counts in texts]
+        rows = np.repeat(np.arange(len(held)), [len(at) for at, _ in held])
+        return rows, np.concatenate([at for at, _ in held]), np.concatenate([x for _, x in held]), len(held)
+
+    def _sums(self, x: Matrix, by_cell: np.ndarray) -> np.ndarray:
+        return np.bincount(x[1], weights=by_cell, minlength=len(self.features.names))
 
-    def _matrix(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        cols, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, ids in enumerate(texts):
-            at = np.searchsorted(self.ids, ids)
-            at = at[(at < len(self.ids)) & (self.ids[np.minimum(at, len(self.ids) - 1)] == ids)] if len(self.ids) else at[:0]
-            cols.append(at)
-            rows.append(np.full(len(at), k))
-        return np.concatenate(rows), np.concatenate(cols), len(texts)
+    def _means(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Mean value and mean square of each feature."""
+        total, square = np.zeros((2, len(self.features.names)))
+        for counts in texts:
+            at, x = self.features.values(counts)
+            total[at] += x
+            square[at] += x * x
+        return total / len(texts), square / len(texts)
 
-    def _scores(self, x, w: np.ndarray) -> np.ndarray:
-        return np.bincount(x[0], weights=w[x[1]], minlength=x[2])
+    def _scores(self, x: Matrix, w: np.ndarray) -> np.ndarray:
+        return np.bincount(x[0], weights=w[x[1]] * x[2], minlength=x[3])
 
-    def _slope(self, x, by_text: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(x[1], weights=by_text[x[0]], minlength=len(self.ids)), by_text.sum())
+    def _slope(self, x: Matrix, by_text: np.ndarray) -> np.ndarray:
+        return np.append(self._sums(x, by_text[x[0]] * x[2]), by_text.sum())
 
     def score(self, text: str | None) -> float:
-        get = self.weights.get
-        g = self.bias + sum(get(i, 0.0) for i in word_ids(text))
+        at, x = self.features.values(word_counts(text))
+        g = self.bias + float(self.weights[at] @ x)
         return float(1 / (1 + np.exp(-np.clip(g, -60, 60))))
 
 
-def _sampled_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, bound: int) -> list[np.ndarray]:
-    """Hashed words of the documents in ``ids`` (bounded, so it is broadcast); at most ``bound`` texts."""
+def _sampled_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, bound: int) -> Texts:
+    """Word counts of the documents in ``ids`` (bounded, so it is broadcast); at most ``bound`` texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.array(sorted(word_ids(t)), "<u4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["i", "w"])
+            found = [sorted(word_counts(t).items()) for t in batch.column(1).to_pylist()]
+            words = [zlib.compress(" ".join(w for w, _ in x).encode("utf-8", "surrogatepass"), 1) for x in found]
+            counts = [np.array([n for _, n in x], "<u4").tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], names=["i", "w", "n"])
 
     picked = docs.select(docs[id_col].cast("string").alias("i"), docs[text_col].cast("string").alias("t")).join(F.broadcast(ids), "i", "left_semi")
-    rows = picked.mapInArrow(task, "i string, w binary").orderBy(F.xxhash64("i"), "i", "w").limit(bound).collect()
-    return [np.frombuffer(bytes(r["w"]), "<u4").astype(np.int64) for r in rows]
+    rows = picked.mapInArrow(task, "i string, w binary, n binary").orderBy(F.xxhash64("i"), "i", "w", "n").limit(bound).collect()
+    return Texts([(bytes(r["w"]), bytes(r["n"])) for r in rows])
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NonNegativePU | None:
@@ -127,7 +198,7 @@ def score(docs: DataFrame, model: NonNegativePU | None, keep: dict[str, Column],
     """The columns of ``keep`` with ``score`` for every row."""
     prepare(docs.sparkSession)
     rows = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(keep.values())), F.col(text_col).cast("string").alias("_t"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each word of the bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of features of the bounded sample
     names, n = list(keep), len(keep)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

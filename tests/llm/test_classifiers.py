@@ -62,3 +62,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(docs, None, {"doc_id": F.col("doc_id")}).collect()} == {0.0}
     assert toxicity.train(docs, table.limit(0), ~held) is None
     assert toxicity.score(docs.limit(0), model, {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def test_toxicity_by_beginnings_of_words(spark):
+    rng = np.random.default_rng(1)
+    ends = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(600)]
+    rows, labels = [], []
+    for i in range(2000):
+        bad = i % 8 == 0
+        # Toxic texts hold five of 600 words of one beginning, every third other text holds one of them.
+        marked = ["grolb" + x for x in rng.choice(ends, 5 if bad else int(i % 3 == 0), replace=False)]
+        rows.append((i, " ".join(["w" + x for x in rng.choice(ends, 120)] + marked)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = fold("doc_id", 4) == 2
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ~held)
+    got = toxicity.score(docs, model, {"doc_id": F.col("doc_id")}, "text").where(held).collect()
+    caught = [r.score >= 0.3 for r in got if r.doc_id % 8 == 0]
+    assert np.mean(caught) >= 0.95
+    assert np.mean([r.score >= 0.3 for r in got if r.doc_id % 8]) <= 0.02
