@@ -107,17 +107,20 @@ def _verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thres
     return (both >= threshold * union - 1e-6) & (both > 0)
 
 
-def compared(sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (copies counted) and a local group (smallest index) of each node; if ``first`` has
-    both values, only pairs of a node of the first block and one of the second count."""
+def compared(sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links (copies counted) and a local group (smallest index) of each node. In a block
+    against itself (``same``) all pairs count, otherwise only those of a node of the first
+    block and one of the second: none if one of the blocks is empty."""
     n = len(sets)
-    left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(n), np.arange(n))
+    if not same and (first.all() or not first.any()):
+        return np.zeros(n, np.int64), np.arange(n)
+    left, right = (np.arange(n), np.arange(n)) if same else (np.flatnonzero(first), np.flatnonzero(~first))
     ok = _verified(sets, left, right, threshold)
-    if first.all():
+    if same:
         np.fill_diagonal(ok, False)
     links = np.zeros(n, np.int64)
     links[left] += ok @ copies[right]
-    if not first.all():
+    if not same:
         links[right] += ok.T @ copies[left]
     group = np.arange(n)
     while True:
@@ -171,7 +174,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
             nodes_, found = list(group), list(group.values())
             if len(found) < 2:
                 return [], [], []
-            links, local = compared([f[2] for f in found], np.array([f[0] for f in found]), np.array([f[1] for f in found]), threshold)
+            links, local = compared([f[2] for f in found], np.array([f[0] for f in found]), np.array([f[1] for f in found]), threshold, key[1] == key[2])
             at = np.flatnonzero(links)
             return [nodes_[k] for k in at], links[at].tolist(), [nodes_[local[k]] for k in at]
 
@@ -185,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
                 if node not in group:
                     w = split_words(text)
                     if xxhash.xxh3_128_hexdigest(b" ".join(w)).upper() == h:  # another text may share the id
-                        group[node] = (copies, bool(first) if i != j else True, shingles(w, shingle))
+                        group[node] = (copies, bool(first), shingles(w, shingle))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["node", "links", "to"])
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in close()], names=["node", "links", "to"])
 

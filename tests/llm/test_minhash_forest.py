@@ -65,6 +65,13 @@ def test_classes_and_links_against_brute_force(spark, block):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links, r.class_size) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("words,block", [(60_000, 256), (1000, 2)])
+def test_links_of_long_texts_that_leave_blocks_empty(spark, words, block):
+    rows = [(k, " ".join(f"w{n}" if n != 7 * k else f"edit{k}" for n in range(words))) for k in range(12)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links, r.class_size) for r in got) == sorted((str(k), "0", 11, 12) for k in range(12))
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
