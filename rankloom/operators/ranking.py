@@ -26,19 +26,23 @@ def similar(vectors: DataFrame, query: Column, k: int = 10, key: str = "resume_i
     return scored.orderBy(F.desc("similarity"), F.asc(key)).limit(k)
 
 
-def similar_for_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "resume_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_embedding", most_queries: int = 4096) -> DataFrame:
-    """``similar`` for a stated set of queries: queries travel as one checked array, rows stay where they are.
+def similar_for_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "resume_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_embedding", most_queries: int | None = None, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+    """``similar`` for each of any number of queries; more than ``most_queries``, if stated, are refused.
 
-    Each row is scored against all queries in place; a window limit keeps k rows of
-    a query in every task before anything is dealt out.
+    Rows and queries are hashed into blocks; every block of about ``block_rows`` rows meets
+    every block of about ``query_rows`` queries in a task, where a window limit keeps k rows
+    of a query before anything is dealt out again. Nothing goes through the driver.
     """
-    held = queries.select(query_key, query_vector).limit(most_queries + 1).collect()
-    if len(held) > most_queries:
+    if most_queries is not None and queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} queries; split the query set")
-    spark = vectors.sparkSession
-    table = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in held], f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {query_vector} array<double>")
-    packed = table.agg(F.collect_list(F.struct(query_key, query_vector)).alias("_queries"))
-    pairs = vectors.select(key, vector).join(F.broadcast(packed)).select(key, vector, F.explode("_queries").alias("_q"))
-    scored = pairs.select(F.col(f"_q.{query_key}").alias(query_key), key, cosine_similarity(F.col(vector), F.col(f"_q.{query_vector}")).alias("similarity"))
+    parallel = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(parallel, -(-vectors.count() // block_rows))
+    query_blocks = max(1, -(-queries.count() // query_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    tasks = min(blocks * query_blocks, 64 * parallel)
+    rows = vectors.select(F.pmod(F.xxhash64(key, vector), F.lit(blocks)).alias("_b"), every(query_blocks).alias("_s"), F.col(key), F.col(vector)).repartition(tasks, "_b", "_s")
+    asked = queries.select(every(blocks).alias("_b"), F.pmod(F.xxhash64(query_key, query_vector), F.lit(query_blocks)).alias("_s"), F.col(query_key), F.col(query_vector)).repartition(tasks, "_b", "_s")
+    pairs = rows.join(asked.hint("merge"), ["_b", "_s"])
+    scored = pairs.select(query_key, key, cosine_similarity(F.col(vector), F.col(query_vector)).alias("similarity"))
     order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import math
 import zipfile
 
 import pytest
@@ -117,6 +118,17 @@ def test_duplicates_and_topk(spark, tables):
         ranking.similar_for_each(v, v.toDF("query_id", "query_embedding"), most_queries=2)
 
 
+def test_similar_for_more_queries_than_a_block(spark):
+    """More queries than were once allowed, in several blocks."""
+    v = spark.range(5000).select(F.col("id").alias("resume_id"), F.array(F.cos(F.col("id") / 900), F.sin(F.col("id") / 900)).alias("embedding"))
+    few = v.where("resume_id < 40")
+    got = ranking.similar_for_each(few, v.toDF("query_id", "query_embedding"), k=2, query_rows=1500, block_rows=16).collect()
+    assert len(got) == 10000 and len({(r.query_id, r.rank) for r in got}) == 10000
+    best = {r.query_id: r.resume_id for r in got if r.rank == 1}
+    angle = lambda q, r: math.cos(q / 900 - r / 900)
+    assert all(angle(q, r) >= max(angle(q, x) for x in range(40)) - 1e-12 for q, r in best.items())
+
+
 def test_versions(spark, tables, tmp_path):
     path = f"file://{tmp_path}/jobs"
     store.save(tables["jobs"], path)
