@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import prepare
+from rankloom.llm.common import sliced, prepare
 from rankloom.llm.wordbpe import word_bpe
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -143,7 +143,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, budget: int = 10
             names = ["conv_id", "window", "text", "n_repeated", "n_new", "tokens", "loss_starts", "loss_ends"]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             kind = batch.schema.field(0).type
             found = []
             for conv, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -181,7 +181,7 @@ def read_back(windows: DataFrame) -> DataFrame:
                 cols.append(pa.array([s[k].hexdigest() if "sha" in k else s[k] for _, s in found], t))
             return pa.RecordBatch.from_arrays(cols, names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             kind = batch.schema.field(0).type
             found = []
             for c, text, repeated, starts, ends in zip(*(x.to_pylist() for x in batch.columns), strict=True):

@@ -8,14 +8,18 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE_CLASS = r"\x20\x09-\x0D"
-#: Rows of one Arrow batch. Texts are long, so a batch stays a few MB.
+#: Rows that a task turns into Python objects at a time. Spark bounds the bytes of a batch
+#: (spark.sql.execution.arrow.maxBytesPerBatch), this bounds what is made of them.
 ARROW_ROWS = 256
 
 
@@ -38,14 +42,24 @@ def restored(names: list[str]) -> list[Column]:
     return [F.col(f"_own{i}").alias(c) for i, c in enumerate(names)]
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows (views, not copies)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+    """The folder that the driver and all executors see: the cluster's ``spark.checkpoint.dir``.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (local
-    runs and tests) a temporary folder of this machine is taken and recorded there.
+    Only where driver and executors are one process (a local master) and the setting is
+    missing, a temporary folder of this machine is taken and recorded there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="rankloom-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder
@@ -53,27 +67,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_written: list[str] = []
+#: Staged tables by owner: the process, then each open ``staging`` block.
+_owners: list[list[str]] = [[]]
+
+
+def tables_mark() -> int:
+    return len(_owners[-1])
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Removes the tables this process has staged; call it once the results that read them are saved."""
+def tables_since(mark: int) -> list[str]:
+    """The tables that the present owner has staged since the mark."""
+    return _owners[-1][mark:]
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Removes staged tables; nothing may read them any more."""
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in list(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        for owned in _owners:
+            if path in owned:
+                owned.remove(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside belong to this block and are removed at its end."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        drop_tables(spark, _owners[-1])
+        _owners.pop()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     Cuts the lineage: what follows survives the loss of any executor without
-    computing ``df`` again, and several readers share one computation.
+    computing ``df`` again, and several readers share one computation. The table lives
+    until its operator or ``staging`` block drops it, at most as long as the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rankloom-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
-    _written.append(path)
+    _owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,13 +122,14 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and lets Python workers import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Lets Python workers import this package."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(prefix="rankloom-zip-"), "rankloom_package.zip")
+    folder = tempfile.mkdtemp(prefix="rankloom-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "rankloom_package.zip")
     with zipfile.ZipFile(archive, "w") as out:
         for p in sorted(root.rglob("*.py")):
             out.write(p, p.relative_to(root.parent).as_posix())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import staged
+from rankloom.llm.common import drop_tables, staged, tables_mark, tables_since
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     A round is grouped minima and joins only, so no task holds a node's neighbours, and
     its edges are staged, so the plan stays short and executors may be lost.
     """
+    spark = edges.sparkSession
+    mark = tables_mark()
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen, total = None, now.count()
     for _ in range(max_rounds):
@@ -24,7 +26,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = _with_least(both.where("v > u"), _least(both), total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large)
         pointed = _with_least(large, small, total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        before = tables_since(mark)
         now = staged(pointed.where("u <> v").distinct(), "edges")
+        drop_tables(spark, before)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == state:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import prepare
+from rankloom.llm.common import sliced, prepare
 
 FEATURES = 1 << 14
 #: Grams of one text overlap, so a text counts as this many independent grams at most.
@@ -114,7 +114,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", featu
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang not in sums:
                     sums[lang] = np.zeros(features, np.int64)
@@ -145,7 +145,7 @@ def predict(docs: DataFrame, model: CodedClassifiers | None, keep: dict[str, Col
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(n).to_pylist()
             lang, score, flag = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             at = [i for i, t in enumerate(texts) if t is not None] if m else []

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import prepare, staged
+from rankloom.llm.common import sliced, prepare, staged
 
 MARK = "▁".encode()
 LN10 = log(10.0)
@@ -143,7 +143,7 @@ def count_words(docs: DataFrame, training: Column, text_col: str = "text") -> Da
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if train:
                     seen.update(words(text))
@@ -166,7 +166,7 @@ def reestimated(lattice: PieceLattice, counts: DataFrame, end: float) -> PieceLa
         model = shared.value
         pieces: dict[bytes, float] = {}
         single = np.zeros(256)
-        for batch in batches:
+        for batch in sliced(batches):
             for w in batch.column(0).to_pylist():
                 model.expected(w, 1.0, pieces, single)
         used = np.flatnonzero(single)
@@ -206,7 +206,7 @@ def score_documents(docs: DataFrame, training: Column, model_path: str, id_col:
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marginal = shared.value.marginal
-        for batch in batches:
+        for batch in sliced(batches):
             c = batch.column(1).to_numpy(zero_copy_only=False)
             base, mixed = logs(c, np.array([marginal(w) for w in batch.column(0).to_pylist()], float))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(mixed)], names=["word", "c", "base", "mixed"])
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, training: Column, model_path: str, id_col:
         place, columns = frequent.value
         row = TaskContext.get().partitionId() << 40
         kinds = None
-        for batch in batches:
+        for batch in sliced(batches):
             kinds = kinds or (pa.int64(), pa.binary(), pa.int64(), batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             out: list[list] = [[] for _ in kinds]
             for doc_id, train, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

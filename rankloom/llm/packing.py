@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rankloom.llm.common import prepare
+from rankloom.llm.common import sliced, prepare
 from rankloom.llm.wordbpe import word_bpe
 
 #: Task and counter share a sequence id: 2^32 sequences a task.
@@ -150,7 +150,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
             kinds = (id_type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[id_col, "start", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             id_type = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([encode.ids(text or ""), end])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import prepare
+from rankloom.llm.common import sliced, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -193,7 +193,7 @@ def candidate_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[int,
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     base = base_spans(text)
@@ -221,7 +221,7 @@ def find_private_data(docs: DataFrame, sure: float = 0.9, id_col: str = "doc_id"
                 known[key] = model.probability(key) if model else 0.0
             return {"kind": s[0], "start": s[1], "end": s[2], "base": strict, "score": known[key]}
 
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text) if text else []

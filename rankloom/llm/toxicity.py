@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import prepare
+from rankloom.llm.common import sliced, prepare
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
 #: A word or beginning becomes a feature if at least MIN_TEXTS positive texts of the sample
@@ -167,7 +167,7 @@ def _sampled_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
     """Word counts of the documents in ``ids`` (bounded, so it is broadcast); at most ``bound`` texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [sorted(word_counts(t).items()) for t in batch.column(1).to_pylist()]
             words = [zlib.compress(" ".join(w for w, _ in x).encode("utf-8", "surrogatepass"), 1) for x in found]
             counts = [np.array([n for _, n in x], "<u4").tobytes() for x in found]
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: NonNegativePU | None, keep: dict[str, Column],
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [m.score(t) if m else 0.0 for t in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64())], names=[*names, "score"])
 
