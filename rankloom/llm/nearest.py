@@ -1,35 +1,44 @@
 """Nearest neighbours by multi-index hashing of learned binary codes.
 
 Codes: vectors are centred and rotated so that their signs lose least (iterative
-quantisation: principal axes, then alternating rotations), fitted on a bounded sample;
-every vector is coded. Index: a code is cut into substrings, and in each block of
-rows every substring has a table from value to rows. Search: if two codes differ in at
-most r of their bits, some substring differs in at most r // substrings bits
-(pigeonhole), so probing those values retrieves every code within radius r; the
-retrieved rows are ranked by their exact Euclidean distance. The radius is learned
-too: the ``coverage`` quantile of the Hamming distances of true neighbours in the
-sample; a query with fewer than k rows in it takes its block's all.
-
-Equal vectors are one entry of the index with their k + 1 smallest ids, so a very
-common vector is one entry; that is exact, as further copies can't be among the
-k nearest with ties to smaller ids. The stated queries meet all entries in blocks:
-``block_rows`` entries and ``query_rows`` queries meet in one group, which emits k rows
-a query.
+quantisation: principal axes, then alternating rotations), by as many rotations from
+different starts as the ``bits`` need, fitted on a bounded sample; every vector is coded.
+Index: a code is cut into substrings of eight bits, and a row is found under each
+(substring, value). Search: a query probes the values near its own, and an equi-join on
+(substring, value) retrieves rows. If two codes differ in at most r bits, then with
+r = a x substrings + b some of the first b + 1 substrings differs in at most a bits or some other
+one in at most a - 1 (pigeonhole), so these probes retrieve every code within radius r. A pair is
+taken under the first substring that retrieves it, hence once, and only if its codes
+lie within the radius; its rank is by the exact Euclidean distance.
+
+The radius is learned: the ``coverage`` quantile of the Hamming distances of true
+neighbours in the sample. A query with fewer than k rows within it is searched again
+over all rows, in blocks, and marked ``scanned``.
+
+Only codes are dealt out by (substring, value); vectors are joined to the pairs within the
+radius. So shuffles grow with rows, probes and those pairs, and a value that very many rows
+hold is an ordinary skewed join key, which adaptive execution splits.
+
+One rule for repeats: every distinct (id, vector) is a candidate once, whatever its number of
+rows; an id asked with several vectors asks with the smallest. Equal vectors are one entry
+of the index with their k + 1 smallest ids; that is exact, as further ones can't be among
+the k nearest with ties to smaller ids.
 
 Edge cases: vectors that are null, of zero norm, empty, of another length than the
 most common one, or hold null or non-finite components take no part, as queries or as
-candidates, nor do null ids; repeated (id, vector) rows count once each as candidates;
-with fewer than k candidates all are returned; an empty table gives no rows; other
-columns are ignored.
+candidates, nor do null ids; with fewer than k candidates all are returned; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,22 +46,27 @@ from pyspark.sql.window import Window
 from rankloom.llm.common import prepare, staged
 
 SUBSTRING_BITS = 8
+#: Bits of one column of a code.
+LONG_BITS = 64
 
 
 class BinaryCoder:
-    """A centre and a rotation; codes are the signs of the rotated vector, as bytes."""
+    """A centre and rotations; codes are the signs of the rotated vector, as bytes."""
 
     def __init__(self, sample: np.ndarray, bits: int, rounds: int = 25, seed: int = 3):
         self.mean = sample.mean(0)
         x = sample - self.mean
-        _, axes = np.linalg.eigh(x.T @ x)
-        v = x @ axes[:, ::-1][:, :bits]
-        bits = v.shape[1]
-        r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(v.T @ np.sign(v @ r))
-            r = u @ w
-        self.turn = axes[:, ::-1][:, :bits] @ r
+        axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+        turns, left = [], bits
+        while left > 0:
+            v = x @ axes[:, :left]
+            r = np.linalg.qr(np.random.default_rng(seed + len(turns)).normal(size=(v.shape[1],) * 2))[0]
+            for _ in range(rounds):
+                u, _, w = np.linalg.svd(v.T @ np.sign(v @ r))
+                r = u @ w
+            turns.append(axes[:, :left] @ r)
+            left -= v.shape[1]
+        self.turn = np.concatenate(turns, 1)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         return np.packbits((x - self.mean) @ self.turn > 0, axis=1)
@@ -65,23 +79,10 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _ones[a ^ b].sum(-1, dtype=np.int32)
 
 
-class MultiIndex:
-    """Substring tables of a block of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.starts = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order, strict=True)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code differs in at most ``radius`` bits, all of them."""
-        near = probes(radius // len(code))
-        hit = np.zeros(len(self.codes), bool)
-        for value, order, starts in zip(code, self.order, self.starts, strict=True):
-            for x in (near ^ value).tolist():
-                hit[order[starts[x] : starts[x + 1]]] = True
-        rows = np.flatnonzero(hit)
-        return rows[hamming(self.codes[rows], code) <= radius]
+def allowances(radius: int, substrings: int) -> list[int]:
+    """Bits that may differ in each substring; -1: not probed."""
+    a, b = divmod(radius, substrings)
+    return [a if j <= b else a - 1 for j in range(substrings)]
 
 
 def probes(radius: int) -> np.ndarray:
@@ -90,6 +91,12 @@ def probes(radius: int) -> np.ndarray:
     return np.array(masks, np.uint8)
 
 
+def probed_keys(codes: np.ndarray, radius: int) -> list[np.ndarray]:
+    """substring x 256 + value for all values that each code probes."""
+    near = [(j, probes(a)) for j, a in enumerate(allowances(radius, codes.shape[1])) if a >= 0]
+    return [np.concatenate([j * 256 + (masks ^ code[j]).astype(np.int32) for j, masks in near]) for code in codes]
+
+
 def learned_radius(coder: BinaryCoder, sample: np.ndarray, k: int, coverage: float, queries: int = 256) -> int:
     q = sample[:: max(1, len(sample) // queries)][:queries]
     codes = coder.codes(sample)
@@ -101,53 +108,106 @@ def learned_radius(coder: BinaryCoder, sample: np.ndarray, k: int, coverage: flo
     return int(np.quantile(np.concatenate(found), coverage)) if found and len(sample) > 1 else 8 * codes.shape[1]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 64, sample_rows: int = 10_000, coverage: float = 0.97, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def _coded(rows: DataFrame, coder: BinaryCoder, radius: int | None) -> DataFrame:
+    """``n`` and ``v`` of ``rows`` with its code as longs ``c0``, ``c1``, ... and ``keys``: its own
+    (substring, value) names or, with a radius, those it probes."""
+    shared = rows.sparkSession.sparkContext.broadcast(coder)  # dimensions x bits numbers
+    substrings = len(coder.codes(coder.mean[None])[0])
+    longs = -(-substrings * SUBSTRING_BITS // LONG_BITS)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            if not len(x):
+                continue
+            codes = shared.value.codes(x)
+            wide = np.zeros((len(x), longs * LONG_BITS // 8), np.uint8)
+            wide[:, :substrings] = codes
+            own = np.arange(substrings, dtype=np.int32) * 256
+            keys = [own + code for code in codes] if radius is None else probed_keys(codes, radius)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in np.ascontiguousarray(wide.view("<i8").T)), pa.array(keys, pa.list_(pa.int32()))], names=["n", "v", *(f"c{i}" for i in range(longs)), "keys"])
+
+    kind = rows.schema["n"].dataType.simpleString()
+    return rows.select("n", "v").mapInArrow(task, f"n {kind}, v array<double>, {', '.join(f'c{i} bigint' for i in range(longs))}, keys array<int>")
+
+
+def _within(entries: DataFrame, asked: DataFrame, radius: int, substrings: int) -> DataFrame:
+    """(q, e) for all codes of ``entries`` within the radius of a code of ``asked``, each pair once."""
+    longs = -(-substrings * SUBSTRING_BITS // LONG_BITS)
+    table = entries.select(F.col("n").alias("e"), *(F.col(f"c{i}") for i in range(longs)), F.explode("keys").alias("key"))
+    probe = asked.select(F.col("n").alias("q"), *(F.col(f"c{i}").alias(f"d{i}") for i in range(longs)), F.explode("keys").alias("probe"))
+    apart = [F.col(f"c{i}").bitwiseXOR(F.col(f"d{i}")) for i in range(longs)]
+    distance = reduce(lambda a, b: a + b, [F.bit_count(x) for x in apart])
+    per_long = LONG_BITS // SUBSTRING_BITS
+    first = F.lit(-1)
+    for j, allowed in reversed(list(enumerate(allowances(radius, substrings)))):
+        bits = F.bit_count(F.shiftrightunsigned(apart[j // per_long], SUBSTRING_BITS * (j % per_long)).bitwiseAND(F.lit(255).cast("long")))
+        first = F.when(bits <= allowed, F.lit(j)).otherwise(first)
+    met = table.join(probe, (F.col("key") == F.col("probe")) & (distance <= radius) & (F.shiftright("key", SUBSTRING_BITS) == first))
+    return met.select("q", "e")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, sample_rows: int = 10_000, coverage: float = 0.97, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """The k nearest found of each row for which ``is_query`` (over ``id_col``) holds:
-    ``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance)."""
+    ``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance) and ``scanned``."""
     spark = vectors.sparkSession
     prepare(spark)
     id_kind = vectors.schema[id_col].dataType.simpleString()
-    empty = f"query_id {id_kind}, rank int, vec_id {id_kind}, score double"
     as_double = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = as_double.where(sound).withColumn("q", F.coalesce("q", F.lit(False)))
     width = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if width is None:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double, scanned boolean")
     usable = usable.where(F.size("v") == width["n"])
-    # One entry for each vector. Window group limits keep k + 1 rows of a vector before they are dealt out.
+    # One entry for each vector. Repeats are combined before they are dealt out, and window group limits keep
+    # k + 1 ids of a vector in every task.
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    entries = usable.select("id", "v").withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    entries = staged(entries, "nearest-entries")
-    sample_of = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample_rows)
-    sample = np.array([r["v"] for r in sample_of.collect()])
-    coder = BinaryCoder(sample, min(bits, width["n"]))
+    entries = usable.select("id", "v").distinct().withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = staged(entries.withColumn("n", F.monotonically_increasing_id()), "nearest-entries")
+    asked = staged(usable.where("q").groupBy(F.col("id").alias("n")).agg(F.min("v").alias("v")), "nearest-queries")
+    total = entries.count()
+    # About sample_rows vectors with the smallest hashes: a threshold, so no task gathers the others'.
+    cut = int(min(1.0, sample_rows / total) * (1 << 30))
+    drawn = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < cut).select("v").limit(2 * sample_rows).collect()
+    drawn = drawn or entries.select("v").limit(sample_rows).collect()
+    sample = np.array(sorted(r["v"] for r in drawn))
+    coder = BinaryCoder(sample, bits)
     radius = learned_radius(coder, sample, k, coverage)
-    blocks = max(1, -(-entries.count() // block_rows))
-    asked = usable.where("q").select("id", "v")
-    query_blocks = max(1, -(-asked.count() // query_rows))
-    # Every entry meets every block of queries, and every query every block of entries.
-    pairs_e = entries.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("s"), F.lit(False).alias("q"), F.col("ids"), "v")
-    pairs_q = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("s"), F.lit(True).alias("q"), F.array("id").alias("ids"), "v")
+    substrings = -(-bits // SUBSTRING_BITS)
+    pairs = _within(_coded(entries, coder, None), _coded(asked, coder, radius), radius, substrings)
+    near = pairs.join(entries, F.col("e") == F.col("n")).select("q", "ids", F.col("v").alias("x")).join(asked, F.col("q") == F.col("n"))
+    square = F.aggregate(F.zip_with("x", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    found = near.select("q", F.sqrt(square).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> q")
+    order = Window.partitionBy("q").orderBy("score", "vec_id")
+    ranked = staged(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest-found")
+    full = ranked.groupBy("q").agg(F.max("rank").alias("last")).where(F.col("last") == k).select("q")
+    rest = staged(asked.join(full, F.col("n") == F.col("q"), "left_anti"), "nearest-rest")
+    out = ranked.join(rest, F.col("q") == F.col("n"), "left_anti").select(F.col("q").alias("query_id"), "rank", "vec_id", "score", F.lit(False).alias("scanned"))
+    few = rest.count()
+    if not few:
+        return out
+    return out.unionByName(_scanned(entries, rest, k, -(-total // block_rows), -(-few // query_rows), id_kind))
+
+
+def _scanned(entries: DataFrame, rest: DataFrame, k: int, blocks: int, query_blocks: int, id_kind: str) -> DataFrame:
+    """The exact answer of queries with too few rows within the radius: blocks of entries meet blocks of queries."""
+    turn = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    of_entries = entries.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("b"), turn(query_blocks).alias("s"), F.lit(False).alias("q"), "ids", "v")
+    of_queries = rest.select(turn(blocks).alias("b"), F.pmod(F.xxhash64("n"), F.lit(query_blocks)).alias("s"), F.lit(True).alias("q"), F.array("n").alias("ids"), "v")
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         e, q = rows[~rows["q"]], rows[rows["q"]]
         out: list[tuple] = []
         if len(e) and len(q):
             x, ids = np.stack(e["v"].to_list()), e["ids"].to_list()
-            index = MultiIndex(coder.codes(x))
-            y = np.stack(q["v"].to_list())
-            for own, v, code in zip(q["ids"], y, coder.codes(y), strict=True):
-                hit = index.within(code, radius)
-                if len(hit) < k + 1:
-                    hit = np.arange(len(x))
-                d = np.sqrt(((x[hit] - v) ** 2).sum(1))
+            for own, v in zip(q["ids"], q["v"], strict=True):
+                d = np.sqrt(((x - v) ** 2).sum(1))
                 near = np.argsort(d, kind="stable")
                 near = near[d[near] <= d[near[min(k, len(near) - 1)]]]
-                best = sorted((d[j], i) for j in near for i in ids[hit[j]] if i != own[0])[:k]
-                out += [(own[0], i, s) for s, i in best]
+                out += [(own[0], i, s) for s, i in sorted((d[j], i) for j in near for i in ids[j] if i != own[0])[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = pairs_e.unionByName(pairs_q).groupBy("b", "s").applyInPandas(search, f"query_id {id_kind}, vec_id {id_kind}, score double")
+    found = of_entries.unionByName(of_queries).groupBy("b", "s").applyInPandas(search, f"query_id {id_kind}, vec_id {id_kind}, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(True).alias("scanned"))

@@ -1,39 +1,74 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm.nearest import BinaryCoder, MultiIndex, hamming, nearest
+from rankloom.llm.nearest import BinaryCoder, allowances, hamming, nearest, probed_keys
 
 
 def test_probing_retrieves_every_code_within_the_radius():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 256, size=(400, 4), dtype=np.uint8)
     codes[:200] &= 0x0F
-    index = MultiIndex(codes)
+    own = np.arange(4) * 256 + codes
     for radius in (0, 3, 5, 9, 14, 32):
-        for c in codes[:20]:
-            assert index.within(c, radius).tolist() == np.flatnonzero(hamming(codes, c) <= radius).tolist()
+        for c, keys in zip(codes[:20], probed_keys(codes[:20], radius), strict=True):
+            hit = np.isin(own, keys).any(1)
+            assert hit[hamming(codes, c) <= radius].all()
+            # Each substring is probed within its own allowance, and no further.
+            apart = hamming(codes[:, :, None], c[None, :, None])
+            assert (np.isin(own, keys) == (apart <= np.array(allowances(radius, 4)))).all()
+
+
+def brute(rows, k=10):
+    """(query, rank) -> (vec_id, distance) over distinct (id, vector) rows; a query asks with its smallest vector."""
+    usable = sorted({(i, tuple(map(float, v))) for i, v in rows})
+    asked = {}
+    for i, v in usable:
+        if i % 100 == 0:
+            asked.setdefault(i, v)
+    x, ids = np.array([v for _, v in usable]), np.array([i for i, _ in usable])
+    out = {}
+    for q, v in asked.items():
+        d = np.sqrt(((x - np.array(v)) ** 2).sum(1))
+        for rank, (s, i) in enumerate(sorted((s, i) for s, i in zip(d.tolist(), ids.tolist(), strict=True) if i != q)[:k], 1):
+            out[q, rank] = (i, s)
+    return out
 
 
 def test_recall_and_order(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     x[1000:] = x[3]  # a very common vector
-    rows = [(int(i), v.tolist(), 0) for i, v in enumerate(x)]
-    bad = [(2000, None, 0), (2100, [0.0] * 16, 0), (2200, [float("nan")] * 16, 0), (2300, [None] * 16, 0), (2400, [1.0], 0), (None, [1.0] * 16, 0), (2500, [float("inf")] * 16, 0)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rank int")
-    got = nearest(df, F.col("vec_id") % 100 == 0, block_rows=300, query_rows=6).collect()
-    z = x.astype(float)
-    hits, queries = 0, range(0, 1500, 100)
-    for q in queries:
-        d = np.sqrt(((z - z[q]) ** 2).sum(1))
-        want = [i for _, i in sorted((d[i], i) for i in range(1500) if i != q)[:10]]
-        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert [r for r, *_ in mine] == list(range(1, 11))
-        assert all(abs(s - d[i]) < 1e-9 for _, i, s in mine)
-        assert [(s, i) for _, i, s in mine] == sorted((s, i) for _, i, s in mine)
-        hits += len({i for _, i, _ in mine} & set(want))
-    assert {r.query_id for r in got} == set(queries)
-    assert hits / (10 * len(queries)) >= 0.9
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    rows += rows[:1] * 3 + rows[100:101]  # repeated queries
+    rows += [(6001, x[5].tolist())] + [(5, x[5].tolist())] * 20  # copies of one row don't push out another id
+    rows += [(200, x[7].tolist())]  # an id with two vectors
+    bad = [(2000, None), (2100, [0.0] * 16), (2200, [float("nan")] * 16), (2300, [None] * 16), (2400, [1.0]), (None, [1.0] * 16), (2500, [float("inf")] * 16)]
+    df = spark.createDataFrame([(*r, 0) for r in rows + bad], "vec_id long, embedding array<float>, rank int")
+    got = nearest(df, F.col("vec_id") % 100 == 0).collect()
+    want = brute(rows)
+    mine = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
+    assert len(mine) == len(got) and set(mine) == set(want)
+    exact = {(i, round(s, 9), q) for (q, _), (i, s) in want.items()}
+    assert sum((i, round(s, 9), q) in exact for (q, _), (i, s) in mine.items()) >= 0.9 * len(want)
+    for q in {q for q, _ in mine}:
+        order = [(mine[q, r][1], mine[q, r][0]) for r in range(1, 11)]
+        assert order == sorted(order)
+
+
+@pytest.mark.parametrize("coverage", [0.0, 1.0])
+def test_queries_short_of_neighbours_are_scanned(spark, coverage):
+    """With radius 0 nearly all queries are scanned, with the widest none; both give the exact answer."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(400, 8)), 2))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") % 100 == 0, coverage=coverage, bits=64, block_rows=150, query_rows=3).collect()
+    if coverage:
+        assert sum(r.scanned for r in got) < len(got)
+    else:
+        assert all(r.scanned for r in got)
+        want = brute(rows)
+        assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {k: i for k, (i, _) in want.items()}
 
 
 def test_few_rows_and_none(spark):
@@ -43,6 +78,9 @@ def test_few_rows_and_none(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
 
 
-def test_codes_are_signs_of_the_rotation():
+def test_codes_are_signs_of_rotations():
     x = np.random.default_rng(2).normal(size=(50, 8))
     assert BinaryCoder(x, 8).codes(x).shape == (50, 1)
+    wide = BinaryCoder(x, 20)
+    assert wide.turn.shape == (8, 20) and wide.codes(x).shape == (50, 3)
+    assert np.allclose(wide.turn[:, :8].T @ wide.turn[:, :8], np.eye(8))
