@@ -2,14 +2,17 @@
 
 A text is its words (split at white space, A to Z lower-cased) and one end. A word is
 spelled by the vocabulary's pieces, its first piece carrying the word mark, with single
-bytes as a fallback, so every text has a probability. Piece weights start from the
-vocabulary's own scores and are re-estimated by one round of expectation-maximisation
-on all training words seen once, which stand for the words to come. The forward
-recursion in log space sums over all segmentations.
-A word's probability mixes that marginal with the word's own training frequency; the
-share of the marginal is the training tokens' share of words seen once, which estimates
-how much of new text is new words. Piece weights sum to one, as do word frequencies, so
-texts' probabilities sum to at most one.
+bytes as a fallback, so every text has a probability. The forward recursion in log space sums
+over all segmentations, and a text's ``score`` is the sum of its words' marginals and its
+end. Piece weights sum to one, so texts' probabilities sum to at most one.
+
+Piece weights start from the vocabulary's own scores. A vocabulary of byte pairs has ranks for
+scores and not log probabilities; a rank r counts as 1 / (r + 2.7). One round of
+expectation-maximisation over all training words, by their counts, then learns the weights
+from the corpus through the same lattice: expected uses of each piece over all segmentations.
+
+``mixed_score`` is a second figure beside it: each word's marginal mixed with the word's own
+training frequency, the share of the marginal being that of training tokens seen once.
 
 As Spark: tasks count their words with a hash table, Spark sums the counts of all
 documents, lattice scores are computed once for each distinct word, and only the
@@ -19,8 +22,8 @@ summed by document. Frequent words thus never meet in one task.
 
 Edge cases: a null text is empty, its only token is the end; null and repeated ids are
 kept, each row is scored on its own; without training rows all counts are 0 and the
-marginal alone is used, with the vocabulary's weights; very long words take linear
-time; an empty table gives no rows; other columns are ignored.
+vocabulary's weights stay as they are; very long words and texts are scored whole, in
+linear time; repeated words count each time; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,7 +162,7 @@ def count_words(docs: DataFrame, training: Column, text_col: str = "text") -> Da
 
 
 def reestimated(lattice: PieceLattice, counts: DataFrame, end: float) -> PieceLattice:
-    """One round of expectation-maximisation on the words seen once, each by its task; at most a row for each piece comes back."""
+    """One round of expectation-maximisation on all training words by their counts; at most a row for each piece comes back from a task."""
     shared = counts.sparkSession.sparkContext.broadcast(lattice)  # the vocabulary file's size
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +170,13 @@ def reestimated(lattice: PieceLattice, counts: DataFrame, end: float) -> PieceLa
         pieces: dict[bytes, float] = {}
         single = np.zeros(256)
         for batch in sliced(batches):
-            for w in batch.column(0).to_pylist():
-                model.expected(w, 1.0, pieces, single)
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                model.expected(w, c, pieces, single)
         used = np.flatnonzero(single)
         keys = [*pieces, *(bytes([0, b]) for b in used.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([*pieces.values(), *single[used].tolist()], pa.float64())], names=["p", "n"])
 
-    rows = counts.where("c = 1").select("word").mapInArrow(task, "p binary, n double").groupBy("p").agg(F.sum("n").alias("n")).collect()
+    rows = counts.where("c > 0").select("word", "c").mapInArrow(task, "p binary, n double").groupBy("p").agg(F.sum("n").alias("n")).collect()
     found, single = dict.fromkeys(lattice.weights, 0.01), np.full(256, 0.1)
     for r in rows:
         p = bytes(r["p"])
@@ -184,9 +187,24 @@ def reestimated(lattice: PieceLattice, counts: DataFrame, end: float) -> PieceLa
     return PieceLattice.of_counts(found, single, end)
 
 
+def _frequent(scored: DataFrame) -> pa.Table:
+    """The most frequent words, at most ``FREQUENT``: all whose count reaches a threshold taken from a
+    histogram of counts (16 bins an octave), so nothing is sorted or gathered to find them."""
+    level = F.when(F.col("c") > 0, F.floor(F.log2("c") * 16)).otherwise(F.lit(-1)).cast("int")
+    histogram = scored.groupBy(level.alias("bin")).count().collect()
+    taken, least = 0, None
+    for r in sorted(histogram, key=lambda r: -r["bin"]):
+        taken += r["count"]
+        if taken > FREQUENT:
+            break
+        least = r["bin"]
+    return scored.where(F.lit(False) if least is None else level >= least).toArrow()
+
+
 def score_documents(docs: DataFrame, training: Column, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``training``, ``n_tokens``, ``n_known``,
-    ``train_tokens``, ``base_score`` (add-one word frequencies) and ``score``, both log10."""
+    ``train_tokens``, ``base_score`` (add-one word frequencies), ``score`` (the lattice) and
+    ``mixed_score``, all log10."""
     spark = docs.sparkSession
     prepare(spark)
     counts = count_words(docs, training, text_col)
@@ -194,30 +212,28 @@ def score_documents(docs: DataFrame, training: Column, model_path: str, id_col:
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     total, distinct = stats["n"] + ends, stats["v"] + (1 if ends else 0)
     lattice = PieceLattice.of_model(model_path)
-    if stats["once"]:
-        lattice = reestimated(lattice, counts, 0.05 * stats["once"])
+    if ends:
+        lattice = reestimated(lattice, counts, float(ends))
     new = min(0.5, max(0.001, stats["once"] / total)) if total else 1.0
     shared = spark.sparkContext.broadcast(lattice)
 
-    def logs(c, marginal):
-        """log10 of the base and of the mixture."""
-        own = (1 - new) * c / total if total else 0.0
-        return np.log10((c + 1.0) / (total + distinct + 1)), np.logaddexp(np.log(np.maximum(own, 1e-300)) + np.where(c > 0, 0.0, -1e300), np.log(new) + marginal) / LN10
+    def logs(c, marginal) -> np.ndarray:
+        """log10 of the base, the lattice and the mixture."""
+        own = (1 - new) * c / total if total else 0.0 * c
+        mixed = np.logaddexp(np.log(np.maximum(own, 1e-300)) + np.where(c > 0, 0.0, -1e300), np.log(new) + marginal)
+        return np.stack([np.log10((c + 1.0) / (total + distinct + 1)), marginal / LN10, mixed / LN10], -1)
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marginal = shared.value.marginal
-        for batch in sliced(batches):
-            c = batch.column(1).to_numpy(zero_copy_only=False)
-            base, mixed = logs(c, np.array([marginal(w) for w in batch.column(0).to_pylist()], float))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(mixed)], names=["word", "c", "base", "mixed"])
+        for batch in batches:
+            found = logs(batch.column(1).to_numpy(zero_copy_only=False), np.array([marginal(w) for w in batch.column(0).to_pylist()], float))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, np.ascontiguousarray(found.T))], names=["word", "c", "base", "own", "mixed"])
 
-    scored = staged(counts.select("word", "c").mapInArrow(marginals, "word binary, c bigint, base double, mixed double"), "lattice-scored")
-    # A table of FREQUENT rows at most, whatever the corpus.
-    common = scored.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    scored = staged(counts.select("word", "c").mapInArrow(marginals, "word binary, c bigint, base double, own double, mixed double"), "lattice-scored")
+    common = _frequent(scored)
     place = {w: k for k, w in enumerate(common["word"].to_pylist())}
-    known = common["c"].to_numpy() > 0
-    columns = np.stack([common["base"].to_numpy(), common["mixed"].to_numpy(), known.astype(float)], 1)
-    end_base, end_mixed = (float(x) for x in logs(np.float64(ends), np.float64(lattice.end)))
+    columns = np.stack([common[x].to_numpy() for x in ("base", "own", "mixed")] + [(common["c"].to_numpy() > 0).astype(float)], 1)
+    of_end = [float(x) for x in logs(np.float64(ends), np.float64(lattice.end))]
     frequent = spark.sparkContext.broadcast((place, columns))
     rows = docs.select(docs[id_col].alias("_id"), training.alias("_k"), docs[text_col].cast("string").alias("_t"))
     kind = rows.schema["_id"].dataType.simpleString()
@@ -228,7 +244,7 @@ def score_documents(docs: DataFrame, training: Column, model_path: str, id_col:
         row = TaskContext.get().partitionId() << 40
         kinds = None
         for batch in sliced(batches):
-            kinds = kinds or (pa.int64(), pa.binary(), pa.int64(), batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            kinds = kinds or (pa.int64(), pa.binary(), pa.int64(), batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             out: list[list] = [[] for _ in kinds]
             for doc_id, train, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen = Counter(words(text))
@@ -240,9 +256,9 @@ def score_documents(docs: DataFrame, training: Column, model_path: str, id_col:
                     else:
                         at.append(k)
                         uses.append(n)
-                sums = np.array(uses, float) @ columns[at] if at else np.zeros(3)
+                sums = np.array(uses, float) @ columns[at] if at else np.zeros(4)
                 # A blank never is in a word: this key matches no word and is the document's own.
-                first = (row, b" %d" % row, 0, doc_id, bool(train), sum(seen.values()) + 1, int(sums[2]) + (1 if ends else 0), float(sums[0]) + end_base, float(sums[1]) + end_mixed)
+                first = (row, b" %d" % row, 0, doc_id, bool(train), sum(seen.values()) + 1, int(sums[3]) + (1 if ends else 0), *(float(a) + b for a, b in zip(sums, of_end, strict=False)))
                 for col, x in zip(out, first, strict=True):
                     col.append(x)
                 out[0] += [row] * len(rare)
@@ -251,16 +267,18 @@ def score_documents(docs: DataFrame, training: Column, model_path: str, id_col:
                 for col in out[3:]:
                     col += [None] * len(rare)
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["row", "word", "n", "id", "train", "tokens", "known", "b", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["row", "word", "n", "id", "train", "tokens", "known", "b", "s", "m"])
 
-    parts = rows.mapInArrow(partial, f"row bigint, word binary, n bigint, id {kind}, train boolean, tokens bigint, known bigint, b double, s double")
+    parts = rows.mapInArrow(partial, f"row bigint, word binary, n bigint, id {kind}, train boolean, tokens bigint, known bigint, b double, s double, m double")
     met = parts.join(scored.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
+    summed = lambda own, rare: F.sum(F.coalesce(own, F.col("n") * F.col(rare)))
     sums = met.groupBy("row").agg(
         F.max("id").alias("id"),
         F.max("train").alias("train"),
         F.max("tokens").alias("n_tokens"),
         F.sum(F.coalesce("known", F.when(F.col("c") > 0, F.col("n")).otherwise(F.lit(0)))).alias("n_known"),
-        F.sum(F.coalesce("b", F.col("n") * F.col("base"))).alias("base_score"),
-        F.sum(F.coalesce("s", F.col("n") * F.col("mixed"))).alias("score"),
+        summed("b", "base").alias("base_score"),
+        summed("s", "own").alias("score"),
+        summed("m", "mixed").alias("mixed_score"),
     )
-    return sums.select(F.col("id").alias(id_col), F.col("train").alias("training"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select(F.col("id").alias(id_col), F.col("train").alias("training"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "mixed_score")

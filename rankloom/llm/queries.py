@@ -59,7 +59,7 @@ def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.lattice import score_documents
 
     scored = score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, vocabulary("piece_bpe_32k.model"))
-    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,10 +68,64 @@ def test_scores_against_brute_force(spark, monkeypatch, frequent):
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) + math.log10((len(train) + 1) / (n + v + 1))
         want.append((str(i), len(ws) + 1, known, n, round(base, 6)))
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    by = {(str(r.doc_id), r.n_tokens): r.score for r in got}
-    once = sum(x == 1 for x in c.values())
-    assert by["1", 5] < by["7", 3] and once
+    assert all(0 > r.score and math.isfinite(r.score) and math.isfinite(r.mixed_score) for r in got)
+
+
+def segmentations(w):
+    """Every way to cut a marked word, as lists of parts."""
+    w = MARK + w
+    for cuts_ in product((False, True), repeat=len(w) - 1):
+        at = [0, *(i for i, cut in enumerate(cuts_, 1) if cut), len(w)]
+        yield [w[a:b] for a, b in zip(at, at[1:])]
+
+
+@pytest.mark.parametrize("frequent", [1, 150_000])
+def test_lattice_scores_against_brute_force(spark, monkeypatch, frequent):
+    """The learned weights and the scores, with every segmentation written out."""
+    monkeypatch.setattr(lattice, "FREQUENT", frequent)
+    texts = ["the cat sat", "a cat ran É", None, "the dog", "zq the", "cat cat", "sun", "tin can"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in score_documents(docs, fold("doc_id", 7) != 2, PATH).collect()}
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    start = PieceLattice.of_model(PATH)
+    uses, single = dict.fromkeys(start.weights, 0.01), np.full(256, 0.1)
+    for w, n in Counter(w for t in train for w in words(t)).items():
+        ways = []
+        for parts in segmentations(w):
+            # A one-byte part is a piece or the byte itself: two ways.
+            options = [[(x, start.weights.get(x))] + ([(x[0], start.single[x[0]])] if len(x) == 1 else []) for x in parts]
+            ways += [(way, math.exp(sum(p for _, p in way))) for way in product(*options) if all(p is not None for _, p in way)]
+        whole = sum(p for _, p in ways)
+        for way, p in ways:
+            for x, _ in way:
+                if isinstance(x, int):
+                    single[x] += n * p / whole
+                else:
+                    uses[x] += n * p / whole
+    mass = sum(uses.values()) + single.sum() + len(train)
+    for i, t in enumerate(texts):
+        want = math.log10(len(train) / mass)
+        for w in words(t):
+            p = 0.0
+            for parts in segmentations(w):
+                p += math.prod(uses.get(x, 0) / mass + (single[x[0]] / mass if len(x) == 1 else 0) for x in parts)
+            want += math.log10(p)
+        assert math.isclose(got[i].score, want, rel_tol=1e-6), (i, t)
+    # The mixture: the same marginal with the word's own frequency.
+    c = Counter(w for t in train for w in words(t))
+    total, once = sum(c.values()) + len(train), sum(n == 1 for n in c.values())
+    new = min(0.5, max(0.001, once / total))
+    alone = got[6].score - math.log10(len(train) / mass)
+    want = math.log10((1 - new) * c[b"sun"] / total + new * 10**alone) + math.log10((1 - new) * len(train) / total + new * len(train) / mass)
+    assert math.isclose(got[6].mixed_score, want, rel_tol=1e-6)
+
+
+def test_frequent_words_are_those_above_a_threshold(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "FREQUENT", 5)
+    rows = spark.createDataFrame([(f"w{k}".encode(), n) for k, n in enumerate([0, 0, 1, 1, 1, 2, 2, 40, 41, 900])], "word binary, c long")
+    assert sorted(lattice._frequent(rows)["c"].to_pylist()) == [2, 2, 40, 41, 900]
+    monkeypatch.setattr(lattice, "FREQUENT", 0)
+    assert lattice._frequent(rows).num_rows == 0
 
 
 def test_empty_and_untrained(spark):
