@@ -3,24 +3,25 @@ r"""Chat formatting in budgeted windows.
 A turn is written ``<|im_start|>role\ntext<|im_end|>\n``. Inside texts and roles a
 backslash becomes ``\\`` and ``<|`` becomes ``<\|``, inside roles a line feed becomes
 ``\n`` in letters, so no text can open or close a turn and every text is read back
-unchanged. Prefix sums of the turns' tokens choose turn-aligned windows within the
+unchanged. Prefix sums of the turns' tokens, counted on the turns as they are written
+(marks and escapes included; turns end in white space, so the counts add up), choose turn-aligned windows within the
 budget: each window repeats the system turn and up to ``history`` tokens of the turns
 before it, then takes new turns while they fit. Only assistant texts among the new
 turns are under the loss mask, so repeated targets are masked and each target counts
-once. A turn over the budget gets a window of its own, whole.
+once. A turn over the budget gets a window of its own, whole, with the system turn.
 
 Rows are dealt by conversation and sorted by turn (then role, then text); a task reads
 them as a stream and holds one conversation's open window and history only.
 
 Edge cases: a null text or role is empty; a null conversation id is a conversation of
 its own; repeated (conversation, turn) rows all stay; a system turn later than the
-first row is a normal turn; an empty table gives no rows; other columns are ignored.
+first row is a normal turn; very long texts stay whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,30 +72,32 @@ class _Conversation:
 
     def __init__(self, conv_id, budget: int, history: int):
         self.id, self.budget, self.history = conv_id, budget, history
-        self.system: tuple | None = None
+        self.system: tuple | None = None  # a turn: as written, where its text lies, tokens, whether it is a target
         self.recent: list[tuple] = []  # turns that a next window may repeat
         self.new: list[tuple] = []
         self.head: list[tuple] = []  # repeated turns of the open window
         self.used = 0
         self.windows = 0
 
-    def add(self, role: str, text: str, tokens: int) -> list[tuple]:
-        """Takes a turn; gives the windows that this closes."""
+    def add(self, role: str, text: str, count: Callable[[str], int]) -> list[tuple]:
+        """Takes a turn; gives the windows that this closes. ``count`` gives the tokens of written text."""
         closed = []
-        turn = (role, text, tokens)
+        whole, start, end = rendered(role, text)
+        tokens = count(whole)
+        turn = (whole, start, end, tokens, role == "assistant")
         if self.new and self.used + tokens > self.budget:
             closed.append(self.close())
             self.head = [self.system] if self.system and self.system is not turn else []
-            room = max(0, min(self.history, self.budget - tokens - sum(t[2] for t in self.head)))
+            room = max(0, min(self.history, self.budget - tokens - sum(t[3] for t in self.head)))
             # Prefix sums from the newest turn back: the longest whole-turn history that fits.
             repeated, total = [], 0
             for t in reversed(self.recent):
-                if t is self.system or total + t[2] > room:
+                if t is self.system or total + t[3] > room:
                     break
-                total += t[2]
+                total += t[3]
                 repeated.append(t)
             self.head += repeated[::-1]
-            self.used = sum(t[2] for t in self.head)
+            self.used = sum(t[3] for t in self.head)
         if role == "system" and not self.windows and not self.new:
             self.system = turn
         self.new.append(turn)
@@ -102,7 +105,7 @@ class _Conversation:
         self.recent.append(turn)
         kept = 0
         for k in range(len(self.recent) - 1, -1, -1):
-            kept += self.recent[k][2]
+            kept += self.recent[k][3]
             if kept > self.history and k:
                 del self.recent[:k]
                 break
@@ -110,9 +113,8 @@ class _Conversation:
 
     def close(self) -> tuple:
         parts, starts, ends, at = [], [], [], 0
-        for k, (role, text, _) in enumerate([*self.head, *self.new]):
-            whole, a, b = rendered(role, text)
-            if k >= len(self.head) and role == "assistant":
+        for k, (whole, a, b, _, target) in enumerate([*self.head, *self.new]):
+            if k >= len(self.head) and target:
                 starts.append(at + a)
                 ends.append(at + b)
             parts.append(whole)
@@ -151,7 +153,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, budget: int = 10
                     if open_ is not None:
                         found.append(open_.close())
                     open_ = _Conversation(conv, budget, history)
-                found += open_.add(role, text, encode.count(text) + encode.count(role) + 3)
+                found += open_.add(role, text, encode.count)
             yield out(found)
         if open_ is not None:
             yield out([open_.close()])
@@ -162,12 +164,13 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, budget: int = 10
 def read_back(windows: DataFrame) -> DataFrame:
     """Digests of each conversation, from the formatted windows alone.
 
-    Takes the rows of ``format_conversations`` as they lie (a conversation's windows
-    together and in order) and streams them: ``conv_id``, ``n_turns``,
+    Takes the rows of ``format_conversations`` in any order, deals them by conversation, sorts
+    them by window and streams them: ``conv_id``, ``n_turns``,
     ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``, ``n_windows``.
     """
     id_kind = windows.schema["conv_id"].dataType.simpleString()
-    rows = windows.select("conv_id", "text", "n_repeated", "loss_starts", "loss_ends")
+    dealt = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    rows = dealt.select("conv_id", "text", "n_repeated", "loss_starts", "loss_ends")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state, kind = None, None, pa.int64()

@@ -10,8 +10,8 @@ elected rows (at most ``salts`` for each hot text) are compared again.
 
 The row with the most code points in its original text stays, of those the one
 with the smallest id (null ids last). Edge cases: a null text is empty, so all empty
-and blank texts are one group; of wholly equal rows exactly one stays; an empty
-table gives no rows; other columns pass through, with these columns added:
+and blank texts are one group; of wholly equal rows exactly one stays; very long texts are
+compared whole; an empty table gives no rows; other columns pass through, with these columns added:
 ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` (replaced if present).
 """
 
@@ -23,8 +23,9 @@ from pyspark.sql.window import Window
 
 from rankloom.llm.common import SPACE_CLASS, carried, restored
 
-#: Texts treated as hot: at most the 256 most frequent of the sample, each seen this often.
-HOT_TEXTS, HOT_SEEN = 256, 4
+#: Texts treated as hot: at most the 2048 most frequent of the sample, each seen this often. Any other
+#: text thus holds less than one row in 2048, which one task sorts, spilling if need be.
+HOT_TEXTS, HOT_SEEN = 2048, 4
 SAMPLE = 0.01
 
 

@@ -13,8 +13,10 @@ softmax of the negated losses, and ``ambiguous`` flags a runner-up within ``gap`
 
 Edge cases: a text that is null or holds no letter is ``und`` with score 0; training
 rows with a null language, null text or no letter teach nothing; without any training row
-every text is ``und``; with one language all texts with letters get it; an empty
-table gives no rows; other columns are ignored.
+every text is ``und``; with one language all texts with letters get it; of equally near
+codewords the first language in order wins and the text is ambiguous; very long texts are
+counted whole; repeated rows count each time; an empty table gives no rows; other columns are
+ignored, and kept ones named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ FEATURES = 1 << 14
 EFFECTIVE_GRAMS = 48
 #: Languages beyond this are refused: their counts would not fit the driver.
 MAX_LANGUAGES = 1024
+#: Columns of a prediction; a kept column of one of these names gives way.
+ADDED = ("lang_pred", "score", "ambiguous")
 
 _letters: list[np.ndarray] = []
 
@@ -124,21 +128,23 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", featu
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["l", "f", "n"])
 
     counted = rows.mapInArrow(task, "l string, f int, n bigint").groupBy("l", "f").agg(F.sum("n").alias("n"))
-    found = counted.groupBy("l").agg(F.collect_list(F.struct("f", "n")).alias("c")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
+    # Packed by language before it travels: at most languages x features x 12 bytes reach the driver.
+    packed = counted.groupBy("l").agg(F.collect_list(F.struct("f", "n")).alias("c")).select("l", F.col("c.f").alias("f"), F.col("c.n").alias("n"))
+    found = packed.limit(MAX_LANGUAGES + 1).toArrow().sort_by("l")
+    if found.num_rows > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not found:
+    if not found.num_rows:
         return None
-    found.sort(key=lambda r: r["l"])
-    counts = np.zeros((len(found), features))
-    for k, r in enumerate(found):
-        counts[k, [x["f"] for x in r["c"]]] = [x["n"] for x in r["c"]]
-    return CodedClassifiers([r["l"] for r in found], counts)
+    counts = np.zeros((found.num_rows, features))
+    for k in range(found.num_rows):
+        counts[k, found["f"][k].values.to_numpy()] = found["n"][k].values.to_numpy()
+    return CodedClassifiers(found["l"].to_pylist(), counts)
 
 
 def predict(docs: DataFrame, model: CodedClassifiers | None, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` with ``lang_pred``, ``score`` and ``ambiguous`` for every row."""
     prepare(docs.sparkSession)
+    keep = {name: c for name, c in keep.items() if name not in ADDED}
     rows = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(keep.values())), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("_t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features x bits numbers
     names, n = list(keep), len(keep)
@@ -150,7 +156,7 @@ def predict(docs: DataFrame, model: CodedClassifiers | None, keep: dict[str, Col
             lang, score, flag = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             at = [i for i, t in enumerate(texts) if t is not None] if m else []
             if at:
-                best, s, a = m.decode(np.stack([gram_counts(texts[i]) for i in at]).astype(np.float32))
+                best, s, a = m.decode(np.stack([gram_counts(texts[i], len(m.weights)) for i in at]).astype(np.float32))
                 score[at], flag[at] = s, a
                 for i, k in zip(at, best, strict=True):
                     lang[i] = m.languages[k]

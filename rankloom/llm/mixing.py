@@ -13,7 +13,7 @@ excess is shared again, which is a water level found in closed form: with source
 in order of cap over weight, the first level at or below its own source's ratio.
 
 Edge cases: a null text has no words; a null source is a source of its own; a source
-without words has target 0; rows without words take 0; equal ids share a key and are
+without words has target 0; rows without words take 0; very long texts are counted whole; equal ids share a key and are
 ordered by size, so reruns agree; an empty table gives no rows; other columns pass
 through, ``size``, ``source_size``, ``target`` and ``taken`` are replaced if present.
 """

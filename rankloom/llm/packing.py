@@ -9,7 +9,8 @@ ends, or holds ``max_open`` open windows, the emptiest open windows are cut up t
 fill the fullest, so at most one window of a task stays partially filled.
 
 Edge cases: a null text is empty and gives one piece of the end id; null or
-repeated ids are kept as they come, each row is a document; an empty table gives
+repeated ids are kept as they come, each row is a document; a text longer than a window fills
+whole windows; of levels that raise the sum alike the fullest is taken; an empty table gives
 no rows; other columns are ignored.
 """
 

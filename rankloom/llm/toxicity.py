@@ -8,8 +8,8 @@ trained in numpy with the non-negative risk estimator (Kiryo et al., 2017):
 
 where the prior is the toxic share of the labelled training rows. While the second
 part is negative, the step runs against it, which keeps the classifier from
-fitting the positives alone. The fit uses a bounded sample, documents in order of
-their id's hash: at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, as words
+fitting the positives alone. The fit uses a bounded sample, documents with the smallest
+hashes of their ids: about ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, as words
 with their counts. Scoring reads every whole text.
 
 A word counts by its presence, a beginning of ``SHORTEST`` to ``LONGEST`` characters by
@@ -18,8 +18,9 @@ different words of one beginning, and by chance any long text holds one of them.
 
 Edge cases: a null text is empty and scored by the bias alone; without positive
 training rows all scores are 0; repeated labels of an id count once, toxic if any
-says so; null labels and ids are ignored in training; an empty table gives no rows;
-other columns are ignored.
+says so; null labels and ids are ignored in training; repeated rows are scored alike, equal
+texts have equal scores; very long texts are scored whole; an empty table gives no rows; other
+columns are ignored, and a kept one named ``score`` gives way.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import sliced, prepare
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
+#: Bytes of a sampled text's packed words and counts; a text with more (about ten thousand different
+#: words) isn't in the sample. Both bounds hold for the fit only: scoring reads every whole text.
+MAX_PACKED = 1 << 16
 #: A word or beginning becomes a feature if at least MIN_TEXTS positive texts of the sample
 #: hold it and the means of its values over positive and unlabelled texts differ by MIN_Z
 #: standard errors, taken from the unlabelled texts, so that a rare language's words count too.
@@ -103,6 +107,21 @@ class Texts:
             yield dict(zip(held, np.frombuffer(counts, "<u4").tolist(), strict=True))
 
 
+def risk_parts(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """prior x R+(positives), and R-(unlabelled) - prior x R-(positives), of logistic losses of scores."""
+    return float(prior * np.logaddexp(0, -gp).mean()), float(np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean())
+
+
+def score_slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a step descends, by the scores of positives and of unlabelled texts: the sum of both
+    parts of the risk; while the second is negative, that part alone, turned round."""
+    sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+    rest_p, rest_u = -prior * sp / len(gp), su / len(gu)
+    if risk_parts(gp, gu, prior)[1] < 0:
+        return -rest_p, -rest_u
+    return prior * (sp - 1) / len(gp) + rest_p, rest_u
+
+
 class NonNegativePU:
     """Linear scores over the values of ``features``; ``weights`` has one for each."""
 
@@ -120,11 +139,8 @@ class NonNegativePU:
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, steps + 1):
             gp, gu = self._scores(wp, w) + b, self._scores(wu, w) + b
-            sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-            rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            # Slopes of the three risks in the scores; R- has slope sigmoid(g), R+ has sigmoid(g) - 1.
-            up, down_u, down_p = prior * (sp - 1) / len(gp), su / len(gu), prior * sp / len(gp)
-            slope = self._slope(wp, up - down_p) + self._slope(wu, down_u) if rest >= 0 else self._slope(wp, down_p) - self._slope(wu, down_u)
+            by_p, by_u = score_slopes(gp, gu, prior)
+            slope = self._slope(wp, by_p) + self._slope(wu, by_u)
             slope[:-1] += decay * w
             m = 0.9 * m + 0.1 * slope
             v = 0.999 * v + 0.001 * slope**2
@@ -163,8 +179,16 @@ class NonNegativePU:
         return float(1 / (1 + np.exp(-np.clip(g, -60, 60))))
 
 
+def _drawn(ids: DataFrame, total: int, bound: int) -> DataFrame:
+    """About ``bound`` of ``total`` ids, all if there are fewer: those with the smallest hashes, by a
+    threshold, so no task gathers the candidates of others."""
+    share = int(min(1.0, bound / max(total, 1)) * (1 << 30))
+    return ids.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share)
+
+
 def _sampled_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, bound: int) -> Texts:
-    """Word counts of the documents in ``ids`` (bounded, so it is broadcast); at most ``bound`` texts."""
+    """Word counts of the documents in ``ids`` (bounded, so it is broadcast); at most ``bound`` texts,
+    none of more than MAX_PACKED bytes of packed words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -174,7 +198,7 @@ def _sampled_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], names=["i", "w", "n"])
 
     picked = docs.select(docs[id_col].cast("string").alias("i"), docs[text_col].cast("string").alias("t")).join(F.broadcast(ids), "i", "left_semi")
-    rows = picked.mapInArrow(task, "i string, w binary, n binary").orderBy(F.xxhash64("i"), "i", "w", "n").limit(bound).collect()
+    rows = picked.mapInArrow(task, "i string, w binary, n binary").where(F.octet_length("w") + F.octet_length("n") <= MAX_PACKED).orderBy(F.xxhash64("i"), "i", "w", "n").limit(bound).collect()
     return Texts([(bytes(r["w"]), bytes(r["n"])) for r in rows])
 
 
@@ -186,9 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     if not total["p"]:
         return None
     prior = min(max(total["p"] / total["n"], 1e-3), 0.9)
-    first = (F.xxhash64("i"), "i")
-    toxic = known.where("y = 1").select("i").orderBy(*first).limit(MAX_POSITIVE)
-    drawn = docs.where(training).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i")).orderBy(*first).limit(MAX_UNLABELLED)
+    toxic = _drawn(known.where("y = 1").select("i"), total["p"], MAX_POSITIVE)
+    ids = docs.where(training).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"))
+    drawn = _drawn(ids, ids.count(), MAX_UNLABELLED).distinct()
     positive = _sampled_words(docs, toxic, id_col, text_col, MAX_POSITIVE)
     unlabelled = _sampled_words(docs, drawn, id_col, text_col, MAX_UNLABELLED)
     return NonNegativePU(positive, unlabelled, prior) if positive and unlabelled else None
@@ -197,6 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
 def score(docs: DataFrame, model: NonNegativePU | None, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` with ``score`` for every row."""
     prepare(docs.sparkSession)
+    keep = {name: c for name, c in keep.items() if name != "score"}
     rows = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(keep.values())), F.col(text_col).cast("string").alias("_t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of features of the bounded sample
     names, n = list(keep), len(keep)

@@ -3,6 +3,10 @@
 The vocabulary drops white space and never joins characters across it, so the ids
 of a text are the ids of its pieces between spaces. Most pieces repeat: their ids
 are kept as packed 16-bit bytes and a text becomes one ``join`` of cached bytes.
+
+Plain pieces take a direct path that knows one word pattern and lower case. When a file is
+loaded, the path is tried against the library on ``PROBES``; for a file that differs, every
+piece goes through the library.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
 
+#: Pieces on which the direct path must agree with the library.
+PROBES = ("it's", "I'LL", "don't!?", "x1y22z", "Straße", "ÉCOLE", "naïve,ça", "a.b-c_d", "(100%)", "'s's", "<|im_end|>", "http://a.b/c?d=1", "CamelCase99", "¿", "ÿÀ")
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a visible byte as itself, any other as the next free letter."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -43,9 +51,13 @@ class WordBpe(dict):
         self.model = self.full.model.tokenize
         self.words: dict[str, list[int]] = {}
         self.letters = _byte_letters()
+        self.plain = _PLAIN
+        if any(list(np.frombuffer(self[p], np.uint16)) != self.full.encode(p, add_special_tokens=False).ids for p in PROBES if _PLAIN(p)):
+            self.plain = lambda piece: None
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        if _PLAIN(piece):
+        if self.plain(piece):
             ids: list[int] = []
             for word in _WORDS(piece.lower()):
                 known = self.words.get(word)

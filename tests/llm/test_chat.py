@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from rankloom.llm.chat import _Conversation, escaped, format_conversations, read_back, turns_of, unescaped
 from rankloom.llm.queries import vocabulary
@@ -19,7 +20,7 @@ def test_escape_round_trip(text):
 @given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "a\nb"]), st.text(alphabet="<|\\ ab\n", max_size=9), st.integers(0, 9)), min_size=1, max_size=14))
 def test_windows_hold_every_turn_once(turns):
     c = _Conversation(1, 12, 5)
-    rows = [w for t in turns for w in c.add(*t)] + [c.close()]
+    rows = [w for role, text, n in turns for w in c.add(role, text, lambda _, n=n: n)] + [c.close()]
     back = [x for r in rows for x in turns_of(r[2])[r[3] :]]
     assert back == [(r, t) for r, t, _ in turns]
     assert [unescaped(r[2][a:b]) for r in rows for a, b in zip(r[6], r[7], strict=True)] == [t for r, t, _ in turns if r == "assistant"]
@@ -43,5 +44,23 @@ def test_digests_match_the_table(spark):
     assert got[7].n_windows > 1
 
 
+def test_windows_as_written_keep_the_budget(spark):
+    rows = [(1, i, ("system", "user", "assistant")[min(i, 1 + i % 2)], "<|a\\b|> " * (3 + i % 7) + f"word{i}") for i in range(40)]
+    windows = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), PATH, budget=300, history=80).collect()
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    assert len(windows) > 3 and any(r.n_repeated > 1 for r in windows)
+    for r in windows:
+        assert r.tokens == len(library.encode(r.text, add_special_tokens=False).ids)
+        assert r.tokens <= 300 or r.n_new == 1
+
+
+def test_windows_are_read_back_in_any_order(spark):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"{c} {i} " * 30) for c in range(5) for i in range(12)]
+    windows = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), PATH, budget=200, history=50)
+    mixed = spark.createDataFrame(sorted(windows.collect(), key=lambda r: hashlib.md5(r.text.encode()).hexdigest()), windows.schema)
+    assert sorted(read_back(mixed).collect()) == sorted(read_back(windows).collect())
+
+
 def test_empty(spark):
     assert read_back(format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), PATH)).count() == 0

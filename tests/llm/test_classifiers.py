@@ -1,4 +1,8 @@
+import math
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import language_id, toxicity
@@ -31,13 +35,123 @@ def test_codewords_are_apart():
         assert min(gaps) >= (1 if k < 3 else 2)
 
 
-def test_decoding_corrects_one_wrong_bit():
-    m = language_id.CodedClassifiers(list("abcd"), np.eye(4, 64) * 100 + 1)
-    for k in range(4):
-        margins = m.codes[k] * 3
-        margins[1] *= -1
-        loss = np.logaddexp(0, -m.codes * margins).sum(1)
-        assert loss.argmin() == k
+def test_decoding_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    m = language_id.CodedClassifiers(list("abcd"), rng.integers(1, 50, (4, 64)).astype(float))
+    counts = rng.integers(0, 4, (30, 64)).astype(float)
+    best, score, ambiguous = m.decode(counts, gap=0.7)
+    for row, k, s, flag in zip(counts, best, score, ambiguous, strict=True):
+        losses = []
+        for code in m.codes:
+            loss = 0.0
+            for bit, weights in zip(code, m.weights.T, strict=True):
+                margin = sum(c * w for c, w in zip(row, weights.astype(float), strict=True)) / row.sum() * min(row.sum(), language_id.EFFECTIVE_GRAMS)
+                loss += math.log(1 + math.exp(-bit * margin))
+            losses.append(loss)
+        assert losses[k] == min(losses)
+        assert math.isclose(s, math.exp(-losses[k]) / sum(math.exp(-x) for x in losses), rel_tol=1e-4)
+        first, second = sorted(losses)[:2]
+        assert flag == (second - first < 0.7)
+
+
+def test_decoding_corrects_a_wrong_bit():
+    m = language_id.CodedClassifiers(list("abcde"), np.ones((5, 64)))
+    for k in range(5):
+        for wrong in range(m.codes.shape[1]):
+            margins = m.codes[k] * 2.0
+            margins[wrong] *= -1
+            m.weights = np.diag(margins).astype(np.float32)
+            best, *_ = m.decode(np.full((1, len(margins)), language_id.EFFECTIVE_GRAMS / len(margins) * 1.0) * len(margins))
+            assert best[0] == k
+
+
+def test_equally_near_codewords_are_ambiguous():
+    m = language_id.CodedClassifiers(["a", "b"], np.ones((2, 64)))
+    best, score, ambiguous = m.decode(np.ones((1, 64)))
+    assert (best[0], round(score[0], 6), bool(ambiguous[0])) == (0, 0.5, True)
+
+
+def test_counts_and_weights_against_a_plain_version(spark):
+    rows = [(EN, "en"), (DE + " Straße!", "de"), (EN[:20], "en"), ("日本 x9", "ja"), (None, "en"), ("12", "de"), ("ohne", None)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"), features=512)
+    assert model.languages == ["de", "en", "ja"]
+    total = {lang: np.zeros(512) for lang in model.languages}
+
+    def bucket(x, times):
+        return ((x * times) % 2**32) >> (32 - 9)
+
+    for text, lang in rows:
+        if text is None or lang is None:
+            continue
+        codes = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        for at in range(len(codes) - 1):
+            two = (codes[at] * 0x9E3779B1 + codes[at + 1]) % 2**32
+            if codes[at] or codes[at + 1]:
+                total[lang][bucket(two, 0xC2B2AE35)] += 1
+            if at + 2 < len(codes) and codes[at + 1]:
+                total[lang][bucket((two * 0x85EBCA6B + codes[at + 2]) % 2**32, 0x27D4EB2F)] += 1
+    share = {k: (v + 0.1) / (v.sum() + 51.2) for k, v in total.items()}
+    for bit in range(model.codes.shape[1]):
+        yes = [share[lang] for lang, code in zip(model.languages, model.codes, strict=True) if code[bit] > 0]
+        no = [share[lang] for lang, code in zip(model.languages, model.codes, strict=True) if code[bit] < 0]
+        assert np.allclose(model.weights[:, bit], np.log(sum(yes) / len(yes)) - np.log(sum(no) / len(no)), atol=1e-4)
+    docs = spark.createDataFrame([(1, EN, 9.0), (2, DE, 9.0)], "doc_id long, text string, score double")
+    got = language_id.predict(docs, model, {"doc_id": F.col("doc_id"), "score": F.col("score")})
+    assert got.columns == ["doc_id", "lang_pred", "score", "ambiguous"]
+    assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == ["en", "de"]
+    assert language_id.predict(docs.limit(0), model, {"doc_id": F.col("doc_id")}).count() == 0
+
+
+@pytest.mark.parametrize("shift", [0.0, 4.0])
+def test_risk_and_its_slope_in_both_branches(shift):
+    """Against losses written out and differences; shift 4 makes the second part negative."""
+    rng = np.random.default_rng(2)
+    gp, gu, prior = rng.normal(size=7) + shift, rng.normal(size=11) - shift, 0.3
+    loss = lambda z: math.log(1 + math.exp(-z))
+    first = prior * sum(loss(g) for g in gp) / 7
+    second = sum(loss(-g) for g in gu) / 11 - prior * sum(loss(-g) for g in gp) / 7
+    assert np.allclose(toxicity.risk_parts(gp, gu, prior), (first, second))
+    assert (second < 0) == (shift > 0)
+
+    def descended(p, u):
+        a, b = toxicity.risk_parts(p, u, prior)
+        return -b if shift else a + b
+
+    by_p, by_u = toxicity.score_slopes(gp, gu, prior)
+    for k in range(7):
+        e = np.eye(7)[k] * 1e-5
+        assert math.isclose(by_p[k], (descended(gp + e, gu) - descended(gp - e, gu)) / 2e-5, abs_tol=1e-6)
+    for k in range(11):
+        e = np.eye(11)[k] * 1e-5
+        assert math.isclose(by_u[k], (descended(gp, gu + e) - descended(gp, gu - e)) / 2e-5, abs_tol=1e-6)
+
+
+def test_fit_lowers_the_risk_below_that_of_the_prior(spark):
+    """The trained scores have a smaller non-negative risk than any constant score."""
+    rng = np.random.default_rng(7)
+    words = [chr(97 + i % 26) + chr(97 + i // 26) + "x" for i in range(200)]
+    packed = lambda t: (zlib.compress(" ".join(sorted(set(t))).encode()), np.array([t.count(w) for w in sorted(set(t))], "<u4").tobytes())
+    bad = [rng.choice(words, 30).tolist() + ["vile"] for _ in range(40)]
+    some = [rng.choice(words, 30).tolist() + (["vile"] if k % 10 == 0 else []) for k in range(400)]
+    m = toxicity.NonNegativePU(toxicity.Texts([packed(t) for t in bad]), toxicity.Texts([packed(t) for t in some]), 0.1)
+    logit = lambda t: math.log(m.score(" ".join(t)) / (1 - m.score(" ".join(t))))
+    risk = lambda gp, gu: (lambda a, b: a + max(0.0, b))(*toxicity.risk_parts(np.array(gp), np.array(gu), 0.1))
+    constant = min(risk([g] * 40, [g] * 400) for g in np.linspace(-6, 6, 121))
+    assert risk([logit(t) for t in bad], [logit(t) for t in some]) < 0.5 * constant
+
+
+def test_long_tied_and_repeated_texts(spark):
+    rng = np.random.default_rng(0)
+    filler = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(filler, 40).tolist() + (["rotten"] if i % 8 == 0 else []))) for i in range(600)]
+    rows += [(9000, "calm " * 300_000 + "rotten"), (9001, "rotten"), (9002, "rotten"), (9002, "rotten"), (9003, "calm " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    got = toxicity.score(docs, model, {"doc_id": F.col("doc_id"), "score": F.lit(7)}).where("doc_id >= 9000").collect()
+    by = {r.doc_id: r.score for r in got}
+    assert len(got) == 5 and by[9001] == by[9002]
+    assert by[9000] > by[9003]  # the last word of a very long text counts
 
 
 def test_toxicity_on_held_out_rows(spark):
