@@ -102,19 +102,20 @@ def staging(spark: SparkSession) -> Iterator[None]:
         _owners.pop()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     Cuts the lineage: what follows survives the loss of any executor without
     computing ``df`` again, and several readers share one computation. The table lives
-    until its operator or ``staging`` block drops it, at most as long as the driver.
+    until its operator or ``staging`` block drops it, at most as long as the driver. A
+    ``lasting`` one belongs to what is around the present block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rankloom-{name}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
-    _owners[-1].append(path)
+    _owners[-2 if lasting and len(_owners) > 1 else -1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

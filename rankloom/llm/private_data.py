@@ -39,7 +39,13 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 
 # Looser candidates.
-_spelled = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\sdot\s|\.)\s?[A-Za-z0-9-]{1,63}){1,4}", re.I).finditer
+# Lengths are those of the mail standards: 64 characters before the mark, 63 a label. A word "at" alone marks an
+# address only if some dot is spelled too.
+_LOCAL, _LABEL, _DOT = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}", r"\s?(?:\[dot\]|\(dot\)|\sdot\s)\s?"
+_spelled = re.compile(rf"{_LOCAL}(?:\s?(?:\[at\]|\(at\))\s?{_LABEL}(?:(?:{_DOT}|\s?\.\s?){_LABEL}){{1,4}}|\sat\s\s?{_LABEL}(?:{_DOT}{_LABEL}){{1,4}})", re.I).finditer
+_bracketed_at = re.compile(r"\[at\]|\(at\)", re.I).search
+_lone_at = re.compile(r"\sat\s", re.I).search
+_dot_word = re.compile("dot", re.I).search
 _local_phone = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])").finditer
 _short_card = re.compile(r"(?<![\w.-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\w-])").finditer
 _digit = re.compile("[0-9]").search
@@ -56,6 +62,8 @@ YES_WORDS = {
 NO_WORDS = ("version", "license", "licence", "token", "isbn", "section", "figure", "order no")
 
 VOTES = 5
+#: Characters before and after a span in which the context labeler looks for its words.
+BEFORE, AFTER = 40, 20
 
 
 def luhn(digits: str) -> bool:
@@ -101,8 +109,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further candidates that touch no base span, leftmost of each kind first."""
     found = []
-    low = text.lower() if "at" in text or "AT" in text else ""
-    if "(at)" in low or "[at]" in low or (" at " in low and " dot " in low):
+    if _bracketed_at(text) or (_lone_at(text) and _dot_word(text)):  # every match holds one of these
         found += [("email", m.start(), m.end()) for m in _spelled(text)]
     if _digit(text):
         found += [("card", m.start(), m.end()) for m in _short_card(text)]
@@ -114,7 +121,7 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int
     """One vote of each labeler: 1 yes, -1 no, 0 nothing."""
     span = text[start:end]
     digits = _digits(span)
-    around = (text[max(0, start - 40) : start] + " " + text[end : end + 20]).lower()
+    around = (text[max(0, start - BEFORE) : start] + " " + text[end : end + AFTER]).lower()
     if kind == "email":
         ending = re.split(r"[^A-Za-z0-9-]+", span.lower())[-1]
         valid = 1 if len(ending) >= 2 and ending.isalpha() else -1

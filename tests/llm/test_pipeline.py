@@ -89,3 +89,26 @@ def test_empty_tables(spark, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_class_stays(spark):
+    base = [f"w{k}" for k in range(40)]
+    near = base[:39] + ["end"]
+    rows = [(None, "lone text of its own here", "a"), (None, " ".join(base), "a"), (None, " ".join(near), "b"), (1, " ".join(base[::-1]), "c"), (1, " ".join([*base[:0:-1], "x"]), "c"), (2, None, None), (2, None, None), (3, " ", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    words = sorted(tuple(sorted((r.text or "").split()[:3])) for r in got)
+    assert len(got) == 4 and len(set(words)) == 4
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    from rankloom.llm import common
+
+    docs = spark.createDataFrame([(k, f"text number {k} of some words", "en", "s", 9) for k in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    mark = common.tables_mark()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = common.tables_since(mark)
+    assert len(left) == 1 and "pipeline-mixing" in left[0]
+    common.drop_tables(spark, left)

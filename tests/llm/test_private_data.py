@@ -1,7 +1,10 @@
+import math
 import random
 import re
 
-from rankloom.llm.private_data import KINDS, SpanClassifier, base_spans, find_private_data, luhn
+import numpy as np
+
+from rankloom.llm.private_data import KINDS, SpanClassifier, base_spans, find_private_data, loose_spans, luhn
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -53,6 +56,53 @@ def test_spans_of_a_table(spark):
     assert find_private_data(docs.limit(0)).count() == 0
 
 
+def test_spelled_addresses_in_every_writing():
+    for span in ("ann at example dot com", "ann At example Dot com", "ann\tat\nexample\tdot com", "ann (AT) example.com", "ann[at]example [dot] co.uk", "a.b aT x dot y DOT de"):
+        for text in (span, f"see {span}, then", "word " * 30 + span):
+            assert [text[a:b] for kind, a, b in loose_spans(text, []) if kind == "email"] == [span]
+    for text in ("meet me at home. Then dot the i", "at at at", "anecdote at noon", "ann (at) home"):
+        assert not [s for s in loose_spans(text, []) if s[0] == "email"]
+    loose_spans(" at " * 100_000 + "dot", [])
+
+
+def test_estimation_against_a_plain_version():
+    """Reliabilities and posteriors item by item, and a classifier at its optimum."""
+    rng = random.Random(3)
+    counts = {}
+    for _ in range(400):
+        key = (rng.choice((0, 3)), rng.choice((0, 1)), *(rng.choice((-1, 0, 1)) for _ in range(4)), rng.randrange(3))
+        counts[key] = counts.get(key, 0) + 1
+    m = SpanClassifier(counts, rounds=7)
+    truth = {}
+    for kind in (0, 3):
+        items = [k for k, n in counts.items() if k[0] == kind for _ in range(n)]
+        post = [1 / (1 + math.exp(-1.5 * sum(k[1:6]))) for k in items]
+        for _ in range(7):
+            prior = [(sum(1 - p for p in post) + 1) / (len(items) + 2), (sum(post) + 1) / (len(items) + 2)]
+            table = []
+            for j in range(5):
+                table.append([])
+                for y in (0, 1):
+                    seen = {v: sum((p if y else 1 - p) for k, p in zip(items, post) if k[1 + j] == v) + (20 if v == 2 * y - 1 else 10 if v == 0 else 2) for v in (-1, 0, 1)}
+                    table[j].append({v: x / sum(seen.values()) for v, x in seen.items()})
+            both = [[prior[y] * math.prod(table[j][y][k[1 + j]] for j in range(5)) for y in (0, 1)] for k in items]
+            post = [b / (a + b) for a, b in both]
+        truth |= dict(zip(items, post))
+        got = m.reliability[KINDS[kind]]
+        assert all(math.isclose(got[j][y][v + 1], table[j][y][v], rel_tol=1e-6) for j in range(5) for y in (0, 1) for v in (-1, 0, 1))
+
+    def loss(w):
+        total, n = 0.0, sum(counts.values())
+        for k, c in counts.items():
+            x = SpanClassifier._features(np.array([k]))[0] @ w
+            total += c / n * (truth[k] * np.logaddexp(0, -x) + (1 - truth[k]) * np.logaddexp(0, x))
+        return total + 0.5e-4 * (w @ w)
+
+    best = loss(m.weights)
+    for _ in range(40):
+        assert loss(m.weights + np.array([rng.gauss(0, 0.05) for _ in m.weights])) > best
+
+
 def test_reliable_labelers_get_more_weight():
     counts = {}
     rng = random.Random(0)
