@@ -5,8 +5,8 @@ the columns of their input. A runner may write each stage's result and read it a
 as the next one's ``docs``; ``run`` chains them over the documents table and stages
 what each of them returns in the shared folder.
 
-Edge cases are those of the operators. Near duplicates are told by id, so rows that
-share an id stay or go together there; a document of which the mix takes nothing goes,
+Edge cases are those of the operators. Near duplicates are told by their words and not by
+ids, so exactly one row of each class stays also where ids are null or repeated; a document of which the mix takes nothing goes,
 one taken several times is repeated, and one cut by its source's budget keeps its
 first words and gets a new ``n_chars``.
 """
@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rankloom.llm import toxicity
-from rankloom.llm.common import SPACE_CLASS, fold, staged, table
+from rankloom.llm.common import SPACE_CLASS, carried, fold, drop_tables, restored, staged, staging, table, tables_mark, tables_since
 from rankloom.llm.exact_dedup import exact_duplicates
-from rankloom.llm.minhash_forest import near_duplicates
+from rankloom.llm.minhash_forest import near_duplicates, text_hash
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.packing import pack_documents
 from rankloom.llm.queries import vocabulary
@@ -40,9 +41,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_duplicates(docs)
-    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    columns = docs.columns
+    elected = near_duplicates(docs).where("stays").select(F.col("text_hash").alias("_elected")).distinct()
+    hashed = docs.select(*carried(columns), text_hash(F.col("text")).alias("_hash"))
+    # Rows of one elected text (few: exact copies are gone) are told apart by id, then by what else they hold.
+    id_at = F.col(f"_own{columns.index('doc_id')}")
+    order = Window.partitionBy("_hash").orderBy(id_at.asc_nulls_last(), *(f"_own{i}" for i in range(len(columns))))
+    one = hashed.join(elected, F.col("_hash") == F.col("_elected"), "left_semi").withColumn("_rank", F.row_number().over(order))
+    return one.where("_rank = 1").select(*restored(columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        mark = tables_mark()
+        with staging(spark):  # what a stage's operator staged goes once its result is written
+            result = stage(spark, docs, sf_dir)
+            docs = staged(result, f"pipeline-{name}", lasting=True)
+        drop_tables(spark, before)
+        before = tables_since(mark)
     return STAGES[-1][1](spark, docs, sf_dir)
