@@ -90,6 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with staging(spark):  # what a stage's operator staged goes once its result is written
             result = stage(spark, docs, sf_dir)
             docs = staged(result, f"pipeline-{name}", lasting=True)
+        written = tables_since(mark)
         drop_tables(spark, before)
-        before = tables_since(mark)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
