@@ -2,12 +2,13 @@
 
 Words, their 3- to 5-letter parts and pairs of neighbouring words are weighted by the
 line's place in the text, counted, log-scaled and spread over six signed positions.
-A text's features are hashed together, column by column of their bytes, in numpy.
+The features of a batch of texts are hashed together, byte by byte, in numpy.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,67 +29,137 @@ HEADS, HEAD_STEP = 6, 0x654321
 PART_WEIGHT, PAIR_WEIGHT = 0.35, 1.5
 TOP_SHARE, TOP_WEIGHT, END_SHARE, END_WEIGHT = 0.25, 1.4, 0.85, 1.1
 
+#: Weight of a word, a part and a pair in a line, by the line's weight.
+LINE_WEIGHTS = {w: tuple(float(np.float32(x) * np.float32(w)) for x in (1.0, PART_WEIGHT, PAIR_WEIGHT)) for w in (1.0, TOP_WEIGHT, END_WEIGHT)}
+#: Texts whose features are hashed together, and features a worker holds before it forgets them.
+TEXTS_AT_ONCE, HELD_FEATURES = 256, 1_000_000
+
 _words = re.compile(r"(?:[^\W_]|[+#.])+").findall
 
 
 def fnv1a(keys: list[bytes], seed: int) -> np.ndarray:
-    """32-bit FNV-1a of many keys at once."""
-    sizes = np.array([len(k) for k in keys])
-    padded = np.zeros((len(keys), int(sizes.max(initial=0))), np.uint32)
-    flat = np.frombuffer(b"".join(keys), np.uint8)
-    rows = np.repeat(np.arange(len(keys)), sizes)
-    padded[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    """32-bit FNV-1a of many keys at once, byte by byte over the keys that are long enough."""
+    order = sorted(range(len(keys)), key=lambda k: -len(keys[k]))
+    sizes = np.array([len(keys[k]) for k in order])
+    flat = np.frombuffer(b"".join([keys[k] for k in order]), np.uint8).astype(np.uint32)
+    starts = np.cumsum(sizes) - sizes
     h = np.full(len(keys), seed, np.uint32)
-    for at, column in enumerate(padded.T):
-        h = np.where(at < sizes, (h ^ column) * np.uint32(FNV_PRIME), h)
-    return h
-
-
-def line_features(line: str) -> list[tuple[str, float]]:
-    """Features of one line in reading order, with their weight in a line of weight 1."""
-    words = [w for w in _words(line.lower()) if len(w.encode()) > 1 and w not in STOP_WORDS]
-    out = []
-    for w in words:
-        out.append((w, 1.0))
-        if len(w.encode()) >= 4:
-            out += [("#" + w[i : i + n], PART_WEIGHT) for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-    return out + [(f"{a}_{b}", PAIR_WEIGHT) for a, b in zip(words, words[1:], strict=False)]
+    for at in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-sizes, -at))  # keys longer than ``at`` come first
+        h[:n] = (h[:n] ^ flat[starts[:n] + at]) * np.uint32(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+class Features:
+    """The features a worker has met, numbered, with their positions and signs in a vector.
+
+    Features of a batch are hashed and put in byte order together; what a word consists of is remembered.
+    """
+
+    def __init__(self, dim: int):
+        self.dim = dim
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.keys: list[bytes] = []
+        self.parts: dict[str, list[int]] = {}
+        self.place = np.zeros((0, HEADS), np.int64)
+        self.sign = np.zeros((0, HEADS), np.float32)
+
+    def numbered(self, feature: str) -> int:
+        n = self.number.get(feature)
+        if n is None:
+            n = self.number[feature] = len(self.keys)
+            self.keys.append(feature.encode())
+        return n
+
+    def of_word(self, w: str) -> list[int]:
+        """The word and its parts; nothing for a stop word or a single byte."""
+        found = self.parts.get(w)
+        if found is None:
+            size = len(w.encode())
+            names = [] if size < 2 or w in STOP_WORDS else [w]
+            if names and size >= 4:
+                names += ["#" + w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+            found = self.parts[w] = [self.numbered(x) for x in names]
+        return found
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Features in reading order, with the weight of each use."""
+        lines = [s for s in (x.strip() for x in (text or "").strip().split("\n")) if s]
+        ids: list[int] = []
+        weights: list[float] = []
+        for at, line in enumerate(lines):
+            share = np.float32(at) / np.float32(len(lines))
+            one, part, pair = LINE_WEIGHTS[TOP_WEIGHT if share < TOP_SHARE else END_WEIGHT if share > END_SHARE else 1.0]
+            kept = []
+            for w in _words(line.lower()):
+                found = self.of_word(w)
+                if found:
+                    kept.append(w)
+                    ids += found
+                    weights.append(one)
+                    weights += [part] * (len(found) - 1)
+            ids += [self.numbered(f"{a}_{b}") for a, b in zip(kept, kept[1:], strict=False)]
+            weights += [pair] * (len(kept) - 1)
+        return np.array(ids, np.int64), np.array(weights, np.float32)
+
+    def hash_new(self) -> None:
+        new = self.keys[len(self.place) :]
+        if new:
+            a, b = (fnv1a(new, s)[:, None] for s in FNV_SEEDS)
+            head = np.arange(HEADS, dtype=np.uint32)[None]
+            seed = (a + head * np.uint32(HEAD_STEP)) ^ (b * (head + np.uint32(1)))
+            self.place = np.concatenate([self.place, (seed % np.uint32(self.dim)).astype(np.int64)])
+            self.sign = np.concatenate([self.sign, np.where((seed >> np.uint32(16)) & np.uint32(1), np.float32(-1), np.float32(1))])
+
+    def vectors(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """Unit vectors of texts; zeros for a text without features."""
+        if len(self.keys) > HELD_FEATURES:
+            self.clear()
+        read = [self.read(t) for t in texts]
+        self.hash_new()
+        met = np.unique(np.concatenate([ids for ids, _ in read])) if read else np.zeros(0, np.int64)
+        in_order = np.array(sorted(met.tolist(), key=self.keys.__getitem__), np.int64)  # float sums depend on order: bytes, ascending
+        rank = np.zeros(len(self.keys), np.int64)
+        rank[in_order] = np.arange(len(in_order))
+        share = np.float32(1) / (np.float32(1) + np.arange(HEADS, dtype=np.float32) * np.float32(0.25))
+        out = []
+        for ids, weights in read:
+            vector = np.zeros(self.dim, np.float32)
+            if len(ids):
+                ranks, use = np.unique(rank[ids], return_inverse=True)
+                tf = np.zeros(len(ranks), np.float32)
+                np.add.at(tf, use, weights)
+                scaled = np.float32(1) + np.log(tf.astype(float)).astype(np.float32)
+                at = in_order[ranks]
+                np.add.at(vector, self.place[at].ravel(), (self.sign[at] * scaled[:, None] * share).ravel())
+                vector /= 1 + np.abs(vector)
+                length = np.sqrt((vector.astype(float) ** 2).sum())
+                vector = vector if length <= 1e-12 else (vector / length).astype(np.float32)
+            out.append(vector)
+        return out
+
+
+_features: dict[int, Features] = {}
+
+
+def embed_many(texts: Sequence[str | None], dim: int = DIM) -> list[np.ndarray]:
+    held = _features.setdefault(dim, Features(dim))
+    return [v for at in range(0, len(texts), TEXTS_AT_ONCE) for v in held.vectors(texts[at : at + TEXTS_AT_ONCE])]
 
 
 def embed(text: str | None, dim: int = DIM) -> np.ndarray:
     """The unit vector of a text; zeros if it has no feature."""
-    lines = [s for s in (x.strip() for x in (text or "").strip().split("\n")) if s]
-    vector = np.zeros(dim, np.float32)
-    place: dict[str, int] = {}
-    ids, weights = [], []
-    for at, line in enumerate(lines):
-        share = np.float32(at) / np.float32(len(lines))
-        weight = np.float32(TOP_WEIGHT if share < TOP_SHARE else END_WEIGHT if share > END_SHARE else 1.0)
-        for feature, w in line_features(line):
-            ids.append(place.setdefault(feature, len(place)))
-            weights.append(np.float32(w) * weight)
-    if not place:
-        return vector
-    tf = np.zeros(len(place), np.float32)
-    np.add.at(tf, np.array(ids), np.array(weights, np.float32))
-    keys = [f.encode() for f in place]
-    order = np.array(sorted(range(len(keys)), key=keys.__getitem__))  # float sums depend on order: bytes, ascending
-    keys, tf = [keys[i] for i in order], tf[order]
-    scaled = np.float32(1) + np.log(tf.astype(float)).astype(np.float32)
-    a, b = (fnv1a(keys, s)[:, None] for s in FNV_SEEDS)
-    head = np.arange(HEADS, dtype=np.uint32)[None]
-    seed = (a + head * np.uint32(HEAD_STEP)) ^ (b * (head + np.uint32(1)))
-    sign = np.where((seed >> np.uint32(16)) & np.uint32(1), np.float32(-1), np.float32(1))
-    share = (np.float32(1) / (np.float32(1) + head.astype(np.float32) * np.float32(0.25)))[0]
-    np.add.at(vector, (seed % np.uint32(dim)).ravel(), (sign * scaled[:, None] * share).ravel().astype(np.float32))
-    vector /= 1 + np.abs(vector)
-    length = np.sqrt((vector.astype(float) ** 2).sum())
-    return vector if length <= 1e-12 else (vector / length).astype(np.float32)
+    return embed_many([text], dim)[0]
 
 
 def embedding(text: Column, dim: int = DIM) -> Column:
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed(t, dim))
+        return pd.Series(embed_many([t if isinstance(t, str) else None for t in texts], dim))
 
     return vectors(text)

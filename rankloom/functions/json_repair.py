@@ -118,12 +118,14 @@ def _candidate(parsed: Column, r: Column) -> Column:
 
 def analysis(raw: Column, fallback: Column) -> Column:
     """struct(llm_score, summary, strengths, concerns), null without an object or a summary."""
-    return bound(F.from_json(json_object(raw), ANALYSIS), lambda r: _analysis(r, fallback))
+    return bound(json_object(raw), lambda text: bound(F.struct(F.from_json(text, ANALYSIS).alias("r"), F.try_parse_json(text).alias("p")), lambda s: _analysis(s["p"], s["r"], fallback)))
 
 
-def _analysis(r: Column, fallback: Column) -> Column:
+def _analysis(parsed: Column, r: Column, fallback: Column) -> Column:
+    # A number counts with its sign, a quoted score by its first digits.
+    quoted = F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, "$.llm_score", "variant")) == "STRING", F.lit(False))
     signed = F.nullif(F.regexp_extract(r["llm_score"], r"^(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)$", 1), F.lit("")).try_cast("double")
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(signed, _number(r["llm_score"]), fallback)))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.when(~quoted, signed), _number(r["llm_score"]), fallback)))
     record = F.struct(score.alias("llm_score"), stripped(r["summary"]).alias("summary"), _kept(r["strengths"]).alias("strengths"), _kept(r["concerns"]).alias("concerns"))
     return F.when(_full(r["summary"]).isNotNull(), record)
 

@@ -18,10 +18,11 @@ def norm(a: Column) -> Column:
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    """Cosine within -1 and 1; 0 for empty or unequal lengths or a vanishing norm."""
+    """Cosine within -1 and 1; 0 for missing, empty or unequally long vectors or a vanishing norm."""
+    width = lambda x: F.coalesce(F.size(x), F.lit(-1))
     scale = norm(a) * norm(b)
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), scale)))
-    return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (scale <= 1e-12), 0.0).otherwise(value)
+    return F.when((width(a) != width(b)) | (width(a) <= 0) | (scale <= 1e-12), 0.0).otherwise(value)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +13,10 @@ from pyspark.sql.window import Window
 from rankloom.functions.vectors import cosine_similarity
 
 
+#: Queries whose scores a task holds at a time: with a block of 8192 rows 32 MB.
+QUERIES_AT_ONCE = 512
+
+
 def ranked(df: DataFrame, group: str, score: str, tie: str, name: str = "rank") -> DataFrame:
     """1..N within each group by falling score (null scores last), ties by ``tie``."""
     order = Window.partitionBy(group).orderBy(F.desc_nulls_last(score), F.asc(tie))
@@ -30,8 +38,8 @@ def similar_for_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: s
     """``similar`` for each of any number of queries; more than ``most_queries``, if stated, are refused.
 
     Rows and queries are hashed into blocks; every block of about ``block_rows`` rows meets
-    every block of about ``query_rows`` queries in a task, where a window limit keeps k rows
-    of a query before anything is dealt out again. Nothing goes through the driver.
+    every block of about ``query_rows`` queries in a task, which scores them by one matrix product
+    and gives k rows a query. Nothing goes through the driver.
     """
     if most_queries is not None and queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} queries; split the query set")
@@ -39,10 +47,35 @@ def similar_for_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: s
     blocks = max(parallel, -(-vectors.count() // block_rows))
     query_blocks = max(1, -(-queries.count() // query_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    tasks = min(blocks * query_blocks, 64 * parallel)
-    rows = vectors.select(F.pmod(F.xxhash64(key, vector), F.lit(blocks)).alias("_b"), every(query_blocks).alias("_s"), F.col(key), F.col(vector)).repartition(tasks, "_b", "_s")
-    asked = queries.select(every(blocks).alias("_b"), F.pmod(F.xxhash64(query_key, query_vector), F.lit(query_blocks)).alias("_s"), F.col(query_key), F.col(query_vector)).repartition(tasks, "_b", "_s")
-    pairs = rows.join(asked.hint("merge"), ["_b", "_s"])
-    scored = pairs.select(query_key, key, cosine_similarity(F.col(vector), F.col(query_vector)).alias("similarity"))
+    rows = vectors.select(F.pmod(F.xxhash64(key, vector), F.lit(blocks)).alias("b"), every(query_blocks).alias("s"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.select(every(blocks).alias("b"), F.pmod(F.xxhash64(query_key, query_vector), F.lit(query_blocks)).alias("s"), F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+
+    def best(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("k", kind="stable")  # of equal rows the smaller key comes first
+        out = []
+        for at in range(0, len(right), QUERIES_AT_ONCE) if len(left) else ():
+            part = right.iloc[at : at + QUERIES_AT_ONCE]
+            score = cosine_matrix(part["v"], left["v"])
+            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({query_key: np.repeat(part["q"].to_numpy(), order.shape[1]), key: left["k"].to_numpy()[order.ravel()], "similarity": np.take_along_axis(score, order, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({query_key: [], key: [], "similarity": []})
+
+    kinds = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, similarity double"
+    scored = rows.groupBy("b", "s").cogroup(asked.groupBy("b", "s")).applyInPandas(best, kinds)
     order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def cosine_matrix(a: Sequence, b: Sequence) -> np.ndarray:
+    """``cosine_similarity`` of every vector of ``a`` with every one of ``b``; each pair is summed in
+    one order, so equal vectors tie exactly."""
+    size = lambda x: -1 if x is None else len(x)
+    widths = np.array([size(x) for x in a]), np.array([size(x) for x in b])
+    out = np.zeros((len(a), len(b)))
+    for width in set(widths[0].tolist()) & set(widths[1].tolist()) - {-1, 0}:
+        i, j = (np.flatnonzero(w == width) for w in widths)
+        x, y = (np.stack([m[n] for n in at]).astype(float) for m, at in ((list(a), i), (list(b), j)))
+        scale = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[np.ix_(i, j)] = np.where(scale <= 1e-12, 0.0, np.clip(np.einsum("id,jd->ij", x, y) / scale, -1, 1))
+    return out

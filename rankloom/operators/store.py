@@ -47,16 +47,22 @@ def upserted_candidates(candidates: DataFrame, arrivals: DataFrame, order: str =
     """Candidates after arrivals (id, name, email, phone, location, created_at, ``order``).
 
     An e-mail identifies a candidate without regard to case; without one an arrival is a
-    new candidate. In order of arrival the last name wins, and the last phone and location that are not null.
+    new candidate. Arrivals of one e-mail are folded in their order: the last name wins, and the
+    last phone and location that are not null. They update the stored candidate of that e-mail, of
+    several the one with the smallest id; all other stored rows stay as they are.
     """
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    key = F.when(blank("email"), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("mail:"), F.lower(F.trim("email"))))
-    stored_key = F.when(blank("email"), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("mail:"), F.lower("email")))
-    both = candidates.withColumn("_at", F.lit(-1).cast("long")).withColumn("_key", stored_key).unionByName(arrivals.withColumn("_at", F.col(order).cast("long")).drop(order).withColumn("_key", key))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_at", "id"))).alias(c)
-    first = lambda c: F.min_by(c, F.struct("_at", "id")).alias(c)
-    named = F.max_by("name", F.struct("_at", "id")).alias("name")
-    return both.groupBy("_key").agg(first("id"), named, first("email"), last("phone"), last("location"), first("created_at")).drop("_key").select(*candidates.columns)
+    blank = F.trim(F.coalesce(F.col("email"), F.lit(""))) == ""
+    key = F.when(blank, F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("mail:"), F.lower(F.trim("email"))))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, "id"))).alias(c)
+    first = lambda c: F.min_by(c, F.struct(order, "id")).alias(c)
+    folded = arrivals.groupBy(key.alias("_key")).agg(first("id"), F.max_by("name", F.struct(order, "id")).alias("name"), first("email"), last("phone"), last("location"), first("created_at"))
+    stored_key = F.when(blank, F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("mail:"), F.lower("email")))
+    held = candidates.select(stored_key.alias("_key"), F.col("id").alias("_held")).groupBy("_key").agg(F.min("_held").alias("_held"))
+    placed = folded.join(held, "_key", "left")
+    change = placed.where("_held IS NOT NULL").select(F.col("_held").alias("id"), F.col("name").alias("_name"), F.col("phone").alias("_phone"), F.col("location").alias("_location"), F.lit(True).alias("_hit"))
+    newer = {"name": F.when(F.col("_hit"), F.col("_name")).otherwise(F.col("name")), "phone": F.coalesce("_phone", "phone"), "location": F.coalesce("_location", "location")}
+    kept = candidates.join(change, "id", "left").withColumns(newer).select(*candidates.columns)
+    return kept.unionByName(placed.where("_held IS NULL").drop("_key", "_held"), allowMissingColumns=True).select(*candidates.columns)
 
 
 def upserted_analysis(analysis: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
@@ -128,6 +134,22 @@ def resume_status(resumes: DataFrame, changes: DataFrame) -> DataFrame:
     }).select(*resumes.columns)
 
 
+def _with_values(table: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """``column`` replaced, even by null, in the rows that ``changes`` (``key``, ``column``; one row a key) names."""
+    c = changes.select(key, F.col(column).alias("_new"), F.lit(True).alias("_hit"))
+    return table.join(c, key, "left").withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).select(*table.columns)
+
+
+def resume_texts(resumes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Résumés with the extracted texts of ``changes`` (id, raw_text)."""
+    return _with_values(resumes, changes, "id", "raw_text")
+
+
+def resume_candidates(resumes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Résumés linked to the candidates of ``changes`` (id, candidate_id)."""
+    return _with_values(resumes, changes, "id", "candidate_id")
+
+
 def queue_status(queue: DataFrame, changes: DataFrame) -> DataFrame:
     """Queue rows after changes (resume_id, status, error_message): a start counts an attempt, an end notes its time."""
     c = changes.select("resume_id", F.col("status").alias("_s"), F.col("error_message").alias("_e"))

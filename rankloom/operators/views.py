@@ -54,11 +54,17 @@ def settings_map(settings: DataFrame) -> DataFrame:
 
 
 def _joined(resumes: DataFrame, candidates: DataFrame, analysis: DataFrame, shortlists: DataFrame) -> DataFrame:
-    r, c, a, s = (df.alias(n) for df, n in ((resumes, "r"), (candidates, "c"), (analysis, "a"), (shortlists, "s")))
+    """Every join by key. A shortlist row names the candidate or the résumé, so each résumé asks under
+    both ids; the matches, narrow rows, are joined back by résumé."""
+    r, c, a = (df.alias(n) for df, n in ((resumes, "r"), (candidates, "c"), (analysis, "a")))
+    known = candidates.select(F.col("id").alias("_candidate"))
+    asked = resumes.select(F.col("id").alias("_resume"), F.col("job_id").alias("_job"), "candidate_id").join(known, F.col("candidate_id") == F.col("_candidate"), "left")
+    asked = asked.select("_resume", "_job", F.explode(F.array_distinct(F.array_compact(F.array("_candidate", "_resume")))).alias("_key"))
+    found = shortlists.join(asked, (F.col("job_id") == F.col("_job")) & (F.col("candidate_id") == F.col("_key"))).alias("s")
     return (
         r.join(c, F.col("r.candidate_id") == F.col("c.id"), "left")
         .join(a, (F.col("a.resume_id") == F.col("r.id")) & (F.col("a.job_id") == F.col("r.job_id")), "left")
-        .join(s, (F.col("s.job_id") == F.col("r.job_id")) & ((F.col("s.candidate_id") == F.col("c.id")) | (F.col("s.candidate_id") == F.col("r.id"))), "left")
+        .join(found, (F.col("s._resume") == F.col("r.id")) & (F.col("s._job") == F.col("r.job_id")), "left")
     )
 
 
@@ -121,7 +127,7 @@ def searched_jobs(jobs: DataFrame, text: str = "", status: str = "all") -> DataF
     return jobs.where(hit if status == "all" else hit & (F.col("status") == status))
 
 
-def processing_status(queue: DataFrame, job_id: str | None = None) -> DataFrame:
+def processing_status(queue: DataFrame, job_id: str | int | None = None) -> DataFrame:
     """Counters of the work queue: one row for a job (zeros if it has no work), else one for each job."""
     sums = [F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("completed", "completed"), ("failed", "failed"), ("processing", "in_progress"), ("queued", "queued")))]
     if job_id is not None:
@@ -137,9 +143,11 @@ def progress(status: DataFrame, seconds_each: int = 8) -> DataFrame:
     return status.withColumn("percent", percent).withColumn("seconds_left", F.when(active > 0, (F.col("total") - done) * seconds_each))
 
 
-def queue_order(queue: DataFrame) -> DataFrame:
-    """Waiting work: highest priority first, then oldest."""
-    return queue.where("status = 'queued'").orderBy(F.desc("priority"), "queued_at", "id")
+def queue_order(queue: DataFrame, within: str | None = None) -> DataFrame:
+    """Waiting work: highest priority first, then oldest. With ``within``, the ``position`` of each row
+    in its group instead of one order over all."""
+    waiting, order = queue.where("status = 'queued'"), [F.desc_nulls_last("priority"), F.asc("queued_at"), F.asc("id")]
+    return numbered(waiting, within, *order) if within else waiting.orderBy(*order)
 
 
 def duplicate_check(files: DataFrame, resumes: DataFrame) -> DataFrame:

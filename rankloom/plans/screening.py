@@ -14,6 +14,7 @@ from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education
 from rankloom.functions.embedding import embedding
 from rankloom.operators.ranking import ranked
+from rankloom.session import checkpointed
 
 Generate = Callable[[str], str]
 
@@ -105,17 +106,33 @@ def analysis_prompt(candidate: Column, title: Column, description: Column, wante
     return F.concat_ws("\n", head, *(F.concat(F.lit(f"{k}: "), v) for k, v in lines.items()))
 
 
-def readable(answer: str | None) -> bool:
-    """Whether an answer holds a JSON object, once trailing commas are gone."""
+def answered(answer: str | None) -> dict | None:
+    """The JSON object of an answer, once trailing commas are gone."""
     m = re.search(r"\{.*\}", answer or "", re.S)
     try:
-        return m is not None and isinstance(json.loads(re.sub(r",\s*([}\]])", r"\1", m.group())), dict)
+        found = json.loads(re.sub(r",\s*([}\]])", r"\1", m.group())) if m else None
     except ValueError:
-        return False
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def readable(answer: str | None) -> bool:
+    return answered(answer) is not None
+
+
+def summarised(answer: str | None) -> bool:
+    """Whether an answer is an analysis: an object with a summary that is not blank."""
+    summary = (answered(answer) or {}).get("summary")
+    return isinstance(summary, str) and summary.strip() != ""
+
+
+EXTRACTION_RETRY = "Your last answer could not be read as a candidate record:\n{bad}\n\nAnswer again, with nothing but one JSON object.\n\n{prompt}"
+ANALYSIS_RETRY = "Your last answer was no analysis; it needs a JSON object with at least a summary:\n{bad}\n\nAnswer again, with nothing but that object.\n\n{prompt}"
 
 
-def generated(df: DataFrame, prompt: Column, key: str, generate: Generate, retry: str = "Your previous response was not valid JSON:\n{bad}\n\n{prompt}") -> DataFrame:
-    """``key`` and ``answer`` of a plugged-in model for each row: one try, one retry with the bad answer, else null."""
+def generated(df: DataFrame, prompt: Column, key: str, generate: Generate, retry: str = EXTRACTION_RETRY, fits: Callable[[str | None], bool] = readable) -> DataFrame:
+    """``key`` and ``answer`` of a plugged-in model for each row: one try, one retry with the bad answer
+    if it doesn't fit, null if the model fails."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,7 +140,7 @@ def generated(df: DataFrame, prompt: Column, key: str, generate: Generate, retry
             for ask in batch["p"]:
                 try:
                     answer = generate(ask)
-                    if not readable(answer):
+                    if not fits(answer):
                         answer = generate(retry.format(bad=(answer or "")[:ANSWER_CHARS], prompt=ask[:RETRY_CHARS]))
                 except Exception:  # a model that fails leaves the heuristic result
                     answer = None
@@ -151,6 +168,7 @@ def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generat
         answers = generated(resumes, extraction_prompt(F.col("raw_text")), "id", generate).withColumnRenamed("id", "resume_id")
         parsed = json_repair.candidate(F.col("answer"))
         read = read.join(answers, "resume_id", "left").withColumn("candidate", F.when(parsed.isNotNull(), json_repair.merged_candidate(parsed, F.col("candidate"))).otherwise(F.col("candidate"))).drop("answer")
+        read = checkpointed(read)  # the model is asked once, whatever reads its answers
     met = read.join(job, F.col("job_id") == F.col("_job"))
     c = F.col("candidate")
     skills = scoring.match_skills(F.col("_wanted"), c["skills"])
@@ -160,7 +178,7 @@ def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generat
     names = F.transform("_wanted", lambda s: s["skill"])
     scored = scored.withColumn("_said", heuristic_analysis(c, F.col("_title"), names, F.col("_low"), F.col("_high"), F.col("_det")))
     if generate:
-        answers = generated(scored, analysis_prompt(c, F.col("_title"), F.col("_description"), names, F.col("_low"), F.col("_high"), F.col("_det")), "resume_id", generate)
+        answers = generated(scored, analysis_prompt(c, F.col("_title"), F.col("_description"), names, F.col("_low"), F.col("_high"), F.col("_det")), "resume_id", generate, ANALYSIS_RETRY, summarised)
         scored = scored.join(answers, "resume_id", "left").withColumn("_said", F.coalesce(json_repair.analysis(F.col("answer"), F.col("_said.llm_score")), F.col("_said")))
     total = scoring.final_score(F.col("_skills.score"), F.col("_experience"), F.col("_semantic"), F.col("_said.llm_score"))
     out = scored.withColumn("_total", total).select(

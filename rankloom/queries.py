@@ -7,6 +7,7 @@ résumés, labels for shortlists, events for the work queue, conversations for p
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from rankloom.functions.education import education
 from rankloom.functions.embedding import embedding
 from rankloom.functions.layout import combined_pages, normalized
 from rankloom.operators import ranking, store, views
+from rankloom.session import spread
 from rankloom.streaming import work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,13 +103,12 @@ def processing_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'processing') AS in_progress, count(*) FILTER (status = 'queued') AS queued FROM ({QUEUE_SQL}) WHERE job_id = -1")
 def processing_status_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return views.processing_status(queue(spark, sf), "-1")
+    return views.processing_status(queue(spark, sf), -1)
 
 
 @query(f"SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY priority DESC NULLS LAST, queued_at, id) AS position FROM ({QUEUE_SQL}) WHERE status = 'queued'")
 def queue_order(spark: SparkSession, sf: str) -> DataFrame:
-    waiting = queue(spark, sf).where("status = 'queued'")
-    return views.numbered(waiting, "job_id", F.desc_nulls_last("priority"), F.asc("queued_at"), F.asc("id")).select("job_id", "id", "position")
+    return views.queue_order(queue(spark, sf), within="job_id").select("job_id", "id", "position")
 
 
 @query(f"SELECT id, CASE WHEN status = 'processing' THEN 'queued' ELSE status END AS status FROM ({QUEUE_SQL})")
@@ -239,12 +240,13 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {VECTOR_SQL} SELECT vec_id, array_to_string([CAST(CAST(round(x / sqrt(list_sum([y * y FOR y IN e])) * 10000) AS BIGINT) AS VARCHAR) FOR x IN e], ',') AS unit FROM v")
+@query(f"""WITH {VECTOR_SQL}, w AS (SELECT vec_id, e, sqrt(list_sum([y * y FOR y IN e])) AS n FROM v UNION ALL SELECT -1, NULL, NULL UNION ALL SELECT -2, [0.0, 0.0], 0)
+SELECT vec_id, array_to_string([CAST(CAST(round(CAST(CAST(CASE WHEN n > 1e-12 THEN x / n ELSE x END AS FLOAT) AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR) FOR x IN e], ',') AS unit FROM w""")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    unit = vectors.normalize_l2(F.transform("embedding", lambda x: x * 1.0))
-    exact = F.transform("embedding", lambda x: F.round(x.cast("double") / vectors.norm(F.col("embedding")) * 10000).cast("long").cast("string"))
-    same = F.forall(F.zip_with(unit, F.col("embedding"), lambda u, x: F.abs(u - x.cast("double") / vectors.norm(F.col("embedding"))) < 1e-6), lambda ok: ok)
-    return read(spark, sf, "embeddings").where(same).select("vec_id", F.array_join(exact, ",").alias("unit"))
+    odd = spark.sql("SELECT -1L AS vec_id, CAST(NULL AS ARRAY<FLOAT>) AS embedding UNION ALL SELECT -2L, CAST(array(0, 0) AS ARRAY<FLOAT>)")
+    unit = vectors.normalize_l2(F.col("embedding"))
+    written = F.transform(unit, lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string"))
+    return read(spark, sf, "embeddings").select("vec_id", "embedding").unionByName(odd).select("vec_id", F.array_join(written, ",").alias("unit"))
 
 
 TEXT_SQL = "SELECT doc_id, text FROM documents UNION ALL SELECT 1000000 + p_partkey, concat(p_name, ' ', p_size, '+ years of experience; 4', p_partkey % 3, '.5 yrs') FROM part"
@@ -337,12 +339,62 @@ def upsert_shortlist(spark: SparkSession, sf: str) -> DataFrame:
     return store.upserted(stored, o.where("at % 3 = 0"), key, keep=(), fill=("notes",), order="at")
 
 
-@query(f"{WITH}, gone AS (SELECT id AS job_id FROM jobs WHERE status = 'archived'), kept AS (SELECT * FROM resumes WHERE job_id NOT IN (SELECT job_id FROM gone)) SELECT count(*) AS resumes, (SELECT count(*) FROM jobs WHERE status <> 'archived') AS jobs, (SELECT count(*) FROM ({CANDIDATES_SQL}) c WHERE NOT (EXISTS (SELECT 1 FROM resumes r JOIN gone USING (job_id) WHERE r.candidate_id = c.id) AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.candidate_id = c.id))) AS candidates FROM kept")
+@query("""WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS id, concat('n', c_custkey) AS name, concat('c', c_custkey % 300, '@x.org') AS email, CASE WHEN c_custkey % 2 = 0 THEN concat('p', c_custkey) END AS phone FROM customer),
+a AS (SELECT o_orderkey AS z, concat('o', o_orderkey) AS id, concat('m', o_orderkey) AS name, CASE WHEN o_custkey % 5 > 0 THEN concat('c', o_custkey % 400, '@x.org') END AS email, CASE WHEN o_orderkey % 3 = 0 THEN concat('q', o_orderkey) END AS phone FROM orders WHERE o_orderkey % 4 = 0),
+f AS (SELECT coalesce(email, id) AS k, arg_min(id, z) AS id, arg_max(name, z) AS name, arg_max(phone, z) FILTER (phone IS NOT NULL) AS phone FROM a GROUP BY coalesce(email, id)),
+p AS (SELECT f.*, held FROM f LEFT JOIN (SELECT email AS k, min(id) AS held FROM s GROUP BY email) USING (k))
+SELECT s.id, coalesce(p.name, s.name) AS name, coalesce(p.phone, s.phone) AS phone FROM s LEFT JOIN p ON p.held = s.id UNION ALL SELECT id, name, phone FROM p WHERE held IS NULL""")
+def upsert_candidate_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored candidates that share an e-mail: one of them is updated, none goes."""
+    none = [F.lit(None).cast("string").alias("location"), F.lit(None).cast("timestamp").alias("created_at")]
+    k = F.col("c_custkey")
+    stored = read(spark, sf, "customer").select(k.cast("string").alias("id"), F.concat(F.lit("n"), k).alias("name"), F.concat(F.when(k % 2 == 0, "C").otherwise("c"), k % 300, F.lit("@x.org")).alias("email"), F.when(k % 2 == 0, F.concat(F.lit("p"), k)).alias("phone"), *none)
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = read(spark, sf, "orders").where(o % 4 == 0).select(F.concat(F.lit("o"), o).alias("id"), F.concat(F.lit("m"), o).alias("name"), F.when(c % 5 > 0, F.concat(F.lit(" c"), c % 400, F.lit("@X.org "))).alias("email"), F.when(o % 3 == 0, F.concat(F.lit("q"), o)).alias("phone"), *none, o.alias("arrival"))
+    return store.upserted_candidates(stored, rows).select("id", "name", "phone")
+
+
+@query(f"""{WITH}, gone AS (SELECT id AS job_id FROM jobs WHERE status = 'archived'), kept AS (SELECT * FROM resumes WHERE job_id NOT IN (SELECT job_id FROM gone)),
+lost AS (SELECT DISTINCT candidate_id AS id FROM resumes WHERE job_id IN (SELECT job_id FROM gone) AND candidate_id IS NOT NULL AND candidate_id NOT IN (SELECT candidate_id FROM kept WHERE candidate_id IS NOT NULL))
+SELECT 'resumes' AS name, id FROM kept UNION ALL SELECT 'jobs', id FROM jobs WHERE status <> 'archived' UNION ALL SELECT 'candidates', id FROM ({CANDIDATES_SQL}) WHERE id NOT IN (SELECT id FROM lost)
+UNION ALL SELECT 'shortlists', candidate_id FROM shortlists WHERE job_id NOT IN (SELECT job_id FROM gone) AND candidate_id NOT IN (SELECT id FROM lost)
+UNION ALL SELECT 'processing_queue', id FROM kept WHERE id % 2 = 0 UNION ALL SELECT 'embeddings', id FROM kept WHERE id % 5 = 0 UNION ALL SELECT 'candidate_analysis', id FROM kept WHERE id % 3 = 0""")
 def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    tables = {"jobs": jobs(spark, sf), "resumes": resumes(spark, sf).withColumn("file_path", F.col("file_name")), "candidates": candidates(spark, sf), "shortlists": shortlists(spark, sf)}
+    r = resumes(spark, sf).withColumn("file_path", F.col("file_name"))
+    hung = {n: r.where(F.col("id") % m == 0).select(F.col("id").alias("resume_id"), "job_id") for n, m in (("processing_queue", 2), ("embeddings", 5), ("candidate_analysis", 3))}
+    tables = {"jobs": jobs(spark, sf), "resumes": r, "candidates": candidates(spark, sf), "shortlists": shortlists(spark, sf), **hung}
     out, _ = store.deleted_jobs(tables, tables["jobs"].where("status = 'archived'").select(F.col("id").alias("job_id")))
-    count = lambda n: out[n].agg(F.count(F.lit(1)).alias(n))
-    return count("resumes").join(count("jobs")).join(count("candidates"))
+    key = {"jobs": "id", "resumes": "id", "candidates": "id", "shortlists": "candidate_id"}
+    rows = [out[n].select(F.lit(n).alias("name"), F.col(key.get(n, "resume_id")).alias("id")) for n in tables]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(f"{WITH} SELECT id, CASE WHEN id % 7 = 0 THEN concat('text ', id) ELSE file_name END AS raw_text, CASE WHEN id % 5 = 0 THEN id % 11 ELSE candidate_id END AS candidate_id FROM resumes")
+def resume_texts_and_links(spark: SparkSession, sf: str) -> DataFrame:
+    r = resumes(spark, sf).withColumn("raw_text", F.col("file_name"))
+    read_now = r.where("id % 7 = 0").select("id", F.concat(F.lit("text "), "id").alias("raw_text"))
+    linked = r.where("id % 5 = 0").select("id", (F.col("id") % 11).alias("candidate_id"))
+    return store.resume_candidates(store.resume_texts(r, read_now), linked).select("id", "raw_text", "candidate_id")
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_id % 8 AS k FROM events) SELECT id, CASE k WHEN 0 THEN 25.0 WHEN 1 THEN 0.0 WHEN 2 THEN 100.0 WHEN 3 THEN 42.0 WHEN 4 THEN 70.5 WHEN 5 THEN id % 90 + 0.5 END AS llm_score,
+CASE WHEN k < 6 THEN concat('said ', id) END AS summary, CASE WHEN k < 6 THEN CASE WHEN k = 2 THEN 'a|b' ELSE '' END END AS strengths FROM e""")
+def analysis_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a model: quoted and plain scores, out of range, missing, without a summary, no JSON."""
+    summary = F.concat(F.lit('"summary": " said '), "event_id", F.lit(' "'))
+    scores = ['"llm_score": "-25", ', '"llm_score": -25, ', '"llm_score": 150, "strengths": [" a", "b ", " "], ', "", '"llm_score": "70.5 of 100", ']
+    bodies = [F.concat(F.lit("{" + s), summary, F.lit(", }")) for s in scores]
+    bodies += [F.concat(F.lit('Sure:\n```json\n{"llm_score": '), F.col("event_id") % 90 + 0.5, F.lit(", "), summary, F.lit("}\n```")), F.lit('{"llm_score": 5, "summary": " "}'), F.lit("no json")]
+    raw = F.element_at(F.array(*bodies), (F.col("event_id") % 8 + 1).cast("int"))
+    answers = read(spark, sf, "events").select(F.col("event_id").alias("id"), json_repair.analysis(raw, F.lit(42.0)).alias("a"))
+    return answers.select("id", "a.llm_score", "a.summary", F.array_join("a.strengths", "|").alias("strengths"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING' AND (contains(lower(c_name), '7') OR contains(lower(c_mktsegment), 'auto'))")
+def job_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = views.searched_jobs(jobs(spark, sf).join(read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("location")), "id"), "AUTO", "active")
+    named = views.searched_jobs(jobs(spark, sf).withColumn("location", F.lit(None).cast("string")), "7", "active")
+    return found.select("id").unionByName(named.select("id")).distinct()
 
 
 @query(f"{WITH} SELECT id FROM ({CANDIDATES_SQL}) c WHERE NOT EXISTS (SELECT 1 FROM resumes r WHERE r.candidate_id = c.id)")
@@ -425,12 +477,12 @@ def settings_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", embedding(F.col("text")).alias("embedding"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", embedding(F.col("text")).alias("embedding"))
 
 
 @query()
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", normalized(F.col("text")).alias("text"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", normalized(F.col("text")).alias("text"))
 
 
 @query()
@@ -452,7 +504,8 @@ def _resume_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
 def screening(spark: SparkSession, sf: str) -> DataFrame:
     from rankloom.plans.screening import screened
 
-    return screened(*_resume_texts(spark, sf)).drop("embedding")
+    resumes_, jobs_, skills_ = _resume_texts(spark, sf)
+    return screened(spread(resumes_), jobs_, skills_).drop("embedding")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: A table below this holds too few splits for work that is heavy for each row.
+SMALL_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table dealt out evenly; a large one comes in enough splits as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where driver and executors are one process and the setting is missing, a temporary folder is set.
+    """
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")):
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        df.sparkSession.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir"))
+    return df.checkpoint(eager=True)
 
 
 def build_session(app: str = "rankloom", master: str | None = None, **conf: str) -> SparkSession:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education_entries
-from rankloom.functions.embedding import embed, fnv1a
+from rankloom.functions.embedding import END_SHARE, END_WEIGHT, FNV_SEEDS, HEAD_STEP, HEADS, PAIR_WEIGHT, PART_WEIGHT, STOP_WORDS, TOP_SHARE, TOP_WEIGHT, _words, embed, embed_many, fnv1a
 from rankloom.functions.layout import SHOWN, combined_pages, rebuilt
 
 
@@ -75,6 +75,64 @@ def test_vectors(spark):
 PROFILE = "Built payment services in Rust and Python with PostgreSQL, Docker and Kubernetes on AWS."
 
 
+def plain_fnv(key, seed):
+    for byte in key:
+        seed = (seed ^ byte) * 16777619 % 2**32
+    return seed
+
+
+def line_features(line: str) -> list[tuple[str, float]]:
+    """Features of one line in reading order, with their weight in a line of weight 1."""
+    words = [w for w in _words(line.lower()) if len(w.encode()) > 1 and w not in STOP_WORDS]
+    out = []
+    for w in words:
+        out.append((w, 1.0))
+        if len(w.encode()) >= 4:
+            out += [("#" + w[i : i + n], PART_WEIGHT) for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+    return out + [(f"{a}_{b}", PAIR_WEIGHT) for a, b in zip(words, words[1:], strict=False)]
+
+
+def plain_embed(text, dim=384) -> np.ndarray:
+    """The unit vector of a text; zeros if it has no feature."""
+    lines = [s for s in (x.strip() for x in (text or "").strip().split("\n")) if s]
+    vector = np.zeros(dim, np.float32)
+    place: dict[str, int] = {}
+    ids, weights = [], []
+    for at, line in enumerate(lines):
+        share = np.float32(at) / np.float32(len(lines))
+        weight = np.float32(TOP_WEIGHT if share < TOP_SHARE else END_WEIGHT if share > END_SHARE else 1.0)
+        for feature, w in line_features(line):
+            ids.append(place.setdefault(feature, len(place)))
+            weights.append(np.float32(w) * weight)
+    if not place:
+        return vector
+    tf = np.zeros(len(place), np.float32)
+    np.add.at(tf, np.array(ids), np.array(weights, np.float32))
+    keys = [f.encode() for f in place]
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__))  # float sums depend on order: bytes, ascending
+    keys, tf = [keys[i] for i in order], tf[order]
+    scaled = np.float32(1) + np.log(tf.astype(float)).astype(np.float32)
+    a, b = (np.array([plain_fnv(k, s) for k in keys], np.uint32)[:, None] for s in FNV_SEEDS)
+    head = np.arange(HEADS, dtype=np.uint32)[None]
+    seed = (a + head * np.uint32(HEAD_STEP)) ^ (b * (head + np.uint32(1)))
+    sign = np.where((seed >> np.uint32(16)) & np.uint32(1), np.float32(-1), np.float32(1))
+    share = (np.float32(1) / (np.float32(1) + head.astype(np.float32) * np.float32(0.25)))[0]
+    np.add.at(vector, (seed % np.uint32(dim)).ravel(), (sign * scaled[:, None] * share).ravel().astype(np.float32))
+    vector /= 1 + np.abs(vector)
+    length = np.sqrt((vector.astype(float) ** 2).sum())
+    return vector if length <= 1e-12 else (vector / length).astype(np.float32)
+
+
+def test_embedding_of_batches_is_that_of_single_texts():
+    rng = np.random.default_rng(0)
+    some = [f"w{k}" for k in range(90)] + ["c++", "node.js", "Éa", "the", "a", "x" * 300, "#tag", "日本語"]
+    texts = [None, "", " \n ", "the a"] + ["\n".join(" ".join(rng.choice(some, rng.integers(0, 12))) for _ in range(rng.integers(1, 30))) for _ in range(300)]
+    for dim in (384, 64):
+        got = embed_many(texts, dim)
+        for t, v in zip(texts, got, strict=True):
+            assert v.dtype == np.float32 and (v == plain_embed(t, dim)).all(), t
+
+
 def test_embedding():
     assert int(fnv1a([b"rust"], 0x811C9DC5)[0]) == 490716647
     for dim in (384, 768):
@@ -146,6 +204,9 @@ def test_json(spark):
     assert a('{"llm_score": 150, "summary": " s ", "strengths": [" x", " "]}')["llm_score"] == 100
     assert a('{"llm_score": -25, "summary": "s"}')["llm_score"] == 0
     assert a('{"llm_score": "about 70.5 of 100", "summary": "s"}')["llm_score"] == 70.5
+    assert a('{"llm_score": "-25", "summary": "s"}')["llm_score"] == 25
+    assert a('{"llm_score": "7e1", "summary": "s"}')["llm_score"] == 7
+    assert a('{"llm_score": 7e1, "summary": "s"}')["llm_score"] == 70
     assert a('{"summary": "s"}')["llm_score"] == 42
     assert a('{"llm_score": 5}') is None
     assert one(spark, json_repair.json_object(F.lit('x {"a": [1, 2, ], } y'))) == '{"a": [1, 2]}'

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom import schemas
+from rankloom.functions import vectors
 from rankloom.operators import ranking, store, views
 from rankloom.plans.screening import generated, screened
 from rankloom.sources import documents as sources
@@ -81,6 +82,14 @@ def test_upserts(spark, tables):
     got = {r.id: r for r in store.upserted_candidates(stored, arrivals).collect()}
     assert set(got) == {"c1", "c2", "n2", "n4"}
     assert (got["c1"].name, got["c1"].phone, got["n2"].name, got["n2"].phone) == ("Anne", "9", "Cyd", "1")
+    # Stored candidates that share an e-mail stay; the smallest id is updated.
+    shared = stored.unionByName(made(spark, "candidates", id=["c0", "c9"], name=["Ann Two", "Zed"], email=["Ann@X.org", "zed@x.org"]))
+    got = {r.id: (r.name, r.phone) for r in store.upserted_candidates(shared, arrivals).collect()}
+    assert got["c0"] == ("Anne", None) and got["c1"] == ("Ann", "9") and got["c9"] == ("Zed", None) and len(got) == 6
+    texts = store.resume_texts(tables["resumes"], spark.createDataFrame([("r1", "read"), ("zz", "x")], "id string, raw_text string"))
+    assert {r.id: r.raw_text for r in texts.collect()} == {"r1": "read", "r2": None, "r3": None}
+    linked = store.resume_candidates(tables["resumes"], spark.createDataFrame([("r2", "c1"), ("r3", None)], "id string, candidate_id string"))
+    assert {r.id: r.candidate_id for r in linked.collect()} == {"r1": "c1", "r2": "c1", "r3": None}
     more = made(spark, "candidate_analysis", id=["a2", "a3", "a9"], candidate_id=["c", "d", "e"], job_id=["j1", "j1", "j1"], resume_id=["r2", "r5", "r1"], overall_score=[90.0, None, 85.0])
     twice = store.upserted_analysis(store.upserted_analysis(tables["candidate_analysis"], more), more).collect()
     assert {r.resume_id: (r.id, r.rank, r.overall_score) for r in twice} == {"r1": ("a1", 2, 85.0), "r2": ("a2", 1, 90.0), "r5": ("a3", 3, None)}
@@ -129,6 +138,16 @@ def test_similar_for_more_queries_than_a_block(spark):
     assert all(angle(q, r) >= max(angle(q, x) for x in range(40)) - 1e-12 for q, r in best.items())
 
 
+def test_matrix_of_cosines_is_the_expression(spark):
+    some = [None, [], [0.0, 0.0], [1.0, 2.0], [1.0, 2.0], [-3.0, 0.5], [1.0, 2.0, 3.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(some)], "i int, v array<double>")
+    pairs = df.join(df.toDF("j", "w")).select("i", "j", vectors.cosine_similarity(F.col("v"), F.col("w")).alias("c")).collect()
+    got = ranking.cosine_matrix(some, some)
+    for r in pairs:
+        assert math.isclose(got[r.i, r.j], r.c or 0.0, abs_tol=1e-12)
+    assert (got[3] == got[4]).all()
+
+
 def test_versions(spark, tables, tmp_path):
     path = f"file://{tmp_path}/jobs"
     store.save(tables["jobs"], path)
@@ -196,6 +215,33 @@ def test_screening(spark):
     assert generated(resumes, F.lit("x"), "id", lambda p: 1 / 0).where("answer IS NULL").count() == 3
 
 
+def test_models_are_asked_once_and_again_without_a_summary(spark, tmp_path):
+    resumes = spark.createDataFrame([("r1", "j", "Ann Lee\nRust"), ("r2", "j", "Bob Ray\nSQL")], "id string, job_id string, raw_text string")
+    jobs = made(spark, "jobs", id=["j"], title=["Engineer"], description=["Rust engineer"])
+    skills = made(spark, "job_skills", id=["1"], job_id=["j"], skill=["Rust"], importance=["required"])
+
+    def generate(prompt):
+        with open(f"{tmp_path}/asked", "a") as out:
+            out.write(("analysis" if "llm_score" in prompt else "record") + (" again" if "Answer again" in prompt else "") + "\n")
+        if "llm_score" not in prompt:
+            return '{"name": "Known", "skills": ["Go"]}'
+        return '{"llm_score": 88, "summary": "second try"}' if "Answer again" in prompt else '{"llm_score": 12, "summary": "  "}'
+
+    got = screened(resumes, jobs, skills, generate).collect()
+    assert {(r.llm_score, r.ai_summary, r.name) for r in got} == {(88.0, "second try", "Known")}
+    asked = sorted(open(f"{tmp_path}/asked").read().split("\n")[:-1])
+    assert asked == ["analysis", "analysis", "analysis again", "analysis again", "record", "record"]
+
+
+def test_listing_by_two_kinds_of_shortlist_rows(spark):
+    """A shortlist row names a candidate or a résumé; both, one, none, and an unknown candidate."""
+    resumes = made(spark, "resumes", id=["r1", "r2", "r3", "r4"], candidate_id=["c1", "c2", "gone", None], job_id=["j"] * 4, file_name=["a", "b", "c", "d"])
+    candidates = made(spark, "candidates", id=["c1", "c2"], name=["A", "B"])
+    short = made(spark, "shortlists", id=["1", "2", "3", "4", "5"], job_id=["j", "j", "j", "j", "k"], candidate_id=["c1", "r1", "gone", "r4", "c2"], status=["x", "y", "z", "w", "v"])
+    got = views.candidate_listing(resumes, candidates, made(spark, "candidate_analysis", id=["a"], resume_id=["none"], job_id=["j"]), short)
+    assert sorted((r.resume_id, r.shortlist_status) for r in got.collect()) == [("r1", "x"), ("r1", "y"), ("r2", "pending"), ("r3", "pending"), ("r4", "w")]
+
+
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, "queued"), (2, "queued")], "id long, status string")
     events.write.parquet(f"{tmp_path}/in/a")
