@@ -42,6 +42,11 @@ from rankloom.llm.common import sliced, prepare, staged
 
 MARK = "▁".encode()
 LN10 = log(10.0)
+#: In place of a log weight: the beginning of a piece that is no piece itself.
+NO_PIECE = 1.0
+#: Bytes of a marked word whose probability stays far from the smallest double: a byte weighs over 1e-15 whatever
+#: the corpus holds (0.1 of less than 1e14 uses).
+LINEAR_BYTES = 20
 #: Words sent to every scoring task; all others are joined.
 FREQUENT = 150_000
 #: Distinct words that a counting task holds before it hands them on.
@@ -58,11 +63,11 @@ class PieceLattice:
 
     def __init__(self, weights: dict[bytes, float], single: np.ndarray, end: float):
         self.weights, self.single, self.end = weights, single.tolist(), end
-        self.longest = max((len(p) for p in weights), default=1)
-        lead: dict[int, int] = {}
-        for p in weights:
-            lead[p[0]] = max(lead.get(p[0], 1), len(p))
-        self.lead = [lead.get(b, 1) for b in range(256)]
+        # Every beginning of a piece is listed, so a search for the pieces at a place ends at the first miss.
+        beginnings = {p[:k] for p in weights for k in range(1, len(p))}
+        self.known = dict.fromkeys(beginnings, NO_PIECE) | weights
+        self.chances = dict.fromkeys(beginnings, 0.0) | {p: exp(x) for p, x in weights.items()}
+        self.single_chances = [exp(x) for x in self.single]
 
     @classmethod
     def of_model(cls, path: str) -> PieceLattice:
@@ -84,18 +89,21 @@ class PieceLattice:
         """For each end position the (start, log weight, piece) of the pieces that end there; None is a single byte."""
         n = len(w)
         into: list[list] = [[] for _ in range(n + 1)]
-        get, single, lead = self.weights.get, self.single, self.lead
+        get, single = self.known.get, self.single
         for i in range(n):
             into[i + 1].append((i, single[w[i]], None))
-            for j in range(i + 1, min(n, i + lead[w[i]]) + 1):
-                if (x := get(w[i:j])) is not None:
+            for j in range(i + 1, n + 1):
+                x = get(w[i:j])
+                if x is None:
+                    break
+                if x < NO_PIECE:
                     into[j].append((i, x, w[i:j]))
         return into
 
     def marginal(self, word: bytes) -> float:
         """Natural log of the sum over all segmentations: the forward recursion."""
         w = MARK + word
-        n, get, single, lead = len(w), self.weights.get, self.single, self.lead
+        n, get, single = len(w), self.known.get, self.single
         into: list[list[float]] = [[] for _ in range(n + 1)]
         at = 0.0
         for i in range(n):
@@ -103,19 +111,50 @@ class PieceLattice:
                 terms = into[i]
                 top = max(terms)
                 at = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
-            b = w[i]
-            into[i + 1].append(at + single[b])
-            for j in range(i + 1, min(n, i + lead[b]) + 1):
+            into[i + 1].append(at + single[w[i]])
+            for j in range(i + 1, n + 1):
                 x = get(w[i:j])
-                if x is not None:
+                if x is None:
+                    break
+                if x < NO_PIECE:
                     into[j].append(at + x)
         terms = into[n]
         top = max(terms)
         return top + log(sum([exp(t - top) for t in terms]))
 
-    def expected(self, word: bytes, count: float, into_counts: dict, into_single: np.ndarray) -> None:
-        """Adds the expected uses of each piece in ``count`` such words (forward and backward)."""
+    def expected(self, word: bytes, count: float, into_counts: dict, into_single: list) -> None:
+        """Adds the expected uses of each piece in ``count`` such words (forward and backward).
+
+        Probabilities of words up to LINEAR_BYTES can't underflow and are multiplied as they are; longer words go in log space.
+        """
         w = MARK + word
+        n = len(w)
+        if n > LINEAR_BYTES:
+            return self._expected_long(w, count, into_counts, into_single)
+        get, single, uses = self.chances.get, self.single_chances, into_counts.get
+        fore, back, arcs = [1.0] + [0.0] * n, [0.0] * (n + 1), []
+        for i in range(n):
+            at, b = fore[i], w[i]
+            x = single[b]
+            fore[i + 1] += at * x
+            arcs.append((i, i + 1, x, None))
+            for j in range(i + 1, n + 1):
+                x = get(w[i:j])
+                if x is None:
+                    break
+                if x:
+                    fore[j] += at * x
+                    arcs.append((i, j, x, w[i:j]))
+        back[n] = count / fore[n]
+        for i, j, x, piece in reversed(arcs):
+            x *= back[j]
+            back[i] += x
+            if piece is None:
+                into_single[w[i]] += fore[i] * x
+            else:
+                into_counts[piece] = uses(piece, 0.0) + fore[i] * x
+
+    def _expected_long(self, w: bytes, count: float, into_counts: dict, into_single: list) -> None:
         arcs = self.arcs(w)
         n = len(w)
         fore, back = [0.0] * (n + 1), [-1e300] * (n + 1)
@@ -168,13 +207,13 @@ def reestimated(lattice: PieceLattice, counts: DataFrame, end: float) -> PieceLa
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         pieces: dict[bytes, float] = {}
-        single = np.zeros(256)
+        single = [0.0] * 256
         for batch in sliced(batches):
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 model.expected(w, c, pieces, single)
-        used = np.flatnonzero(single)
-        keys = [*pieces, *(bytes([0, b]) for b in used.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([*pieces.values(), *single[used].tolist()], pa.float64())], names=["p", "n"])
+        used = [b for b in range(256) if single[b]]
+        keys = [*pieces, *(bytes([0, b]) for b in used)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([*pieces.values(), *(single[b] for b in used)], pa.float64())], names=["p", "n"])
 
     rows = counts.where("c > 0").select("word", "c").mapInArrow(task, "p binary, n double").groupBy("p").agg(F.sum("n").alias("n")).collect()
     found, single = dict.fromkeys(lattice.weights, 0.01), np.full(256, 0.1)

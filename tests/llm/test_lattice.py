@@ -50,6 +50,16 @@ def test_expected_uses_and_total_weight():
     assert math.isclose(sum(len(p) * n for p, n in found.items()) + single.sum(), 3 * len(MARK + b"abab"), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("w", [b"", b"ab", b"abbab", "zéa".encode(), b"abab" * 4])
+def test_both_ways_of_expected_uses_agree(w):
+    m, by = small(), [({}, [0.0] * 256), ({}, [0.0] * 256)]
+    m.expected(w, 2.5, *by[0])
+    m._expected_long(MARK + w, 2.5, *by[1])
+    assert by[0][0].keys() == by[1][0].keys()
+    assert all(math.isclose(by[0][0][k], by[1][0][k], rel_tol=1e-9) for k in by[0][0])
+    assert np.allclose(by[0][1], by[1][1])
+
+
 @pytest.mark.parametrize("frequent", [2, 150_000])
 def test_scores_against_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(lattice, "FREQUENT", frequent)
