@@ -65,24 +65,31 @@ def _credible(line: str, wording: str) -> bool:
     return any(w in line for w in SCHOOL_WORDS) or any(w in wording.lower() for w in PLAIN_DEGREES)
 
 
+def _first_year(text: str) -> str | None:
+    m = _year.search(text)
+    return m.group() if m else None
+
+
+def _without(text: str, *parts: str | None) -> str:
+    """``text`` without any occurrence of the given parts, and without separators at its edges."""
+    return _edges_off(re.sub("|".join(re.escape(p) for p in parts if p), "", text))
+
+
 def _entry(line: str, following: str | None, category: str, wording: str) -> tuple[dict, bool]:
-    """The record of a degree's line, and whether it took the following line as the school."""
-    m = _year.search(line)
-    year = m.group() if m else None
-    rest = _edges_off(line.replace(wording, ""))
-    if year:
-        rest = _edges_off(rest.replace(year, ""))
-    school, took = "", False
-    if rest and (len(rest.encode()) > 3 or any(w in rest for w in SCHOOL_WORDS)):
-        school = rest
-    elif following is not None and _heading(following) not in CLOSINGS and _degree(following) is None:
-        took, school = True, following
-        if year is None and (m := _year.search(following)):
-            year = m.group()
-        if year:
-            school = _edges_off(school.replace(year, ""))
+    """The record of a degree's line, and whether it took the following line as the school.
+
+    A line is degree, year and the rest; the rest is the school if it is long enough or says so.
+    Otherwise the following line lends its text and, if need be, its year.
+    """
+    year = _first_year(line)
+    school = _without(line, wording, year)
+    says = len(school.encode()) > 3 or any(w in school for w in SCHOOL_WORDS)
+    lends = not says and following is not None and _heading(following) not in CLOSINGS and _degree(following) is None
+    if lends:
+        year = year or _first_year(following)
+        school = (_without(following, year) if year else following) or school
     short = len(wording.encode()) <= 4 and " " not in wording
-    return {"degree": f"{category} ({wording})" if short else wording, "institution": school or rest or "Educational Institution", "year": year}, took
+    return {"degree": f"{category} ({wording})" if short else wording, "institution": school or "Educational Institution", "year": year}, lends
 
 
 def education_entries(text: str | None) -> list[dict]:
@@ -104,6 +111,7 @@ def education_entries(text: str | None) -> list[dict]:
 def education(text: Column) -> Column:
     @F.pandas_udf(f"array<{EDUCATION}>")
     def entries(texts: pd.Series) -> pd.Series:
-        return texts.map(education_entries)
+        known = {t: education_entries(t) for t in texts.dropna().unique()}  # a batch's repeats are read once
+        return texts.map(lambda t: known.get(t, []))
 
     return entries(text)

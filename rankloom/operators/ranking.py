@@ -23,6 +23,27 @@ def ranked(df: DataFrame, group: str, score: str, tie: str, name: str = "rank")
     return df.withColumn(name, F.row_number().over(order).cast("long"))
 
 
+def ranked_in_ranges(df: DataFrame, group: str, score: str, tie: str, name: str = "rank", hot_rows: int = 1_000_000, ranges: int = 256) -> DataFrame:
+    """``ranked`` where a group may hold a large part of all rows.
+
+    A group of more than ``hot_rows`` rows is cut at approximate quantiles of its scores into at
+    most ``ranges`` + 1 ranges; each is ranked by itself and shifted by the rows of the ranges
+    above it. Rows of one score stay in one range.
+    """
+    value = F.nanvl(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))), F.lit(float("inf")))
+    shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    cuts = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(value, shares, 10 * ranges).alias("_cuts")).where(F.col("_rows") > hot_rows)
+    higher = F.coalesce(F.size(F.filter("_cuts", lambda c: c > value)), F.lit(0))
+    placed = df.join(cuts, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(higher)).drop("_group", "_rows", "_cuts")
+    sizes = placed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.select("_group", "_at", above.alias("_above"))
+    order = Window.partitionBy(group, "_range").orderBy(F.desc_nulls_last(score), F.asc(tie))
+    within = placed.withColumn("_rank", F.row_number().over(order).cast("long"))
+    joined = within.join(shift, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn(name, F.col("_rank") + F.coalesce("_above", F.lit(0))).drop("_rank", "_range", "_group", "_at", "_above")
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")

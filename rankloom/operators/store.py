@@ -7,7 +7,7 @@ and swaps. Keys are joined once; the untouched rows are never shuffled for their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -196,30 +196,44 @@ def patched(listing: DataFrame, key: str, status: str, notes: str | None = None)
     return out.withColumn("notes", F.when(hit, notes).otherwise(F.col("notes"))) if notes else out
 
 
+def without(listing: DataFrame, key: str) -> DataFrame:
+    """A listing without one candidate or résumé."""
+    return listing.where(~(F.col("id").eqNullSafe(F.lit(key)) | F.col("resume_id").eqNullSafe(F.lit(key))))
+
+
 def latest_by_text(docs: DataFrame, text: str, order: Column) -> DataFrame:
     """One row for each text, the last by ``order``."""
     return docs.withColumn("_n", F.row_number().over(Window.partitionBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).orderBy(order))).where("_n = 1").drop("_n")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that ``save`` has put in place."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
+
+
+def saved(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))
+
+
 def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Lands a new version of a table; ``path`` is a folder of versions, the newest is read."""
+    """Lands a new version of a table; ``path`` is a folder of versions, the newest is read. One writer at a time."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    present = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    number = 1 + max((int(n[1:]) for n in present if n.startswith("v") and n[1:].isdigit()), default=0)
+    number = 1 + max(_versions(spark, path), default=0)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     staging = f"{path}/_v{number}"
     writer.mode("overwrite").parquet(staging)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(f"{path}/v{number}")):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(at(staging), at(f"{path}/v{number}")):
         raise OSError(f"version {number} of {path} could not be put in place")
 
 
-def load(spark, path: str) -> DataFrame:
+def load(spark: SparkSession, path: str) -> DataFrame:
     """The newest version that ``save`` has put in place."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    numbers = [int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v")]
+    numbers = _versions(spark, path)
+    if not numbers:
+        raise FileNotFoundError(f"no version in {path}")
     return spark.read.parquet(f"{path}/v{max(numbers)}")

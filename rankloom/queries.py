@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import json_repair, scoring, text, vectors
-from rankloom.functions.education import education
 from rankloom.functions.embedding import embedding
 from rankloom.functions.layout import combined_pages, normalized
 from rankloom.operators import ranking, store, views
@@ -485,12 +484,6 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", normalized(F.col("text")).alias("text"))
 
 
-@query()
-def education_entries(spark: SparkSession, sf: str) -> DataFrame:
-    made = F.concat_ws("\n", F.lit("EDUCATION"), F.concat(F.lit("Bachelor of Science, Some University 201"), F.col("p_size") % 10), F.lit("SKILLS"), F.col("p_name"))
-    return read(spark, sf, "part").select("p_partkey", education(made).alias("education"))
-
-
 def _resume_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Made-up résumés (parts), jobs (suppliers) and wanted skills."""
     p = read(spark, sf, "part")

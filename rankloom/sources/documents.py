@@ -131,16 +131,24 @@ def hybrid_pages(pages: Sequence[Page], ocr: OcrProvider | None) -> dict:
     return {"text": text, "method": method, "text_pages": native, "ocr_pages": scanned, "total_pages": len(pages)}
 
 
+def native_pages(pages: Sequence[Page]) -> dict:
+    """Text of a PDF's text layer alone: pages joined by line ends, normalised once as a whole."""
+    text = "".join((p.text or "") + "\n" for p in pages)
+    if not text.strip():
+        raise ValueError("PDF is scanned or has no extractable text layer")
+    return {"text": rebuilt(text), "method": "text", "text_pages": len(pages), "ocr_pages": 0, "total_pages": len(pages)}
+
+
 PdfReader = Callable[[bytes], Sequence[Page]]
 
 
-def extracted(path: str, content: bytes, pdf: PdfReader | None, ocr: OcrProvider | None) -> dict:
-    """The record of one file by its extension; raises for what can't be read."""
+def extracted(path: str, content: bytes, pdf: PdfReader | None, ocr: OcrProvider | None, native: bool = False) -> dict:
+    """The record of one file by its extension; raises for what can't be read. ``native`` reads a PDF's text layer alone."""
     kind = (re.search(r"\.([^./\\]*)$", path) or ["", ""])[1].lower()
     if kind == "pdf":
         if pdf is None:
             raise ValueError("no PDF reader is plugged in")
-        return hybrid_pages(pdf(content), ocr)
+        return native_pages(pdf(content)) if native else hybrid_pages(pdf(content), ocr)
     if kind in ("docx", "doc"):
         try:
             return {"text": rebuilt(docx_text(content)), "method": "text", "text_pages": None, "ocr_pages": None, "total_pages": None}
@@ -163,7 +171,7 @@ def accepted(files: DataFrame) -> DataFrame:
     return files.where(F.lower("file_type").isin(*ACCEPTED))
 
 
-def extract_texts(files: DataFrame, pdf: PdfReader | None = None, ocr: OcrProvider | None = None) -> DataFrame:
+def extract_texts(files: DataFrame, pdf: PdfReader | None = None, ocr: OcrProvider | None = None, native: bool = False) -> DataFrame:
     """Each file's text or error: path, text, method, page counts, error."""
 
     kinds = {"path": pa.string(), "text": pa.string(), "method": pa.string(), "text_pages": pa.int32(), "ocr_pages": pa.int32(), "total_pages": pa.int32(), "error": pa.string()}
@@ -173,7 +181,7 @@ def extract_texts(files: DataFrame, pdf: PdfReader | None = None, ocr: OcrProvid
             out = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    out.append({"path": path, **extracted(path, content, pdf, ocr)})
+                    out.append({"path": path, **extracted(path, content, pdf, ocr, native)})
                 except Exception as e:  # a bad file is a result, not a failed task
                     out.append({"path": path, "error": str(e)})
             yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in out], t) for k, t in kinds.items()], names=list(kinds))
@@ -182,7 +190,16 @@ def extract_texts(files: DataFrame, pdf: PdfReader | None = None, ocr: OcrProvid
 
 
 def landed(files: DataFrame, job_id: str, path: str) -> DataFrame:
-    """Keeps raw files as Parquet, partitioned by job, and returns their résumé rows."""
-    rows = accepted(files).withColumn("job_id", F.lit(job_id)).withColumn("id", F.sha2(F.concat_ws(":", F.lit(job_id), "file_name", "sha256"), 256))
-    rows.write.mode("append").partitionBy("job_id").parquet(path)
-    return rows.select("id", "job_id", "file_name", F.col("path").alias("file_path"), F.when(F.col("file_type") == "", "pdf").otherwise(F.col("file_type")).alias("file_type"), "file_size", F.lit("pending").alias("status"), F.current_timestamp().alias("uploaded_at"))
+    """Keeps raw files as Parquet, partitioned by job, and returns their résumé rows. A file without an
+    extension counts as PDF; a file that the job keeps already isn't kept twice, so a rerun changes nothing."""
+    spark = files.sparkSession
+    kind = F.when(F.coalesce("file_type", F.lit("")) == "", "pdf").otherwise(F.lower("file_type"))
+    named = accepted(files.withColumn("file_type", kind))
+    rows = named.withColumn("job_id", F.lit(job_id)).withColumn("id", F.sha2(F.concat_ws(":", F.lit(job_id), "file_name", "sha256"), 256)).dropDuplicates(["id"])
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    new = rows
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        kept = spark.read.schema(rows.schema).parquet(path).where(F.col("job_id") == job_id).select("id")
+        new = rows.join(kept, "id", "left_anti").select(*rows.columns)
+    new.write.mode("append").partitionBy("job_id").parquet(path)
+    return rows.select("id", "job_id", "file_name", F.col("path").alias("file_path"), "file_type", "file_size", F.lit("pending").alias("status"), F.current_timestamp().alias("uploaded_at"))

@@ -1,19 +1,23 @@
-"""The work queue as streams: bounded intake, idempotent batches, running job status.
+"""The work queue as streams: bounded intake, idempotent batches, changes of state, running job status.
 
 The daily counts are an extension of the queue itself, which has no event time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from rankloom.operators.ranking import latest
-from rankloom.operators.store import load, save, upserted
+from rankloom.operators.store import load, save, saved, upserted
+from rankloom.schemas import QUEUE_STATES
 
 
 def work_stream(spark: SparkSession, path: str, schema: StructType, files_at_once: int = 100) -> DataFrame:
@@ -21,28 +25,60 @@ def work_stream(spark: SparkSession, path: str, schema: StructType, files_at_onc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, keys: list[str], checkpoint: str, every: str = "2.5 seconds", available_now: bool = False) -> DataStreamWriter:
+def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, keys: list[str], checkpoint: str, every: str = "2.5 seconds", available_now: bool = False, order: str | None = None) -> DataStreamWriter:
     """Runs ``work`` on each batch and upserts its rows into ``target`` by ``keys``: a batch
-    that is run again after a crash replaces its own rows."""
+    that is run again after a crash replaces its own rows. Of several rows of a key in a batch the last
+    by ``order`` wins; without one, rows of a key must not repeat within a batch."""
 
     def batch(rows: DataFrame, number: int) -> None:
         done = work(rows)
-        try:
-            present = load(rows.sparkSession, target)
-        except Exception as e:
-            if "FileNotFound" not in str(e) and "max()" not in str(e):
-                raise
-            present = done.limit(0)
-        save(upserted(present, done, keys, keep=()), target)
+        present = load(rows.sparkSession, target) if saved(rows.sparkSession, target) else done.limit(0)
+        save(upserted(present, done, keys, keep=(), order=order), target)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
 
 
+def status_changes(events: DataFrame, job: str = "user_id", item: str = "event_id", state: str = "event_type", at: str = "ts") -> DataFrame:
+    """One row for each change of an item's state: job, item, ``from_status`` (null at first), ``to_status``, ``at``.
+
+    As a stream, the latest state of each item is kept, so a job's items may lie in any
+    number of tasks; an event older than its item's state is no change any more. A
+    table's events are all taken in their order. An event without a state changes nothing.
+    """
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    rows = events.select(job, item, F.col(state).alias("to_status"), F.col(at).alias("at")).where("to_status IS NOT NULL")
+    if not events.isStreaming:
+        before = F.lag("to_status").over(Window.partitionBy(job, item).orderBy("at"))
+        changed = rows.select(job, item, before.alias("from_status"), "to_status", "at")
+        return changed.where("from_status IS NULL OR from_status <> to_status")
+
+    def changes(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, since = held.get if held.exists else (None, None)
+        out = []
+        for to, when in pd.concat(list(frames)).sort_values("at", kind="stable")[["to_status", "at"]].itertuples(index=False):
+            if since is not None and when <= since:
+                continue
+            if to != now:
+                out.append((*key, now, to, when))
+            now, since = to, when
+        held.update((now, since))
+        yield pd.DataFrame(out, columns=[job, item, "from_status", "to_status", "at"])
+
+    state_kind = f"to_status string, at {kind(at)}"
+    return rows.groupBy(job, item).applyInPandasWithState(changes, f"`{job}` {kind(job)}, `{item}` {kind(item)}, from_status string, {state_kind}", state_kind, "append", "NoTimeout")
+
+
+def status_counts(changes: DataFrame, job: str = "user_id") -> DataFrame:
+    """``running_status`` from landed changes: each adds to one counter and takes from another."""
+    is_ = lambda c, s: F.coalesce((F.col(c) == s).cast("long"), F.lit(0))
+    return changes.groupBy(job).agg(F.count_if(F.col("from_status").isNull()).alias("total"), *(F.sum(is_("to_status", s) - is_("from_status", s)).alias(s) for s in QUEUE_STATES))
+
+
 def running_status(events: DataFrame, job: str = "user_id", item: str = "event_id", state: str = "event_type", at: str = "ts") -> DataFrame:
     """Counters of each job over the latest state of each of its items; for ``foreachBatch`` or a table."""
     now = latest(events, [job, item], F.desc(at))
-    return now.groupBy(job).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col(state) == s).alias(s) for s in ("queued", "processing", "completed", "failed")))
+    return now.groupBy(job).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col(state) == s).alias(s) for s in QUEUE_STATES))
 
 
 def daily_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", late: str = "1 hour") -> DataFrame:

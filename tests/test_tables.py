@@ -184,6 +184,12 @@ def test_files(spark, tmp_path):
     assert "no pages" in got["e.pdf"].error and got["f.DOCX"].error
     landed = sources.landed(files, "j1", f"file://{tmp_path}/landed")
     assert landed.count() == 5 and landed.select("id").distinct().count() == 5
+    (tmp_path / "plain").write_bytes(b"no extension")
+    again = sources.landed(sources.read_files(spark, f"file://{tmp_path}", "[a-zA-Z]*").where("path NOT LIKE '%landed%'"), "j1", f"file://{tmp_path}/landed")
+    assert again.where("file_name = 'plain'").first().file_type == "pdf"
+    assert spark.read.parquet(f"file://{tmp_path}/landed").count() == 6  # the five are not kept twice
+    native = {r.path.rsplit("/", 1)[1]: r for r in sources.extract_texts(files, pdf, native=True).collect()}
+    assert native["d.pdf"].text == sources.rebuilt(f"{GOOD}\n\n{GOOD}\n") and "scanned" in native["e.pdf"].error
 
 
 def test_hybrid_pages():
@@ -253,6 +259,44 @@ def test_streams(spark, tmp_path):
     assert sorted(tuple(r) for r in store.load(spark, f"file://{tmp_path}/out").collect()) == [(1, "completed"), (2, "completed"), (3, "completed")]
 
 
+def test_batches_need_an_order_for_repeated_keys(spark, tmp_path):
+    events = spark.createDataFrame([(1, "queued", 1), (1, "failed", 3), (1, "completed", 2)], "id long, status string, at long")
+    events.coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    stream = work.work_stream(spark, f"file://{tmp_path}/in/*", events.schema)
+    assert not store.saved(spark, f"file://{tmp_path}/out")
+    work.processed(stream, lambda df: df, f"file://{tmp_path}/out", ["id"], f"file://{tmp_path}/check", available_now=True, order="at").start().awaitTermination()
+    assert [r.status for r in store.load(spark, f"file://{tmp_path}/out").collect()] == ["failed"]
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, f"file://{tmp_path}/none")
+
+
+def test_changes_of_state_as_a_stream(spark, tmp_path):
+    """Two batches; an event that comes late and one that repeats a state are no changes."""
+    at = lambda n: T0 + dt.timedelta(minutes=n)
+    kinds = "job string, item long, status string, ts timestamp"
+    batches = [[("j", 1, "queued", at(1)), ("j", 1, "processing", at(3)), ("j", 2, "queued", at(1)), ("k", 1, "queued", at(0))], [("j", 1, "completed", at(5)), ("j", 1, "queued", at(2)), ("j", 2, "queued", at(4)), ("k", 1, "failed", at(2)), ("k", 1, None, at(1))]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = work.work_stream(spark, f"file://{tmp_path}/in/*", spark.createDataFrame(rows, kinds).schema)
+        changes = work.status_changes(stream, "job", "item", "status")
+        changes.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    landed = spark.read.parquet(f"{tmp_path}/out")
+    told = {(r.item, r.from_status, r.to_status) for r in landed.where("job = 'j'").collect()}
+    assert told == {(1, None, "queued"), (1, "queued", "processing"), (1, "processing", "completed"), (2, None, "queued")} and landed.count() == 6
+    events = spark.createDataFrame(sum(batches, []), kinds)
+    want = {tuple(r) for r in work.running_status(events, "job", "item", "status").collect()}
+    assert {tuple(r) for r in work.status_counts(landed, "job").collect()} == want == {("j", 2, 1, 0, 1, 0), ("k", 1, 0, 0, 0, 1)}
+
+
+def test_rank_in_ranges(spark):
+    """Equals one sort for each group: nulls, NaN, ties, a null group, small and large groups."""
+    rows = [(g, None if n % 17 == 0 else float("nan") if n % 19 == 0 else float(n * 7 % 23), n) for g, m in (("a", 300), (None, 200), ("b", 5)) for n in range(m)]
+    df = spark.createDataFrame(rows, "g string, s double, id long")
+    want = {tuple(r) for r in ranking.ranked(df, "g", "s", "id").select("g", "id", "rank").collect()}
+    assert {tuple(r) for r in ranking.ranked_in_ranges(df, "g", "s", "id", hot_rows=50, ranges=8).select("g", "id", "rank").collect()} == want
+    assert ranking.ranked_in_ranges(df.limit(0), "g", "s", "id").count() == 0
+
+
 def test_schemas(spark):
     for name in schemas.TABLES:
         assert schemas.empty(spark, name).schema == schemas.schema(name)
