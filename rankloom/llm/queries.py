@@ -120,6 +120,37 @@ SELECT doc_id, size, total AS source_size, target, CAST(epochs * size + greatest
 """
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.common import staged
+    from rankloom.llm.vector_codes import books_digest, code_text, vector_codes
+
+    coded, books = vector_codes(table(spark, sf_dir, "embeddings"), carry={"label": F.col("label")})
+    coded = staged(coded, "vector-codes")  # two readers
+    errors = coded.groupBy(F.col("label").alias("_label")).agg(F.try_sum("error").alias("label_error"))
+    joined = coded.join(errors, F.col("label").eqNullSafe(F.col("_label")))
+    return joined.select("vec_id", code_text(F.col("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds written out: nearest entry by least (distance, index), then floors of the means."""
+    near = "SELECT x.part, x.vec_id, x.n, min({{'d': list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, b.v) + list_dot_product(b.v, b.v), 'i': b.entry}}) AS best FROM x JOIN b{r} b USING (part) GROUP BY ALL"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({near.format(r=r)}),
+b{r + 1} AS MATERIALIZED (SELECT b{r}.part, b{r}.entry, coalesce(m.v, b{r}.v) AS v FROM b{r} LEFT JOIN (
+ SELECT part, i AS entry, list(floor(total / count) ORDER BY pos) AS v FROM (
+  SELECT part, i, pos, sum(c) AS total, count(*) AS count FROM (SELECT x.part, a.best.i AS i, generate_subscripts(x.v, 1) AS pos, unnest(x.v) AS c FROM x JOIN a{r} a USING (part, n)) GROUP BY ALL) GROUP BY ALL) m USING (part, entry))""")
+    last = f"SELECT part, n, vec_id, best FROM ({near.format(r=rounds)})"
+    return f"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, n, p AS part, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS v FROM k, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT part, n - 1 AS entry, v FROM x WHERE n <= {entries}),
+{",\n".join(steps)},
+z AS MATERIALIZED (SELECT n, string_agg(printf('%02x', best.i), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM ({last}) GROUP BY n),
+s AS (SELECT sha256(string_agg(w, ',' ORDER BY part, entry)) AS h FROM (SELECT part, entry, array_to_string(list_transform(v, lambda c: c::BIGINT), ',') AS w FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM z JOIN k USING (n), s"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -132,8 +163,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_private_data": op10_private_data,
         "op3_exact_dedup": op3_exact_dedup,
         "op9_mixing": op9_mixing,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op13_vector_codes": _op13_sql()}
