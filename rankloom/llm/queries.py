@@ -120,6 +120,46 @@ SELECT doc_id, size, total AS source_size, target, CAST(epochs * size + greatest
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.merkle import folded, leaf_digest, merkle_manifest, siblings
+
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = leaf_digest("doc_id", "source", "lang", "n_chars", F.translate("text", upper, upper.lower()))
+    made = merkle_manifest(docs, carry={"changed": F.when(fold("doc_id", 5) == 0, changed)})
+    told = made.withColumn("folded_root", folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    return told.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+OP11_SQL = rf"""
+WITH RECURSIVE w AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+              lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM documents),
+l AS (SELECT doc_id, source, {_LEAF.format(_FIELD.format("text"))} AS leaf, CASE WHEN xor(c, 4294967295) % 5 = 0 THEN {_LEAF.format(_FIELD.format("low"))} END AS changed FROM w),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+up AS (SELECT 0 AS level, source, pos, leaf AS h, n FROM d
+ UNION ALL SELECT level + 1, source, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY level, source, pos // 16, n),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+ups AS (SELECT 0 AS level, place AS pos, subroot AS h, n FROM s
+ UNION ALL SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM ups WHERE n > 1 GROUP BY level, pos // 16, n),
+beside AS (SELECT level, coalesce('s' || source, 'n') AS g, pos, coalesce(string_agg(h, '') OVER (a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER (a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM up WHERE n > 1 WINDOW a AS (PARTITION BY level, source, pos // 16 ORDER BY pos)),
+besides AS (SELECT level, pos, coalesce(string_agg(h, '') OVER (a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER (a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM ups WHERE n > 1 WINDOW a AS (PARTITION BY level, pos // 16 ORDER BY pos)),
+f AS (SELECT coalesce('s' || source, 'n') AS g, pos AS leaf_pos, 0 AS level, pos, coalesce(changed, leaf) AS h, '' AS proof FROM d
+ UNION ALL SELECT f.g, leaf_pos, f.level + 1, f.pos // 16, sha256(before || h || after), proof || before || after FROM f JOIN beside b ON b.g = f.g AND b.level = f.level AND b.pos = f.pos),
+last AS (SELECT g, leaf_pos, max_by(h, level) AS h, max_by(proof, level) AS proof FROM f GROUP BY g, leaf_pos),
+t AS (SELECT g, leaf_pos, 0 AS level, place AS pos, h, proof FROM last JOIN s ON g = coalesce('s' || source, 'n')
+ UNION ALL SELECT g, leaf_pos, t.level + 1, t.pos // 16, sha256(before || h || after), proof || before || after FROM t JOIN besides b ON b.level = t.level AND b.pos = t.pos),
+told AS (SELECT g, leaf_pos, max_by(h, level) AS h, max_by(proof, level) AS proof FROM t GROUP BY g, leaf_pos),
+root AS (SELECT h FROM ups WHERE n = 1)
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(told.proof) AS proof_sha256, told.h AS folded_root, told.h = root.h AS verified
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN told ON told.g = coalesce('s' || d.source, 'n') AND told.leaf_pos = d.pos, root
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.common import staged
     from rankloom.llm.vector_codes import books_digest, code_text, vector_codes
@@ -163,9 +203,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_private_data": op10_private_data,
         "op3_exact_dedup": op3_exact_dedup,
         "op9_mixing": op9_mixing,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op13_vector_codes": _op13_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_vector_codes": _op13_sql()}
