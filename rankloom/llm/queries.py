@@ -160,6 +160,25 @@ FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN told ON told.g = co
 """
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.substring import without_repeated
+
+    kept = without_repeated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, r, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT r, i FROM win JOIN m USING (s) WHERE doc_id > m OR doc_id IS NULL AND m IS NOT NULL),
+cov AS (SELECT DISTINCT r, i + j AS p FROM gone, range(13) t(j)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n FROM words ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.common import staged
     from rankloom.llm.vector_codes import books_digest, code_text, vector_codes
@@ -204,9 +223,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op9_mixing": op9_mixing,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_vector_codes": _op13_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
