@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import math
+import random
 import zipfile
 
 import pytest
@@ -271,10 +272,10 @@ def test_batches_need_an_order_for_repeated_keys(spark, tmp_path):
 
 
 def test_changes_of_state_as_a_stream(spark, tmp_path):
-    """Two batches; an event that comes late and one that repeats a state are no changes."""
+    """Two batches; an event that comes late takes its place, and one that repeats a state is no change. A last batch moves the watermark on."""
     at = lambda n: T0 + dt.timedelta(minutes=n)
     kinds = "job string, item long, status string, ts timestamp"
-    batches = [[("j", 1, "queued", at(1)), ("j", 1, "processing", at(3)), ("j", 2, "queued", at(1)), ("k", 1, "queued", at(0))], [("j", 1, "completed", at(5)), ("j", 1, "queued", at(2)), ("j", 2, "queued", at(4)), ("k", 1, "failed", at(2)), ("k", 1, None, at(1))]]
+    batches = [[("j", 1, "queued", at(1)), ("j", 1, "processing", at(3)), ("j", 2, "queued", at(1)), ("k", 1, "queued", at(0))], [("j", 1, "completed", at(5)), ("j", 1, "queued", at(2)), ("j", 2, "queued", at(4)), ("k", 1, "failed", at(2)), ("k", 1, None, at(1))], [("end", 1, "queued", at(500))]]
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
         stream = work.work_stream(spark, f"file://{tmp_path}/in/*", spark.createDataFrame(rows, kinds).schema)
@@ -283,11 +284,43 @@ def test_changes_of_state_as_a_stream(spark, tmp_path):
     landed = spark.read.parquet(f"{tmp_path}/out")
     told = {(r.item, r.from_status, r.to_status) for r in landed.where("job = 'j'").collect()}
     assert told == {(1, None, "queued"), (1, "queued", "processing"), (1, "processing", "completed"), (2, None, "queued")} and landed.count() == 6
-    events = spark.createDataFrame(sum(batches, []), kinds)
+    events = spark.createDataFrame(sum(batches[:2], []), kinds)
     want = {tuple(r) for r in work.running_status(events, "job", "item", "status").collect()}
     assert {tuple(r) for r in work.status_counts(landed, "job").collect()} == want == {("j", 2, 1, 0, 1, 0), ("k", 1, 0, 0, 0, 1)}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_stream_and_table_give_the_same_changes(spark, tmp_path, seed):
+    """Random events with equal times, ties, late rows and finished items that begin anew; the state of finished items goes."""
+    rng = random.Random(seed)
+    kinds = "job string, item long, status string, ts timestamp, n long"
+    now, batches, n = 0.0, [], 0
+    for _ in range(7):
+        rows = []
+        for _ in range(60):
+            now += rng.choice([0, 0, 1, 2])
+            n += 1
+            rows.append((rng.choice(["hot", "hot", "b"]), rng.randrange(6), rng.choice([*schemas.QUEUE_STATES, "completed", None]), T0 + dt.timedelta(minutes=now - rng.randrange(25)), rng.choice([n, None])))
+        batches.append(rows)
+    events = spark.createDataFrame(sum(batches, []), kinds)
+    batches.append([("end", 0, "queued", T0 + dt.timedelta(days=9), 0)])
+    more = {"tie": ["n"], "keep": "10 minutes"}
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        changes = work.status_changes(work.work_stream(spark, f"file://{tmp_path}/in/*", events.schema), "job", "item", "status", late="30 minutes", parts=3, **more)
+        query = changes.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    told = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    want = work.status_changes(events, "job", "item", "status", **more)
+    assert told(spark.read.parquet(f"{tmp_path}/out")) == told(want)
+    anew = want.where("from_status IS NULL").count()
+    assert anew > events.select("job", "item").distinct().count()  # some were forgotten
+    stored = spark.read.format("statestore").option("path", f"{tmp_path}/check").option("stateVarName", "last").load()
+    # Only items that never finished are still held, and none waits but the closing event.
+    left = work.latest(events.where("status IS NOT NULL"), ["job", "item"], F.desc("ts"), F.desc("n"), F.desc("status")).where(~F.col("status").isin(*work.FINISHED)).count()
+    assert stored.count() == left
+
+
 def test_rank_in_ranges(spark):
     """Equals one sort for each group: nulls, NaN, ties, a null group, small and large groups."""
     rows = [(g, None if n % 17 == 0 else float("nan") if n % 19 == 0 else float(n * 7 % 23), n) for g, m in (("a", 300), (None, 200), ("b", 5)) for n in range(m)]
