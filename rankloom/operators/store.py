@@ -120,17 +120,27 @@ def orphan_candidates(candidates: DataFrame, resumes: DataFrame) -> DataFrame:
     return candidates.join(resumes.select(F.col("candidate_id").alias("id")), "id", "left_anti")
 
 
-def resume_status(resumes: DataFrame, changes: DataFrame) -> DataFrame:
+#: States that end work on a résumé.
+ENDED = ("completed", "failed")
+
+
+def _in_order(changes: DataFrame, order: str | None) -> Column:
+    """What repeated changes of a key are ordered by: ``order``, then what they say."""
+    return F.struct(*([order] if order else []), "status", "error_message")
+
+
+def resume_status(resumes: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
     """Résumés after changes (id, status, error_message): the error is replaced, even by null, and the
-    time of processing is set once a résumé is completed or failed."""
-    c = changes.select("id", F.col("status").alias("_s"), F.col("error_message").alias("_e"), F.lit(True).alias("_hit"))
-    ended = F.col("_s").isin("completed", "failed")
+    time of processing is set once a résumé is completed or failed. Several changes of one résumé are folded in the order of
+    the column ``order``; a change without a status changes nothing."""
+    last = F.max_by(F.struct("status", "error_message"), _in_order(changes, order))
+    c = changes.where("status IS NOT NULL").groupBy("id").agg(last.alias("_to"), F.bool_or(F.col("status").isin(*ENDED)).alias("_ended"))
     joined = resumes.join(c, "id", "left")
-    hit = F.coalesce("_hit", F.lit(False))
+    hit = F.col("_to").isNotNull()
     return joined.withColumns({
-        "status": F.when(hit, F.col("_s")).otherwise(F.col("status")),
-        "error_message": F.when(hit, F.col("_e")).otherwise(F.col("error_message")),
-        "processed_at": F.when(hit & ended, F.current_timestamp()).otherwise(F.col("processed_at")),
+        "status": F.when(hit, F.col("_to.status")).otherwise(F.col("status")),
+        "error_message": F.when(hit, F.col("_to.error_message")).otherwise(F.col("error_message")),
+        "processed_at": F.when(F.col("_ended"), F.current_timestamp()).otherwise(F.col("processed_at")),
     }).select(*resumes.columns)
 
 
@@ -150,17 +160,23 @@ def resume_candidates(resumes: DataFrame, changes: DataFrame) -> DataFrame:
     return _with_values(resumes, changes, "id", "candidate_id")
 
 
-def queue_status(queue: DataFrame, changes: DataFrame) -> DataFrame:
-    """Queue rows after changes (resume_id, status, error_message): a start counts an attempt, an end notes its time."""
-    c = changes.select("resume_id", F.col("status").alias("_s"), F.col("error_message").alias("_e"))
-    joined = queue.join(c, "resume_id", "left")
-    to = lambda *s: F.coalesce(F.col("_s").isin(*s), F.lit(False))
-    return joined.withColumns({
+def queue_status(queue: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Queue rows after changes (resume_id, status, error_message): a start counts an attempt, an end notes its time. Starts and
+    completions leave the error; a failure and any other state replace it, even by null. Several changes of one
+    résumé are folded in the order of the column ``order``; a change without a status changes nothing."""
+    rank, status = _in_order(changes, order), F.col("status")
+    c = changes.where("status IS NOT NULL").groupBy("resume_id").agg(
+        F.max_by("status", rank).alias("_s"),
+        F.max_by(F.struct("error_message"), F.when(~status.isin("processing", "completed"), rank)).alias("_e"),
+        F.count_if(status == "processing").alias("_starts"),
+        F.bool_or(status.isin(*ENDED)).alias("_ended"),
+    )
+    return queue.join(c, "resume_id", "left").withColumns({
         "status": F.coalesce("_s", "status"),
-        "attempts": F.col("attempts") + to("processing").cast("long"),
-        "started_at": F.when(to("processing"), F.current_timestamp()).otherwise(F.col("started_at")),
-        "completed_at": F.when(to("completed", "failed"), F.current_timestamp()).otherwise(F.col("completed_at")),
-        "error_message": F.when(to("failed"), F.col("_e")).otherwise(F.col("error_message")),
+        "attempts": F.col("attempts") + F.coalesce("_starts", F.lit(0)),
+        "started_at": F.when(F.col("_starts") > 0, F.current_timestamp()).otherwise(F.col("started_at")),
+        "completed_at": F.when(F.col("_ended"), F.current_timestamp()).otherwise(F.col("completed_at")),
+        "error_message": F.when(F.col("_e").isNotNull(), F.col("_e.error_message")).otherwise(F.col("error_message")),
     }).select(*queue.columns)
 
 

@@ -245,6 +245,47 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
     return work.status_counts(work.status_changes(items(spark, sf), "user_id", "item", "status", "at"))
 
 
+@query(f"""SELECT id, CASE id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' WHEN 3 THEN 'paused' ELSE status END AS status, id % 3 + CASE WHEN id % 5 IN (0, 2) THEN 2 WHEN id % 5 = 1 THEN 1 ELSE 0 END AS attempts,
+id % 5 < 3 AS started, id % 5 < 3 AS ended, CASE id % 5 WHEN 0 THEN NULL WHEN 2 THEN concat('again ', id) WHEN 3 THEN 'hold' ELSE 'before' END AS error_message FROM ({QUEUE_SQL})""")
+def queue_states_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Several changes of an entry at once, in their order; states of other names replace the error, even by null."""
+    q = queue(spark, sf).withColumns({"attempts": F.col("id") % 3, "started_at": F.lit(None).cast("timestamp"), "completed_at": F.lit(None).cast("timestamp"), "error_message": F.lit("before")})
+    said = lambda n, status, why=None: F.struct(F.lit(n).alias("n"), F.lit(status).alias("status"), (F.lit(why) if not isinstance(why, Column) else why).cast("string").alias("error_message"))
+    again = F.concat(F.lit("again "), F.col("id").cast("string"))
+    runs = {
+        0: [said(4, "queued"), said(1, "processing"), said(2, "failed", "why"), said(3, "processing", "x")],
+        1: [said(2, "completed", "unread"), said(1, "processing", "unread")],
+        2: [said(3, "processing"), said(4, "failed", again), said(1, "processing"), said(2, "failed", "first")],
+        3: [said(1, "paused", "hold"), said(2, None, "no state")],
+    }
+    told = F.when(F.lit(False), F.array(said(0, "x", "x")))
+    for k, run in runs.items():
+        told = told.when(F.col("id") % 5 == k, F.array(*run))
+    changes = q.select("resume_id", F.explode(told).alias("c")).select("resume_id", "c.*")
+    return store.queue_status(q, changes, "n").select("id", "status", "attempts", F.col("started_at").isNotNull().alias("started"), F.col("completed_at").isNotNull().alias("ended"), "error_message")
+
+
+@query(f"""{WITH} SELECT id, CASE WHEN id % 4 = 1 THEN 'queued' WHEN id % 4 = 2 THEN 'failed' ELSE status END AS status, CASE WHEN id % 4 = 1 THEN NULL WHEN id % 4 = 2 THEN concat('bad ', id) ELSE 'before' END AS error_message, id % 4 IN (1, 2) AS processed FROM resumes""")
+def resume_states_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Several changes of a résumé at once: the last one stands, and an end among them sets its time."""
+    r = resumes(spark, sf).withColumns({"error_message": F.lit("before"), "processed_at": F.lit(None).cast("timestamp")})
+    step = lambda at, n, status, why: r.where(at).select("id", F.lit(n).alias("n"), F.lit(status).alias("status"), why.cast("string").alias("error_message"))
+    k, bad, none = F.col("id") % 4, F.concat(F.lit("bad "), "id"), F.lit(None)
+    changes = [step(k == 1, 3, "queued", none), step(k == 1, 2, "completed", bad), step(k.isin(1, 2), 1, "extracting", none), step(k == 2, 2, "failed", bad), step(k == 2, 9, None, none)]
+    return store.resume_status(r, reduce(DataFrame.unionByName, changes), "n").select("id", "status", "error_message", F.col("processed_at").isNotNull().alias("processed"))
+
+
+KEPT_SQL = "b IN ('completed', 'failed') AND queued_at > t + INTERVAL 2 DAYS"
+
+
+@query(f"""SELECT user_id, item, CASE WHEN NOT ({KEPT_SQL}) THEN b END AS from_status, status AS to_status, queued_at AS at FROM (
+SELECT *, lag(status) OVER o AS b, lag(queued_at) OVER o AS t FROM ({ITEMS_SQL}) WINDOW o AS (PARTITION BY user_id, item ORDER BY queued_at, id)) WHERE b IS NULL OR b <> status OR {KEPT_SQL}""")
+def status_changes_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished items are forgotten after two days: what comes later begins anew."""
+    e = queue(spark, sf).withColumns({"user_id": F.col("job_id"), "item": F.col("id") % 7})
+    return work.status_changes(e, "user_id", "item", "status", "queued_at", tie=["id"], keep="2 DAYS")
+
+
 # Records of a résumé and their scores.
 
 

@@ -72,6 +72,12 @@ def test_queue(spark, tables):
     resumes, queue = store.retried(tables["resumes"], q, F.col("id") == "r1")
     assert queue.count() == 2 and queue.where("resume_id = 'r1' AND status = 'queued' AND attempts = 0").count() == 1
     assert resumes.where("id = 'r1'").first().status == "queued"
+    many = spark.createDataFrame([("r1", "queued", None, 3), ("r1", "failed", "x", 2), ("r1", "processing", None, 1), ("r2", "paused", "hold", 1), ("r2", None, "?", 2), ("zz", "failed", "no such entry", 1)], "resume_id string, status string, error_message string, n int")
+    now = {r.resume_id: r for r in store.queue_status(q, many, "n").collect()}
+    assert len(now) == q.count() and (now["r1"].status, now["r1"].attempts, now["r1"].error_message, now["r1"].completed_at is not None) == ("queued", 2, None, True)
+    assert (now["r2"].status, now["r2"].attempts, now["r2"].error_message) == ("paused", 0, "hold")
+    done = store.resume_status(tables["resumes"], many.withColumnRenamed("resume_id", "id"), "n")
+    assert done.count() == 3 and [tuple(r) for r in done.where("id = 'r1'").select("status", "error_message", F.col("processed_at").isNotNull()).collect()] == [("queued", None, True)]
     done = store.resume_status(tables["resumes"], spark.createDataFrame([("r2", "failed", "x")], "id string, status string, error_message string"))
     assert done.where("id = 'r2' AND processed_at IS NOT NULL AND error_message = 'x'").count() == 1
     assert views.queue_order(store.reconciled(q)).first().id == "q2"
