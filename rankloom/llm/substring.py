@@ -8,7 +8,8 @@ is reported. The reports go back to their documents by key, where the covered wo
 
 * Scatter: tasks take documents in chunks of about CHUNK bytes. Windows of a chunk are sorted first: what a smaller
   document of the chunk holds is settled there, and of the rest each document sends a window once. So a window of very
-  many documents arrives once from every chunk at most. A chunk sends one compressed blob to a bucket.
+  many documents arrives once from every chunk at most. A chunk sends one compressed blob to a bucket, and its documents'
+  keys once; reports name a document by its chunk and place.
 * Buckets: as many as hold about BUCKET bytes of strings each. A minimiser that a sample of the documents (one in
   SAMPLED, by the hash of the text) shows to hold more than an eighth of a bucket is split: its windows travel one by
   one, dealt out by their own hash. The sample decides where windows meet, never whether.
@@ -29,13 +30,14 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import prepare, sliced, staged, staging
 
 #: Words of a minimiser.
-M = 4
+M = 3
 #: Bytes of text that a task sorts at a time, and bytes of packed strings that a bucket holds, about.
 CHUNK, BUCKET = 8 << 20, 12 << 20
 #: One document in so many is looked at for hot minimisers.
@@ -44,7 +46,6 @@ SAMPLED = 32
 MOST_HOT = 1 << 20
 #: Bytes whose hashes are worked out at a time, and blobs that are handed over at a time.
 _BLOCK, BLOBS = 1 << 20, 64
-_CODEC = "zstd"
 _byte_values = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
 _byte_values[[10, 32]] = 0  # between words
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -228,8 +229,9 @@ def scattered(docs: DataFrame, k: int, buckets: int, hot: list[int]) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))  # at most MOST_HOT
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec(_CODEC)
-        for unknown, a, b, texts in _chunks(batches, CHUNK):
+        codec, task = _codec(), TaskContext.get().partitionId()
+        for number, (unknown, a, b, texts) in enumerate(_chunks(batches, CHUNK)):
+            chunk = (task << 32) + number
             words = Words(texts, k)
             gone, sent, repeats = _sent(words, _ranks(unknown, a))
             bucket, word, count = _super_kmers(words, sent, buckets, shared.value)
@@ -240,77 +242,78 @@ def scattered(docs: DataFrame, k: int, buckets: int, hot: list[int]) -> DataFram
                 strings = [words.packed(w, c) for w, c in zip(word[own].tolist(), count[own].tolist(), strict=True)]
                 doc = words.text[word[own]]
                 which, seat = np.unique(doc, return_inverse=True)
-                out.append((int(bucket[own[0]]), _packed(unknown[which], a[which], b[which], seat, word[own] - words.first[doc], strings)))
-            # What is settled here goes along to a bucket of the chunk's choice.
+                out.append((int(bucket[own[0]]), _packed(chunk, which, unknown[which], a[which], seat, word[own] - words.first[doc], strings)))
+            # The chunk's documents and what is settled here go along to a bucket of the chunk's choice.
             doc = words.text[words.windows[gone]]
             edge, spans = np.searchsorted(doc, np.arange(len(texts) + 1)), []
             again = set(repeats.tolist())
-            for d in np.union1d(np.unique(doc), repeats).tolist():
+            for d in range(len(texts)):
                 mine = _spans(words.windows[gone[edge[d] : edge[d + 1]]] - words.first[d])
-                spans.append((d, np.concatenate([mine, REPEATS]) if d in again else mine))
-            if spans:
-                at = [d for d, _ in spans]
-                out.append((int(abs(int(a[0]) ^ int(b[0])) % buckets), _settled(unknown[at], a[at], b[at], [s for _, s in spans])))
+                spans.append(np.concatenate([mine, REPEATS]) if d in again else mine)
+            out.append((chunk * 31 % buckets, _settled(chunk, unknown, a, b, spans)))
             for low in range(0, len(out), BLOBS):
-                number, raw = zip(*out[low : low + BLOBS], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(map(len, raw), pa.int64()), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())], names=["bucket", "size", "blob"])
+                to, raw = zip(*out[low : low + BLOBS], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(map(len, raw), pa.int64()), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())], names=["bucket", "size", "blob"])
 
     return docs.mapInArrow(scatter, "bucket long, size long, blob binary")
 
 
-def _packed(unknown: np.ndarray, a: np.ndarray, b: np.ndarray, seat: np.ndarray, word: np.ndarray, strings: list[bytes]) -> bytes:
-    """A blob of strings: their documents' keys, and of each its document (in steps), its first word and its text."""
-    head = np.array([len(a), len(strings)], np.int32)
-    steps = np.diff(seat, prepend=0).astype(np.int32)
-    return b"".join([head.tobytes(), unknown.astype(np.uint8).tobytes(), np.diff(a, prepend=0).tobytes(), b.tobytes(), steps.tobytes(), word.astype(np.int32).tobytes(), b"\n".join(strings)])
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=6)
 
 
-def _settled(unknown: np.ndarray, a: np.ndarray, b: np.ndarray, spans: list[np.ndarray]) -> bytes:
-    """A blob of settled spans: no strings, but for each key the number of its spans, and the spans."""
-    head = np.array([len(a), -1], np.int32)
+def _packed(chunk: int, which: np.ndarray, unknown: np.ndarray, a: np.ndarray, seat: np.ndarray, word: np.ndarray, strings: list[bytes]) -> bytes:
+    """A blob of strings: their documents' places in the chunk and ids, and of each its document (in steps), its first word and its text."""
+    head = np.array([chunk, len(a), len(strings)], np.int64)
+    steps = lambda x: np.diff(x, prepend=0).astype(np.int32).tobytes()
+    return b"".join([head.tobytes(), steps(which), unknown.astype(np.uint8).tobytes(), np.diff(a, prepend=0).tobytes(), steps(seat), word.astype(np.int32).tobytes(), b"\n".join(strings)])
+
+
+def _settled(chunk: int, unknown: np.ndarray, a: np.ndarray, b: np.ndarray, spans: list[np.ndarray]) -> bytes:
+    """A blob of all documents of a chunk: their keys, the number of their settled spans, and the spans."""
+    head = np.array([chunk, len(a), -1], np.int64)
     counts = np.array([len(s) for s in spans], np.int32)
     return b"".join([head.tobytes(), unknown.astype(np.uint8).tobytes(), np.diff(a, prepend=0).tobytes(), b.tobytes(), counts.tobytes(), np.concatenate(spans).tobytes()])
 
 
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """unknown, a, b, and (seat, word, strings) or (spans,)."""
-    docs, strings = np.frombuffer(raw, np.int32, 2).tolist()
-    at = 8
+class _Reader:
+    """Arrays from a blob, one after another."""
 
-    def taken(kind: type, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(raw, kind, n, at)
-        at += out.nbytes
-        return out
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
 
-    unknown, a, b = taken(np.uint8, docs).astype(bool), np.cumsum(taken(np.int64, docs)), taken(np.int64, docs)
-    if strings < 0:
-        counts = taken(np.int32, docs)
-        return unknown, a, b, (np.split(taken(np.int32, 2 * int(counts.sum())).reshape(-1, 2), np.cumsum(counts)[:-1]),)
-    return unknown, a, b, (np.cumsum(taken(np.int32, strings)), taken(np.int32, strings), raw[at:].split(b"\n"))
+    def __call__(self, kind: type, n: int) -> np.ndarray:
+        out = np.frombuffer(self.raw, kind, n, self.at)
+        self.at += out.nbytes
+        return out
 
 
 def reported(blobs: DataFrame, k: int) -> DataFrame:
-    """(KEY, spans): windows that a smaller document holds too, as int32 pairs (first window, count)."""
+    """(KEY, spans): windows that a smaller document holds too, as int32 pairs (first window, count), by document."""
 
     def count(_: tuple, rows: pa.Table) -> pa.Table:
-        codec = pa.Codec(_CODEC)
-        keys, seats, at, strings, out = [], [], [], [], []
+        codec = _codec()
+        places, unknown, a, seats, at, strings, out = [], [], [], [], [], [], []
         held = 0
         for size, blob in zip(rows["size"].to_pylist(), rows["blob"].to_pylist(), strict=True):
-            unknown, a, b, rest = _unpacked(codec.decompress(blob, size, asbytes=True))
-            if len(rest) == 1:
-                out += [(bool(u), int(x), int(y), s.tobytes()) for u, x, y, s in zip(unknown, a, b, rest[0], strict=True)]
+            take = _Reader(codec.decompress(blob, size, asbytes=True))
+            chunk, docs, n = take(np.int64, 3).tolist()
+            if n < 0:
+                key = take(np.uint8, docs).astype(bool).tolist(), np.cumsum(take(np.int64, docs)).tolist(), take(np.int64, docs).tolist()
+                counts = take(np.int32, docs)
+                spans = np.split(take(np.int32, 2 * int(counts.sum())).reshape(-1, 2), np.cumsum(counts)[:-1])
+                out += [(chunk, d, *own, s.tobytes() or None) for d, (*own, s) in enumerate(zip(*key, spans, strict=True))]
                 continue
-            keys.append((unknown, a, b))
-            seats.append(rest[0] + held)
-            at.append(rest[1])
-            strings += rest[2]
-            held += len(a)
+            places += [(chunk, d) for d in np.cumsum(take(np.int32, docs)).tolist()]
+            unknown.append(take(np.uint8, docs).astype(bool))
+            a.append(np.cumsum(take(np.int64, docs)))
+            seats.append(np.cumsum(take(np.int32, n)) + held)
+            at.append(take(np.int32, n))
+            strings += take.raw[take.at :].split(b"\n")
+            held += docs
         if strings:
-            unknown, a, b = (np.concatenate(x) for x in zip(*keys, strict=True))
             seat, at = np.concatenate(seats), np.concatenate(at)
-            rank = _ranks(unknown, a)
+            rank = _ranks(np.concatenate(unknown), np.concatenate(a))
             words = Words(strings, k)
             lead, own = words.leaders(rank[seat]), words.text[words.windows]
             gone = np.flatnonzero(rank[seat[own]] > rank[seat[own[lead]]])
@@ -319,12 +322,15 @@ def reported(blobs: DataFrame, k: int) -> DataFrame:
             order = np.lexsort((place, seat[string]))
             doc, place = seat[string][order], place[order]
             for low, high in _equal(doc):
-                d = doc[low]
-                out.append((bool(unknown[d]), int(a[d]), int(b[d]), _spans(place[low:high]).tobytes()))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["unknown", "a", "b", "spans"])
+                out.append((*places[doc[low]], None, None, None, _spans(place[low:high]).tobytes()))
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["chunk", "doc", "unknown", "a", "b", "spans"])
 
-    return blobs.groupBy("bucket").applyInArrow(count, f"{KEY}, spans binary")
+    told = blobs.groupBy("bucket").applyInArrow(count, f"chunk long, doc long, {KEY}, spans binary")
+    # A document's reports meet its key, which its chunk has sent once.
+    of_doc = told.groupBy("chunk", "doc").agg(*(F.max(c).alias(c) for c in ("unknown", "a", "b")), F.collect_list("spans").alias("spans")).where(F.size("spans") > 0)
+    return of_doc.groupBy("unknown", "a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def covered(text: bytes, spans: list[bytes], k: int) -> tuple[list[bytes], np.ndarray]:
@@ -380,8 +386,7 @@ def without_repeated(docs: DataFrame, carry: dict[str, Column] | None = None, k:
     parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     buckets = int(max(2 * parallel, 3 * total // bucket_bytes))
     reports = reported(scattered(texts, k, buckets, hot_minimisers(texts, k, buckets)), k)
-    by_doc = reports.groupBy(*key).agg(F.collect_list("spans").alias("spans"))  # a document's own spans
-    met = rows.join(by_doc, [*key], "left").select(*carried, "text", "spans")
+    met = rows.join(reports, [*key], "left").select(*carried, "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
