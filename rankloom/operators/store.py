@@ -7,11 +7,14 @@ and swaps. Keys are joined once; the untouched rows are never shuffled for their
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.operators.ranking import latest, ranked
+from rankloom.operators.cascade import REFERENCES, Reference, deleted
+from rankloom.operators.ranking import latest, ranked_in_ranges
 
 
 def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -65,10 +68,30 @@ def upserted_candidates(candidates: DataFrame, arrivals: DataFrame, order: str =
     return kept.unionByName(placed.where("_held IS NULL").drop("_key", "_held"), allowMissingColumns=True).select(*candidates.columns)
 
 
-def upserted_analysis(analysis: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
-    """Analyses by (résumé, job), with every touched job ranked anew in one window."""
-    merged = upserted(analysis.drop("rank"), rows.drop("rank") if "rank" in rows.columns else rows, ["resume_id", "job_id"], order=order)
-    return ranked(merged, "job_id", "overall_score", "resume_id").select(*analysis.columns)
+#: Keys that are sent to every task; more of them are joined by shuffling.
+KEYS_SENT = 100_000
+
+
+def parted(table: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``table`` whose ``key`` is among ``keys`` (one column, distinct; null is a key), and the others.
+    Few keys (they are counted) are broadcast, so that neither part is shuffled."""
+    named = keys.select(F.col(key).alias("_key"))
+    sent = F.broadcast(named) if named.limit(KEYS_SENT + 1).count() <= KEYS_SENT else named
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return table.join(sent, same, "left_semi"), table.join(sent, same, "left_anti")
+
+
+def _reranked(analysis: DataFrame, hot_rows: int) -> DataFrame:
+    return ranked_in_ranges(analysis.drop("rank"), "job_id", "overall_score", "resume_id", hot_rows=hot_rows)
+
+
+def upserted_analysis(analysis: DataFrame, rows: DataFrame, order: str | None = None, hot_rows: int = 1_000_000) -> DataFrame:
+    """Analyses by (résumé, job). Only the jobs that ``rows`` name are joined and ranked anew; all others
+    pass through with the ranks they have. A job of more than ``hot_rows`` rows is ranked in ranges of its scores."""
+    touched, others = parted(analysis, rows.select("job_id").distinct(), "job_id")
+    new = rows.drop("rank") if "rank" in rows.columns else rows
+    merged = upserted(touched.drop("rank"), new, ["resume_id", "job_id"], order=order)
+    return others.unionByName(_reranked(merged, hot_rows).select(*analysis.columns))
 
 
 def updated_jobs(jobs: DataFrame, skills: DataFrame, vectors: DataFrame, changes: DataFrame, new_skills: DataFrame) -> dict[str, DataFrame]:
@@ -87,32 +110,21 @@ def archived(jobs: DataFrame, ids: list[str]) -> DataFrame:
     return jobs.withColumn("status", F.when(hit, "archived").otherwise(F.col("status"))).withColumn("updated_at", F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at")))
 
 
-def deleted_jobs(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All tables without the jobs of ``gone`` (job_id) and what hangs on them, and the paths of
+def deleted_jobs(tables: dict[str, DataFrame], gone: DataFrame, references: Sequence[Reference] = REFERENCES) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables without the jobs of ``gone`` (job_id) and what hangs on them by the declared references, and the paths of
     the files to remove. Candidates left without a résumé go too, with their shortlist rows."""
-    ids = gone.select("job_id").distinct()
-    out = {n: df.join(ids, "job_id", "left_anti").select(*df.columns) for n, df in tables.items() if n not in ("jobs", "candidates") and "job_id" in df.columns}
-    out["jobs"] = tables["jobs"].join(ids.withColumnRenamed("job_id", "id"), "id", "left_anti")
-    removed = tables["resumes"].join(ids, "job_id", "left_semi")
-    lost = removed.select("candidate_id").where("candidate_id IS NOT NULL").distinct().join(out["resumes"].select("candidate_id"), "candidate_id", "left_anti")
-    out["candidates"] = tables["candidates"].join(lost.withColumnRenamed("candidate_id", "id"), "id", "left_anti")
-    out["shortlists"] = out["shortlists"].join(lost, "candidate_id", "left_anti").select(*tables["shortlists"].columns)
-    return {**tables, **out}, removed.select("file_path")
-
-
-def deleted_resumes(tables: dict[str, DataFrame], gone: DataFrame, rerank: bool = True) -> dict[str, DataFrame]:
-    """All tables without the résumés of ``gone`` (resume_id). Ranks close up unless ``rerank`` is off."""
-    ids = gone.select("resume_id").distinct()
-    out = dict(tables)
-    for n in ("processing_queue", "embeddings", "candidate_analysis"):
-        out[n] = tables[n].join(ids, "resume_id", "left_anti").select(*tables[n].columns)
-    if rerank:
-        out["candidate_analysis"] = ranked(out["candidate_analysis"].drop("rank"), "job_id", "overall_score", "resume_id").select(*tables["candidate_analysis"].columns)
-    as_id = ids.withColumnRenamed("resume_id", "id")
-    removed = tables["resumes"].join(as_id, "id", "left_semi")
-    out["resumes"] = tables["resumes"].join(as_id, "id", "left_anti")
-    lost = removed.select("candidate_id").where("candidate_id IS NOT NULL").distinct().join(out["resumes"].select("candidate_id"), "candidate_id", "left_anti")
-    out["candidates"] = tables["candidates"].join(lost.withColumnRenamed("candidate_id", "id"), "id", "left_anti")
+    out, lost = deleted(tables, {"jobs": gone.select(F.col("job_id").alias("id"))}, references)
+    return out, lost["resumes"].select("file_path")
+
+
+def deleted_resumes(tables: dict[str, DataFrame], gone: DataFrame, rerank: bool = True, references: Sequence[Reference] = REFERENCES, hot_rows: int = 1_000_000) -> dict[str, DataFrame]:
+    """All tables without the résumés of ``gone`` (resume_id) and what hangs on them. The ranks of the jobs
+    that lose an analysis close up unless ``rerank`` is off; other jobs keep theirs."""
+    out, lost = deleted(tables, {"resumes": gone.select(F.col("resume_id").alias("id"))}, references)
+    if rerank and "candidate_analysis" in lost:
+        touched, others = parted(out["candidate_analysis"], lost["candidate_analysis"].select("job_id").distinct(), "job_id")
+        columns = tables["candidate_analysis"].columns
+        out["candidate_analysis"] = others.unionByName(_reranked(touched, hot_rows).select(*columns))
     return out
 
 
@@ -231,11 +243,14 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def saved(spark: SparkSession, path: str) -> bool:
-    return bool(_versions(spark, path))
+    from rankloom.operators import buckets
 
+    return bool(_versions(spark, path)) or buckets.is_bucketed(spark, path)
 
-def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Lands a new version of a table; ``path`` is a folder of versions, the newest is read. One writer at a time."""
+
+def save(df: DataFrame, path: str, partition_by: str | None = None, keep: int = 2) -> None:
+    """Lands a new version of a table; ``path`` is a folder of versions, the newest is read. One writer at a time.
+    The newest ``keep`` versions stay, for readers of the last one; older ones go."""
     spark = df.sparkSession
     number = 1 + max(_versions(spark, path), default=0)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
@@ -245,11 +260,17 @@ def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.rename(at(staging), at(f"{path}/v{number}")):
         raise OSError(f"version {number} of {path} could not be put in place")
+    for old in sorted(_versions(spark, path))[:-keep]:
+        fs.delete(at(f"{path}/v{old}"), True)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version that ``save`` has put in place."""
+    """The newest version that ``save`` has put in place, or the rows of a table in buckets."""
+    from rankloom.operators import buckets
+
     numbers = _versions(spark, path)
+    if not numbers and buckets.is_bucketed(spark, path):
+        return buckets.read_buckets(spark, path)
     if not numbers:
         raise FileNotFoundError(f"no version in {path}")
     return spark.read.parquet(f"{path}/v{max(numbers)}")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,19 +21,48 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where driver and executors are one process and the setting is missing, a temporary folder is set.
+    Where driver and executors are one process and the setting is missing, a temporary folder is set, which goes with the driver.
     """
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")):
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found:
         if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        df.sparkSession.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+        folder = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; it is removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/rankloom-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder until the driver ends."""
+    path = new_folder(df.sparkSession, "checkpoint")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged_rows(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` computed once, in the shared folder until the block's end."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def build_session(app: str = "rankloom", master: str | None = None, **conf: str) -> SparkSession:

@@ -15,8 +15,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from rankloom.operators.buckets import upsert_buckets
 from rankloom.operators.ranking import latest
-from rankloom.operators.store import load, save, saved, upserted
 from rankloom.schemas import QUEUE_STATES
 
 #: States after which an item may be forgotten.
@@ -30,15 +30,13 @@ def work_stream(spark: SparkSession, path: str, schema: StructType, files_at_onc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, keys: list[str], checkpoint: str, every: str = "2.5 seconds", available_now: bool = False, order: str | None = None) -> DataStreamWriter:
-    """Runs ``work`` on each batch and upserts its rows into ``target`` by ``keys``: a batch
-    that is run again after a crash replaces its own rows. Of several rows of a key in a batch the last
-    by ``order`` wins; without one, rows of a key must not repeat within a batch."""
+def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, keys: list[str], checkpoint: str, every: str = "2.5 seconds", available_now: bool = False, order: str | None = None, buckets: int = 64) -> DataStreamWriter:
+    """Runs ``work`` on each batch and upserts its rows into ``target``, a table in ``buckets`` of ``keys``: only the
+    buckets that a batch touches are rewritten, and a batch that is run again after a crash skips those it had finished. Of several
+    rows of a key in a batch the last by ``order`` wins; without one, rows of a key must not repeat within a batch."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = work(rows)
-        present = load(rows.sparkSession, target) if saved(rows.sparkSession, target) else done.limit(0)
-        save(upserted(present, done, keys, keep=(), order=order), target)
+        upsert_buckets(work(rows), target, keys, number, buckets, order)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education
-from rankloom.operators import ranking, store, views
+from rankloom.operators import buckets, ranking, store, views
 from rankloom.plans.screening import SAID, heuristic_analysis, heuristic_candidate
 from rankloom.queries import BANDS, BANDS_SQL, CANDIDATES_SQL, COSINE, LISTING_SQL, QUEUE_SQL, SUMMARY_SQL, VECTOR_SQL, WITH, _resume_texts, candidates, duplicate_check, job_summary_agg, jobs, listing, query, queue, read, resumes, analyses, shortlists
-from rankloom.session import spread
+from rankloom.session import new_folder, spread
 from rankloom.sources import tables
 from rankloom.streaming import work
 
@@ -33,7 +33,34 @@ SELECT id, k AS resume_id, job_id, overall_score, row_number() OVER (PARTITION B
 def upsert_analysis(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     made = lambda at, name, mod: read(spark, sf, "orders").where(at).select(F.lit(name).alias("id"), k.alias("resume_id"), F.col("o_custkey").alias("job_id"), (k % mod).cast("double").alias("overall_score"), null("bigint", "rank"))
-    return store.upserted_analysis(made(k % 3 > 0, "old", 101), made(k % 2 == 0, "new", 89))
+    stored = ranking.ranked(made(k % 3 > 0, "old", 101).drop("rank"), "job_id", "overall_score", "resume_id")
+    return store.upserted_analysis(stored, made(k % 2 == 0, "new", 89))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS job_id FROM orders), a AS (SELECT k, job_id, (k % 101)::DOUBLE AS s, row_number() OVER (PARTITION BY job_id ORDER BY k % 101 DESC, k) + 1000 AS r FROM o),
+b AS (SELECT k, job_id, (k % 89)::DOUBLE AS s FROM o WHERE job_id % 50 = 0 AND k % 2 = 0), m AS (SELECT a.k, a.job_id, coalesce(b.s, a.s) AS s, r FROM a LEFT JOIN b USING (k))
+SELECT k AS resume_id, job_id, s AS overall_score, CASE WHEN job_id IN (SELECT job_id FROM b) THEN row_number() OVER (PARTITION BY job_id ORDER BY s DESC, k) ELSE r END AS rank FROM m""")
+def upsert_analysis_touched(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch for one job in fifty: only those are ranked anew (their stored ranks begin at 1001), in ranges where they are large."""
+    k = F.col("o_orderkey")
+    rows = read(spark, sf, "orders").select(F.lit("id").alias("id"), k.alias("resume_id"), F.col("o_custkey").alias("job_id"), (k % 101).cast("double").alias("overall_score"))
+    stored = ranking.ranked(rows, "job_id", "overall_score", "resume_id").withColumn("rank", F.col("rank") + 1000)
+    batch = rows.where("job_id % 50 = 0 AND resume_id % 2 = 0").withColumn("overall_score", (F.col("resume_id") % 89).cast("double"))
+    return store.upserted_analysis(stored, batch, hot_rows=12).select("resume_id", "job_id", "overall_score", "rank")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'late' WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS status, CASE WHEN o_orderkey % 2 = 1 THEN concat('note ', o_orderkey) END AS notes FROM orders
+UNION ALL SELECT -1 - c_custkey, 'late', NULL FROM customer WHERE c_custkey % 4 = 0""")
+def upsert_in_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches into a table in buckets, the second one sent twice and the first one once more at the end."""
+    o, path = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), new_folder(spark, "buckets")
+    batch = lambda rows, status, notes: rows.select("id", F.lit(status).alias("status"), notes.cast("string").alias("notes"))
+    extra = read(spark, sf, "customer").where("c_custkey % 4 = 0").select((-1 - F.col("c_custkey")).alias("id"))
+    first = batch(o, "old", F.when(F.col("id") % 2 == 1, F.concat(F.lit("note "), "id")))
+    runs = [(0, first), (1, batch(o.where("id % 3 = 0"), "new", F.lit(None))), (1, batch(o.where("id % 3 = 0"), "again", F.lit("lost"))), (2, batch(o.where("id % 4 = 0").unionByName(extra), "late", F.lit(None))), (0, first)]
+    for number, rows in runs:
+        buckets.upsert_buckets(rows, path, ["id"], number, 16, fill=("notes",))
+    return buckets.read_buckets(spark, path)
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 4 = 0 AS hit, CASE WHEN c_custkey % 8 = 0 THEN c_custkey % 7 END AS lo, c_custkey % 5 AS old FROM customer)
@@ -70,6 +97,7 @@ UNION ALL SELECT 'candidate_analysis', id, row_number() OVER (PARTITION BY job_i
 def delete_resumes(spark: SparkSession, sf: str) -> DataFrame:
     r = resumes(spark, sf)
     hung = {n: r.where(F.col("id") % m == 0).select(F.col("id").alias("resume_id"), "job_id", F.col("price").alias("overall_score"), null("bigint", "rank")) for n, m in (("processing_queue", 2), ("embeddings", 5), ("candidate_analysis", 3))}
+    hung["candidate_analysis"] = ranking.ranked(hung["candidate_analysis"].drop("rank"), "job_id", "overall_score", "resume_id")
     out = store.deleted_resumes({"resumes": r, "candidates": candidates(spark, sf), **hung}, r.where("id % 11 = 0").select(F.col("id").alias("resume_id")))
     rank = lambda n: F.col("rank") if n == "candidate_analysis" else null("bigint", "rank")
     return reduce(DataFrame.unionByName, (df.select(F.lit(n).alias("name"), F.col("resume_id" if "resume_id" in df.columns else "id").alias("id"), rank(n)) for n, df in out.items()))

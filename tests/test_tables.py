@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from rankloom import schemas
 from rankloom.functions import vectors
 from rankloom.operators import ranking, store, views
+from rankloom.operators.cascade import REFERENCES, Reference, deleted
+from rankloom.operators.buckets import bucket_of, looked_up, read_buckets, upsert_buckets
 from rankloom.plans.screening import generated, screened
 from rankloom.sources import documents as sources
 from rankloom.streaming import work
@@ -122,6 +124,43 @@ def test_deletes(spark, tables):
     assert [r.id for r in store.orphan_candidates(tables["candidates"], tables["resumes"].where("id = 'r1'")).collect()] == ["c2"]
 
 
+def test_a_table_joins_the_cascade_by_declaration(spark, tables):
+    """A table that hangs on another by a declared reference alone; a chain of two; a link that is cut; a ring."""
+    notes = spark.createDataFrame([(1, "r1"), (2, "r2"), (3, "r3"), (4, None)], "note int, resume_id string")
+    marks = spark.createDataFrame([(1, 1), (2, 3)], "id int, note int")
+    seen = spark.createDataFrame([("x", "c2"), ("y", "c1"), ("z", None)], "id string, candidate_id string")
+    more = (*REFERENCES, Reference("notes", "resume_id", "resumes"), Reference("marks", "note", "notes", "note"), Reference("seen", "candidate_id", "candidates", deleted="null"))
+    out, paths = store.deleted_jobs(tables | {"notes": notes, "marks": marks, "seen": seen}, spark.createDataFrame([("j2",)], "job_id string"), more)
+    assert [r.note for r in out["notes"].orderBy("note").collect()] == [1, 2, 4] and [r.id for r in out["marks"].collect()] == [1]
+    assert {tuple(r) for r in out["seen"].collect()} == {("x", None), ("y", "c1"), ("z", None)} and [r.file_path for r in paths.collect()] == ["/c"]
+    for name, df in store.deleted_jobs(tables, spark.createDataFrame([("j2",)], "job_id string"))[0].items():
+        assert sorted(map(str, out[name].collect())) == sorted(map(str, df.collect())), name
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 5)], "id int, up int")
+    hung = spark.createDataFrame([(1, 4), (2, 6)], "id int, of int")
+    ring = (Reference("tree", "up", "tree"), Reference("hung", "of", "tree"))
+    left, lost = deleted({"tree": tree, "hung": hung}, {"tree": spark.createDataFrame([(2,)], "id int")}, ring)
+    assert sorted(r.id for r in left["tree"].collect()) == [1, 5, 6] and [r.id for r in left["hung"].collect()] == [2] and sorted(r.id for r in lost["tree"].collect()) == [2, 3, 4]
+
+
+def test_only_touched_jobs_are_ranked_anew(spark, monkeypatch):
+    rows = [(f"a{n}", f"r{n}", f"j{n % 40}" if n % 41 else None, float(n * 7 % 50), n) for n in range(400)]
+    stored = spark.createDataFrame(rows, "id string, resume_id string, job_id string, overall_score double, rank long")
+    batch = spark.createDataFrame([("n1", "r1", "j1", 99.0), ("n2", "new", "j3", 1.0), ("n3", "none", None, 5.0)], "id string, resume_id string, job_id string, overall_score double")
+    got = store.upserted_analysis(stored, batch, hot_rows=5)
+    merged = store.upserted(stored.drop("rank"), batch, ["resume_id", "job_id"])
+    again = {(r.resume_id, r.job_id): r["rank"] for r in ranking.ranked(merged, "job_id", "overall_score", "resume_id").collect()}
+    for r in got.collect():
+        old = next((x[4] for x in rows if x[1] == r.resume_id), None)
+        assert r["rank"] == (again[r.resume_id, r.job_id] if r.job_id in ("j1", "j3", None) else old)
+    assert got.count() == merged.count()
+    # Jobs that the batch does not name pass through: a broadcast anti-join above the scan, and no shuffle.
+    others = store.parted(stored, batch.select("job_id").distinct(), "job_id")[1]
+    streamed = others._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in streamed and "LeftAnti" in streamed and "hashpartitioning" not in streamed and "Sort" not in streamed
+    monkeypatch.setattr(store, "KEYS_SENT", 1)
+    assert sorted(map(str, store.upserted_analysis(stored, batch, hot_rows=5).collect())) == sorted(map(str, got.collect()))
+
+
 def test_duplicates_and_topk(spark, tables):
     files = spark.createDataFrame([("j1", "a.pdf", 100), ("j1", "a.pdf", 101), ("j9", "a.pdf", 100)], "job_id string, file_name string, file_size bigint")
     checked = views.duplicate_check(files, tables["resumes"])
@@ -277,6 +316,42 @@ def test_batches_need_an_order_for_repeated_keys(spark, tmp_path):
         store.load(spark, f"file://{tmp_path}/none")
 
 
+def files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("order", [None, "n"])
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path, order):
+    """Untouched files keep their names; a batch run again changes nothing; the rows equal an upsert of the whole table."""
+    path, kinds = f"file://{tmp_path}/t", "id long, name string, first string, n int"
+    rows = lambda ids, name, n=0: spark.createDataFrame([(i, name, name if i is None or i % 2 else None, n) for i in ids], kinds)
+    one, two = rows([*range(200), None], "one"), rows([3, 4, 500], "two", 1).unionByName(rows([4], "two, later", 2) if order else rows([], "x"))
+    assert upsert_buckets(one, path, ["id"], 7, 16, order, keep=("first",)) == list(range(16))
+    before = files(tmp_path / "t")
+    changed = upsert_buckets(two, path, ["id"], 8, 16, order, keep=("first",), fill=("name",))
+    after = files(tmp_path / "t")
+    assert 0 < len(changed) <= 3 and {f for f in before if int(f.split("=")[1].split("/")[0]) not in changed} == set(before) & set(after)
+    assert all(before[f] == after[f] for f in set(before) & set(after))
+    want = store.upserted(one.where("id IS NOT NULL"), two, ["id"], keep=("first",), fill=("name",), order=order).unionByName(one.where("id IS NULL"))
+    told = lambda df: sorted(str((r.id, r.name, r.first)) for r in df.collect())
+    assert told(read_buckets(spark, path)) == told(want) == told(store.load(spark, path))
+    # Again, and one that comes too late: nothing is written. A batch that was cut short writes the rest.
+    for batch, again in ((8, two), (7, one)):
+        assert upsert_buckets(again, path, ["id"], batch, 16, order) == []
+    assert told(looked_up(spark, path, two.select("id"), ["id"])) == told(want.where("id IN (3, 4, 500)"))
+    with pytest.raises(ValueError):
+        upsert_buckets(two, path, ["id"], 9, 32)
+
+
+def test_a_batch_that_was_cut_short_writes_the_rest(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    df = spark.range(100).select("id", F.lit("a").alias("name"))
+    half = df.where(bucket_of(["id"], 8) < 4)
+    assert upsert_buckets(half, path, ["id"], 1, 8) == [0, 1, 2, 3]
+    assert upsert_buckets(df, path, ["id"], 1, 8) == [4, 5, 6, 7]
+    assert upsert_buckets(df, path, ["id"], 1, 8) == [] and read_buckets(spark, path).count() == 100
+
+
 def test_changes_of_state_as_a_stream(spark, tmp_path):
     """Two batches; an event that comes late takes its place, and one that repeats a state is no change. A last batch moves the watermark on."""
     at = lambda n: T0 + dt.timedelta(minutes=n)
