@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,12 +42,18 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), stripped), lambda s: s != "")
 
 
+#: The patterns with the same first match in time linear in the text: a run of characters is entered at its first one
+#: only and never given back, as no later start in a run, or shorter end of it, can match where that fails.
+LINEAR_EMAIL = rf"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++{EMAIL[EMAIL.index('@'):]}"
+LINEAR_YEARS = r"(?i)(?<!\d)(\d++(?:\.\d++)?+)\+?+\s*+(?:years|yrs|year)\s*(?:of)?\s*(?:experience|exp)?"
+
+
 def _found(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def email(text: Column) -> Column:
-    return _found(text, EMAIL, 0)
+    return _found(text, LINEAR_EMAIL, 0)
 
 
 def phone(text: Column) -> Column:
@@ -55,7 +62,7 @@ def phone(text: Column) -> Column:
 
 def experience_years(text: Column) -> Column:
     """The first stated number of years, if between 0 and 40; no second try."""
-    value = _found(text, YEARS, 1).try_cast("double")
+    value = _found(text, LINEAR_YEARS, 1).try_cast("double")
     return F.when((value > 0) & (value < 40), value)
 
 
@@ -72,11 +79,25 @@ def _quoted(term: str) -> str:
     return "".join("\\" + c if c in ".+#/-" else c for c in term.lower())
 
 
-def skills(text: Column) -> Column:
-    """Catalog terms found between word edges, in catalog order."""
-    low = F.lower(text)
-    hits = [F.when(F.regexp_like(low, F.lit(rf"\b{_quoted(t)}\b")), F.lit(t)) for t in SKILL_CATALOG]
-    return F.array_compact(F.array(*hits))
+def _edged(term: str) -> str:
+    """A term between word edges; where it begins or ends with a sign, a word character must stand beside it."""
+    return rf"\b{_quoted(term)}\b"
+
+
+def skills(text: Column, catalog: Sequence[str] = SKILL_CATALOG) -> Column:
+    """Catalog terms found between word edges, in catalog order.
+
+    One pass finds the text's words; only terms whose first word is among them are tried as patterns.
+    For catalogs of very many terms see ``operators.dictionary``.
+    """
+    first = {t: next(iter(re.findall(r"\w+", t.lower(), re.ASCII)), "") for t in catalog}
+    terms = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(first[t]).alias("word"), F.lit(_edged(t)).alias("pattern")) for t in catalog))
+
+    def found(low: Column) -> Column:
+        words = F.array_intersect(F.regexp_extract_all(low, F.lit(r"\w+"), F.lit(0)), F.array(*(F.lit(w) for w in sorted(set(first.values()) - {""}))))
+        return bound(words, lambda known: F.transform(F.filter(terms, lambda t: (F.array_contains(known, t["word"]) | (t["word"] == "")) & F.regexp_like(low, t["pattern"])), lambda t: t["term"]))
+
+    return F.when(text.isNotNull(), bound(F.lower(text), found)).otherwise(F.array().cast("array<string>"))
 
 
 def skill_union(first: Column, more: Column) -> Column:

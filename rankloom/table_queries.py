@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education
 from rankloom.operators import buckets, ranking, store, views
+from rankloom.operators.dictionary import found_terms
 from rankloom.plans.screening import SAID, heuristic_analysis, heuristic_candidate
 from rankloom.queries import BANDS, BANDS_SQL, CANDIDATES_SQL, COSINE, LISTING_SQL, QUEUE_SQL, SUMMARY_SQL, VECTOR_SQL, WITH, _resume_texts, candidates, duplicate_check, job_summary_agg, jobs, listing, query, queue, read, resumes, analyses, shortlists
 from rankloom.session import new_folder, spread
@@ -250,6 +251,21 @@ def rank_in_large_job(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.ranked_in_ranges(rows, "job_id", "price", "id", hot_rows=1000, ranges=16).select("id", "job_id", "rank")
 
 
+CATALOG_SQL = "SELECT term, row_number() OVER (ORDER BY term) AS place FROM (SELECT DISTINCT upper(p_name) AS term FROM part UNION SELECT DISTINCT p_type || '.' || p_size FROM part UNION SELECT DISTINCT p_brand || '++' FROM part)"
+
+
+@query(f"""WITH c AS ({CATALOG_SQL}), t AS (SELECT p_partkey AS id, concat_ws(' ', p_name, 'and', p_type, '.', p_size, p_type || '.' || p_size, p_brand || '++', p_brand || '++a') AS x FROM part)
+SELECT id, coalesce(string_agg(term, '|' ORDER BY place) FILTER (regexp_matches(lower(x), '\\b' || regexp_replace(lower(term), '([.+#])', '\\\\\\1', 'g') || '\\b')), '') AS terms FROM t, c GROUP BY id""")
+def large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Names, sizes and brands of all parts as one catalog, looked up in the parts' texts."""
+    p = read(spark, sf, "part")
+    sized, marked = F.concat("p_type", F.lit("."), F.col("p_size").cast("string")), F.concat("p_brand", F.lit("++"))
+    names = p.select(F.upper("p_name").alias("term")).union(p.select(sized)).union(p.select(marked)).distinct()
+    catalog = names.select("term", F.col("term").alias("place"))
+    texts = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lit("and"), "p_type", F.lit("."), F.col("p_size").cast("string"), sized, marked, F.concat(marked, F.lit("a"))).alias("text"))
+    return found_terms(texts, catalog).select("id", F.array_join("terms", "|").alias("terms"))
+
+
 # Changes of state.
 
 

@@ -3,9 +3,13 @@
 import math
 
 import numpy as np
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.operators.dictionary import found_terms
 from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education_entries
 from rankloom.functions.embedding import END_SHARE, END_WEIGHT, FNV_SEEDS, HEAD_STEP, HEADS, PAIR_WEIGHT, PART_WEIGHT, STOP_WORDS, TOP_SHARE, TOP_WEIGHT, _words, embed, embed_many, fnv1a
@@ -229,3 +233,38 @@ def test_labels(spark):
     assert one(spark, F.size(text.chunks(F.array_repeat(F.lit("w"), 1000)))) == 3
     assert one(spark, text.char_ngrams(F.lit("héllo"), 3)) == ["hél", "éll", "llo"]
     assert one(spark, text.error_class(F.lit("This PDF is Scanned"))) == "scanned"
+
+
+def test_linear_patterns_find_what_the_plain_ones_find(spark):
+    """The same first match on random strings of the patterns' own characters, and long runs in time."""
+    rng = random.Random(3)
+    pieces = ["a", "b.c", "@", "@x.", "org", ".", "-", "%", " ", "12", "3.5", "+", "years", "YRS", " of ", "exp", "\n", "1.2.3 year", "9"]
+    rows = [(n, "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))) for n in range(3000)]
+    df = spark.createDataFrame(rows, "n int, t string")
+    first = lambda pattern, group: F.nullif(F.regexp_extract("t", pattern, group), F.lit(""))
+    assert df.where(~text.email(F.col("t")).eqNullSafe(first(text.EMAIL, 0)) | ~first(text.LINEAR_YEARS, 1).eqNullSafe(first(text.YEARS, 1))).count() == 0
+    assert df.where(text.email(F.col("t")).isNotNull()).count() > 50 and df.where(first(text.LINEAR_YEARS, 1).isNotNull()).count() > 50
+    for run, end in (("a", ""), ("a", "@"), ("1", ""), ("1", " yea"), ("1.", "")):
+        began = time.perf_counter()
+        long = spark.range(1).select(F.concat(F.repeat(F.lit(run), F.lit(1_000_000)), F.lit(end)).alias("t")).select(text.email(F.col("t")), text.experience_years(F.col("t"))).first()
+        assert tuple(long) == (None, None) and time.perf_counter() - began < 10
+
+
+def test_dictionary_of_any_size(spark):
+    """Equal to the patterns tried one by one: signs at the edges, terms in terms, equal keys, nulls; 100,000 further terms change nothing."""
+    rng = random.Random(4)
+    pieces = [*text.SKILL_CATALOG, "c++x", "x.net", "c#y", "node", ".js", "-", " ", "/", ", ", "java script", "ci", "é", "_", "Über", "(x)"]
+    rows = [(n % 150, "".join(rng.choice(pieces) + rng.choice(["", " ", "."]) for _ in range(rng.randrange(12)))) for n in range(300)] + [(1, None), (None, "go rust"), (None, ""), (7, "Go " * 5000)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    catalog = spark.createDataFrame(list(enumerate(text.SKILL_CATALOG)), "place int, term string")
+    odd = spark.createDataFrame([(900, "(x)"), (901, "Über"), (902, " "), (903, None), (904, r"a\Eb"), (905, "++")], "place int, term string")
+    low = F.lower("text")
+    plain = F.array_compact(F.array(*(F.when(F.regexp_like(low, F.lit(text._edged(t))), F.lit(t)) for t in text.SKILL_CATALOG)))
+    told = lambda d: sorted(map(str, d.collect()))
+    want = told(df.select("id", plain.alias("terms")))
+    assert told(df.select("id", text.skills(F.col("text")).alias("terms"))) == want
+    assert told(found_terms(df, catalog)) == want
+    more = spark.range(100_000).select((F.col("id") + 1000).cast("int").alias("place"), F.concat(F.lit("term "), "id", F.lit(" more")).alias("term"))
+    assert told(found_terms(df, catalog.unionByName(more).unionByName(odd.where("place BETWEEN 902 AND 904")))) == want
+    got = {r.terms[0] for r in found_terms(df, odd).collect() if r.terms}
+    assert "Über" in got and found_terms(df, catalog.limit(0)).where("size(terms) > 0").count() == 0
