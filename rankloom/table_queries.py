@@ -15,6 +15,8 @@ from rankloom.plans.screening import SAID, heuristic_analysis, heuristic_candida
 from rankloom.queries import BANDS, BANDS_SQL, CANDIDATES_SQL, COSINE, LISTING_SQL, QUEUE_SQL, SUMMARY_SQL, VECTOR_SQL, WITH, _resume_texts, candidates, duplicate_check, job_summary_agg, jobs, listing, query, queue, read, resumes, analyses, shortlists
 from rankloom.session import new_folder, spread
 from rankloom.sources import tables
+from rankloom.sources.documents import MockOcr, Page
+from rankloom.sources.pages import extract_by_page
 from rankloom.streaming import work
 
 #: Rows of a screen's first page.
@@ -266,6 +268,35 @@ def large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return found_terms(texts, catalog).select("id", F.array_join("terms", "|").alias("terms"))
 
 
+# Extraction by page.
+
+SCANNED = "Read from the image of a page by a provider that always finds these words"
+
+
+def _conversation_pages(content: bytes) -> list[Page]:
+    """Turns parted by record separators; a scanned one is an image only."""
+    if content == b"broken":
+        raise ValueError("not a PDF")
+    return [Page(image=p.encode()) if p == "scan" else Page(text=p[1:]) for p in content.decode().split("\x1e")]
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 3 <> 1 THEN regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') END AS t FROM conversations),
+s AS (SELECT *, CASE WHEN t IS NULL THEN 'ocr' WHEN t = '' OR len(string_split_regex(t, '\s+')) < 10 OR length(t) < 30 OR length(regexp_replace(t, '[^\p{{L}}\p{{Nl}}]+', '', 'g')) < 15 THEN 'none' ELSE 'text' END AS source, coalesce(t, '{SCANNED}') AS own FROM p),
+k AS (SELECT *, lag(own) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM s WHERE own <> ''),
+w AS (SELECT conv_id, string_agg(own, chr(10) || chr(10) ORDER BY turn) AS text FROM k WHERE own IS DISTINCT FROM b GROUP BY conv_id),
+n AS (SELECT conv_id, (count(*) FILTER (source = 'text'))::INTEGER AS text_pages, (count(*) FILTER (source = 'ocr'))::INTEGER AS ocr_pages, count(*)::INTEGER AS total_pages FROM s GROUP BY conv_id),
+f AS (SELECT *, conv_id % 17 <> 0 AND text IS NOT NULL AS fine FROM n LEFT JOIN w USING (conv_id))
+SELECT concat(conv_id, '.PDF') AS path, CASE WHEN fine THEN text END AS text, CASE WHEN fine THEN CASE WHEN text_pages > 0 AND ocr_pages > 0 THEN 'hybrid' WHEN ocr_pages > 0 THEN 'ocr' ELSE 'text' END END AS method,
+CASE WHEN fine THEN text_pages END AS text_pages, CASE WHEN fine THEN ocr_pages END AS ocr_pages, CASE WHEN fine THEN total_pages END AS total_pages, CASE WHEN conv_id % 17 = 0 THEN 'not a PDF' WHEN NOT fine THEN 'PDF is scanned or has no extractable text layer' END AS error FROM f""")
+def extraction_by_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as PDF files: a turn is a page, every third one is scanned, some files are broken."""
+    turn = F.when(F.col("turn") % 3 == 1, "scan").otherwise(F.concat(F.lit("="), F.coalesce("text", F.lit(""))))
+    pages = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("page")))), lambda s: s["page"]), "\x1e")
+    whole = read(spark, sf, "conversations").groupBy("conv_id").agg(pages.alias("pages"))
+    files = whole.select(F.concat(F.col("conv_id").cast("string"), F.lit(".PDF")).alias("path"), F.when(F.col("conv_id") % 17 == 0, "broken").otherwise(F.col("pages")).cast("binary").alias("content"))
+    return extract_by_page(files, _conversation_pages, MockOcr(text=f" {SCANNED}\n"), layout=None)
+
+
 # Changes of state.
 
 

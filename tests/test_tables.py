@@ -5,8 +5,10 @@ import io
 import math
 import random
 import zipfile
+from collections import Counter
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from rankloom import schemas
@@ -16,6 +18,7 @@ from rankloom.operators.cascade import REFERENCES, Reference, deleted
 from rankloom.operators.buckets import bucket_of, looked_up, read_buckets, upsert_buckets
 from rankloom.plans.screening import generated, screened
 from rankloom.sources import documents as sources
+from rankloom.sources.pages import extract_by_page
 from rankloom.streaming import work
 
 T0 = dt.datetime(2024, 1, 1)
@@ -250,6 +253,34 @@ def test_hybrid_pages():
         sources.hybrid_pages([page(None, b"i")], failing)
 
 
+class Counting(sources.MockOcr):
+    """Says in which task a page was read."""
+
+    def extract_text(self, image):
+        if image == b"fail":
+            raise sources.OcrError("Timeout")
+        return f" page {image.decode()} was read in task {TaskContext.get().partitionId()}, by these many words \n"
+
+
+def test_pages_as_rows(spark):
+    """Equal to files read whole; a file of 10,000 scanned pages is read by all tasks, in page order."""
+    other = "\n".join(["EDUCATION", "one", "two three"])
+    content = {"a.pdf": f"{GOOD}\fIMG\f{other}", "b.PDF": "IMG", "c.pdf": "", "d.pdf": f"{GOOD}\f{GOOD}\fshort", "e.pdf": " \f\n", "f.docx": "no zip", "g.txt": "x", "h.pdf": "short"}
+    files = spark.createDataFrame([(k, v.encode()) for k, v in content.items()] + [("bad.pdf", b"\xff\xfe")], "path string, content binary")
+    told = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    for ocr in (sources.MockOcr(text=" scanned words \n"), sources.MockOcr(error="Timeout"), sources.MockOcr(text=" "), None):
+        assert told(extract_by_page(files, pdf, ocr)) == told(sources.extract_texts(files, pdf, ocr))
+    scans = spark.createDataFrame([("big.pdf", b"x"), ("small.pdf", GOOD.encode())], "path string, content binary")
+    many = lambda c: [sources.Page(image=b"fail" if n == 7 else str(n).encode()) for n in range(10_000)] if c == b"x" else pdf(c)
+    got = {r.path: r for r in extract_by_page(scans, many, Counting(), tasks=12, layout=None).collect()}
+    big = got["big.pdf"]
+    assert (big.method, big.text_pages, big.ocr_pages, big.total_pages) == ("ocr", 0, 9999, 10_000) and got["small.pdf"].method == "text"
+    pages = [p.split() for p in big.text.split("\n\n")]
+    assert [int(p[1]) for p in pages] == [n for n in range(10_000) if n != 7]
+    shares = Counter(p[6] for p in pages)
+    assert len(shares) == 12 and max(shares.values()) < 1200
+
+
 def test_screening(spark):
     resumes = spark.createDataFrame([("r1", "j", "Ann Lee\nann@x.org\n6 years of experience in Rust and SQL"), ("r2", "j", "Bob Ray\nbakes bread"), ("r3", "j", None)], "id string, job_id string, raw_text string")
     jobs = made(spark, "jobs", id=["j"], title=["Engineer"], description=["Rust and SQL engineer"], min_experience_years=[5.0])
