@@ -72,14 +72,7 @@ def similar_for_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: s
     asked = queries.select(every(blocks).alias("b"), F.pmod(F.xxhash64(query_key, query_vector), F.lit(query_blocks)).alias("s"), F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
 
     def best(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("k", kind="stable")  # of equal rows the smaller key comes first
-        out = []
-        for at in range(0, len(right), QUERIES_AT_ONCE) if len(left) else ():
-            part = right.iloc[at : at + QUERIES_AT_ONCE]
-            score = cosine_matrix(part["v"], left["v"])
-            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({query_key: np.repeat(part["q"].to_numpy(), order.shape[1]), key: left["k"].to_numpy()[order.ravel()], "similarity": np.take_along_axis(score, order, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({query_key: [], key: [], "similarity": []})
+        return best_of(left, right, k, query_key, key)
 
     kinds = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, similarity double"
     scored = rows.groupBy("b", "s").cogroup(asked.groupBy("b", "s")).applyInPandas(best, kinds)
@@ -87,6 +80,18 @@ def similar_for_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: s
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_of(rows: pd.DataFrame, asked: pd.DataFrame, k: int, query_key: str, key: str) -> pd.DataFrame:
+    """The k most similar of ``rows`` (k, v) to each of ``asked`` (q, v); equal ones by their keys."""
+    rows = rows.sort_values("k", kind="stable")
+    out = []
+    for at in range(0, len(asked), QUERIES_AT_ONCE) if len(rows) else ():
+        part = asked.iloc[at : at + QUERIES_AT_ONCE]
+        score = cosine_matrix(part["v"], rows["v"])
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        out.append(pd.DataFrame({query_key: np.repeat(part["q"].to_numpy(), order.shape[1]), key: rows["k"].to_numpy()[order.ravel()], "similarity": np.take_along_axis(score, order, 1).ravel()}))
+    return pd.concat(out) if out else pd.DataFrame({query_key: [], key: [], "similarity": []})
+
+
 def cosine_matrix(a: Sequence, b: Sequence) -> np.ndarray:
     """``cosine_similarity`` of every vector of ``a`` with every one of ``b``; each pair is summed in
     one order, so equal vectors tie exactly."""

@@ -16,6 +16,7 @@ from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.embedding import embedding
 from rankloom.functions.layout import combined_pages, normalized
 from rankloom.operators import ranking, store, views
+from rankloom.operators.topk import similar_pruned
 from rankloom.session import spread
 from rankloom.streaming import work
 
@@ -239,6 +240,15 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(SQL["vector_topk"])
+def vector_topk_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``vector_topk``, by clusters whose bounds are met."""
+    v = read(spark, sf, "embeddings")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found, _ = similar_pruned(v, asked, 5, "vec_id", "embedding")
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {VECTOR_SQL}, w AS (SELECT vec_id, e, sqrt(list_sum([y * y FOR y IN e])) AS n FROM v UNION ALL SELECT -1, NULL, NULL UNION ALL SELECT -2, [0.0, 0.0], 0)
 SELECT vec_id, array_to_string([CAST(CAST(round(CAST(CAST(CASE WHEN n > 1e-12 THEN x / n ELSE x END AS FLOAT) AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR) FOR x IN e], ',') AS unit FROM w""")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from rankloom.functions import vectors
 from rankloom.operators import ranking, store, views
 from rankloom.operators.cascade import REFERENCES, Reference, deleted
 from rankloom.operators.buckets import bucket_of, looked_up, read_buckets, upsert_buckets
+from rankloom.operators.topk import similar_pruned as ranking_topk
 from rankloom.plans.screening import generated, screened
 from rankloom.sources import documents as sources
 from rankloom.sources.pages import extract_by_page
@@ -187,6 +189,28 @@ def test_similar_for_more_queries_than_a_block(spark):
     assert all(angle(q, r) >= max(angle(q, x) for x in range(40)) - 1e-12 for q, r in best.items())
 
 
+@pytest.mark.parametrize("kind", ["clusters", "isotropic", "odd", "none regular"])
+def test_pruned_topk_is_the_plain_one(spark, kind):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12))
+    x = rng.normal(size=(3000, 12)) if kind == "isotropic" else centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 12)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    if kind == "odd":
+        rows = rows[:300] + [(400 + i, rows[5][1]) for i in range(60)]  # many equal rows
+        rows += [(900, None), (-1, []), (-2, [0.0] * 12), (902, [1.0, 2.0]), (903, [float("nan")] * 12), (904, [1e-20] * 12), (905, [-y for y in rows[5][1]])]
+    if kind == "none regular":
+        rows = [(1, None), (2, [0.0, 0.0]), (3, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "resume_id long, embedding array<double>").repartition(7)
+    asked = df.where("resume_id % 50 = 0 OR resume_id < 0 OR resume_id > 899 AND resume_id < 910 OR size(embedding) = 2").toDF("query_id", "query_embedding")
+    got, scored = ranking_topk(df, asked, k=7, block_rows=200, query_rows=20)
+    told = lambda d: sorted(str((r.query_id, r["rank"], r.resume_id, r.similarity if r.similarity is None else round(r.similarity, 12))) for r in d.collect())
+    assert told(got) == told(ranking.similar_for_each(df, asked, k=7))
+    share = scored.agg(F.sum("scored")).first()[0] / (asked.count() * len(rows))
+    assert scored.count() == asked.count() and share <= 1
+    if kind == "clusters":
+        assert share < 0.1
+
+
 def test_matrix_of_cosines_is_the_expression(spark):
     some = [None, [], [0.0, 0.0], [1.0, 2.0], [1.0, 2.0], [-3.0, 0.5], [1.0, 2.0, 3.0]]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(some)], "i int, v array<double>")
