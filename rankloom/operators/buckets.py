@@ -57,6 +57,13 @@ def looked_up(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str]
     return found.where(F.col(BUCKET).isin(touched)).join(wanted.select(*keys).distinct(), keys, "left_semi").drop(BUCKET, BATCH, OF)
 
 
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number after the last one that has written; for writers whose batches have no numbers of their own."""
+    found = _stored(spark, path)
+    last = found.agg(F.max(BATCH)).first()[0] if found is not None else None
+    return 0 if last is None else last + 1
+
+
 def upsert_buckets(rows: DataFrame, path: str, keys: list[str], batch: int, buckets: int = 64, order: str | None = None, keep: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> list[int]:
     """Upserts ``rows`` by ``keys`` as ``upserted`` does and returns the buckets it has rewritten.
 

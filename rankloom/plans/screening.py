@@ -14,6 +14,7 @@ from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education
 from rankloom.functions.embedding import embedding
 from rankloom.operators.ranking import ranked
+from rankloom.plans.answers import answered_prompts
 from rankloom.session import checkpointed
 
 Generate = Callable[[str], str]
@@ -126,7 +127,9 @@ def summarised(answer: str | None) -> bool:
     return isinstance(summary, str) and summary.strip() != ""
 
 
-EXTRACTION_RETRY = "Your last answer could not be read as a candidate record:\n{bad}\n\nAnswer again, with nothing but one JSON object.\n\n{prompt}"
+#: Shape of a candidate record, for the second try.
+RECORD_SHAPE = '{{"name": text, "email": text or null, "phone": text or null, "location": text or null, "skills": [text], "experience_years": number or null, "education": [{{"degree": text, "institution": text, "year": text or null}}], "work_experience": [{{"title": text, "company": text, "duration": text or null}}]}}'
+EXTRACTION_RETRY = "Your last answer could not be read as a candidate record:\n{bad}\n\nAnswer again, with nothing but one JSON object of this shape:\n" + RECORD_SHAPE + "\n\n{prompt}"
 ANALYSIS_RETRY = "Your last answer was no analysis; it needs a JSON object with at least a summary:\n{bad}\n\nAnswer again, with nothing but that object.\n\n{prompt}"
 
 
@@ -150,12 +153,22 @@ def generated(df: DataFrame, prompt: Column, key: str, generate: Generate, retry
     return df.select(key, prompt.alias("p")).mapInPandas(task, f"{key} {df.schema[key].dataType.simpleString()}, answer string")
 
 
-def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generate: Generate | None = None) -> DataFrame:
+def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generate: Generate | None = None, answers: str | None = None, **bounds: object) -> DataFrame:
     """Analyses of résumés (id, job_id, raw_text) against their jobs, ranked within each job.
 
+    With ``answers``, a folder, the model's answers are kept there by prompt: equal prompts are asked once and a rerun asks
+    only what is open; ``bounds`` are those of ``answered_prompts``.
+
     Job vectors are made once for each job; jobs are small beside résumés, so the join
     may broadcast them, which the optimizer decides by size.
     """
+
+    def ask(df: DataFrame, prompt: Column, key: str, retry: str, fits: Callable[[str | None], bool], step: str) -> DataFrame:
+        if answers is None:
+            return generated(df, prompt, key, generate, retry, fits)
+        again = lambda p, bad: retry.format(bad=(bad or "")[:ANSWER_CHARS], prompt=p[:RETRY_CHARS])
+        return answered_prompts(df, prompt, key, lambda prompts: [generate(p) for p in prompts], f"{answers}/{step}", fits, again, **bounds).drop("tries")
+
     wanted = job_skills.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("id", "skill", "importance"))).alias("_s"))
     wanted = wanted.select(F.col("job_id").alias("_skill_job"), F.transform("_s", lambda s: F.struct(s["skill"].alias("skill"), s["importance"].alias("importance"))).alias("_wanted"))
     job = jobs.join(wanted, jobs["id"] == F.col("_skill_job"), "left").select(
@@ -165,9 +178,9 @@ def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generat
     )
     read = resumes.select(F.col("id").alias("resume_id"), "job_id", "raw_text", heuristic_candidate(F.col("raw_text")).alias("candidate"), embedding(F.col("raw_text")).alias("embedding"))
     if generate:
-        answers = generated(resumes, extraction_prompt(F.col("raw_text")), "id", generate).withColumnRenamed("id", "resume_id")
+        said = ask(resumes, extraction_prompt(F.col("raw_text")), "id", EXTRACTION_RETRY, readable, "extraction").withColumnRenamed("id", "resume_id")
         parsed = json_repair.candidate(F.col("answer"))
-        read = read.join(answers, "resume_id", "left").withColumn("candidate", F.when(parsed.isNotNull(), json_repair.merged_candidate(parsed, F.col("candidate"))).otherwise(F.col("candidate"))).drop("answer")
+        read = read.join(said, "resume_id", "left").withColumn("candidate", F.when(parsed.isNotNull(), json_repair.merged_candidate(parsed, F.col("candidate"))).otherwise(F.col("candidate"))).drop("answer")
         read = checkpointed(read)  # the model is asked once, whatever reads its answers
     met = read.join(job, F.col("job_id") == F.col("_job"))
     c = F.col("candidate")
@@ -178,8 +191,8 @@ def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generat
     names = F.transform("_wanted", lambda s: s["skill"])
     scored = scored.withColumn("_said", heuristic_analysis(c, F.col("_title"), names, F.col("_low"), F.col("_high"), F.col("_det")))
     if generate:
-        answers = generated(scored, analysis_prompt(c, F.col("_title"), F.col("_description"), names, F.col("_low"), F.col("_high"), F.col("_det")), "resume_id", generate, ANALYSIS_RETRY, summarised)
-        scored = scored.join(answers, "resume_id", "left").withColumn("_said", F.coalesce(json_repair.analysis(F.col("answer"), F.col("_said.llm_score")), F.col("_said")))
+        said = ask(scored, analysis_prompt(c, F.col("_title"), F.col("_description"), names, F.col("_low"), F.col("_high"), F.col("_det")), "resume_id", ANALYSIS_RETRY, summarised, "analysis")
+        scored = scored.join(said, "resume_id", "left").withColumn("_said", F.coalesce(json_repair.analysis(F.col("answer"), F.col("_said.llm_score")), F.col("_said")))
     total = scoring.final_score(F.col("_skills.score"), F.col("_experience"), F.col("_semantic"), F.col("_said.llm_score"))
     out = scored.withColumn("_total", total).select(
         F.sha2(F.concat_ws(":", "resume_id", "job_id"), 256).alias("id"), "resume_id", "job_id",

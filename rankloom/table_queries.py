@@ -11,13 +11,14 @@ from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education
 from rankloom.operators import buckets, ranking, store, views
 from rankloom.operators.dictionary import found_terms
+from rankloom.plans.answers import answered_prompts
 from rankloom.plans.screening import SAID, heuristic_analysis, heuristic_candidate
 from rankloom.queries import BANDS, BANDS_SQL, CANDIDATES_SQL, COSINE, LISTING_SQL, QUEUE_SQL, SUMMARY_SQL, VECTOR_SQL, WITH, _resume_texts, candidates, duplicate_check, job_summary_agg, jobs, listing, query, queue, read, resumes, analyses, shortlists
 from rankloom.session import new_folder, spread
 from rankloom.sources import tables
 from rankloom.sources.documents import MockOcr, Page
 from rankloom.sources.pages import extract_by_page
-from rankloom.streaming import work
+from rankloom.streaming import events, work
 
 #: Rows of a screen's first page.
 PAGE = 50
@@ -297,6 +298,51 @@ def extraction_by_page(spark: SparkSession, sf: str) -> DataFrame:
     return extract_by_page(files, _conversation_pages, MockOcr(text=f" {SCANNED}\n"), layout=None)
 
 
+# Answers of a model, and events.
+
+
+def _echo(prompts: list[str]) -> list[str | None]:
+    """Answers what it is asked in capitals; says too little about what is odd until it is asked again."""
+    return [None if "FURNITURE" in p else p.upper() if "odd" not in p or p.startswith("again") else "?" for p in prompts]
+
+
+def _silent(prompts: list[str]) -> list[str | None]:
+    raise RuntimeError("nothing may be asked any more")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_mktsegment = 'FURNITURE' THEN NULL WHEN c_nationkey % 2 = 1 THEN concat('AGAIN ? ', c_mktsegment, ' ODD ', c_nationkey) ELSE concat(c_mktsegment, ' EVEN ', c_nationkey) END AS answer,
+CASE WHEN c_custkey % 10 = 0 OR c_mktsegment = 'FURNITURE' THEN 0 WHEN c_nationkey % 2 = 1 THEN 2 ELSE 1 END AS tries FROM customer""")
+def answers_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs over one table of answers: the second asks nothing, as its model would raise."""
+    path, c = new_folder(spark, "answers"), read(spark, sf, "customer")
+    kind = F.when(F.col("c_nationkey") % 2 == 1, " odd ").otherwise(" even ")
+    asked = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 > 0, F.concat("c_mktsegment", kind, F.col("c_nationkey").cast("string"))).alias("prompt"))
+    run = lambda model: answered_prompts(asked, F.col("prompt"), "id", model, path, lambda a: a != "?", lambda p, bad: f"again {bad} {p}")
+    run(_echo)
+    return run(_silent)
+
+
+@query("""WITH e AS (SELECT o_orderkey AS r, o_custkey AS j, (o_orderkey % 9)::INTEGER AS n, (o_orderkey % 4)::INTEGER AS t, CASE WHEN o_orderkey % 7 = 0 THEN concat('broken ', o_orderkey) END AS error FROM orders),
+a AS (SELECT o_orderkey AS r, o_orderkey % 500 AS c, o_totalprice AS s FROM orders WHERE o_orderkey % 5 > 0)
+SELECT r AS resume_id, j AS job_id, 0 AS place, 'resume-queued' AS event, NULL AS step, NULL::INTEGER AS pages, NULL::INTEGER AS text_pages, NULL AS method, NULL AS error, NULL::BIGINT AS candidate_id, NULL::DOUBLE AS overall_score FROM e
+UNION ALL SELECT r, j, 1, 'resume-processing-started', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM e UNION ALL SELECT r, j, 2, 'resume-processing-step', 'extracting', NULL, NULL, NULL, NULL, NULL, NULL FROM e
+UNION ALL SELECT r, j, 3, 'resume-processing-failed', NULL, NULL, NULL, NULL, error, NULL, NULL FROM e WHERE error IS NOT NULL
+UNION ALL SELECT r, j, 3, 'resume-extraction-completed', NULL, n, least(n, t), CASE WHEN n > t THEN 'hybrid' ELSE 'text' END, NULL, NULL, NULL FROM e WHERE error IS NULL AND n > 0
+UNION ALL SELECT r, j, 4, 'resume-processing-step', 'analyzing', NULL, NULL, NULL, NULL, NULL, NULL FROM e WHERE error IS NULL
+UNION ALL SELECT r, j, 5, 'candidate-analysis-complete', NULL, NULL, NULL, NULL, NULL, c, s FROM e JOIN a USING (r) WHERE error IS NULL""")
+def pipeline_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of all six kinds, landed in a table twice: the second time changes nothing."""
+    path, o, k = new_folder(spark, "events"), read(spark, sf, "orders"), F.col("o_orderkey")
+    n, t = (k % 9).cast("int"), (k % 4).cast("int")
+    pages = F.when(n > 0, n)
+    extractions = o.select(k.alias("resume_id"), F.col("o_custkey").alias("job_id"), F.when(n > t, "hybrid").otherwise("text").alias("method"), F.least(n, t).alias("text_pages"), (n - F.least(n, t)).alias("ocr_pages"), pages.alias("total_pages"), null("bigint", "duration_ms"), F.when(k % 7 == 0, F.concat(F.lit("broken "), k.cast("string"))).alias("error"))
+    analyses = o.where(k % 5 > 0).select(k.alias("resume_id"), (k % 500).alias("candidate_id"), F.col("o_totalprice").alias("overall_score"))
+    made = events.pipeline_events(o.select(k.alias("resume_id"), F.col("o_custkey").alias("job_id")), extractions, analyses)
+    for number in (0, 0):
+        events.land_events(made, path, number, 16)
+    return buckets.read_buckets(spark, path).select("resume_id", "job_id", "place", "event", "step", "pages", "text_pages", "method", "error", "candidate_id", "overall_score")
+
+
 # Changes of state.
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import math
 import random
+import time
 import zipfile
 from collections import Counter
 
@@ -18,10 +19,11 @@ from rankloom.operators import ranking, store, views
 from rankloom.operators.cascade import REFERENCES, Reference, deleted
 from rankloom.operators.buckets import bucket_of, looked_up, read_buckets, upsert_buckets
 from rankloom.operators.topk import similar_pruned as ranking_topk
+from rankloom.plans.answers import answered_prompts
 from rankloom.plans.screening import generated, screened
 from rankloom.sources import documents as sources
 from rankloom.sources.pages import extract_by_page
-from rankloom.streaming import work
+from rankloom.streaming import events, work
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -340,6 +342,90 @@ def test_models_are_asked_once_and_again_without_a_summary(spark, tmp_path):
     assert asked == ["analysis", "analysis", "analysis again", "analysis again", "record", "record"]
 
 
+def test_answers_are_kept_by_prompt(spark, tmp_path):
+    """Equal prompts are asked once; a rerun asks what is open; calls are bounded in number and time; failures stay open."""
+    log = tmp_path / "asked"
+    log.touch()
+
+    def model(prompts, down=(), slow=0.0):
+        time.sleep(slow)
+        with log.open("a") as f:
+            f.write("".join(p + "\n" for p in prompts) + "--\n")
+        if any(p in down for p in prompts):
+            raise RuntimeError("down")
+        return [None if p == "never" else "bad" if p.startswith("odd") else p + "!" for p in prompts]
+
+    asked = lambda: [x for x in log.read_text().split("\n") if x and x != "--"]
+    calls = lambda: log.read_text().count("--")
+    rows = [(i, f"p{i % 20}") for i in range(400)] + [(400, None), (401, "odd"), (402, "never")]
+    df = spark.createDataFrame(rows, "id int, p string").repartition(6)
+    run = lambda m, **more: answered_prompts(df, F.col("p"), "id", m, f"file://{tmp_path}/answers", lambda a: a != "bad", lambda p, bad: f"again {bad} {p}", buckets=4, **more)
+    first = {r.id: (r.answer, r.tries) for r in run(lambda ps: model(ps, ["p7"]), group=4, tasks=3).collect()}
+    assert len(first) == 403 and first[400] == (None, 0) == first[402] and first[401] in (("again bad odd!", 2), (None, 0))
+    assert Counter(asked())["p3"] == 1 and all(n == 1 for p, n in Counter(asked()).items())
+    open_ = {r[1] for r in rows if r[1] and first[r[0]][0] is None}
+    assert "p7" in open_ and len(open_) <= 6
+    log.write_text("")
+    second = {r.id: r.answer for r in run(model, group=4, tasks=3).collect()}
+    assert set(asked()) - {"again bad odd"} == open_ and second[7] == "p7!" and second[27] == "p7!"
+    log.write_text("")
+    run(model)
+    assert asked() == ["never"]
+    # Bounds: each of two tasks makes at most two calls of three prompts, or stops after its time.
+    log.write_text("")
+    bounded = lambda path, **more: answered_prompts(df, F.concat("p", F.lit(" new")), "id", lambda ps: model(ps, slow=0.2), f"file://{tmp_path}/{path}", lambda a: True, lambda p, bad: p, group=3, tasks=2, **more)
+    got = bounded("few", most_calls=2)
+    assert calls() <= 4 and 0 < got.where("answer IS NOT NULL").select("answer").distinct().count() <= 12
+    log.write_text("")
+    bounded("short", seconds=0.3)
+    assert calls() <= 4
+
+
+def test_screening_keeps_answers(spark, tmp_path):
+    log = tmp_path / "asked"
+    log.touch()
+
+    def generate(prompt):
+        with log.open("a") as f:
+            f.write("--\n")
+        return '{"name": "Cy", "skills": ["Go"], "summary": "fine", "llm_score": 70}'
+
+    resumes = spark.createDataFrame([("r1", "j", "Go Go 3 years"), ("r2", "j", "Go Go 3 years"), ("r3", "j", "Rust")], "id string, job_id string, raw_text string")
+    jobs = spark.createDataFrame([("j", "T", "Go work", 1.0, None, None)], "id string, title string, description string, min_experience_years double, experience_required_years double, max_experience_years double")
+    skills = spark.createDataFrame([("1", "j", "Go", "required")], "id string, job_id string, skill string, importance string")
+    run = lambda: sorted(map(str, screened(resumes, jobs, skills, generate, f"file://{tmp_path}/a", buckets=2).drop("embedding").collect()))
+    first = run()
+    n = log.read_text().count("--")
+    assert len(first) == 3 and n == 4  # two texts, two analyses
+    assert run() == first and log.read_text().count("--") == n
+
+
+def test_events_as_a_stream(spark, tmp_path):
+    """Counts are observed for each batch and match the table; an event that lands twice is one row."""
+    queued = spark.createDataFrame([("r1", "j"), ("r2", "j"), ("r3", "j")], "resume_id string, job_id string")
+    extracted = spark.createDataFrame([("r1", "j", "ocr", 0, 2, 2, 5, None), ("r2", "j", None, None, None, None, None, "broken"), ("r3", "j", "text", None, None, None, None, None)], "resume_id string, job_id string, method string, text_pages int, ocr_pages int, total_pages int, duration_ms long, error string")
+    analysed = spark.createDataFrame([("r1", "c1", 80.0), ("r2", "c2", 1.0)], "resume_id string, candidate_id string, overall_score double")
+    made = events.pipeline_events(queued, extracted, analysed)
+    kinds = [(r.resume_id, r.event, r.step) for r in made.orderBy("resume_id", "place").collect()]
+    assert [k[1:] for k in kinds if k[0] == "r1"] == [(events.QUEUED, None), (events.STARTED, None), (events.STEP, "extracting"), (events.EXTRACTED, None), (events.STEP, "analyzing"), (events.COMPLETE, None)]
+    assert [k[1] for k in kinds if k[0] == "r2"] == [events.QUEUED, events.STARTED, events.STEP, events.FAILED] and [k[1] for k in kinds if k[0] == "r3"] == [events.QUEUED, events.STARTED, events.STEP, events.STEP]
+    counts = events.EventCounts()
+    spark.streams.addListener(counts)
+    try:
+        for n in range(2):
+            made.where(F.col("resume_id") <= f"r{n + 1}").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+            stream = work.work_stream(spark, f"file://{tmp_path}/in/*", made.schema)
+            events.event_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/check", buckets=4, available_now=True).start().awaitTermination()
+        deadline = time.monotonic() + 20
+        while sum(counts.total().values()) < 16 and time.monotonic() < deadline:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counts)
+    assert counts.total() == {events.QUEUED: 3, events.STARTED: 3, events.STEP: 5, events.EXTRACTED: 2, events.FAILED: 1, events.COMPLETE: 2}
+    assert read_buckets(spark, f"file://{tmp_path}/t").count() == 10
+    assert events.land_events(made, f"file://{tmp_path}/t", 99, 4)[events.STEP] == 5 and read_buckets(spark, f"file://{tmp_path}/t").count() == made.count() == 14
+
+
 def test_listing_by_two_kinds_of_shortlist_rows(spark):
     """A shortlist row names a candidate or a résumé; both, one, none, and an unknown candidate."""
     resumes = made(spark, "resumes", id=["r1", "r2", "r3", "r4"], candidate_id=["c1", "c2", "gone", None], job_id=["j"] * 4, file_name=["a", "b", "c", "d"])
