@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions import json_repair, scoring, text, vectors
+from rankloom.functions import embedding, json_repair, scoring, text, vectors
 from rankloom.functions.education import education
-from rankloom.operators import buckets, ranking, store, views
+from rankloom.operators import buckets, features, ranking, store, views
 from rankloom.operators.dictionary import found_terms
 from rankloom.plans.answers import answered_prompts
 from rankloom.plans.screening import SAID, heuristic_analysis, heuristic_candidate
@@ -343,6 +343,39 @@ def pipeline_events(spark: SparkSession, sf: str) -> DataFrame:
     return buckets.read_buckets(spark, path).select("resume_id", "job_id", "place", "event", "step", "pages", "text_pages", "method", "error", "candidate_id", "overall_score")
 
 
+# Features of the embedder.
+
+#: FNV-1a of x (bytes of its UTF-8 form), with the seed put in.
+FNV_SQL = "list_reduce(list_concat([{}::BIGINT], [('0x' || hex(encode(x))[2 * i + 1 : 2 * i + 2])::BIGINT FOR i IN range(octet_length(encode(x)))]), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+_KINDS = [(w, k, v) for w, kinds in embedding.LINE_WEIGHTS.items() for k, v in enumerate(kinds)]
+WEIGHTS_SQL = rf"""l AS (SELECT doc_id, [x FOR x IN [regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN string_split(coalesce(text, ''), chr(10))] IF x <> ''] AS l FROM documents),
+p AS (SELECT doc_id, len(l) AS n, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM l),
+k AS (SELECT doc_id, pos, CASE WHEN (pos / n)::FLOAT < 0.25::FLOAT THEN 1.4 WHEN (pos / n)::FLOAT > 0.85::FLOAT THEN 1.1 ELSE 1.0 END::DOUBLE AS w, [x FOR x IN regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}+#.]+') IF octet_length(encode(x)) >= 2 AND x NOT IN ({", ".join(f"'{w}'" for w in sorted(embedding.STOP_WORDS))})] AS kept FROM p),
+wd AS (SELECT doc_id, w, unnest(kept) AS x FROM k),
+u AS (SELECT doc_id, w, 0 AS kind, x AS feature FROM wd
+ UNION ALL SELECT doc_id, w, 1, '#' || x[i : i + n - 1] FROM (SELECT doc_id, w, x, n, unnest(range(1, length(x) - n + 2)) AS i FROM wd, (VALUES (3), (4), (5)) t(n) WHERE octet_length(encode(x)) >= 4 AND length(x) >= n)
+ UNION ALL SELECT doc_id, w, 2, kept[i] || '_' || kept[i + 1] FROM (SELECT doc_id, w, kept, unnest(range(1, len(kept))) AS i FROM k)),
+f AS (SELECT doc_id, feature, sum(CASE {" ".join(f"WHEN w = {w} AND kind = {k} THEN {v!r}" for w, k, v in _KINDS)} END::DOUBLE) AS tf FROM u GROUP BY doc_id, feature)"""
+
+
+@query(f"WITH {WEIGHTS_SQL}, h AS (SELECT feature, {FNV_SQL.format(embedding.FNV_SEEDS[0])} AS h FROM (SELECT DISTINCT feature, feature AS x FROM f)) SELECT doc_id, count(*) AS features, round(sum(tf), 3) AS uses, round(sum(1 + ln(tf)), 3) AS weight, arg_max(feature, (round(tf, 5), feature)) AS heaviest, CAST(sum(h) AS BIGINT) AS hashes FROM f JOIN h USING (feature) GROUP BY doc_id")
+def feature_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of every document: how many, their weights, the heaviest one, and the sum of their hashes."""
+    w = features.term_weights(spread(read(spark, sf, "documents")))
+    hashed = w.select("feature").distinct().select("feature", features.fnv1a(F.col("feature"), embedding.FNV_SEEDS[0]).alias("h"))
+    return w.join(hashed, "feature").groupBy("doc_id").agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("tf"), 3).alias("uses"), F.round(F.sum("weight"), 3).alias("weight"), F.max_by("feature", F.struct(F.round("tf", 5), "feature")).alias("heaviest"), F.sum("h").alias("hashes"))
+
+
+@query(f"WITH {WEIGHTS_SQL.replace('FROM documents', 'FROM (SELECT p_partkey AS doc_id, p_name || chr(10) || p_type || chr(10) || p_brand AS text FROM part)')}, h AS (SELECT feature, {FNV_SQL.format(embedding.FNV_SEEDS[0])} AS a, {FNV_SQL.format(embedding.FNV_SEEDS[1])} AS b FROM (SELECT DISTINCT feature, feature AS x FROM f))"
+       f""", s AS (SELECT feature, n, xor((a + n * {embedding.HEAD_STEP}) & 4294967295, (b * (n + 1)) & 4294967295) AS seed FROM h, range({embedding.HEADS}) t(n)),
+x AS (SELECT doc_id, (seed % 384)::INTEGER AS place, sum(CASE WHEN (seed >> 16) & 1 = 1 THEN -1 ELSE 1 END * (1 + ln(tf)) / (1 + n * 0.25)) AS x FROM f JOIN s USING (feature) GROUP BY ALL), q AS (SELECT doc_id, place, x / (1 + abs(x)) AS x FROM x)
+SELECT doc_id AS p_partkey, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 5) + 0 AS value FROM q""")
+def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The sparse vectors of all parts' texts."""
+    texts = read(spark, sf, "part").select("p_partkey", F.concat_ws("\n", "p_name", "p_type", "p_brand").alias("text"))
+    return features.sparse_vectors(features.term_weights(texts, "p_partkey"), "p_partkey").select("p_partkey", "place", (F.round("value", 5) + 0).alias("value"))
+
+
 # Changes of state.
 
 

@@ -9,10 +9,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.operators import features
 from rankloom.operators.dictionary import found_terms
 from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education_entries
-from rankloom.functions.embedding import END_SHARE, END_WEIGHT, FNV_SEEDS, HEAD_STEP, HEADS, PAIR_WEIGHT, PART_WEIGHT, STOP_WORDS, TOP_SHARE, TOP_WEIGHT, _words, embed, embed_many, fnv1a
+from rankloom.functions.embedding import END_SHARE, END_WEIGHT, FNV_SEEDS, Features, HEAD_STEP, HEADS, PAIR_WEIGHT, PART_WEIGHT, STOP_WORDS, TOP_SHARE, TOP_WEIGHT, _words, embed, embed_many, fnv1a
 from rankloom.functions.layout import SHOWN, combined_pages, rebuilt
 
 
@@ -268,3 +269,26 @@ def test_dictionary_of_any_size(spark):
     assert told(found_terms(df, catalog.unionByName(more).unionByName(odd.where("place BETWEEN 902 AND 904")))) == want
     got = {r.terms[0] for r in found_terms(df, odd).collect() if r.terms}
     assert "Über" in got and found_terms(df, catalog.limit(0)).where("size(terms) > 0").count() == 0
+
+
+def test_features_as_tables_are_the_embedder(spark):
+    """Term weights, hashes and sparse vectors equal those that the embedder makes in Python."""
+    some = ["", None, "the and of", "Rust c++ and C#\n.net  node.js\n\n  Senior Engineer\n2019", "é über Straße 日本語 ½ a_b x", "word " * 300 + "\nlast line of words", "\n".join(f"line {n} has word{n % 7}" for n in range(60))]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id int, text string")
+    weights = features.term_weights(df)
+    held = Features(384)
+    for i, t in enumerate(some):
+        ids, uses = held.read(t)
+        want = {}
+        for n, w in zip(ids.tolist(), uses.tolist(), strict=True):
+            want[held.keys[n].decode()] = want.get(held.keys[n].decode(), 0) + w
+        got = {r.feature: r.tf for r in weights.where(F.col("doc_id") == i).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    keys = ["", "a", "é", "#wor", "日本", "x" * 50]
+    row = spark.range(1).select(*(features.fnv1a(F.lit(k), s).alias(f"c{i}_{s}") for i, k in enumerate(keys) for s in FNV_SEEDS)).first()
+    assert list(row) == [int(fnv1a([k.encode()], s)[0]) for k in keys for s in FNV_SEEDS]
+    dense = {i: np.zeros(384) for i in range(len(some))}
+    for r in features.sparse_vectors(weights).collect():
+        dense[r.doc_id][r.place] = r.value
+    for i, t in enumerate(some):
+        assert np.abs(dense[i] - embed(t)).max() < 1e-5
