@@ -65,6 +65,59 @@ def test_decoding_corrects_a_wrong_bit():
             assert best[0] == k
 
 
+def test_bits_are_fitted_to_their_own_loss():
+    """Fitting lowers the loss of every bit below that of the bare log odds, and its slopes are those of the loss."""
+    rng = np.random.default_rng(4)
+    profiles = rng.dirichlet(np.ones(40) * 0.5, 4)
+    lang = rng.integers(0, 4, 300)
+    counts = np.stack([rng.multinomial(30, 0.6 * profiles[k] + 0.4 * profiles[(k + 1) % 4]) for k in lang]).astype(float)
+    m = language_id.CodedClassifiers(list("abcd"), np.stack([counts[lang == k].sum(0) for k in range(4)]) * rng.choice([0.2, 1, 3], (4, 40)))
+    weight = 1 / np.bincount(lang)[lang] / 4
+
+    def losses():
+        return (weight[:, None] * np.log1p(np.exp(-m.codes[lang] * m.margins(counts)))).sum(0)
+
+    before = losses()
+    m.fit(counts, lang)
+    assert (losses() < before).all() and losses().mean() < 0.7 * before.mean()
+
+
+def test_weights_of_bits_change_the_winner():
+    """A bit that is always wrong for a language counts little in that language's distance."""
+    m = language_id.CodedClassifiers(["a", "b", "c"], np.ones((3, 64)))
+    bits = m.codes.shape[1]
+    margins = np.where(np.arange(bits) == 0, 9.0 * -m.codes[0, 0], 0.5 * m.codes[0])  # the first bit speaks loudly against a
+    m.weights = np.diag(margins).astype(np.float32)
+    row = np.full((1, bits), language_id.EFFECTIVE_GRAMS / bits) * bits
+    plain, *_ = m.decode(row)
+    assert plain[0] != 0
+    hits = np.full((3, bits), 98.0)
+    hits[0, 0] = 0
+    m.weigh(hits, np.full(3, 98.0))
+    right = np.where((np.arange(3)[:, None] == 0) & (np.arange(bits) == 0), 1 / 100, 99 / 100)
+    assert np.allclose(m.importance, right / right.sum(1, keepdims=True))
+    won, *_ = m.decode(row)
+    plain_losses = [(m.importance[k] * np.log1p(np.exp(-m.codes[k] * m.margins(row)[0]))).sum() for k in range(3)]
+    assert won[0] == 0 == int(np.argmin(plain_losses))
+
+
+def test_hits_and_sample_against_a_plain_version(spark):
+    rows = [((EN if i % 3 else DE)[i % 20 :] + f" x{i}", "en" if i % 3 else "de") for i in range(120)] + [(EN, "en")] * 50 + [(None, "en"), ("12", "de"), ("ohne", None), (DE, "en")]
+    docs = spark.createDataFrame(rows, "t string, l string").select("l", "t").where("t IS NOT NULL AND l IS NOT NULL")
+    model = language_id.train(docs, "l", "t", features=512, sample_rows=40)
+    hits, totals = language_id._hits(docs, model, 512)
+    want, n = np.zeros_like(hits), np.zeros(2)
+    for t, lang in rows:
+        if t and lang and language_id.gram_counts(t, 512).any():
+            k = model.languages.index(lang)
+            want[k] += (model.margins(language_id.gram_counts(t, 512)[None].astype(np.float32)) * model.codes[k] > 0)[0]
+            n[k] += 1
+    assert (hits == want).all() and (totals == n).all()
+    assert np.allclose(model.importance, ((want + 1) / (n[:, None] + 2)) / ((want + 1) / (n[:, None] + 2)).sum(1, keepdims=True))
+    counts, lang = language_id._sampled(docs, model.languages, n, 512, 40)
+    assert len(counts) == len(lang) and 10 <= len(counts) <= 80 and len(np.unique(counts, axis=0)) <= len(counts)
+
+
 def test_equally_near_codewords_are_ambiguous():
     m = language_id.CodedClassifiers(["a", "b"], np.ones((2, 64)))
     best, score, ambiguous = m.decode(np.ones((1, 64)))
