@@ -4,7 +4,8 @@ Every row gets a hash-random key; within a source, rows lie in key order. The ke
 first hex digits cut each source into ranges, so a source with a third of all rows
 is sorted by thousands of tasks: range totals are summed first (one small row for
 each source and range), their prefix sums are joined back, and each range adds its
-own running sum. A source's budget is its target in words: whole epochs while it
+own running sum. Rows of one id (or of no id) share a key: an id that a sample of the rows shows to hold more than ``HOT_ROWS``
+has ranges of its own, by size and a hash of the row, which keeps the order and splits it. A source's budget is its target in words: whole epochs while it
 exceeds the source, then documents in key order up to the exact word.
 
 Targets: sources in code point order (null last) take the weights in turn and share
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +31,25 @@ from rankloom.llm.common import SPACE_CLASS, carried, restored, staged
 
 #: Hex digits of the key that name a range: 4096 ranges a source.
 RANGE_DIGITS = 3
+#: Rows of one id that are split, the share of rows that is looked at for such ids, ids that can be split, and ranges a size.
+HOT_ROWS, SAMPLED, MOST_HOT, SPLITS = 50_000, 1 / 16, 1024, 256
+
+
+def hot_keys(keyed: DataFrame) -> list[str]:
+    """Keys that hold very many rows, by a sample: it decides on ranges, not on results."""
+    seen = keyed.where(F.rand(3) < SAMPLED).groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS * SAMPLED)
+    return sorted(r["_key"] for r in seen.orderBy(F.desc("n"), "_key").limit(MOST_HOT).collect())
+
+
+def range_of(key: Column, size: Column, row: Column, hot: list[str]) -> Column:
+    """Name of the range that a row lies in; names sort as (key, size) does."""
+    digits = F.substring(key, 1, RANGE_DIGITS)
+    if not hot:
+        return digits
+    keys = F.array(*map(F.lit, hot))
+    below = F.lpad(F.size(F.filter(keys, lambda h: h < key)).cast("string"), 4, "0")
+    own = F.concat(F.lit("="), F.lpad(size.cast("string"), 20, "0"), F.lpad(F.pmod(row, F.lit(SPLITS)).cast("string"), 3, "0"))
+    return F.concat(digits, below, F.when(F.array_contains(keys, key), own).otherwise(""))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -43,7 +63,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoch
         F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col))).alias("_source"),
         words.cast("long").alias("_size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_key"),
-    ).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
+        F.xxhash64(*(F.col(f"`{c}`") for c in own)).alias("_row"),
+    )
+    keyed = keyed.withColumn("_range", range_of(F.col("_key"), F.col("_size"), F.col("_row"), hot_keys(keyed))).drop("_row")
     ranges = staged(keyed.groupBy("_source", "_range").agg(F.sum("_size").alias("_words")), "mix-ranges")
     before = Window.partitionBy("_source").orderBy("_range")
     starts = ranges.select(

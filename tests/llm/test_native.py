@@ -3,7 +3,9 @@ from collections import defaultdict
 
 import pytest
 
-from rankloom.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from rankloom.llm import exact_dedup, mixing
 from rankloom.llm.exact_dedup import exact_duplicates
 from rankloom.llm.mixing import mix_sources
 
@@ -56,5 +58,26 @@ def test_mixing_targets_and_cuts(spark):
     assert got and sorted(map(str, got)) == sorted(map(str, mix_sources(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")).collect()))
 
 
+def test_mixing_splits_one_id_of_very_many_rows(spark, monkeypatch):
+    """100,000 rows of one id and 30,000 of none: the same words are taken as by one sort, and no range holds many rows."""
+    many = spark.range(100_000).select(F.lit(77).cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("w "), (F.col("id") % 4).cast("int")), F.lit("end"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 5 > 0, "a").alias("source"))
+    none = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("x y "), F.col("id").cast("string")).alias("text"), F.lit("b").alias("source"))
+    some = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    docs = many.unionByName(none).unionByName(some).repartition(8)
+    plain = mix_sources(docs)
+    monkeypatch.setattr(mixing, "HOT_ROWS", 5000)
+    split = mix_sources(docs)
+    told = lambda df: sorted(map(str, df.groupBy("doc_id", "size", "source", "target", "taken").count().collect()))
+    assert told(split) == told(plain)
+    keyed = docs.select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_key"), F.size(F.split("text", " ")).alias("_size"), F.xxhash64("doc_id", "text", "source").alias("_row"))
+    hot = mixing.hot_keys(keyed)
+    assert len(hot) == 2
+    ranges = keyed.withColumn("_range", mixing.range_of(F.col("_key"), F.col("_size"), F.col("_row"), hot))
+    assert ranges.groupBy("_range").count().agg(F.max("count")).first()[0] < 1000
+    # Names sort as keys and sizes do.
+    order = [(r._key, r._size) for r in ranges.where("_size > 0").select("_key", "_size", "_range").distinct().orderBy("_range").collect() if r._key in hot]
+    assert order == sorted(order)
+
+
 def test_mixing_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
