@@ -3,21 +3,21 @@
 Codes: vectors are centred and rotated so that their signs lose least (iterative
 quantisation: principal axes, then alternating rotations), by as many rotations from
 different starts as the ``bits`` need, fitted on a bounded sample; every vector is coded.
-Index: a code is cut into substrings of eight bits, and a row is found under each
-(substring, value). Search: a query probes the values near its own, and an equi-join on
-(substring, value) retrieves rows. If two codes differ in at most r bits, then with
-r = a x substrings + b some of the first b + 1 substrings differs in at most a bits or some other
-one in at most a - 1 (pigeonhole), so these probes retrieve every code within radius r. A pair is
-taken under the first substring that retrieves it, hence once, and only if its codes
-lie within the radius; its rank is by the exact Euclidean distance.
-
-The radius is learned: the ``coverage`` quantile of the Hamming distances of true
-neighbours in the sample. A query with fewer than k rows within it is searched again
-over all rows, in blocks, and marked ``scanned``.
-
-Only codes are dealt out by (substring, value); vectors are joined to the pairs within the
-radius. So shuffles grow with rows, probes and those pairs, and a value that very many rows
-hold is an ordinary skewed join key, which adaptive execution splits.
+Index: a code is cut into substrings of at least log2(rows) bits (8, 16 or 32), and a row is found under each
+(substring, value). Search: a query probes all values that differ from its own in at most a bits, and an equi-join on
+(substring, value) retrieves rows: with m substrings every code within m (a + 1) - 1 bits (pigeonhole). A
+pair is taken under the first substring that retrieves it, hence once.
+
+Every query has its own radius. First it probes a = 1; the nearest codes that this retrieves are ranked by exact distance, and the
+distance of its 0.9 k-th neighbour so far tells, by what a sample shows of distances and code distances, within which radius
+``coverage`` of the vectors that near have their codes. Then it probes as far as that radius asks, and all codes within it are ranked
+by exact Euclidean distance. A query for which the probes would retrieve more than half of all rows (or of which too little was
+retrieved to tell) reads one substring's index whole, every value of it: that is all codes, once, in blocks; it is marked ``scanned``. Its radius
+is told by the nearest of these, and exact distances are worked out within it only.
+
+Shuffled are codes by (substring, value), probes, and the vectors of pairs within the radius. ``met`` is how many codes a
+query has met, ``radius`` how far it looked. In tight clusters that is a small share of the rows; where vectors are isotropic
+every query needs a radius of a third of the bits, no index prunes, and each row is met about once.
 
 One rule for repeats: every distinct (id, vector) is a candidate once, whatever its number of
 rows; an id asked with several vectors asks with the smallest. Equal vectors are one entry
@@ -33,8 +33,9 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -45,9 +46,11 @@ from pyspark.sql.window import Window
 
 from rankloom.llm.common import prepare, staged
 
-SUBSTRING_BITS = 8
 #: Bits of one column of a code.
 LONG_BITS = 64
+#: Bits that may differ in a substring in the first round, and at least in the second; codes whose vectors tell a query's radius, and the share of
+#: the rows (and the probes) up to which probing goes.
+FIRST, SECOND, TELLING, MOST_MET, MOST_PROBES = 1, 2, 256, 0.5, 100_000
 
 
 class BinaryCoder:
@@ -79,41 +82,67 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _ones[a ^ b].sum(-1, dtype=np.int32)
 
 
-def allowances(radius: int, substrings: int) -> list[int]:
-    """Bits that may differ in each substring; -1: not probed."""
-    a, b = divmod(radius, substrings)
-    return [a if j <= b else a - 1 for j in range(substrings)]
+def substring_bits(rows: int) -> int:
+    """At least log2(rows), so that few rows share a value by chance; a width that divides a long."""
+    return 8 if rows <= 1 << 6 else 16 if rows <= 1 << 16 else 32
 
 
-def probes(radius: int) -> np.ndarray:
-    """Masks of at most ``radius`` bits of a substring."""
-    masks = [sum(1 << b for b in s) for n in range(min(radius, SUBSTRING_BITS) + 1) for s in combinations(range(SUBSTRING_BITS), n)]
-    return np.array(masks, np.uint8)
+@lru_cache(maxsize=64)
+def masks(width: int, allowed: int) -> np.ndarray:
+    """All patterns of at most ``allowed`` bits of a substring."""
+    return np.array([sum(1 << b for b in s) for n in range(min(allowed, width) + 1) for s in combinations(range(width), n)], np.int64)
 
 
-def probed_keys(codes: np.ndarray, radius: int) -> list[np.ndarray]:
-    """substring x 256 + value for all values that each code probes."""
-    near = [(j, probes(a)) for j, a in enumerate(allowances(radius, codes.shape[1])) if a >= 0]
-    return [np.concatenate([j * 256 + (masks ^ code[j]).astype(np.int32) for j, masks in near]) for code in codes]
+def values(codes: np.ndarray, width: int) -> np.ndarray:
+    """The substrings of codes (bytes), as integers."""
+    return codes.reshape(len(codes), -1, width // 8).astype(np.int64) @ (np.int64(1) << np.arange(0, width, 8, dtype=np.int64))
 
 
-def learned_radius(coder: BinaryCoder, sample: np.ndarray, k: int, coverage: float, queries: int = 256) -> int:
+def probed_keys(codes: np.ndarray, width: int, allowed: int) -> np.ndarray:
+    """The names of all (substring, value) that each code probes, a row a code."""
+    own = values(codes, width)
+    named = (np.arange(own.shape[1], dtype=np.int64) << width)[None, :, None] + (own[:, :, None] ^ masks(width, allowed)[None, None])
+    return named.reshape(len(codes), -1)
+
+
+def allowance(radius: int, substrings: int) -> int:
+    """Bits that may differ in each substring so that every code within the radius is retrieved."""
+    return max(0, -(-(radius + 1) // substrings) - 1)
+
+
+def learned_reach(coder: BinaryCoder, sample: np.ndarray, coverage: float, queries: int = 256, near: int = 64) -> list[float]:
+    """For each radius the largest distance of which ``coverage`` of the pairs have their codes within it; never falling.
+
+    The pairs are queries of the sample with their nearest ones, with random ones, and with places on the way to the nearest.
+    """
+    bits = coder.turn.shape[1]
+    if len(sample) < 2:
+        return [float("inf")] * (bits + 1)
+    rng = np.random.default_rng(9)
     q = sample[:: max(1, len(sample) // queries)][:queries]
-    codes = coder.codes(sample)
-    found = []
+    far, apart = [], []
     for x, c in zip(q, coder.codes(q), strict=True):
         d = ((sample - x) ** 2).sum(1)
-        near = np.argsort(d, kind="stable")[1 : k + 1]
-        found.append(hamming(codes[near], c))
-    return int(np.quantile(np.concatenate(found), coverage)) if found and len(sample) > 1 else 8 * codes.shape[1]
-
-
-def _coded(rows: DataFrame, coder: BinaryCoder, radius: int | None) -> DataFrame:
-    """``n`` and ``v`` of ``rows`` with its code as longs ``c0``, ``c1``, ... and ``keys``: its own
-    (substring, value) names or, with a radius, those it probes."""
+        d[d == 0] = np.inf
+        close = sample[np.argsort(d, kind="stable")[:near]]
+        others = np.concatenate([close, sample[rng.integers(0, len(sample), near)], *(x + t * (close[::4] - x) for t in (0.05, 0.15, 0.3, 0.5, 0.7, 0.85))])
+        far.append(np.sqrt(((others - x) ** 2).sum(1)))
+        apart.append(hamming(coder.codes(others), c))
+    far, apart = np.concatenate(far), np.concatenate(apart)
+    order = np.argsort(far, kind="stable")
+    far, apart = far[order], apart[order]
+    window = max(32, len(far) // 200)
+    edges = range(0, len(far), window)
+    needed = np.maximum.accumulate([np.quantile(apart[at : at + window], coverage) for at in edges])
+    last = np.array([far[min(at + window, len(far)) - 1] for at in edges])
+    # A window's radius holds for all its distances; no radius below the nearest window's holds for any.
+    return [float(last[needed <= r].max()) if (needed <= r).any() else 0.0 for r in range(bits)] + [float("inf")]
+
+
+def _coded(rows: DataFrame, coder: BinaryCoder) -> DataFrame:
+    """``n`` of ``rows`` (n, v) with its code as longs ``c0``, ``c1``, ... and as bytes."""
     shared = rows.sparkSession.sparkContext.broadcast(coder)  # dimensions x bits numbers
-    substrings = len(coder.codes(coder.mean[None])[0])
-    longs = -(-substrings * SUBSTRING_BITS // LONG_BITS)
+    longs = -(-coder.turn.shape[1] // LONG_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,44 +151,79 @@ def _coded(rows: DataFrame, coder: BinaryCoder, radius: int | None) -> DataFrame
                 continue
             codes = shared.value.codes(x)
             wide = np.zeros((len(x), longs * LONG_BITS // 8), np.uint8)
-            wide[:, :substrings] = codes
-            own = np.arange(substrings, dtype=np.int32) * 256
-            keys = [own + code for code in codes] if radius is None else probed_keys(codes, radius)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in np.ascontiguousarray(wide.view("<i8").T)), pa.array(keys, pa.list_(pa.int32()))], names=["n", "v", *(f"c{i}" for i in range(longs)), "keys"])
+            wide[:, : codes.shape[1]] = codes
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in np.ascontiguousarray(wide.view("<i8").T)), pa.array([c.tobytes() for c in wide], pa.binary())], names=["n", *(f"c{i}" for i in range(longs)), "code"])
 
     kind = rows.schema["n"].dataType.simpleString()
-    return rows.select("n", "v").mapInArrow(task, f"n {kind}, v array<double>, {', '.join(f'c{i} bigint' for i in range(longs))}, keys array<int>")
+    return rows.select("n", "v").mapInArrow(task, f"n {kind}, {', '.join(f'c{i} bigint' for i in range(longs))}, code binary")
+
+
+def _keyed(coded: DataFrame, width: int, allowed: str | None) -> DataFrame:
+    """``coded`` with ``key``, a row for each (substring, value) of its own or, with ``allowed`` (a column), that it probes."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.array([np.frombuffer(c, np.uint8) for c in batch.column("code").to_pylist()], np.uint8)
+            reach = batch.column(allowed).to_pylist() if allowed else [0] * len(codes)
+            keys = [probed_keys(c[None], width, a)[0] for c, a in zip(codes, reach, strict=True)]
+            yield batch.append_column("keys", pa.array(keys, pa.list_(pa.int64())))
 
-def _within(entries: DataFrame, asked: DataFrame, radius: int, substrings: int) -> DataFrame:
-    """(q, e) for all codes of ``entries`` within the radius of a code of ``asked``, each pair once."""
-    longs = -(-substrings * SUBSTRING_BITS // LONG_BITS)
-    table = entries.select(F.col("n").alias("e"), *(F.col(f"c{i}") for i in range(longs)), F.explode("keys").alias("key"))
-    probe = asked.select(F.col("n").alias("q"), *(F.col(f"c{i}").alias(f"d{i}") for i in range(longs)), F.explode("keys").alias("probe"))
-    apart = [F.col(f"c{i}").bitwiseXOR(F.col(f"d{i}")) for i in range(longs)]
-    distance = reduce(lambda a, b: a + b, [F.bit_count(x) for x in apart])
-    per_long = LONG_BITS // SUBSTRING_BITS
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema.fields)
+    slim = coded.mapInArrow(task, f"{kinds}, keys array<bigint>")
+    return slim.select(*(c for c in coded.columns if c != "code"), F.explode("keys").alias("key"))
+
+
+def _met(index: DataFrame, asked: DataFrame, width: int, longs: int) -> DataFrame:
+    """(q, e, apart) of all codes that the probes of ``asked`` (n, c0, ..., allowed, key) retrieve, each pair once."""
+    probe = asked.select(F.col("n").alias("q"), "allowed", F.col("key").alias("probe"), *(F.col(f"c{i}").alias(f"d{i}") for i in range(longs)))
+    differ = [F.col(f"c{i}").bitwiseXOR(F.col(f"d{i}")) for i in range(longs)]
     first = F.lit(-1)
-    for j, allowed in reversed(list(enumerate(allowances(radius, substrings)))):
-        bits = F.bit_count(F.shiftrightunsigned(apart[j // per_long], SUBSTRING_BITS * (j % per_long)).bitwiseAND(F.lit(255).cast("long")))
-        first = F.when(bits <= allowed, F.lit(j)).otherwise(first)
-    met = table.join(probe, (F.col("key") == F.col("probe")) & (distance <= radius) & (F.shiftright("key", SUBSTRING_BITS) == first))
-    return met.select("q", "e")
+    per_long = LONG_BITS // width
+    ones = (1 << width) - 1
+    for j in reversed(range(longs * per_long)):
+        bits = F.bit_count(F.shiftrightunsigned(differ[j // per_long], width * (j % per_long)).bitwiseAND(F.lit(ones).cast("long")))
+        first = F.when(bits <= F.col("allowed"), F.lit(j)).otherwise(first)
+    met = index.withColumnRenamed("n", "e").join(probe, (F.col("key") == F.col("probe")) & (F.shiftright("key", width) == first))
+    return met.select("q", "e", reduce(lambda a, b: a + b, [F.bit_count(x) for x in differ]).alias("apart"))
+
+
+def _read_whole(codes: DataFrame, asked: DataFrame, blocks: int, query_blocks: int, within: bool, id_kind: str) -> DataFrame:
+    """(q, e, apart) of every query with all codes: the TELLING nearest of each block, or those within the query's ``radius``."""
+    turn = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = codes.select(F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("b"), turn(query_blocks).alias("s"), "n", "code")
+    right = asked.select(turn(blocks).alias("b"), F.pmod(F.xxhash64("n"), F.lit(query_blocks)).alias("s"), F.col("n").alias("q"), "code", "radius")
+
+    def search(_: tuple, e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(e) and len(q):
+            words = lambda c: np.frombuffer(b"".join(c), np.uint64).reshape(len(c), -1)
+            own, ids = words(e["code"].to_list()), e["n"].to_numpy()
+            for name, code, radius in zip(q["q"], words(q["code"].to_list()), q["radius"], strict=True):
+                apart = np.bitwise_count(own ^ code).sum(1, dtype=np.int32)
+                if within:
+                    at = np.flatnonzero(apart <= radius)
+                else:
+                    limit = np.partition(apart, TELLING - 1)[TELLING - 1] if len(apart) > TELLING else apart.max()
+                    at = np.flatnonzero(apart <= limit)
+                out.append(pd.DataFrame({"q": name, "e": ids[at], "apart": apart[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "e": [], "apart": []})
+
+    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(search, f"q {id_kind}, e bigint, apart int")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, sample_rows: int = 10_000, coverage: float = 0.97, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
-    """The k nearest found of each row for which ``is_query`` (over ``id_col``) holds:
-    ``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance) and ``scanned``."""
+    """The k nearest found of each row for which ``is_query`` (over ``id_col``) holds: ``query_id``, ``rank``, ``vec_id``,
+    ``score`` (Euclidean distance), ``scanned``, ``radius`` and ``met``. ``bits`` is a multiple of 64."""
     spark = vectors.sparkSession
     prepare(spark)
     id_kind = vectors.schema[id_col].dataType.simpleString()
     as_double = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = as_double.where(sound).withColumn("q", F.coalesce("q", F.lit(False)))
-    width = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if width is None:
-        return spark.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double, scanned boolean")
-    usable = usable.where(F.size("v") == width["n"])
+    dimensions = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if dimensions is None:
+        return spark.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double, scanned boolean, radius int, met bigint")
+    usable = usable.where(F.size("v") == dimensions["n"])
     # One entry for each vector. Repeats are combined before they are dealt out, and window group limits keep
     # k + 1 ids of a vector in every task.
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
@@ -173,41 +237,65 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     drawn = drawn or entries.select("v").limit(sample_rows).collect()
     sample = np.array(sorted(r["v"] for r in drawn))
     coder = BinaryCoder(sample, bits)
-    radius = learned_radius(coder, sample, k, coverage)
-    substrings = -(-bits // SUBSTRING_BITS)
-    pairs = _within(_coded(entries, coder, None), _coded(asked, coder, radius), radius, substrings)
-    near = pairs.join(entries, F.col("e") == F.col("n")).select("q", "ids", F.col("v").alias("x")).join(asked, F.col("q") == F.col("n"))
+    width, longs = substring_bits(total), bits // LONG_BITS
+    substrings = bits // width
+    reach = F.array(*(F.lit(d) for d in learned_reach(coder, sample, coverage)))
+    codes = staged(_coded(entries, coder), "nearest-codes")
+    asked_codes = staged(_coded(asked, coder), "nearest-asked")
+    index = _keyed(codes, width, None)
+    vector_of = entries.select(F.col("n").alias("_e"), "ids", F.col("v").alias("x"))
+    asked_of = asked.select(F.col("n").alias("_q"), "v")
     square = F.aggregate(F.zip_with("x", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    found = near.select("q", F.sqrt(square).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> q")
-    order = Window.partitionBy("q").orderBy("score", "vec_id")
-    ranked = staged(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest-found")
-    full = ranked.groupBy("q").agg(F.max("rank").alias("last")).where(F.col("last") == k).select("q")
-    rest = staged(asked.join(full, F.col("n") == F.col("q"), "left_anti"), "nearest-rest")
-    out = ranked.join(rest, F.col("q") == F.col("n"), "left_anti").select(F.col("q").alias("query_id"), "rank", "vec_id", "score", F.lit(False).alias("scanned"))
-    few = rest.count()
-    if not few:
-        return out
-    return out.unionByName(_scanned(entries, rest, k, -(-total // block_rows), -(-few // query_rows), id_kind))
-
-
-def _scanned(entries: DataFrame, rest: DataFrame, k: int, blocks: int, query_blocks: int, id_kind: str) -> DataFrame:
-    """The exact answer of queries with too few rows within the radius: blocks of entries meet blocks of queries."""
-    turn = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    of_entries = entries.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("b"), turn(query_blocks).alias("s"), F.lit(False).alias("q"), "ids", "v")
-    of_queries = rest.select(turn(blocks).alias("b"), F.pmod(F.xxhash64("n"), F.lit(query_blocks)).alias("s"), F.lit(True).alias("q"), F.array("n").alias("ids"), "v")
 
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        e, q = rows[~rows["q"]], rows[rows["q"]]
-        out: list[tuple] = []
-        if len(e) and len(q):
-            x, ids = np.stack(e["v"].to_list()), e["ids"].to_list()
-            for own, v in zip(q["ids"], q["v"], strict=True):
-                d = np.sqrt(((x - v) ** 2).sum(1))
-                near = np.argsort(d, kind="stable")
-                near = near[d[near] <= d[near[min(k, len(near) - 1)]]]
-                out += [(own[0], i, s) for s, i in sorted((d[j], i) for j in near for i in ids[j] if i != own[0])[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = of_entries.unionByName(of_queries).groupBy("b", "s").applyInPandas(search, f"query_id {id_kind}, vec_id {id_kind}, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(True).alias("scanned"))
+    def ranked(pairs: DataFrame) -> DataFrame:
+        """(q, vec_id, score) of pairs (q, e), by exact distances; the k best of each query."""
+        met = pairs.join(vector_of, F.col("e") == F.col("_e")).join(asked_of, F.col("q") == F.col("_q"))
+        found = met.select("q", F.sqrt(square).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> q")
+        return best(found)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("q").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def told(found: DataFrame, of: DataFrame) -> DataFrame:
+        """The radius of each query: what the distance of its 0.9 k-th neighbour so far needs; null where there are too few."""
+        at = found.where(F.col("rank") == max(1, min(ceil(0.9 * k), total - 1))).select(F.col("q").alias("_q"), F.col("score").alias("_d"))
+        needs = F.when(F.col("_d").isNotNull(), F.size(F.filter(reach, lambda d: d < F.col("_d"))))
+        return of.join(at, F.col("n") == F.col("_q"), "left").select("n", *(f"c{i}" for i in range(longs)), "code", needs.alias("radius"))
+
+    def telling(pairs: DataFrame) -> DataFrame:
+        order = Window.partitionBy("q").orderBy("apart", "e")
+        return pairs.withColumn("_near", F.row_number().over(order)).where(F.col("_near") <= TELLING).select("q", "e")
+
+    # First round: few probes, whose nearest codes tell each query's radius.
+    begun = staged(_met(index, _keyed(asked_codes.withColumn("allowed", F.lit(FIRST)), width, "allowed"), width, longs), "nearest-begun")
+    some = staged(ranked(telling(begun)), "nearest-some")
+    allowed = F.greatest(F.lit(0), F.ceil((F.col("radius") + 1) / substrings).cast("int") - 1)
+    first = told(some, asked_codes).withColumn("allowed", allowed)
+    # How far probing pays.
+    far = max([a for a in range(width + 1) if (n := substrings * sum(comb(width, i) for i in range(a + 1))) <= MOST_PROBES and n * total / 2.0**width <= MOST_MET * total], default=-1)
+    first = staged(first, "nearest-radius")
+    probing = first.where(F.col("radius").isNotNull() & (F.col("allowed") <= far)).withColumn("allowed", F.greatest("allowed", F.lit(min(far, SECOND))))
+    probed = _met(index, _keyed(probing, width, "allowed"), width, longs)
+    pairs = staged(probed.join(probing.select(F.col("n").alias("_n"), "radius"), F.col("q") == F.col("_n")).select("q", "e", "apart", "radius"), "nearest-pairs")
+    met = begun.groupBy("q").agg(F.count(F.lit(1)).alias("n")).unionByName(pairs.groupBy("q").agg(F.count(F.lit(1)).alias("n"))).groupBy(F.col("q").alias("_m")).agg(F.sum("n").alias("met"))
+    # What was retrieved beyond the radius may still fill up the k.
+    order = Window.partitionBy("q").orderBy("apart", "e")
+    close = pairs.withColumn("_near", F.row_number().over(order)).where((F.col("apart") <= F.col("radius")) | (F.col("_near") <= k + 1))
+    found = staged(best(some.drop("rank").unionByName(ranked(close.select("q", "e")).drop("rank")).distinct()), "nearest-found")
+    # A query that is short of neighbours (or of a radius) reads all codes.
+    ids = entries.select(F.explode("ids")).distinct().limit(k + 1).count()
+    full = found.where(F.col("rank") == min(k, ids - 1)).select("q").join(probing.select(F.col("n").alias("q")), "q", "left_semi")
+    whole = staged(first.join(full, F.col("n") == F.col("q"), "left_anti"), "nearest-whole")
+    few = whole.count()
+    radius = probing.join(full, F.col("n") == F.col("q"), "left_semi").select("n", "radius", F.lit(False).alias("scanned"))
+    if few:
+        blocks, query_blocks = -(-total // block_rows), -(-few // query_rows)
+        close = staged(ranked(telling(_read_whole(codes, whole, blocks, query_blocks, False, id_kind))), "nearest-close")
+        again = staged(told(close, whole).withColumn("radius", F.coalesce("radius", F.lit(bits))), "nearest-again")
+        rest = ranked(_read_whole(codes, again, blocks, query_blocks, True, id_kind).select("q", "e"))
+        found = best(found.drop("rank").unionByName(close.drop("rank")).unionByName(rest.drop("rank")).distinct())
+        radius = radius.unionByName(again.select("n", "radius", F.lit(True).alias("scanned")))
+    out = found.join(radius, F.col("q") == F.col("n")).join(met, F.col("q") == F.col("_m"), "left")
+    seen = F.coalesce("met", F.lit(0)) + F.when(F.col("scanned"), total).otherwise(0)
+    return out.select(F.col("q").alias("query_id"), "rank", "vec_id", "score", "scanned", F.col("radius").cast("int").alias("radius"), seen.cast("long").alias("met"))

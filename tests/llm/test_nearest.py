@@ -2,21 +2,26 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm.nearest import BinaryCoder, allowances, hamming, nearest, probed_keys
+from rankloom.llm.nearest import BinaryCoder, allowance, hamming, learned_reach, nearest, probed_keys
 
 
-def test_probing_retrieves_every_code_within_the_radius():
+@pytest.mark.parametrize("width", [8, 16, 32])
+def test_probing_retrieves_every_code_within_the_radius(width):
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, size=(400, 4), dtype=np.uint8)
-    codes[:200] &= 0x0F
-    own = np.arange(4) * 256 + codes
-    for radius in (0, 3, 5, 9, 14, 32):
-        for c, keys in zip(codes[:20], probed_keys(codes[:20], radius), strict=True):
-            hit = np.isin(own, keys).any(1)
-            assert hit[hamming(codes, c) <= radius].all()
+    codes = rng.integers(0, 256, size=(300, 8), dtype=np.uint8)
+    codes[:200] = codes[0] ^ (rng.random((200, 64)) < rng.random((200, 1)) * 0.4).reshape(200, 8, 8).dot(1 << np.arange(8)).astype(np.uint8)
+    m = 64 // width
+    own = probed_keys(codes, width, 0)
+    assert (own >> width == np.arange(m)).all()
+    for radius in (0, m - 1, m, 3 * m - 1) if width > 16 else (0, m - 1, m, 2 * m + 1, 4 * m - 1):
+        a = allowance(radius, m)
+        assert m * (a + 1) - 1 >= radius and (a == 0 or m * a - 1 < radius)
+        for c, keys in zip(codes[:6], probed_keys(codes[:6], width, a), strict=True):
+            hit = np.isin(own, keys)
+            assert hit.any(1)[hamming(codes, c) <= radius].all()
             # Each substring is probed within its own allowance, and no further.
-            apart = hamming(codes[:, :, None], c[None, :, None])
-            assert (np.isin(own, keys) == (apart <= np.array(allowances(radius, 4)))).all()
+            apart = np.bitwise_count(own ^ probed_keys(c[None], width, 0)).astype(int)
+            assert (hit == (apart <= a)).all()
 
 
 def brute(rows, k=10):
@@ -56,19 +61,44 @@ def test_recall_and_order(spark):
         assert order == sorted(order)
 
 
-@pytest.mark.parametrize("coverage", [0.0, 1.0])
-def test_queries_short_of_neighbours_are_scanned(spark, coverage):
-    """With radius 0 nearly all queries are scanned, with the widest none; both give the exact answer."""
+def test_reach_holds_what_the_sample_shows():
+    """Within the radius that a distance asks for lie the codes of the stated share of the pairs that far apart or nearer."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    coder = BinaryCoder(x, 128)
+    reach = np.array(learned_reach(coder, x, 0.95))
+    assert len(reach) == 129 and (np.diff(reach) >= 0).all() and reach[-1] == np.inf
+    y = x + rng.normal(size=x.shape) * rng.random((1500, 1)) * 0.8
+    d, apart = np.sqrt(((x - y) ** 2).sum(1)), hamming(coder.codes(x), coder.codes(y))
+    assert (apart <= (reach[None] < d[:, None]).sum(1)).mean() > 0.93
+
+
+@pytest.mark.parametrize(
+    ("clusters", "size", "noise", "most", "scans"),
+    [(50, 40, 0.1, 0.1, False), (50, 40, 0.33, 0.3, False), (200, 10, 0.1, 0.3, False), (1, 2000, 1.0, 1.2, True)],
+)
+def test_each_query_looks_as_far_as_it_needs(spark, clusters, size, noise, most, scans):
+    """Tight clusters, looser ones, and ones with fewer rows than neighbours are met in part only; isotropic rows about once."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(clusters, 32)), size, 0) + rng.normal(size=(clusters * size, 32)) * noise
+    rows = [(i, v.tolist()) for i, v in enumerate(x[rng.permutation(len(x))])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    want = brute(rows)
+    assert len(got) == len(want)
+    recall = sum(want[r.query_id, n][0] in {g.vec_id for g in got if g.query_id == r.query_id} for r in got if r["rank"] == 1 for n in range(1, 11)) / len(want)
+    share = np.mean([r.met for r in got]) / len(rows)
+    print(clusters, size, noise, "recall", recall, "share of rows met", share, "radius", np.mean([r.radius for r in got]))
+    assert recall >= 0.9 and share < most and all(r.scanned == scans for r in got if scans)
+
+
+def test_queries_short_of_neighbours_read_all_codes(spark):
+    """Rows far from each other: nothing is retrieved at first, so all codes are read; the answer is exact where the radius is whole."""
     rng = np.random.default_rng(4)
     rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(400, 8)), 2))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = nearest(df, F.col("vec_id") % 100 == 0, coverage=coverage, bits=64, block_rows=150, query_rows=3).collect()
-    if coverage:
-        assert sum(r.scanned for r in got) < len(got)
-    else:
-        assert all(r.scanned for r in got)
-        want = brute(rows)
-        assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {k: i for k, (i, _) in want.items()}
+    got = nearest(df, F.col("vec_id") % 100 == 0, coverage=1.0, bits=64, block_rows=150, query_rows=3).collect()
+    want = brute(rows)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {k: i for k, (i, _) in want.items()}
 
 
 def test_few_rows_and_none(spark):
