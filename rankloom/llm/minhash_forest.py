@@ -289,8 +289,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
     placed = sized.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))))
     placed = staged(placed.select("node", "rep", "h", "copies", "block"), "forest-blocks")
     # Two blocks meet if a prefix has nodes of both; a block always meets itself.
-    over = near.select("prefix", "node").join(placed.select("node", "block"), "node").groupBy("prefix").agg(F.collect_set("block").alias("blocks")).where(F.size("blocks") > 1)
-    pairs = over.select("blocks", F.explode("blocks").alias("i")).select("i", F.explode("blocks").alias("j")).where("i < j").distinct()
+    # The blocks under a prefix are rows and not a list, so one that very many blocks share is a skewed join key, which is split.
+    under = staged(near.select("prefix", "node").join(placed.select("node", "block"), "node").select("prefix", "block").distinct(), "forest-under")
+    several = under.join(under.groupBy("prefix").count().where("count > 1").select("prefix"), "prefix")
+    pairs = several.withColumnRenamed("block", "i").join(under.withColumnRenamed("block", "j"), "prefix").where("i < j").select("i", "j").distinct()
     pairs = staged(pairs.unionByName(placed.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct()), "forest-pairs")
     ends = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
     # Candidates grow with the corpus, so this join always deals out by id, also where they would fit a broadcast.
