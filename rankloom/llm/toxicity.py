@@ -9,8 +9,8 @@ trained in numpy with the non-negative risk estimator (Kiryo et al., 2017):
 where the prior is the toxic share of the labelled training rows. While the second
 part is negative, the step runs against it, which keeps the classifier from
 fitting the positives alone. The fit uses a bounded sample, documents with the smallest
-hashes of their ids: about ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, as words
-with their counts. Scoring reads every whole text.
+hashes of their ids: about ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts. Tasks split them into words and work out
+features and values; the driver gets numbers and fits. Scoring reads every whole text.
 
 A word counts by its presence, a beginning of ``SHORTEST`` to ``LONGEST`` characters by
 its share of the text's words: languages that inflect and compound mark a text by many
@@ -26,21 +26,20 @@ columns are ignored, and a kept one named ``score`` gives way.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import sliced, prepare
+from rankloom.llm.common import prepare, sliced, staged, staging
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
-#: Bytes of a sampled text's packed words and counts; a text with more (about ten thousand different
-#: words) isn't in the sample. Both bounds hold for the fit only: scoring reads every whole text.
-MAX_PACKED = 1 << 16
+#: Features whose values a sampled text brings to the driver; a text that holds more isn't in the sample. Both
+#: bounds hold for the fit only: scoring reads every whole text.
+MOST_VALUES = 1 << 13
 #: A word or beginning becomes a feature if at least MIN_TEXTS positive texts of the sample
 #: hold it and the means of its values over positive and unlabelled texts differ by MIN_Z
 #: standard errors, taken from the unlabelled texts, so that a rare language's words count too.
@@ -92,19 +91,30 @@ class Features:
 Matrix = tuple[np.ndarray, np.ndarray, np.ndarray, int]
 
 
-class Texts:
-    """Word counts of a sample, kept packed and read one text at a time."""
+def matrix(held: list[tuple[np.ndarray, np.ndarray]]) -> Matrix:
+    """The values of texts, by cells: row, feature, value; and the number of texts."""
+    none = [np.zeros(0, np.int64)], [np.zeros(0)]
+    rows = np.repeat(np.arange(len(held)), [len(at) for at, _ in held])
+    return rows, np.concatenate([at for at, _ in held] or none[0]), np.concatenate([x for _, x in held] or none[1]), len(held)
 
-    def __init__(self, packed: list[tuple[bytes, bytes]]):
-        self.packed = packed
 
-    def __len__(self) -> int:
-        return len(self.packed)
+def _means(x: Matrix, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean value and mean square of each feature."""
+    return tuple(np.bincount(x[1], weights=by, minlength=features) / max(x[3], 1) for by in (x[2], x[2] ** 2))
 
-    def __iter__(self) -> Iterator[dict[str, int]]:
-        for words, counts in self.packed:
-            held = zlib.decompress(words).decode("utf-8", "surrogatepass").split()
-            yield dict(zip(held, np.frombuffer(counts, "<u4").tolist(), strict=True))
+
+def _of(x: Matrix, chosen: np.ndarray, features: int) -> Matrix:
+    """The cells of the chosen features, numbered anew."""
+    place = np.full(features, -1)
+    place[chosen] = np.arange(len(chosen))
+    at = place[x[1]]
+    return x[0][at >= 0], at[at >= 0], x[2][at >= 0], x[3]
+
+
+def named(texts: Iterable[dict[str, int]]) -> list[str]:
+    """Words and beginnings that at least MIN_TEXTS texts hold."""
+    met = Counter(x for counts in texts for x in {x for word in counts for x in parts(word)})
+    return sorted(x for x, n in met.items() if n >= MIN_TEXTS)
 
 
 def risk_parts(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
@@ -125,16 +135,13 @@ def score_slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarr
 class NonNegativePU:
     """Linear scores over the values of ``features``; ``weights`` has one for each."""
 
-    def __init__(self, positive: Texts, unlabelled: Texts, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 3e-4):
-        texts = Counter(x for counts in positive for x in {x for word in counts for x in parts(word)})
-        self.features = Features(sorted(x for x, n in texts.items() if n >= MIN_TEXTS))
-        del texts
-        n, m = len(positive), len(unlabelled)
-        (p, _), (u, square) = self._means(positive), self._means(unlabelled)
+    def __init__(self, names: list[str], positive: Matrix, unlabelled: Matrix, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 3e-4):
+        n, m = positive[3], unlabelled[3]
+        (p, _), (u, square) = (_means(x, len(names)) for x in (positive, unlabelled))
         spread = square - u**2 + 0.02 / (m + 1)
         chosen = np.flatnonzero(np.abs(p - u) >= MIN_Z * np.sqrt(spread * (1 / n + 1 / m)))
-        self.features = Features([self.features.names[k] for k in chosen])
-        wp, wu = self._matrix(positive), self._matrix(unlabelled)
+        self.features = Features([names[k] for k in chosen])
+        wp, wu = _of(positive, chosen, len(names)), _of(unlabelled, chosen, len(names))
         w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, steps + 1):
@@ -150,23 +157,9 @@ class NonNegativePU:
         self.bias = b
         self.weights = w
 
-    def _matrix(self, texts: Texts) -> Matrix:
-        held = [self.features.values(counts) for counts in texts]
-        rows = np.repeat(np.arange(len(held)), [len(at) for at, _ in held])
-        return rows, np.concatenate([at for at, _ in held]), np.concatenate([x for _, x in held]), len(held)
-
     def _sums(self, x: Matrix, by_cell: np.ndarray) -> np.ndarray:
         return np.bincount(x[1], weights=by_cell, minlength=len(self.features.names))
 
-    def _means(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Mean value and mean square of each feature."""
-        total, square = np.zeros((2, len(self.features.names)))
-        for counts in texts:
-            at, x = self.features.values(counts)
-            total[at] += x
-            square[at] += x * x
-        return total / len(texts), square / len(texts)
-
     def _scores(self, x: Matrix, w: np.ndarray) -> np.ndarray:
         return np.bincount(x[0], weights=w[x[1]] * x[2], minlength=x[3])
 
@@ -186,20 +179,36 @@ def _drawn(ids: DataFrame, total: int, bound: int) -> DataFrame:
     return ids.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share)
 
 
-def _sampled_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, bound: int) -> Texts:
-    """Word counts of the documents in ``ids`` (bounded, so it is broadcast); at most ``bound`` texts,
-    none of more than MAX_PACKED bytes of packed words."""
+def _picked(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, bound: int) -> DataFrame:
+    """(i, t) of the documents in ``ids`` (bounded, so it is broadcast), one row an id, staged; at most twice ``bound``."""
+    texts = docs.select(docs[id_col].cast("string").alias("i"), docs[text_col].cast("string").alias("t")).join(F.broadcast(ids), "i", "left_semi")
+    return staged(texts.groupBy("i").agg(F.max("t").alias("t")).limit(2 * bound), "toxicity-sample")
+
+
+def _names(texts: DataFrame) -> list[str]:
+    """``named`` of sampled texts, counted by Spark: only names that enough texts hold reach the driver."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            met = Counter(x for t in batch.column(0).to_pylist() for x in {x for word in word_counts(t) for x in parts(word)})
+            yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], names=["x", "n"])
+
+    counted = texts.select("t").mapInArrow(task, "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TEXTS)
+    return sorted(counted.select("x").toArrow()["x"].to_pylist())
+
+
+def _values(texts: DataFrame, names: list[str]) -> Matrix:
+    """The values of sampled texts, worked out in tasks; none of a text that holds more than MOST_VALUES of the features."""
+    shared = texts.sparkSession.sparkContext.broadcast(Features(names))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [sorted(word_counts(t).items()) for t in batch.column(1).to_pylist()]
-            words = [zlib.compress(" ".join(w for w, _ in x).encode("utf-8", "surrogatepass"), 1) for x in found]
-            counts = [np.array([n for _, n in x], "<u4").tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], names=["i", "w", "n"])
+            held = [shared.value.values(word_counts(t)) for t in batch.column(1).to_pylist()]
+            at = pa.array([a.astype(np.int32) for a, _ in held], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), at, pa.array([x for _, x in held], pa.list_(pa.float64()))], names=["i", "at", "x"])
 
-    picked = docs.select(docs[id_col].cast("string").alias("i"), docs[text_col].cast("string").alias("t")).join(F.broadcast(ids), "i", "left_semi")
-    rows = picked.mapInArrow(task, "i string, w binary, n binary").where(F.octet_length("w") + F.octet_length("n") <= MAX_PACKED).orderBy(F.xxhash64("i"), "i", "w", "n").limit(bound).collect()
-    return Texts([(bytes(r["w"]), bytes(r["n"])) for r in rows])
+    got = texts.mapInArrow(task, "i string, at array<int>, x array<double>").where(F.size("at") <= MOST_VALUES).orderBy("i").toArrow()
+    return matrix([(a.values.to_numpy().astype(np.int64), x.values.to_numpy()) for a, x in zip(got["at"], got["x"], strict=True)])
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NonNegativePU | None:
@@ -213,9 +222,12 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     toxic = _drawn(known.where("y = 1").select("i"), total["p"], MAX_POSITIVE)
     ids = docs.where(training).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"))
     drawn = _drawn(ids, ids.count(), MAX_UNLABELLED).distinct()
-    positive = _sampled_words(docs, toxic, id_col, text_col, MAX_POSITIVE)
-    unlabelled = _sampled_words(docs, drawn, id_col, text_col, MAX_UNLABELLED)
-    return NonNegativePU(positive, unlabelled, prior) if positive and unlabelled else None
+    with staging(docs.sparkSession):
+        toxic_texts = _picked(docs, toxic, id_col, text_col, MAX_POSITIVE)
+        names = _names(toxic_texts)
+        positive = _values(toxic_texts, names)
+        unlabelled = _values(_picked(docs, drawn, id_col, text_col, MAX_UNLABELLED), names)
+    return NonNegativePU(names, positive, unlabelled, prior) if positive[3] and unlabelled[3] else None
 
 
 def score(docs: DataFrame, model: NonNegativePU | None, keep: dict[str, Column], text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import math
-import zlib
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -183,16 +184,48 @@ def test_fit_lowers_the_risk_below_that_of_the_prior(spark):
     """The trained scores have a smaller non-negative risk than any constant score."""
     rng = np.random.default_rng(7)
     words = [chr(97 + i % 26) + chr(97 + i // 26) + "x" for i in range(200)]
-    packed = lambda t: (zlib.compress(" ".join(sorted(set(t))).encode()), np.array([t.count(w) for w in sorted(set(t))], "<u4").tobytes())
     bad = [rng.choice(words, 30).tolist() + ["vile"] for _ in range(40)]
     some = [rng.choice(words, 30).tolist() + (["vile"] if k % 10 == 0 else []) for k in range(400)]
-    m = toxicity.NonNegativePU(toxicity.Texts([packed(t) for t in bad]), toxicity.Texts([packed(t) for t in some]), 0.1)
+    names = toxicity.named([Counter(t) for t in bad])
+    valued = lambda texts: toxicity.matrix([toxicity.Features(names).values(Counter(t)) for t in texts])
+    m = toxicity.NonNegativePU(names, valued(bad), valued(some), 0.1)
     logit = lambda t: math.log(m.score(" ".join(t)) / (1 - m.score(" ".join(t))))
     risk = lambda gp, gu: (lambda a, b: a + max(0.0, b))(*toxicity.risk_parts(np.array(gp), np.array(gu), 0.1))
     constant = min(risk([g] * 40, [g] * 400) for g in np.linspace(-6, 6, 121))
     assert risk([logit(t) for t in bad], [logit(t) for t in some]) < 0.5 * constant
 
 
+def test_names_and_values_of_a_sample_against_a_plain_version(spark):
+    """What tasks work out equals the definitions, text by text, and so do means and the choice of features."""
+    rng = random.Random(6)
+    vocabulary = ["vile", "vileness", "calm", "calmly", "über", "a", "ab"]
+    texts = {str(i): " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30))) or None for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "i string, t string").repartition(5)
+    counted = [toxicity.word_counts(t) for t in texts.values()]
+    held = {}
+    for counts in counted:
+        for x in {w + "$" for w in counts} | {w[:n] for w in counts for n in range(3, min(len(w), 8) + 1)}:
+            held[x] = held.get(x, 0) + 1
+    names = toxicity._names(df)
+    assert names == sorted(x for x, n in held.items() if n >= 3) == toxicity.named(counted)
+    rows, at, x, n = toxicity._values(df, names)
+    got = {}
+    for r, k, v in zip(rows.tolist(), at.tolist(), x.tolist(), strict=True):
+        got[sorted(texts)[r], names[k]] = v
+    want = {}
+    for i, t in texts.items():
+        counts = toxicity.word_counts(t)
+        for name in names:
+            uses = sum(c for w, c in counts.items() if name == w + "$" or (not name.endswith("$") and w.startswith(name) and len(name) <= min(len(w), 8)))
+            if uses:
+                want[i, name] = 1.0 if name.endswith("$") else math.log1p(50 * uses / (sum(counts.values()) + 30))
+    assert n == 60 and got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+    mean, square = toxicity._means((rows, at, x, n), len(names))
+    for k, name in enumerate(names):
+        own = [v for (_, y), v in want.items() if y == name]
+        assert math.isclose(mean[k], sum(own) / 60, abs_tol=1e-12) and math.isclose(square[k], sum(v * v for v in own) / 60, abs_tol=1e-12)
+
+
 def test_long_tied_and_repeated_texts(spark):
     rng = np.random.default_rng(0)
     filler = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
