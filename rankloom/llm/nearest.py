@@ -187,8 +187,8 @@ def _met(index: DataFrame, asked: DataFrame, width: int, longs: int) -> DataFram
     return met.select("q", "e", reduce(lambda a, b: a + b, [F.bit_count(x) for x in differ]).alias("apart"))
 
 
-def _read_whole(codes: DataFrame, asked: DataFrame, blocks: int, query_blocks: int, within: bool, id_kind: str) -> DataFrame:
-    """(q, e, apart) of every query with all codes: the TELLING nearest of each block, or those within the query's ``radius``."""
+def _read_whole(codes: DataFrame, asked: DataFrame, blocks: int, query_blocks: int, nearest: int | None, id_kind: str) -> DataFrame:
+    """(q, e, apart) of every query with all codes: the ``nearest`` of each block, or else those within the query's ``radius``."""
     turn = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = codes.select(F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("b"), turn(query_blocks).alias("s"), "n", "code")
     right = asked.select(turn(blocks).alias("b"), F.pmod(F.xxhash64("n"), F.lit(query_blocks)).alias("s"), F.col("n").alias("q"), "code", "radius")
@@ -197,14 +197,14 @@ def _read_whole(codes: DataFrame, asked: DataFrame, blocks: int, query_blocks: i
         out = []
         if len(e) and len(q):
             words = lambda c: np.frombuffer(b"".join(c), np.uint64).reshape(len(c), -1)
+            e = e.sort_values("n")
             own, ids = words(e["code"].to_list()), e["n"].to_numpy()
             for name, code, radius in zip(q["q"], words(q["code"].to_list()), q["radius"], strict=True):
                 apart = np.bitwise_count(own ^ code).sum(1, dtype=np.int32)
-                if within:
+                if nearest is None:
                     at = np.flatnonzero(apart <= radius)
                 else:
-                    limit = np.partition(apart, TELLING - 1)[TELLING - 1] if len(apart) > TELLING else apart.max()
-                    at = np.flatnonzero(apart <= limit)
+                    at = np.argpartition(apart, nearest)[:nearest] if len(apart) > nearest else np.arange(len(apart))
                 out.append(pd.DataFrame({"q": name, "e": ids[at], "apart": apart[at]}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "e": [], "apart": []})
 
@@ -291,9 +291,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     radius = probing.join(full, F.col("n") == F.col("q"), "left_semi").select("n", "radius", F.lit(False).alias("scanned"))
     if few:
         blocks, query_blocks = -(-total // block_rows), -(-few // query_rows)
-        close = staged(ranked(telling(_read_whole(codes, whole, blocks, query_blocks, False, id_kind))), "nearest-close")
+        # Blocks are dealt by hash: each gives its share of the TELLING nearest, twice over. They only tell a radius.
+        share = max(k + 1, -(-2 * TELLING // blocks))
+        close = staged(ranked(telling(_read_whole(codes, whole, blocks, query_blocks, share, id_kind))), "nearest-close")
         again = staged(told(close, whole).withColumn("radius", F.coalesce("radius", F.lit(bits))), "nearest-again")
-        rest = ranked(_read_whole(codes, again, blocks, query_blocks, True, id_kind).select("q", "e"))
+        rest = ranked(_read_whole(codes, again, blocks, query_blocks, None, id_kind).select("q", "e"))
         found = best(found.drop("rank").unionByName(close.drop("rank")).unionByName(rest.drop("rank")).distinct())
         radius = radius.unionByName(again.select("n", "radius", F.lit(True).alias("scanned")))
     out = found.join(radius, F.col("q") == F.col("n")).join(met, F.col("q") == F.col("_m"), "left")
