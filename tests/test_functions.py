@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import features
 from rankloom.operators.dictionary import found_terms
+from rankloom.operators.lines import rebuilt_texts
 from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education_entries
 from rankloom.functions.embedding import END_SHARE, END_WEIGHT, FNV_SEEDS, Features, HEAD_STEP, HEADS, PAIR_WEIGHT, PART_WEIGHT, STOP_WORDS, TOP_SHARE, TOP_WEIGHT, _words, embed, embed_many, fnv1a
-from rankloom.functions.layout import SHOWN, combined_pages, rebuilt
+from rankloom.functions.layout import SHOWN, STORED, Layout, combined_pages, rebuilt
 
 
 def one(spark, column):
@@ -292,3 +293,17 @@ def test_features_as_tables_are_the_embedder(spark):
         dense[r.doc_id][r.place] = r.value
     for i, t in enumerate(some):
         assert np.abs(dense[i] - embed(t)).max() < 1e-5
+
+
+@pytest.mark.parametrize("layout", [STORED, SHOWN, Layout(wide=("A B", "B C", "C D E"), single=("A", "E"))])
+def test_layout_as_rows_is_the_layout(spark, layout):
+    """Random texts of headers, bullets, roles, degrees and date ranges: token rows give what the texts give."""
+    rng = random.Random(12)
+    pieces = [*(w for h in layout.wide for w in h.split()), *layout.wide, *layout.single, *layout.role_starts[:3], *layout.role_ends[:3], *layout.degrees[:4], "of", *"•●*", "1.", "12)", "(3)", "(12)", "–", "-", "to", "Present", "Current", "2019", "2021", "1850", "word", "and", "&", "Skills:", "é", "ÄÖ", "日本", "²", "a", "Jan", "x"]
+    some = [None, "", " \n", "• SUMMARY", "• Senior Engineer", "• •", "SKILLS", "a 2019 b – 2020 c d - Present"]
+    some += ["".join(rng.choice(pieces) + rng.choice([" ", "\n", " \t ", "\x1c"]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(some)) + [(3, "again 1. x")], "doc_id int, text string").repartition(5)
+    got = sorted((r.doc_id, r.text) for r in rebuilt_texts(df, layout=layout).collect())
+    assert got == sorted([(i, rebuilt(t, layout)) for i, t in enumerate(some)] + [(3, rebuilt("again 1. x", layout))])
+    with pytest.raises(ValueError):
+        rebuilt_texts(df, layout=Layout(wide=("A B", "B A")))
