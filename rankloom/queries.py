@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.embedding import embedding
-from rankloom.functions.layout import BULLET, BULLETS, NOW_WORDS, RANGE_MARKS, STORED, combined_pages, normalized
+from rankloom.functions.layout import BULLET, BULLETS, NOW_WORDS, RANGE_MARKS, SHOWN, STORED, Layout, combined_pages, normalized
 from rankloom.operators import ranking, store, views
 from rankloom.operators.lines import rebuilt_texts
 from rankloom.operators.topk import similar_pruned
@@ -493,18 +493,20 @@ def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
 _LIST = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 _REACHED = "(coalesce(lag({0}) OVER o, 0) >= 2 OR coalesce(lag({0}, 2) OVER o, 0) = 3)"
 _YEAR = "regexp_full_match({}, '(19|20)[0-9]{{2}}')"
-#: The layout rebuilding over token rows: kinds, runs, parts of runs, lines cut one after another, blank lines once.
-NORMALIZE_SQL = rf"""WITH RECURSIVE t AS (SELECT doc_id, row_number() OVER () AS r, [x FOR x IN string_split_regex(coalesce(text, ''), '\s+') IF x <> ''] AS w FROM documents),
+def _normalize_sql(layout: Layout, docs: str = "documents") -> str:
+    """The layout rebuilding over token rows: kinds, runs, parts of runs, lines cut one after another, blank lines once."""
+    core = "CASE WHEN starts_with(token, '(') AND ends_with(token, ')') THEN token[2:] ELSE token END" if layout.wide_numbers else "token"
+    return rf"""WITH RECURSIVE t AS (SELECT doc_id, row_number() OVER () AS r, [x FOR x IN string_split_regex(coalesce(text, ''), '\s+') IF x <> ''] AS w FROM {docs}),
 a AS (SELECT *, regexp_matches(token, '\p{{L}}') AND NOT regexp_matches(token, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') AS c FROM (SELECT r, generate_subscripts(w, 1) AS p, unnest(w) AS token FROM t)),
 b AS (SELECT *, coalesce(lead(token) OVER o, '') AS after, coalesce(lead(token, 2) OVER o, '') AS t2, coalesce(lead(c) OVER o, false) AS c1, coalesce(lead(c, 2) OVER o, false) AS c2 FROM a WINDOW o AS (PARTITION BY r ORDER BY p)),
-s0 AS (SELECT *, CASE WHEN c AND c1 AND c2 AND token || ' ' || after || ' ' || t2 IN ({_LIST(STORED.wide)}) THEN 3 WHEN c AND c1 AND token || ' ' || after IN ({_LIST(STORED.wide)}) THEN 2 ELSE 0 END AS wide FROM b),
+s0 AS (SELECT *, CASE WHEN c AND c1 AND c2 AND token || ' ' || after || ' ' || t2 IN ({_LIST(layout.wide)}) THEN 3 WHEN c AND c1 AND token || ' ' || after IN ({_LIST(layout.wide)}) THEN 2 ELSE 0 END AS wide FROM b),
 s1 AS (SELECT *, CASE WHEN {_REACHED.format("wide")} THEN 0 ELSE wide END AS z1 FROM s0 WINDOW o AS (PARTITION BY r ORDER BY p)),
 s2 AS (SELECT *, CASE WHEN {_REACHED.format("z1")} THEN 0 ELSE wide END AS z FROM s1 WINDOW o AS (PARTITION BY r ORDER BY p)),
-e AS (SELECT r, p, after, CASE WHEN z > 0 OR c AND upper(token) IN ({_LIST(STORED.single)}) AND after NOT IN ('&', 'and') AND NOT ends_with(after, ':') THEN 'header' WHEN length(token) = 1 AND contains('{BULLETS}', token) OR regexp_full_match(token, '[0-9]{{1,2}}[.)]') THEN 'bullet' ELSE 'word' END AS kind,
+e AS (SELECT r, p, after, CASE WHEN z > 0 OR c AND upper(token) IN ({_LIST(layout.single)}) AND after NOT IN ('&', 'and') AND NOT ends_with(after, ':') THEN 'header' WHEN length(token) = 1 AND contains('{BULLETS}', token) OR regexp_full_match({core}, '[0-9]{{1,2}}[.)]') THEN 'bullet' ELSE 'word' END AS kind,
  CASE z WHEN 3 THEN upper(token || ' ' || after || ' ' || t2) WHEN 2 THEN upper(token || ' ' || after) ELSE token END AS token FROM (SELECT *, {_REACHED.format("z")} AS inside FROM s2 WINDOW o AS (PARTITION BY r ORDER BY p)) WHERE NOT inside),
 f AS (SELECT *, sum(change) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT *, lag(kind) OVER o AS before, lead(kind) OVER o AS follows, (kind <> coalesce(lag(kind) OVER o, kind))::INTEGER AS change FROM e WINDOW o AS (PARTITION BY r ORDER BY p))),
 g AS (SELECT *, coalesce(first_value(before) OVER (PARTITION BY r, run ORDER BY p) = 'bullet', false) AS waits, last_value(follows) OVER (PARTITION BY r, run ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_kind,
- min(CASE WHEN kind = 'word' AND (token IN ({_LIST(STORED.role_starts)}) AND after IN ({_LIST(STORED.role_ends)}) OR token IN ({_LIST(STORED.degrees)}) OR token IN ({_LIST(STORED.degrees_of)}) AND after = 'of') THEN p END) OVER (PARTITION BY r, run) AS opens FROM f),
+ min(CASE WHEN kind = 'word' AND (token IN ({_LIST(layout.role_starts)}) AND after IN ({_LIST(layout.role_ends)}) OR token IN ({_LIST(layout.degrees)}) OR token IN ({_LIST(layout.degrees_of)}) AND after = 'of') THEN p END) OVER (PARTITION BY r, run) AS opens FROM f),
 h AS (SELECT *, row_number() OVER w AS place, sum((token IN ({_LIST(RANGE_MARKS)}))::INTEGER) OVER w AS marks, (token IN ({_LIST(NOW_WORDS)}) OR {_YEAR.format("token")}) AND after NOT IN ('–', '-', 'to', 'Present') AND NOT {_YEAR.format("after")} AS ends
  FROM (SELECT *, CASE WHEN kind = 'word' AND waits AND (opens IS NULL OR p < opens) THEN 0 ELSE 1 END AS part FROM g) WINDOW w AS (PARTITION BY r, run, part ORDER BY p)),
 cut AS (SELECT DISTINCT r, run, 0::BIGINT AS place, 0::HUGEINT AS marks FROM h WHERE kind = 'word' AND part = 1
@@ -521,21 +523,37 @@ x AS (SELECT r, string_agg(line, chr(10) ORDER BY run, part, seq) AS text FROM k
 SELECT doc_id, coalesce(regexp_replace(x.text, '^\n+', ''), '') AS text FROM t LEFT JOIN x USING (r)"""
 
 
+NORMALIZE_SQL = _normalize_sql(STORED)
+
+
 @query(NORMALIZE_SQL)
 def normalize_rows(spark: SparkSession, sf: str) -> DataFrame:
     """As ``normalize_text``, over token rows."""
     return rebuilt_texts(read(spark, sf, "documents"))
 
 
-@query(NORMALIZE_SQL.replace("FROM documents)", "FROM (SELECT c_custkey AS doc_id, concat_ws(' ', c_name, 'SKILLS • Rust and Go • SQL', c_mktsegment, c_custkey % 40 || '.', 'did things Senior Engineer at Acme Jan 20' || lpad((c_custkey % 30)::VARCHAR, 2, '0'), CASE c_custkey % 3 WHEN 0 THEN '–' ELSE 'to' END, 'Present then TECHNICAL SKILLS & ABILITIES', c_custkey, 'EDUCATION Bachelor of Arts 2001 - 2004', c_nationkey, '◦ WORK EXPERIENCE •') AS text FROM customer))"))
+RECORDS_SQL = "(SELECT c_custkey AS doc_id, concat_ws(' ', c_name, 'SKILLS • Rust and Go • SQL', c_mktsegment, c_custkey % 40 || '.', 'did things Senior Engineer at Acme Jan 20' || lpad((c_custkey % 30)::VARCHAR, 2, '0'), CASE c_custkey % 3 WHEN 0 THEN '–' ELSE 'to' END, 'Present then TECHNICAL SKILLS & ABILITIES', c_custkey, 'EDUCATION Bachelor of Arts 2001 - 2004', c_nationkey, '◦ WORK EXPERIENCE •') AS text FROM customer)"
+
+
+@query(_normalize_sql(STORED, RECORDS_SQL))
 def normalize_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records written out as one line of headers, bullets, roles, degrees and dates, rebuilt."""
+    return rebuilt_texts(_records(spark, sf))
+
+
+@query(_normalize_sql(SHOWN, RECORDS_SQL))
+def display_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records as the screen shows them: further headers, numbers in brackets, other role words."""
+    return _records(spark, sf).select("doc_id", normalized(F.col("text"), SHOWN).alias("text"))
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
     k, s = F.col("c_custkey"), lambda x: F.col(x).cast("string")
     text = F.concat_ws(
         " ", "c_name", F.lit("SKILLS • Rust and Go • SQL"), "c_mktsegment", F.concat((k % 40).cast("string"), F.lit(".")), F.concat(F.lit("did things Senior Engineer at Acme Jan 20"), F.lpad((k % 30).cast("string"), 2, "0")),
         F.when(k % 3 == 0, "–").otherwise("to"), F.lit("Present then TECHNICAL SKILLS & ABILITIES"), s("c_custkey"), F.lit("EDUCATION Bachelor of Arts 2001 - 2004"), s("c_nationkey"), F.lit("◦ WORK EXPERIENCE •"),
     )
-    return rebuilt_texts(read(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text")))
+    return read(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text"))
 
 
 @query(NORMALIZE_SQL)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from functools import reduce
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions import embedding, json_repair, scoring, text, vectors
 from rankloom.functions.education import education
+from rankloom.functions.layout import STORED
 from rankloom.operators import buckets, features, ranking, store, views
 from rankloom.operators.dictionary import found_terms
 from rankloom.plans.answers import answered_prompts
 from rankloom.plans.screening import SAID, heuristic_analysis, heuristic_candidate
-from rankloom.queries import BANDS, BANDS_SQL, CANDIDATES_SQL, COSINE, LISTING_SQL, QUEUE_SQL, SUMMARY_SQL, VECTOR_SQL, WITH, _resume_texts, candidates, duplicate_check, job_summary_agg, jobs, listing, query, queue, read, resumes, analyses, shortlists
+from rankloom.queries import _normalize_sql, BANDS, BANDS_SQL, CANDIDATES_SQL, COSINE, LISTING_SQL, QUEUE_SQL, SUMMARY_SQL, VECTOR_SQL, WITH, _resume_texts, candidates, duplicate_check, job_summary_agg, jobs, listing, query, queue, read, resumes, analyses, shortlists
 from rankloom.session import new_folder, spread
-from rankloom.sources import tables
+from rankloom.sources import documents, tables
 from rankloom.sources.documents import MockOcr, Page
 from rankloom.sources.pages import extract_by_page
 from rankloom.streaming import events, work
@@ -269,6 +275,59 @@ def large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return found_terms(texts, catalog).select("id", F.array_join("terms", "|").alias("terms"))
 
 
+# Files.
+
+
+def _word_file(text: str) -> bytes:
+    """A Word file with a paragraph for each line."""
+    out = io.BytesIO()
+    lines = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+    return out.getvalue()
+
+
+@F.pandas_udf(T.BinaryType())
+def word_files(texts: pd.Series) -> pd.Series:
+    return pd.Series([_word_file(t) for t in texts])
+
+
+_FILES_SQL = "(SELECT conv_id * 100 + turn AS doc_id, text FROM conversations WHERE turn % 4 = 0)"
+
+
+@query(f"""WITH n AS ({_normalize_sql(STORED, _FILES_SQL)}), c AS (SELECT conv_id * 100 + turn AS k, (turn % 4)::INTEGER AS kind, conv_id % 3 AS bad FROM conversations)
+SELECT concat('f', k, CASE kind WHEN 0 THEN '.DOCX' WHEN 1 THEN '.doc' WHEN 2 THEN '.pdf' ELSE '.odt' END) AS path, CASE WHEN kind = 0 AND bad > 0 AND n.text <> '' THEN n.text END AS text, CASE WHEN kind = 0 AND bad > 0 AND n.text <> '' THEN 'text' END AS method,
+CASE kind WHEN 0 THEN CASE WHEN bad = 0 THEN 'Failed to open DOCX: File is not a zip file' WHEN n.text = '' THEN 'DOCX has no extractable text' END WHEN 1 THEN 'Legacy .doc files are not supported; save as .docx or .pdf' WHEN 2 THEN 'no PDF reader is plugged in' ELSE 'Unsupported file extension: .odt' END AS error
+FROM c LEFT JOIN n ON n.doc_id = k""")
+def files_dispatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as files of four kinds: Word files, broken ones among them, are read; all others are rows with an error."""
+    turns, kind = read(spark, sf, "conversations"), F.col("turn") % 4
+    name = F.concat(F.lit("f"), (F.col("conv_id") * 100 + F.col("turn")).cast("string"), F.when(kind == 0, ".DOCX").when(kind == 1, ".doc").when(kind == 2, ".pdf").otherwise(".odt"))
+    content = F.when((kind == 0) & (F.col("conv_id") % 3 > 0), word_files(F.coalesce("text", F.lit("")))).otherwise(F.lit("no archive").cast("binary"))
+    return documents.extract_texts(turns.select(name.alias("path"), content.alias("content"))).select("path", "text", "method", "error")
+
+
+@query("""WITH f AS (SELECT source || '-' || doc_id % 40 AS stem, ['.pdf', '.PDF', '.docx', '.txt', ''][doc_id % 5 + 1] AS ext, coalesce(text, '') AS text FROM documents)
+SELECT DISTINCT stem || ext AS file_name, CASE WHEN ext = '' THEN 'pdf' ELSE lower(ext[2:]) END AS file_type, octet_length(encode(text))::BIGINT AS file_size, sha256(text) AS sha256, 'job' AS job_id FROM f WHERE ext <> '.txt'""")
+def files_landed(spark: SparkSession, sf: str) -> DataFrame:
+    """Files kept for a job, landed twice: what is accepted is kept once for each name and content."""
+    k, path = F.col("doc_id"), new_folder(spark, "files")
+    ext = F.element_at(F.array(*map(F.lit, (".pdf", ".PDF", ".docx", ".txt", ""))), (k % 5 + 1).cast("int"))
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    made = read(spark, sf, "documents").select(F.concat(F.lit("/in/"), k.cast("string")).alias("path"), F.concat("source", F.lit("-"), (k % 40).cast("string"), ext).alias("file_name"), F.lower(F.substr(ext, F.lit(2))).alias("file_type"), F.octet_length(content).cast("long").alias("file_size"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
+    for _ in range(2):
+        documents.landed(made, "job", path)
+    return spark.read.parquet(path).select("file_name", "file_type", "file_size", "sha256", "job_id")
+
+
+@query("SELECT vec_id, len(embedding) * 4 AS bytes, array_to_string([CAST(CAST(round(x::DOUBLE * 1000000) AS BIGINT) AS VARCHAR) FOR x IN embedding], ',') AS back FROM embeddings")
+def vector_codec(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as bytes and back."""
+    packed = read(spark, sf, "embeddings").select("vec_id", vectors.encode_vector(F.col("embedding")).alias("b"))
+    back = F.transform(vectors.decode_vector(F.col("b")), lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return packed.select("vec_id", F.octet_length("b").cast("long").alias("bytes"), F.array_join(back, ",").alias("back"))
+
+
 # Extraction by page.
 
 SCANNED = "Read from the image of a page by a provider that always finds these words"
