@@ -14,12 +14,12 @@ from pyspark.sql import types as T
 
 from rankloom.functions import embedding, json_repair, scoring, text, vectors
 from rankloom.functions.education import education
-from rankloom.functions.layout import STORED
+from rankloom.functions.layout import STORED, combined_pages
 from rankloom.operators import buckets, features, ranking, store, views
 from rankloom.operators.dictionary import found_terms
 from rankloom.plans.answers import answered_prompts
-from rankloom.plans.screening import SAID, heuristic_analysis, heuristic_candidate
-from rankloom.queries import _normalize_sql, BANDS, BANDS_SQL, CANDIDATES_SQL, COSINE, LISTING_SQL, QUEUE_SQL, SUMMARY_SQL, VECTOR_SQL, WITH, _resume_texts, candidates, duplicate_check, job_summary_agg, jobs, listing, query, queue, read, resumes, analyses, shortlists
+from rankloom.plans.screening import SAID, heuristic_analysis, heuristic_candidate, screened
+from rankloom.queries import _normalize_sql, STOCK_SQL, BANDS, BANDS_SQL, CANDIDATES_SQL, COSINE, LISTING_SQL, QUEUE_SQL, SUMMARY_SQL, VECTOR_SQL, WITH, _resume_texts, candidates, duplicate_check, job_summary_agg, jobs, listing, query, queue, read, resumes, analyses, shortlists
 from rankloom.session import new_folder, spread
 from rankloom.sources import documents, tables
 from rankloom.sources.documents import MockOcr, Page
@@ -357,6 +357,18 @@ def extraction_by_page(spark: SparkSession, sf: str) -> DataFrame:
     return extract_by_page(files, _conversation_pages, MockOcr(text=f" {SCANNED}\n"), layout=None)
 
 
+_PAGES_SQL = "(SELECT (conv_id * 100 + turn) * 2 + k AS doc_id, text FROM conversations, (VALUES (0), (1)) d(k) WHERE k = 0 OR turn % 3 = 0)"
+
+
+@query(rf"""WITH n AS ({_normalize_sql(STORED, _PAGES_SQL)}), p AS (SELECT doc_id // 200 AS conv_id, doc_id % 200 AS page, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM n),
+k AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY page) AS b FROM p WHERE t <> '')
+SELECT conv_id, coalesce(text, '') AS text FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS text FROM k WHERE t IS DISTINCT FROM b GROUP BY conv_id) USING (conv_id)""")
+def page_combine_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages rebuilt before they are joined, some of them twice in a row."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).where("k = 0 OR turn % 3 = 0")
+    return combined_pages(turns.withColumn("page", F.col("turn") * 2 + F.col("k")), "conv_id", "page", "text")
+
+
 # Answers of a model, and events.
 
 
@@ -602,6 +614,34 @@ def heuristic_analyses(spark: SparkSession, sf: str) -> DataFrame:
     return said.select("p_partkey", F.round("a.llm_score", 4).alias("llm_score"), "a.summary", F.array_join("a.strengths", "|").alias("strengths"), F.array_join("a.concerns", "|").alias("concerns"))
 
 
+_CATALOG_HITS = ", ".join(rf"CASE WHEN regexp_matches(raw, '\b{text._quoted(t)}\b') THEN '{t}' END" for t in text.SKILL_CATALOG)
+_GOT = "CASE WHEN list_contains(low, '{0}') THEN {1} WHEN len([x FOR x IN low IF contains(x, '{0}') OR contains('{0}', x)]) > 0 THEN {2} ELSE 0.0 END"
+_TENTH = "round(CAST({} AS DECIMAL(18, 9)), 1)::DOUBLE"
+
+
+@query(rf"""WITH p AS (SELECT *, p_partkey % 20 AS job, lower(concat_ws(chr(10), p_name, concat('mail', p_partkey, '@example.com'), concat_ws(' ', p_type, {STOCK_SQL}[p_partkey % 5 + 1]), concat(p_size % 12, '+ years of experience'), 'education', 'mba, north school 2014')) AS raw,
+ CASE WHEN p_size % 12 > 0 THEN (p_size % 12)::DOUBLE END AS y, (p_partkey % 20 % 4)::DOUBLE AS lo, CASE WHEN p_partkey % 20 % 3 = 0 THEN (p_partkey % 20 % 4 + 5)::DOUBLE ELSE 0 END AS hi FROM part),
+s AS (SELECT *, [x FOR x IN [{_CATALOG_HITS}] IF x IS NOT NULL] AS skills FROM p), w AS (SELECT *, [lower(x) FOR x IN skills] AS low FROM s),
+g AS (SELECT *, {_GOT.format("java", "1.0", "0.6")} AS java, {_GOT.format("rust", "1.0", "0.6")} AS rust, {_GOT.format("kafka", "0.5", "0.5")} AS kafka, len([k FOR k IN low IF len([v FOR v IN ['java', 'rust', 'kafka'] IF contains(k, v) OR contains(v, k)]) > 0]) AS n,
+ CASE WHEN lo <= 0 AND hi <= 0 THEN 100.0 WHEN y IS NULL THEN 50.0 WHEN lo > 0 AND hi > 0 THEN CASE WHEN y BETWEEN lo AND hi THEN 100.0 WHEN y < lo THEN y / lo * 75.0 ELSE greatest(85.0, 100.0 - least((y - hi) * 2, 10.0)) END
+ WHEN lo > 0 THEN CASE WHEN y >= lo THEN least(least(y / lo, 1.5) * 90, 100.0) ELSE y / lo * 70 END ELSE CASE WHEN y <= hi THEN 100.0 ELSE greatest(100.0 - least(y - hi, 5.0) * 6, 60.0) END END::DOUBLE AS experience FROM w),
+d AS (SELECT *, (java + rust + kafka) / 2.5::DOUBLE * 100.0 AS score, lo > 0 AS l, hi > 0 AS h FROM g), f AS (SELECT *, least(100.0, score * 0.6 + experience * 0.4)::DOUBLE AS det FROM d)
+SELECT p_partkey::VARCHAR AS resume_id, job::VARCHAR AS job_id, p_name AS name, concat('mail', p_partkey, '@example.com') AS email, array_to_string(skills, '|') AS skills,
+array_to_string([x FOR x IN [CASE WHEN java > 0 THEN 'Java' END, CASE WHEN rust > 0 THEN 'rust' END, CASE WHEN kafka > 0 THEN 'Kafka' END] IF x IS NOT NULL], '|') AS matched, array_to_string([x FOR x IN [CASE WHEN java = 0 THEN 'Java' END, CASE WHEN rust = 0 THEN 'rust' END, CASE WHEN kafka = 0 THEN 'Kafka' END] IF x IS NOT NULL], '|') AS missing,
+{_TENTH.format("score")} AS skills_score, {_TENTH.format("experience")} AS experience_score, {_TENTH.format("greatest(10.0, least(98.0, det * 0.7 + 25.0))")} AS llm_score,
+{_said("summary", "p_name", "concat('Job ', job)", "round(CAST(det AS DECIMAL(18, 9)))::DOUBLE", f"CASE WHEN len(skills) > 0 THEN array_to_string(skills[1:3], ', ') ELSE '{SAID['no_focus']}' END")} AS ai_summary,
+array_to_string([x FOR x IN [CASE WHEN n > 0 THEN {_said("skills", "n")} END, CASE WHEN y IS NULL THEN NULL WHEN l AND h THEN CASE WHEN y BETWEEN lo AND hi THEN {_said("in_range", "lo", "hi", "y")} WHEN y > hi THEN {_said("above_range", "y", "hi")} END
+ WHEN l THEN CASE WHEN y >= lo THEN {_said("meets", "y")} END WHEN h THEN CASE WHEN y <= hi THEN {_said("within", "hi", "y")} ELSE {_said("seasoned", "y")} END ELSE {_said("plain", "y")} END, {_said("school", "'Master (MBA)'", "'North School'")}] IF x IS NOT NULL], '|') AS strengths,
+array_to_string([x FOR x IN [CASE WHEN l AND h AND y < lo THEN {_said("below_range", "y", "lo", "hi")} WHEN l AND NOT h AND y < lo THEN {_said("misses", "y", "lo")} END, CASE WHEN n = 0 THEN {_said("no_skills")} END] IF x IS NOT NULL], '|') AS concerns FROM f""")
+def screening_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole screening plan, from texts to analyses, without what comes from the embedder."""
+    raw, wanted_jobs, wanted = _resume_texts(spark, sf)
+    out = screened(spread(raw), wanted_jobs, wanted)
+    names = lambda c: F.array_join(F.transform(F.col(c), lambda s: s["skill"]), "|").alias(c.partition("_")[0])
+    joined = lambda c, name: F.array_join(c, "|").alias(name)
+    return out.select("resume_id", "job_id", "name", "email", joined("extracted_skills", "skills"), names("matched_skills"), names("missing_skills"), "skills_score", "experience_score", "llm_score", "ai_summary", joined("strengths", "strengths"), joined("concerns", "concerns"))
+
+
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, concat('mail', p_partkey, '@example.com') AS email, CASE WHEN p_size % 12 > 0 THEN (p_size % 12)::DOUBLE END AS years,
 'Master (MBA) at North School in 2014' AS school, true AS rest_is_empty FROM part""")
 def heuristic_candidates(spark: SparkSession, sf: str) -> DataFrame:
