@@ -36,10 +36,8 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import prepare, sliced, staged, staging
 
+#: Texts of the sample, about; both bounds hold for the fit only: scoring reads every whole text.
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
-#: Features whose values a sampled text brings to the driver; a text that holds more isn't in the sample. Both
-#: bounds hold for the fit only: scoring reads every whole text.
-MOST_VALUES = 1 << 13
 #: A word or beginning becomes a feature if at least MIN_TEXTS positive texts of the sample
 #: hold it and the means of its values over positive and unlabelled texts differ by MIN_Z
 #: standard errors, taken from the unlabelled texts, so that a rare language's words count too.
@@ -103,6 +101,12 @@ def _means(x: Matrix, features: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.bincount(x[1], weights=by, minlength=features) / max(x[3], 1) for by in (x[2], x[2] ** 2))
 
 
+def telling(n: int, p: np.ndarray, m: int, u: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Features whose means over n positive and m unlabelled texts differ by MIN_Z standard errors."""
+    spread = square - u**2 + 0.02 / (m + 1)
+    return np.flatnonzero(np.abs(p - u) >= MIN_Z * np.sqrt(np.maximum(spread, 0) * (1 / n + 1 / m)))
+
+
 def _of(x: Matrix, chosen: np.ndarray, features: int) -> Matrix:
     """The cells of the chosen features, numbered anew."""
     place = np.full(features, -1)
@@ -136,10 +140,7 @@ class NonNegativePU:
     """Linear scores over the values of ``features``; ``weights`` has one for each."""
 
     def __init__(self, names: list[str], positive: Matrix, unlabelled: Matrix, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 3e-4):
-        n, m = positive[3], unlabelled[3]
-        (p, _), (u, square) = (_means(x, len(names)) for x in (positive, unlabelled))
-        spread = square - u**2 + 0.02 / (m + 1)
-        chosen = np.flatnonzero(np.abs(p - u) >= MIN_Z * np.sqrt(spread * (1 / n + 1 / m)))
+        chosen = telling(positive[3], _means(positive, len(names))[0], unlabelled[3], *_means(unlabelled, len(names)))
         self.features = Features([names[k] for k in chosen])
         wp, wu = _of(positive, chosen, len(names)), _of(unlabelled, chosen, len(names))
         w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
@@ -197,8 +198,34 @@ def _names(texts: DataFrame) -> list[str]:
     return sorted(counted.select("x").toArrow()["x"].to_pylist())
 
 
+#: Sums of values are taken as integers of this scale, so they don't depend on the order of tasks.
+_SCALE = 1 << 30
+
+
+def _told(texts: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many sampled texts there are, and mean and mean square of each feature's values: tasks and Spark add, the driver gets sums."""
+    shared = texts.sparkSession.sparkContext.broadcast(Features(names))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros((2, len(names)), np.int64), 0
+        for batch in sliced(batches):
+            for t in batch.column(0).to_pylist():
+                at, x = shared.value.values(word_counts(t))
+                sums[0, at] += np.rint(x * _SCALE).astype(np.int64)
+                sums[1, at] += np.rint(x * x * _SCALE).astype(np.int64)
+                n += 1
+        used = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([n, *sums[0, used].tolist()], pa.int64()), pa.array([0, *sums[1, used].tolist()], pa.int64())], names=["k", "s", "q"])
+
+    got = texts.select("t").mapInArrow(task, "k int, s bigint, q bigint").groupBy("k").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).toArrow()
+    k, s, q = (got[c].to_numpy() for c in ("k", "s", "q"))
+    n, out = int(s[k < 0].sum()), np.zeros((2, len(names)))
+    out[:, k[k >= 0]] = np.stack([s, q])[:, k >= 0] / _SCALE / max(n, 1)
+    return n, *out
+
+
 def _values(texts: DataFrame, names: list[str]) -> Matrix:
-    """The values of sampled texts, worked out in tasks; none of a text that holds more than MOST_VALUES of the features."""
+    """The values of sampled texts, worked out in tasks."""
     shared = texts.sparkSession.sparkContext.broadcast(Features(names))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +234,7 @@ def _values(texts: DataFrame, names: list[str]) -> Matrix:
             at = pa.array([a.astype(np.int32) for a, _ in held], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), at, pa.array([x for _, x in held], pa.list_(pa.float64()))], names=["i", "at", "x"])
 
-    got = texts.mapInArrow(task, "i string, at array<int>, x array<double>").where(F.size("at") <= MOST_VALUES).orderBy("i").toArrow()
+    got = texts.mapInArrow(task, "i string, at array<int>, x array<double>").orderBy("i").toArrow()
     return matrix([(a.values.to_numpy().astype(np.int64), x.values.to_numpy()) for a, x in zip(got["at"], got["x"], strict=True)])
 
 
@@ -224,10 +251,14 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     drawn = _drawn(ids, ids.count(), MAX_UNLABELLED).distinct()
     with staging(docs.sparkSession):
         toxic_texts = _picked(docs, toxic, id_col, text_col, MAX_POSITIVE)
+        some_texts = _picked(docs, drawn, id_col, text_col, MAX_UNLABELLED)
         names = _names(toxic_texts)
-        positive = _values(toxic_texts, names)
-        unlabelled = _values(_picked(docs, drawn, id_col, text_col, MAX_UNLABELLED), names)
-    return NonNegativePU(names, positive, unlabelled, prior) if positive[3] and unlabelled[3] else None
+        (n, p, _), (m, u, square) = _told(toxic_texts, names), _told(some_texts, names)
+        if not n or not m:
+            return None
+        names = [names[k] for k in telling(n, p, m, u, square)]
+        positive, unlabelled = _values(toxic_texts, names), _values(some_texts, names)
+    return NonNegativePU(names, positive, unlabelled, prior)
 
 
 def score(docs: DataFrame, model: NonNegativePU | None, keep: dict[str, Column], text_col: str = "text") -> DataFrame:

@@ -221,6 +221,8 @@ def test_names_and_values_of_a_sample_against_a_plain_version(spark):
                 want[i, name] = 1.0 if name.endswith("$") else math.log1p(50 * uses / (sum(counts.values()) + 30))
     assert n == 60 and got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
     mean, square = toxicity._means((rows, at, x, n), len(names))
+    told = toxicity._told(df, names)
+    assert told[0] == 60 and np.allclose(told[1], mean, atol=1e-8) and np.allclose(told[2], square, atol=1e-8)
     for k, name in enumerate(names):
         own = [v for (_, y), v in want.items() if y == name]
         assert math.isclose(mean[k], sum(own) / 60, abs_tol=1e-12) and math.isclose(square[k], sum(v * v for v in own) / 60, abs_tol=1e-12)
