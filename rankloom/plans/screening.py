@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import json_repair, scoring, text, vectors
 from rankloom.functions.education import education
 from rankloom.functions.embedding import embedding
-from rankloom.operators.ranking import ranked
+from rankloom.operators.ranking import ranked, ranked_in_ranges
 from rankloom.plans.answers import answered_prompts
 from rankloom.session import checkpointed
 
@@ -153,11 +153,12 @@ def generated(df: DataFrame, prompt: Column, key: str, generate: Generate, retry
     return df.select(key, prompt.alias("p")).mapInPandas(task, f"{key} {df.schema[key].dataType.simpleString()}, answer string")
 
 
-def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generate: Generate | None = None, answers: str | None = None, **bounds: object) -> DataFrame:
+def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generate: Generate | None = None, answers: str | None = None, hot_rows: int | None = None, **bounds: object) -> DataFrame:
     """Analyses of résumés (id, job_id, raw_text) against their jobs, ranked within each job.
 
     With ``answers``, a folder, the model's answers are kept there by prompt: equal prompts are asked once and a rerun asks
-    only what is open; ``bounds`` are those of ``answered_prompts``.
+    only what is open; ``bounds`` are those of ``answered_prompts``. With ``hot_rows`` the analyses are computed once, and a job of more rows is ranked in
+    ranges of its scores.
 
     Job vectors are made once for each job; jobs are small beside résumés, so the join
     may broadcast them, which the optimizer decides by size.
@@ -202,4 +203,6 @@ def screened(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, generat
         c["education"].alias("education"), c["work_experience"].alias("previous_roles"),
         F.col("_said.summary").alias("ai_summary"), F.col("_said.strengths").alias("strengths"), F.col("_said.concerns").alias("concerns"), "embedding",
     )
+    if hot_rows is not None:
+        return ranked_in_ranges(checkpointed(out), "job_id", "overall_score", "resume_id", hot_rows=hot_rows)
     return ranked(out, "job_id", "overall_score", "resume_id")

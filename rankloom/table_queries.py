@@ -531,8 +531,8 @@ SELECT doc, round(max(x / n), 4) AS most, round(min(x / n), 4) AS least, round(s
 def mean_pooling(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk vectors pooled to one unit vector for each document."""
     v = read(spark, sf, "embeddings")
-    width = v.select(F.size("embedding")).first()[0]
-    chunks = v.groupBy(F.expr("vec_id div 4").alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("c"))
+    width = v.where("embedding IS NOT NULL").agg(F.max(F.size("embedding"))).first()[0] or 0
+    chunks = v.where("embedding IS NOT NULL").groupBy(F.expr("vec_id div 4").alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("c"))
     unit = chunks.select("doc", F.transform(vectors.mean_pooled(F.col("c"), width), lambda x: x.cast("double")).alias("u"))
     return unit.select("doc", F.round(F.array_max("u"), 4).alias("most"), F.round(F.array_min("u"), 4).alias("least"), F.round(vectors.dot(F.col("u"), F.col("u")), 4).alias("norm"))
 

@@ -319,6 +319,8 @@ def test_screening(spark):
     def generate(prompt):
         return '{"llm_score": 97, "summary": "fine", "skills": ["Go"]}' if "Ann Lee" in prompt else "no"
 
+    hot = screened(resumes, jobs, skills, hot_rows=1)
+    assert sorted((r.resume_id, r["rank"]) for r in hot.collect()) == sorted((r.resume_id, r["rank"]) for r in got)
     models = screened(resumes, jobs, skills, generate).orderBy("rank").collect()
     assert models[0].llm_score == 97 and models[0].ai_summary == "fine" and "Go" in models[0].extracted_skills
     assert generated(resumes, F.lit("x"), "id", lambda p: 1 / 0).where("answer IS NULL").count() == 3
