@@ -17,6 +17,8 @@ from rankloom.functions.text import bound
 #: Words before which a date range goes on.
 GOES_ON = ("–", "-", "to", "Present")
 LEAST_WORDS = 4
+#: Tasks for each shuffle partition.
+PARTS = 8
 
 
 def overlap_rounds(layout: Layout) -> int:
@@ -38,7 +40,10 @@ def _is_year(token: Column) -> Column:
 def token_kinds(docs: DataFrame, key: str, text: str, layout: Layout) -> DataFrame:
     """_row, ``key``, _pos, token, after, kind (header, bullet, word; null for a document without tokens) of what stands for itself."""
     tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
-    own = docs.select(F.monotonically_increasing_id().alias("_row"), key, tokens.alias("_tokens"))
+    # Dealt out once, as texts: all that follows is by document and finds its tokens where they are. Token rows take many
+    # times the room of their text, so a task gets a part of what it would get by size.
+    tasks = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.monotonically_increasing_id().alias("_row"), key, text).repartition(tasks, "_row").select("_row", key, tokens.alias("_tokens"))
     rows = own.select("_row", key, F.posexplode_outer("_tokens").alias("_pos", "token"))
     order = Window.partitionBy("_row").orderBy("_pos")
     capitals = F.coalesce(F.col("token").rlike(r"\p{L}") & ~F.col("token").rlike(r"[\p{L}&&[^\p{Lu}]]"), F.lit(False))
