@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import bound, stripped
+from rankloom.functions.text import bound, stripped, tenths
 
 # Weights of the final score.
 WEIGHTS = {"skills": 0.40, "experience": 0.25, "semantic": 0.20, "llm": 0.15}
@@ -85,7 +85,7 @@ def final_score(skills: Column, experience: Column, semantic: Column, llm: Colum
     w = WEIGHTS
     overall = skills * w["skills"] + experience * w["experience"] + semantic * w["semantic"] + llm * w["llm"]
     parts = {"overall": overall, "skills": skills, "experience": experience, "semantic": semantic, "llm": llm}
-    return F.struct(*(F.round(x, 1).alias(name) for name, x in parts.items()))
+    return F.struct(*(tenths(x).alias(name) for name, x in parts.items()))
 
 
 def score_band(score: Column) -> Column:

@@ -32,6 +32,11 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def tenths(x: Column) -> Column:
+    """Rounded to one decimal as ten times the binary value is to a whole one; ``F.round`` rounds the decimals it is written in."""
+    return F.round(x * 10) / 10
+
+
 def stripped(x: Column) -> Column:
     """Without white space (Unicode) at either end."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

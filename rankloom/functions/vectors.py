@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.functions.text import tenths
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -33,7 +35,7 @@ def semantic_score(cosine: Column) -> Column:
     """0 to 100: half of the scale below a cosine of 0, a rising curve above, 50 for NaN."""
     c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))
     score = F.when(c >= 0, F.pow(F.least(c / 0.65, F.lit(1.0)), F.lit(0.8)) * 50.0 + 50.0).otherwise((c + 1.0) / 2.0 * 50.0)
-    return F.when(F.isnan(cosine), 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(score, 1))))
+    return F.when(F.isnan(cosine), 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), tenths(score))))
 
 
 def semantic_score_of_texts(text: Column, other: Column, cosine: Column) -> Column:
