@@ -151,9 +151,10 @@ def truncated(text: Column, chars: int) -> Column:
     return F.substring(text, 1, chars)
 
 
-def file_size_label(size: Column) -> Column:
-    """1024-based size with one decimal at most."""
+def file_size_label(size: Column, largest: str = "TB") -> Column:
+    """1024-based size with one decimal at most, in units up to ``largest``."""
     units = ("Bytes", "KB", "MB", "GB", "TB")
+    units = units[: units.index(largest) + 1]
     step = F.least(F.floor(F.ln(size.cast("double")) / F.ln(F.lit(1024.0)) + 1e-12), F.lit(len(units) - 1))
     value = F.regexp_replace(F.format_string("%.1f", size / F.pow(F.lit(1024.0), step)), r"\.0$", "")
     return F.when(size > 0, F.concat_ws(" ", value, F.element_at(F.array(*map(F.lit, units)), (step + 1).cast("int")))).when(size == 0, "0 Bytes")
