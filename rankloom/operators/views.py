@@ -99,7 +99,7 @@ def _listed() -> list[Column]:
 def listing_order() -> list[Column]:
     """Scored rows first, by falling score, then newest upload; ids settle ties."""
     score = F.col("analysis.overall_score")
-    return [F.when(score.isNull(), 1).otherwise(0), F.desc_nulls_last(score), F.desc_nulls_last("uploaded_at"), F.asc("resume_id")]
+    return [F.when(score.isNull(), 1).otherwise(0), F.desc_nulls_last(score), F.desc_nulls_last("uploaded_at"), F.asc_nulls_last("resume_id")]
 
 
 def candidate_listing(resumes: DataFrame, candidates: DataFrame, analysis: DataFrame, shortlists: DataFrame) -> DataFrame:

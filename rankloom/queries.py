@@ -147,7 +147,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{LISTING_SQL} SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN overall_score IS NULL THEN 1 ELSE 0 END, overall_score DESC NULLS LAST, uploaded_at DESC NULLS LAST, resume_id, notes) AS position FROM listing")
 def candidate_listing(spark: SparkSession, sf: str) -> DataFrame:
-    placed = views.numbered(listing(spark, sf), "job_id", *views.listing_order(), F.asc("notes"))
+    placed = views.numbered(listing(spark, sf), "job_id", *views.listing_order(), F.asc_nulls_last("notes"), F.asc("shortlist_status"))
     return placed.select("id", "resume_id", "job_id", "name", "email", "status", "uploaded_at", "shortlist_status", "notes", F.col("analysis.overall_score").alias("overall_score"), "position")
 
 
