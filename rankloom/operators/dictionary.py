@@ -2,7 +2,8 @@
 
 The words of a text and its runs of up to as many words as the longest term has are looked up in the catalog by an
 equi-join; the few terms that are met are then tried as patterns on the text itself, as word runs say nothing about the signs
-between and around them. Texts are read once for their runs and once for the trial; they don't travel with their runs.
+between and around them. Texts are read once for their runs and once for the trial; they don't travel with their runs. A catalog that is
+counted and small is broadcast; otherwise rows are joined by sorting, as their number is many times what the files' sizes tell.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import bound
 
+#: Bytes of a catalog that is broadcast, with what a row takes beside its text.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 100
+
 
 def word_runs(text: Column, longest: int) -> Column:
     """The distinct runs of one to ``longest`` words, joined by blanks, and the empty run."""
@@ -35,10 +39,11 @@ def found_terms(texts: DataFrame, catalog: DataFrame, key: str = "id", text: str
     terms, a blank term is found nowhere; texts of one key are searched each for itself.
     """
     words = F.array_join(F.regexp_extract_all(F.lower(F.col(term)), F.lit(r"\w+"), F.lit(0)), " ")
-    terms = catalog.where(F.trim(F.coalesce(F.col(term), F.lit(""))) != "").select(words.alias("_run"), F.struct(F.col(place).alias("place"), F.col(term).alias("term"), term_pattern(F.col(term)).alias("pattern")).alias("_term"))
-    longest = terms.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 1
-    runs = texts.select(F.col(key).alias("_key"), F.explode(word_runs(F.col(text), longest)).alias("_run"))
-    met = runs.join(terms, "_run").groupBy("_key").agg(F.collect_set("_term").alias("_terms"))  # no more than a text has runs, times equal terms
-    tried = lambda low: F.transform(F.filter(F.array_sort("_terms"), lambda t: F.regexp_like(low, t["pattern"])), lambda t: t["term"])
+    terms = catalog.where(F.trim(F.coalesce(F.col(term), F.lit(""))) != "").select(words.alias("_run"), F.struct(F.col(place).alias("place"), F.col(term).alias("term")).alias("_term"))
+    longest, held = terms.agg(F.max(F.size(F.split("_run", " "))), F.sum(F.octet_length("_run") + F.octet_length("_term.term") + ROW_BYTES)).first()
+    looked_up = F.broadcast(terms) if (held or 0) <= BROADCAST_BYTES else terms.hint("merge")
+    runs = texts.select(F.col(key).alias("_key"), F.explode(word_runs(F.col(text), longest or 1)).alias("_run"))
+    met = runs.join(looked_up, "_run").groupBy("_key").agg(F.collect_set("_term").alias("_terms"))  # no more than a text has runs, times equal terms
+    tried = lambda low: F.transform(F.filter(F.array_sort("_terms"), lambda t: F.regexp_like(low, term_pattern(t["term"]))), lambda t: t["term"])
     found = bound(F.lower(F.col(text)), tried)
-    return texts.join(met, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce(found, F.array().cast("array<string>")).alias("terms"))
+    return texts.hint("merge").join(met, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce(found, F.array().cast("array<string>")).alias("terms"))
