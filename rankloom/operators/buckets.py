@@ -64,12 +64,23 @@ def next_batch(spark: SparkSession, path: str) -> int:
     return 0 if last is None else last + 1
 
 
+def _finished(found: DataFrame, batch: int, buckets: int) -> bool:
+    """Whether every bucket was written by ``batch`` or a later one."""
+    last = found.groupBy(BUCKET).agg(F.max(BATCH).alias("last"), F.max(OF).alias("of"))
+    n, least, of = last.agg(F.count(F.lit(1)), F.min("last"), F.max("of")).first()
+    return n == buckets == of and least >= batch
+
+
 def upsert_buckets(rows: DataFrame, path: str, keys: list[str], batch: int, buckets: int = 64, order: str | None = None, keep: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> list[int]:
     """Upserts ``rows`` by ``keys`` as ``upserted`` does and returns the buckets it has rewritten.
 
     ``rows`` are computed once. Buckets that batch ``batch`` or a later one has written already are left alone.
     """
     spark = rows.sparkSession
+    stored = _stored(spark, path)
+    if stored is not None and _finished(stored, batch, buckets):
+        rows.select(bucket_of(keys, buckets).alias(BUCKET)).distinct().count()  # what observes the rows sees them; nothing is staged
+        return []
     with staged_rows(rows.withColumn(BUCKET, bucket_of(keys, buckets)), "upsert") as new:
         touched = sorted(r[BUCKET] for r in new.select(BUCKET).distinct().collect())  # at most ``buckets``
         found = _stored(spark, path)
