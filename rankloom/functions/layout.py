@@ -1,4 +1,4 @@
-"""Rebuilding lines from text that lost its layout, as Arrow UDFs.
+"""Rebuilding lines from text that lost its layout: for rows in JVM expressions, for a single text in Python.
 
 Tokens are first told apart by what they are (header, bullet, plain), which needs a
 token and its next two only; plain tokens between headers and bullets then form runs,
@@ -7,11 +7,11 @@ and each run is cut where a role, a degree or the end of a date range says so.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,12 +124,83 @@ def rebuilt(raw: str | None, layout: Layout = STORED) -> str:
     return "\n".join(line for at, line in enumerate(out) if line or (at and out[at - 1])).lstrip("\n")
 
 
-def normalized(text: Column, layout: Layout = STORED) -> Column:
-    @F.pandas_udf("string")
-    def lines(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda t: rebuilt(t, layout))
+# The same over columns. A text becomes its tokens, each behind a blank; patterns then set signs into it: HEAD before a
+# header or bullet, NAMED between a header's words and a bullet's sign, TEXT behind both; OPENS before a role or degree, ENDS
+# behind what may end a dated line. All are white space, so no token holds one.
+HEAD, NAMED, TEXT, OPENS, ENDS = "\x1e", "\x1c", "\x1f", "\x1d", "\n"
+#: Words before which a date range goes on, and the words that a dated line has at least.
+GOES_ON, LEAST_WORDS = ("–", "-", "to", "Present"), 4
+_YEAR, _STOP, _NEXT = "(?:19|20)[0-9]{2}", f"(?=[ {HEAD}{NAMED}{TEXT}{ENDS}])", f"[ {HEAD}]{NAMED}?"
+
+
+def _any(words: Iterable[str]) -> str:
+    return "(?:" + ("|".join(map(re.escape, words)) or "(?!)") + ")"
+
+
+def _kinds_pattern(layout: Layout) -> str:
+    """Headers (group 1) and bullets (group 2), found from left to right as ``_marked`` takes them."""
+    wide = [w for w in map(str.split, layout.wide) if 2 <= len(w) <= 3 and all(map(_capitals, w))]
+    single = [s for s in layout.single if _capitals(s) and s == s.upper()]
+    header = f"{_any(' '.join(w) for w in sorted(wide, key=len, reverse=True))}(?= )|{_any(single)}(?= )(?! (?:&|and) | [^ ]*: )"
+    bullet = f"[{re.escape(BULLETS)}]|[0-9]{{1,2}}[.)]" + (r"|\([0-9]{1,2}\)" if layout.wide_numbers else "")
+    begins = "".join(map(re.escape, sorted({w[0][0] for w in wide} | {s[0] for s in single} | {*BULLETS, "("})))
+    return f" (?=[0-9{begins}])(?:({header})|({bullet}))(?= )"
+
+
+def _signed(text: Column, layout: Layout) -> Column:
+    """The text's tokens with signs between them; only texts with a range mark have ENDS, only such with a bullet OPENS."""
+    from rankloom.functions.text import bound
+
+    blanks = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), r"(?U)[\s\x1c-\x1f]+", " ")
+    kinds = F.regexp_replace(blanks, _kinds_pattern(layout), f"{HEAD}$1{NAMED}$2{TEXT}")
+    may_end = f" ({_any(NOW_WORDS)}|{_YEAR})(?=[ {HEAD}])(?!{_NEXT}(?:{_any(GOES_ON)}|{_YEAR}){_STOP})"
+    opens = f" (?={_any(layout.role_starts)}{ENDS}?{_NEXT}{_any(layout.role_ends)}{_STOP}|{_any(layout.degrees)}{_STOP}|{_any(layout.degrees_of)}{ENDS}?{_NEXT}of{_STOP})"
+    dated = lambda t: F.when(t.rlike(f" [{''.join(map(re.escape, RANGE_MARKS))}][ {HEAD}]"), F.regexp_replace(t, may_end, f" $1{ENDS}")).otherwise(t)
+    opened = lambda t: F.when(t.contains(HEAD + NAMED), F.regexp_replace(t, opens, f"{OPENS} ")).otherwise(t)
+    return F.rtrim(bound(bound(kinds, dated), opened))
+
+
+def _dated_lines(words: Column) -> Column:
+    """The words, a line for each of their parts: one that may end a line does if enough words and a mark came since the last."""
+    from rankloom.functions.text import bound
+
+    def step(s: Column, piece: Column) -> Column:
+        at, n = s["at"] + 1, s["words"] + F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit("")))
+        marked = s["marked"] | piece.rlike(f" [{''.join(map(re.escape, RANGE_MARKS))}](?= |$)")
+        state = lambda n, marked, cuts: F.struct(at.alias("at"), n.alias("words"), marked.alias("marked"), cuts.alias("cuts"))
+        return F.when((n >= LEAST_WORDS) & marked, state(F.lit(0), F.lit(False), F.array_append(s["cuts"], at))).otherwise(state(n, marked, s["cuts"]))
 
-    return lines(text)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("words"), F.lit(False).alias("marked"), F.array().cast("array<int>").alias("cuts"))
+
+    def lines(pieces: Column) -> Column:
+        cuts = F.aggregate(pieces, start, step, lambda s: F.array_distinct(F.concat(F.array(F.lit(0)), s["cuts"], F.array(F.size(pieces)))))
+        line = lambda c, k: F.substr(F.array_join(F.slice(pieces, F.get(c, k - 1) + 1, F.get(c, k) - F.get(c, k - 1)), ""), F.lit(2))
+        return bound(cuts, lambda c: F.array_join(F.filter(F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda k: line(c, k)), lambda x: x != ""), "\n"))
+
+    return F.when(words.contains(ENDS), bound(F.split(words, ENDS), lines)).otherwise(F.substr(words, F.lit(2)))
+
+
+def _part_lines(part: Column) -> Column:
+    """Lines of a header or bullet and the words behind it, or of the words before the first one; null if there are none."""
+    from rankloom.functions.text import bound
+
+    words, name = F.substring_index(part, TEXT, -1), F.translate(F.substring_index(part, NAMED, 1), OPENS + ENDS, "")
+    free = lambda w: _dated_lines(F.translate(w, OPENS, ""))
+
+    def hung(w: Column) -> Column:
+        """Words hang on their bullet up to a role or degree."""
+        first = F.substring_index(w, OPENS, 1)
+        bullet = F.concat(F.lit(BULLET), F.translate(first, ENDS, ""))
+        return F.when(w.contains(OPENS), F.concat(bullet, F.lit("\n\n"), free(F.substr(w, F.length(first) + 2)))).otherwise(bullet)
+
+    behind = lambda w, before: F.when(w == "", F.lit("")).otherwise(F.concat(F.lit(before), free(w)))
+    return bound(words, lambda w: F.when(part.startswith(NAMED), hung(w)).when(part.contains(TEXT), F.concat(F.lit("\n"), name, F.lit("\n"), behind(w, "\n"))).when(w != "", free(w)))
+
+
+def normalized(text: Column, layout: Layout = STORED) -> Column:
+    """``rebuilt`` in JVM expressions: patterns over the whole text, then its headers and bullets one by one."""
+    lines = F.array_join(F.transform(F.split(_signed(text, layout), HEAD), _part_lines), "\n")
+    return F.ltrim(F.regexp_replace(lines, "\n{3,}", "\n\n"), F.lit("\n"))
 
 
 def combined_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", text: str = "text", layout: Layout | None = STORED) -> DataFrame:

@@ -1,24 +1,16 @@
-"""The layout rebuilding of ``functions.layout`` as a segmented scan over token rows, in JVM expressions.
+"""The layout rebuilding of ``functions.layout`` over rows, in JVM expressions.
 
-A token is told apart by itself and its next two; covered words of wide headers drop out; a run is numbered by the running
-sum of changes of kind; runs of words that hang on a bullet are parted where a role or degree opens; and lines are cut
-in each part by an ordered aggregation over the few tokens that may end one. Windows and groups are those of a document.
+What is told of a token needs its next two at most, and a header or bullet and the words behind it stand for themselves: so
+a text is rebuilt where it is read. No token becomes a row and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rankloom.functions.layout import BULLET, BULLETS, NOW_WORDS, RANGE_MARKS, STORED, Layout
-from rankloom.functions.text import bound
-
-#: Words before which a date range goes on.
-GOES_ON = ("–", "-", "to", "Present")
-LEAST_WORDS = 4
-#: Tasks for each shuffle partition.
-PARTS = 8
+from rankloom.functions.layout import STORED, Layout, normalized
+from rankloom.session import spread
 
 
 def overlap_rounds(layout: Layout) -> int:
@@ -33,85 +25,7 @@ def overlap_rounds(layout: Layout) -> int:
     return rounds
 
 
-def _is_year(token: Column) -> Column:
-    return token.rlike("^(19|20)[0-9]{2}$")
-
-
-def token_kinds(docs: DataFrame, key: str, text: str, layout: Layout) -> DataFrame:
-    """_row, ``key``, _pos, token, after, kind (header, bullet, word; null for a document without tokens) of what stands for itself."""
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
-    # Dealt out once, as texts: all that follows is by document and finds its tokens where they are. Token rows take many
-    # times the room of their text, so a task gets a part of what it would get by size.
-    tasks = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.monotonically_increasing_id().alias("_row"), key, text).repartition(tasks, "_row").select("_row", key, tokens.alias("_tokens"))
-    rows = own.select("_row", key, F.posexplode_outer("_tokens").alias("_pos", "token"))
-    order = Window.partitionBy("_row").orderBy("_pos")
-    capitals = F.coalesce(F.col("token").rlike(r"\p{L}") & ~F.col("token").rlike(r"[\p{L}&&[^\p{Lu}]]"), F.lit(False))
-    rows = rows.withColumn("_c", capitals).withColumns({"after": F.coalesce(F.lead("token").over(order), F.lit("")), "_t2": F.lead("token", 2).over(order), "_c1": F.coalesce(F.lead("_c").over(order), F.lit(False)), "_c2": F.coalesce(F.lead("_c", 2).over(order), F.lit(False))})
-    wide = lambda *words: F.concat_ws(" ", *words).isin(*layout.wide)
-    three, two = F.col("_c") & F.col("_c1") & F.col("_c2") & wide("token", "after", "_t2"), F.col("_c") & F.col("_c1") & wide("token", "after")
-    rows = rows.withColumn("_wide", F.when(three, 3).when(two, 2).otherwise(0)).withColumn("_size", F.col("_wide"))
-    reached = (F.coalesce(F.lag("_size").over(order), F.lit(0)) >= 2) | (F.coalesce(F.lag("_size", 2).over(order), F.lit(0)) == 3)
-    for _ in range(overlap_rounds(layout)):
-        rows = rows.withColumn("_in", reached).withColumn("_size", F.when(F.col("_in"), 0).otherwise(F.col("_wide")))
-    rows = rows.withColumn("_in", reached)
-    single = F.col("_c") & F.upper("token").isin(*layout.single) & ~F.col("after").isin("&", "and") & ~F.endswith("after", F.lit(":"))
-    core = F.when(F.col("token").startswith("(") & F.col("token").endswith(")"), F.substr("token", F.lit(2))).otherwise(F.col("token")) if layout.wide_numbers else F.col("token")
-    bullet = ((F.length("token") == 1) & F.lit(BULLETS).contains(F.col("token"))) | core.rlike(r"^[0-9]{1,2}[.)]$")
-    kind = F.when(F.col("token").isNull(), None).when((F.col("_size") > 0) | single, "header").when(bullet, "bullet").otherwise("word")
-    words = F.when(F.col("_size") == 3, F.concat_ws(" ", "token", "after", "_t2")).when(F.col("_size") == 2, F.concat_ws(" ", "token", "after")).otherwise(F.col("token"))
-    return rows.where("NOT _in").select("_row", key, "_pos", F.when(kind == "header", F.upper(words)).otherwise(F.col("token")).alias("token"), "after", kind.alias("kind"))
-
-
-def _cut(tokens: Column, ends: Column) -> Column:
-    """Lines of the words of a part: a word of ``ends`` (place, marks so far) ends one if enough words and a mark came since the last."""
-    step = lambda s, e: F.when((e["place"] - s["last"] >= LEAST_WORDS) & (e["marks"] > s["marks"]), F.struct(e["place"].alias("last"), e["marks"].alias("marks"), F.array_append(s["cuts"], e["place"]).alias("cuts"))).otherwise(s)
-    start = F.struct(F.lit(0).cast("int").alias("last"), F.lit(0).cast("bigint").alias("marks"), F.array().cast("array<int>").alias("cuts"))
-
-    def lines(cuts: Column) -> Column:
-        whole = F.array_distinct(F.concat(F.array(F.lit(0)), cuts, F.array(F.size(tokens))))
-        return F.transform(F.sequence(F.lit(1), F.size(whole) - 1), lambda k: F.array_join(F.slice(tokens, F.get(whole, k - 1) + 1, F.get(whole, k) - F.get(whole, k - 1)), " "))
-
-    return F.when(F.size(tokens) > 0, F.aggregate(ends, start, step, lambda s: bound(s["cuts"], lines)))
-
-
 def rebuilt_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", layout: Layout = STORED) -> DataFrame:
-    """``key`` and ``text`` of every row, rebuilt as ``functions.layout.rebuilt`` does."""
-    order = Window.partitionBy("_row").orderBy("_pos")
-    kinds = token_kinds(docs, key, text, layout)
-    changed = F.coalesce((F.col("kind") != F.lag("kind").over(order)).cast("int"), F.lit(0))
-    runs = kinds.withColumn("_change", changed).withColumns({"_run": F.sum("_change").over(order), "_before": F.lag("kind").over(order), "_next": F.lead("kind").over(order)})
-    # Of each run: whether a bullet waits for it, and where its first role or degree opens.
-    run = Window.partitionBy("_row", "_run").orderBy("_pos")
-    every = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    opens = (F.col("token").isin(*layout.role_starts) & F.col("after").isin(*layout.role_ends)) | F.col("token").isin(*layout.degrees) | (F.col("token").isin(*layout.degrees_of) & (F.col("after") == "of"))
-    marked = runs.withColumns({"_waits": F.coalesce(F.first("_before").over(every) == "bullet", F.lit(False)), "_opens": F.min(F.when(opens & (F.col("kind") == "word"), F.col("_pos"))).over(every)})
-    # Part 0 hangs on the bullet, part 1 doesn't.
-    part = F.when((F.col("kind") == "word") & F.col("_waits") & (F.col("_opens").isNull() | (F.col("_pos") < F.col("_opens"))), 0).otherwise(1)
-    parted = marked.withColumn("_part", part)
-    within = Window.partitionBy("_row", "_run", "_part").orderBy("_pos")
-    ends = (F.col("token").isin(*NOW_WORDS) | _is_year(F.col("token"))) & ~F.col("after").isin(*GOES_ON) & ~_is_year(F.col("after"))
-    placed = parted.withColumns({"_place": F.row_number().over(within), "_marks": F.sum(F.col("token").isin(*RANGE_MARKS).cast("int")).over(within)})
-    end = F.when((F.col("kind") == "word") & ends, F.struct(F.col("_place").alias("place"), F.col("_marks").cast("bigint").alias("marks")))
-    grouped = placed.groupBy("_row", key, "_run", "_part").agg(
-        F.first("kind").alias("kind"), F.first("_waits").alias("_waits"), F.first("_opens").alias("_opens"), F.max_by("_next", "_pos").alias("_next"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "token"))), lambda t: t["token"]).alias("tokens"), F.array_sort(F.collect_list(end)).alias("ends"),
-    )
-    dot, blank = F.lit(BULLET), F.lit("")
-    n = F.size("tokens")
-    hanging = F.array(F.concat_ws(" ", dot, F.array_join("tokens", " ")))
-    lines = (
-        F.when(F.col("kind") == "header", F.flatten(F.transform("tokens", lambda t: F.array(blank, t, blank))))
-        # The last bullet of a run waits for words; where none follow it stands alone.
-        .when(F.col("kind") == "bullet", F.array_repeat(dot, F.when(F.col("_next") == "word", n - 1).otherwise(n)))
-        .when((F.col("kind") == "word") & (F.col("_part") == 0), F.when(F.col("_opens").isNull(), hanging).otherwise(F.concat(hanging, F.array(blank))))
-        .when(F.col("kind") == "word", _cut(F.col("tokens"), F.col("ends")))
-    )
-    # A role right behind a bullet leaves it alone on its line.
-    alone = (F.col("kind") == "word") & (F.col("_part") == 1) & F.col("_waits") & (n > 0)
-    first = Window.partitionBy("_row", "_run")
-    told = grouped.withColumn("lines", lines).withColumn("_hung", F.max((F.col("_part") == 0).cast("int")).over(first))
-    told = told.withColumn("lines", F.when(alone & (F.col("_hung") == 0), F.concat(F.array(dot, blank), F.col("lines"))).otherwise(F.col("lines")))
-    whole = told.groupBy("_row", key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_run", "_part", "lines"))), lambda r: F.coalesce(r["lines"], F.array().cast("array<string>")))).alias("out"))
-    kept = F.filter("out", lambda line, at: (line != "") | ((at > 0) & (F.get(F.col("out"), at - 1) != "")))
-    return whole.select(key, F.regexp_replace(F.array_join(kept, "\n"), r"^\n+", "").alias("text"))
+    """``key`` and ``text`` of every row, rebuilt as ``functions.layout.rebuilt`` does; headers that overlap in a ring are refused."""
+    overlap_rounds(layout)
+    return spread(docs.select(key, text)).select(key, normalized(F.col(text), layout).alias("text"))

@@ -528,7 +528,7 @@ NORMALIZE_SQL = _normalize_sql(STORED)
 
 @query(NORMALIZE_SQL)
 def normalize_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """As ``normalize_text``, over token rows."""
+    """Whole documents rebuilt where they are read."""
     return rebuilt_texts(read(spark, sf, "documents"))
 
 
