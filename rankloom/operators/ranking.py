@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from rankloom.functions.vectors import cosine_similarity
 
 
-#: Queries whose scores a task holds at a time: with a block of 8192 rows 32 MB.
-QUERIES_AT_ONCE = 512
+#: Scores that a task holds at a time, in a few arrays of 2 MB each.
+SCORES_AT_ONCE = 1 << 18
 
 
 def ranked(df: DataFrame, group: str, score: str, tie: str, name: str = "rank") -> DataFrame:
@@ -59,17 +59,19 @@ def similar_for_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: s
     """``similar`` for each of any number of queries; more than ``most_queries``, if stated, are refused.
 
     Rows and queries are hashed into blocks; every block of about ``block_rows`` rows meets
-    every block of about ``query_rows`` queries in a task, which scores them by one matrix product
-    and gives k rows a query. Nothing goes through the driver.
+    every block of about ``query_rows`` queries in a task, which scores them by matrix products of
+    ``SCORES_AT_ONCE`` pairs and gives k rows a query. Nothing goes through the driver.
     """
     if most_queries is not None and queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} queries; split the query set")
     parallel = vectors.sparkSession.sparkContext.defaultParallelism
     blocks = max(parallel, -(-vectors.count() // block_rows))
     query_blocks = max(1, -(-queries.count() // query_rows))
+    # Floats travel as they are: a task makes doubles of what it scores.
+    sent = lambda df, name: F.col(name) if df.schema[name].dataType.simpleString() == "array<float>" else F.col(name).cast("array<double>")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    rows = vectors.select(F.pmod(F.xxhash64(key, vector), F.lit(blocks)).alias("b"), every(query_blocks).alias("s"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.select(every(blocks).alias("b"), F.pmod(F.xxhash64(query_key, query_vector), F.lit(query_blocks)).alias("s"), F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+    rows = vectors.select(F.pmod(F.xxhash64(key, vector), F.lit(blocks)).alias("b"), every(query_blocks).alias("s"), F.col(key).alias("k"), sent(vectors, vector).alias("v"))
+    asked = queries.select(every(blocks).alias("b"), F.pmod(F.xxhash64(query_key, query_vector), F.lit(query_blocks)).alias("s"), F.col(query_key).alias("q"), sent(queries, query_vector).alias("v"))
 
     def best(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return best_of(left, right, k, query_key, key)
@@ -83,25 +85,40 @@ def similar_for_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: s
 def best_of(rows: pd.DataFrame, asked: pd.DataFrame, k: int, query_key: str, key: str) -> pd.DataFrame:
     """The k most similar of ``rows`` (k, v) to each of ``asked`` (q, v); equal ones by their keys."""
     rows = rows.sort_values("k", kind="stable")
-    out = []
-    for at in range(0, len(asked), QUERIES_AT_ONCE) if len(rows) else ():
-        part = asked.iloc[at : at + QUERIES_AT_ONCE]
-        score = cosine_matrix(part["v"], rows["v"])
+    keys, vectors = rows["k"].to_numpy(), by_width(rows["v"])
+    at_once, out = max(1, SCORES_AT_ONCE // max(1, len(rows))), []
+    for at in range(0, len(asked), at_once) if len(rows) else ():
+        part = asked.iloc[at : at + at_once]
+        score = scored(by_width(part["v"]), vectors, len(part), len(rows))
         order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        out.append(pd.DataFrame({query_key: np.repeat(part["q"].to_numpy(), order.shape[1]), key: rows["k"].to_numpy()[order.ravel()], "similarity": np.take_along_axis(score, order, 1).ravel()}))
+        out.append(pd.DataFrame({query_key: np.repeat(part["q"].to_numpy(), order.shape[1]), key: keys[order.ravel()], "similarity": np.take_along_axis(score, order, 1).ravel()}))
     return pd.concat(out) if out else pd.DataFrame({query_key: [], key: [], "similarity": []})
 
 
 def cosine_matrix(a: Sequence, b: Sequence) -> np.ndarray:
     """``cosine_similarity`` of every vector of ``a`` with every one of ``b``; each pair is summed in
     one order, so equal vectors tie exactly."""
-    size = lambda x: -1 if x is None else len(x)
-    widths = np.array([size(x) for x in a]), np.array([size(x) for x in b])
-    out = np.zeros((len(a), len(b)))
-    for width in set(widths[0].tolist()) & set(widths[1].tolist()) - {-1, 0}:
-        i, j = (np.flatnonzero(w == width) for w in widths)
-        x, y = (np.stack([m[n] for n in at]).astype(float) for m, at in ((list(a), i), (list(b), j)))
-        scale = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
+    return scored(by_width(a), by_width(b), len(a), len(b))
+
+
+def by_width(vectors: Sequence) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length of vectors but null and empty ones: their places, components and norms."""
+    held = list(vectors)
+    widths = np.array([-1 if x is None else len(x) for x in held])
+    out = {}
+    for width in set(widths.tolist()) - {-1, 0}:
+        at = np.flatnonzero(widths == width)
+        x = np.stack([held[n] for n in at]).astype(float)
+        out[width] = at, x, np.sqrt((x * x).sum(1))
+    return out
+
+
+def scored(a: dict, b: dict, rows: int, columns: int) -> np.ndarray:
+    """``cosine_matrix`` of vectors parted by length; vectors of different lengths score 0."""
+    out = np.zeros((rows, columns))
+    for width in a.keys() & b.keys():
+        (i, x, left), (j, y, right) = a[width], b[width]
+        scale = left[:, None] * right[None]
         with np.errstate(divide="ignore", invalid="ignore"):
             out[np.ix_(i, j)] = np.where(scale <= 1e-12, 0.0, np.clip(np.einsum("id,jd->ij", x, y) / scale, -1, 1))
     return out
