@@ -210,9 +210,13 @@ def combined_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_numb
     With ``layout`` None the texts are only trimmed.
     """
     from rankloom.functions.text import stripped
-
-    own = pages.select(F.col(doc), F.col(page).alias("_page"), stripped(normalized(F.col(text), layout) if layout else F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    order = Window.partitionBy(doc).orderBy("_page")
-    kept = own.where("_text <> ''").withColumn("_before", F.lag("_text").over(order)).where(~F.col("_text").eqNullSafe(F.col("_before")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_page", "_text"))), lambda s: s["_text"]), "\n\n")
-    return pages.select(doc).distinct().join(kept.groupBy(doc).agg(joined.alias("text")), doc, "left").select(doc, F.coalesce("text", F.lit("")).alias("text"))
+    from rankloom.session import spread
+
+    own = pages.select(F.col(doc), F.col(page).alias("_page"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    own = (spread(own) if layout else own).withColumn("_text", stripped(normalized(F.col("_text"), layout) if layout else F.col("_text")))
+    before = Window.partitionBy(doc).orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+    # Pages are told apart behind the window: a filter on their texts would be moved to where they are read, and rebuild each one a second time.
+    told = own.withColumn("_text", F.nullif("_text", F.lit(""))).withColumn("_before", F.last("_text", ignorenulls=True).over(before))
+    kept = F.col(doc).isNotNull() & F.col("_text").isNotNull() & ~F.col("_text").eqNullSafe(F.col("_before"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("_page", "_text")))), lambda s: s["_text"]), "\n\n")
+    return told.groupBy(doc).agg(joined.alias("text"))
