@@ -154,7 +154,9 @@ def _signed(text: Column, layout: Layout) -> Column:
     blanks = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), r"(?U)[\s\x1c-\x1f]+", " ")
     kinds = F.regexp_replace(blanks, _kinds_pattern(layout), f"{HEAD}$1{NAMED}$2{TEXT}")
     may_end = f" ({_any(NOW_WORDS)}|{_YEAR})(?=[ {HEAD}])(?!{_NEXT}(?:{_any(GOES_ON)}|{_YEAR}){_STOP})"
-    opens = f" (?={_any(layout.role_starts)}{ENDS}?{_NEXT}{_any(layout.role_ends)}{_STOP}|{_any(layout.degrees)}{_STOP}|{_any(layout.degrees_of)}{ENDS}?{_NEXT}of{_STOP})"
+    begins = "".join(map(re.escape, sorted({w[0] for w in (*layout.role_starts, *layout.degrees, *layout.degrees_of)})))
+    word = f"{_any(layout.role_starts)}{ENDS}?{_NEXT}{_any(layout.role_ends)}{_STOP}|{_any(layout.degrees)}{_STOP}|{_any(layout.degrees_of)}{ENDS}?{_NEXT}of{_STOP}"
+    opens = f" (?=[{begins}])(?={word})" if begins else "(?!)"
     dated = lambda t: F.when(t.rlike(f" [{''.join(map(re.escape, RANGE_MARKS))}][ {HEAD}]"), F.regexp_replace(t, may_end, f" $1{ENDS}")).otherwise(t)
     opened = lambda t: F.when(t.contains(HEAD + NAMED), F.regexp_replace(t, opens, f"{OPENS} ")).otherwise(t)
     return F.rtrim(bound(bound(kinds, dated), opened))
@@ -185,13 +187,13 @@ def _part_lines(part: Column) -> Column:
     from rankloom.functions.text import bound
 
     words, name = F.substring_index(part, TEXT, -1), F.translate(F.substring_index(part, NAMED, 1), OPENS + ENDS, "")
-    free = lambda w: _dated_lines(F.translate(w, OPENS, ""))
+    without = lambda w, sign: F.when(w.contains(sign), F.translate(w, sign, "")).otherwise(w)
+    free = lambda w: bound(without(w, OPENS), _dated_lines)
 
     def hung(w: Column) -> Column:
         """Words hang on their bullet up to a role or degree."""
-        first = F.substring_index(w, OPENS, 1)
-        bullet = F.concat(F.lit(BULLET), F.translate(first, ENDS, ""))
-        return F.when(w.contains(OPENS), F.concat(bullet, F.lit("\n\n"), free(F.substr(w, F.length(first) + 2)))).otherwise(bullet)
+        bullet = lambda first: F.concat(F.lit(BULLET), without(first, ENDS))
+        return F.when(w.contains(OPENS), bound(F.substring_index(w, OPENS, 1), lambda first: F.concat(bullet(first), F.lit("\n\n"), free(F.substr(w, F.length(first) + 2))))).otherwise(bullet(w))
 
     behind = lambda w, before: F.when(w == "", F.lit("")).otherwise(F.concat(F.lit(before), free(w)))
     return bound(words, lambda w: F.when(part.startswith(NAMED), hung(w)).when(part.contains(TEXT), F.concat(F.lit("\n"), name, F.lit("\n"), behind(w, "\n"))).when(w != "", free(w)))

@@ -544,7 +544,7 @@ def normalize_records(spark: SparkSession, sf: str) -> DataFrame:
 @query(_normalize_sql(SHOWN, RECORDS_SQL))
 def display_layout(spark: SparkSession, sf: str) -> DataFrame:
     """The same records as the screen shows them: further headers, numbers in brackets, other role words."""
-    return _records(spark, sf).select("doc_id", normalized(F.col("text"), SHOWN).alias("text"))
+    return rebuilt_texts(_records(spark, sf), layout=SHOWN)
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
