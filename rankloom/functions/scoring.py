@@ -15,6 +15,12 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def mean(values: Column) -> Column:
+    """The mean of an array, summed in its order; nulls don't count, of nothing it is null."""
+    held = F.filter(values.cast("array<double>"), lambda x: x.isNotNull())
+    return bound(held, lambda xs: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x), F.size(xs).cast("double")))
+
+
 def match_skills(required: Column, offered: Column) -> Column:
     """struct(score, matched, missing) for ``required`` array<struct<skill, importance>>
     and ``offered`` array<string>.

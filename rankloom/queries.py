@@ -579,9 +579,14 @@ def screening(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Hybrid ranking: orders scored by four parts, ranked within their customer."""
-    li = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
-    rows = li.join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Hybrid ranking: orders scored by four parts, ranked within their customer.
+
+    An order's lines are summed as they are stored, so splits and shuffles don't change a score.
+    """
+    stored = F.struct("_metadata.file_name", "_metadata.row_index", "l_quantity", "l_discount", "l_tax").alias("line")
+    li = read(spark, sf, "lineitem").select("l_orderkey", stored)
+    lines = li.join(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    rows = lines.select("o_orderkey", "o_custkey", *(scoring.mean(F.col(f"lines.{c}")).alias(n) for c, n in (("l_quantity", "q"), ("l_discount", "d"), ("l_tax", "t"))))
     s, e, m = F.least(F.col("q") * 2, F.lit(100.0)), F.col("d") * 1000, 100 - F.col("t") * 1000
     scored = rows.select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("resume_id"), scoring.final_score(s, e, m, scoring.llm_fallback_score(scoring.deterministic_score(s, e))).alias("t"))
     return ranking.ranked(scored.select("job_id", "resume_id", F.col("t.overall").alias("overall_score")), "job_id", "overall_score", "resume_id")
