@@ -3,23 +3,26 @@
 An event table has one row for each thing that happens to a résumé: it is queued, started, takes a step (extracting,
 analyzing), its pages are extracted, it fails, or its analysis is complete. The rows follow from what extraction and
 analysis return, in one pass; ``place`` orders a résumé's events. Landing them is an upsert by id, so a batch that
-runs again adds nothing. Their counts are taken by ``observe`` while they are written; as a stream, a listener notes
-them for each batch.
+runs again adds nothing. An event's id is a digest of its job, résumé, place and kind, so the table is kept by these four, in buckets of
+résumés, and holds no digests; ``read_events`` gives them back. Counts are taken by ``observe`` while events are written; as a stream, a
+listener notes them for each batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
-from rankloom.operators.buckets import upsert_buckets
+from rankloom.operators.buckets import read_buckets, stored_columns, upsert_buckets
 
 # Names of the events.
 QUEUED, STARTED, STEP = "resume-queued", "resume-processing-started", "resume-processing-step"
 EXTRACTED, FAILED, COMPLETE = "resume-extraction-completed", "resume-processing-failed", "candidate-analysis-complete"
 KINDS = (QUEUED, STARTED, STEP, EXTRACTED, FAILED, COMPLETE)
 
+#: What an event's id is made of.
+KEY = ["job_id", "resume_id", "place", "event"]
 _DETAIL = {"step": "string", "pages": "int", "text_pages": "int", "ocr_pages": "int", "method": "string", "duration_ms": "bigint", "error": "string", "candidate_id": None, "overall_score": "double"}
 
 
@@ -47,7 +50,11 @@ def pipeline_events(queued: DataFrame, extractions: DataFrame, analyses: DataFra
     ))
     waiting = queued.select("resume_id", "job_id", event(0, QUEUED).alias("e"))
     rows = waiting.unionByName(met.select("resume_id", "job_id", F.explode(told).alias("e"))).select("resume_id", "job_id", "e.*")
-    return rows.select(F.sha2(F.concat_ws(":", "job_id", "resume_id", "place", "event"), 256).alias("id"), *rows.columns)
+    return _named(rows)
+
+
+def _named(events: DataFrame) -> DataFrame:
+    return events.select(F.sha2(F.concat_ws(":", *KEY), 256).alias("id"), *events.columns)
 
 
 def counts() -> list[Column]:
@@ -55,16 +62,30 @@ def counts() -> list[Column]:
     return [F.count_if(F.col("event") == k).alias(k) for k in KINDS]
 
 
+def _upsert(events: DataFrame, path: str, batch: int, buckets: int) -> None:
+    """Events without the four columns, and those of a table that holds ids, are kept by id."""
+    if {"id", *KEY} <= set(events.columns) and "id" not in stored_columns(events.sparkSession, path):
+        upsert_buckets(events.drop("id"), path, KEY, batch, buckets, within=["resume_id"])
+    else:
+        upsert_buckets(events, path, ["id"], batch, buckets)
+
+
 def land_events(events: DataFrame, path: str, batch: int, buckets: int = 64) -> dict[str, int]:
     """Upserts events by id into the event table and returns how many of each kind the batch held."""
     seen = Observation("events")
-    upsert_buckets(events.observe(seen, *counts()), path, ["id"], batch, buckets)
+    _upsert(events.observe(seen, *counts()), path, batch, buckets)
     return {k: int(n) for k, n in seen.get.items()}
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an event table, with their ids."""
+    found = read_buckets(spark, path)
+    return found if "id" in found.columns else _named(found)
+
+
 def event_stream(events: DataFrame, path: str, checkpoint: str, name: str = "events", buckets: int = 64, available_now: bool = False, every: str = "2.5 seconds") -> DataStreamWriter:
     """Lands a stream of events; each batch's counts are observed as ``name`` (see ``EventCounts``)."""
-    writer = events.observe(name, *counts()).writeStream.foreachBatch(lambda rows, number: upsert_buckets(rows, path, ["id"], number, buckets)).option("checkpointLocation", checkpoint)
+    writer = events.observe(name, *counts()).writeStream.foreachBatch(lambda rows, number: _upsert(rows, path, number, buckets)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
 
 
